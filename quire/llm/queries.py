@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import quality_rules, simhash
+from quire.llm import pii, quality_rules, simhash
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op6_simhash)}
+    return {f.__name__: f for f in (op2_quality_rules, op6_simhash, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
