@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import pii, quality_rules, simhash
+from quire.llm import pii, quality_rules, simhash, wavelet
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_wavelet_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return wavelet.encode_and_read(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,7 +30,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op6_simhash, op8_pii)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_wavelet_files, op6_simhash, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
