@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, pii, quality_rules, simhash, wavelet
+from quire.llm import chat, decontaminate, pii, quality_rules, simhash, wavelet
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op3_wavelet_files(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return wavelet.encode_and_read(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_quality_rules, op3_wavelet_files, op6_simhash, op8_pii)}
+    return {f.__name__: f for f in (op1_chat, op2_quality_rules, op3_wavelet_files, op4_decontaminate, op6_simhash, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
