@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,12 @@ class Transducers:
         return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def transducers(model_file: str) -> Transducers:
+    """A worker's transducers; they and what they keep last over tasks."""
+    return Transducers(model_file)
+
+
 SCHEMA = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_chars long, exact boolean"
 
 
@@ -173,9 +180,8 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """One row per row of `docs`: the ids' number and checksum (little-endian unsigned 32-bit), and whether decoding them gives the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = None
+        fst = transducers(model_file)
         for batch in slices(batches):
-            fst = fst or Transducers(model_file)
             is_byte = np.zeros(len(fst.surface), bool)
             is_byte[fst.byte_ids] = True
             rows = []
@@ -193,9 +199,8 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, ids array<int>, exact: the ids themselves, each text's decoded again and compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = None
+        fst = transducers(model_file)
         for batch in slices(batches):
-            fst = fst or Transducers(model_file)
             texts = column_text(batch)
             ids = [np.frombuffer(fst.encode(t), fst.dtype) for t in texts]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

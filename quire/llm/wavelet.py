@@ -21,6 +21,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -182,40 +183,96 @@ class Shard:
         return [int(d) if k else None for d, k in zip(np.frombuffer(ids, "<i8"), flags, strict=True)], np.frombuffer(lengths, "<i8")
 
 
-class Encoder(dict):
-    """Ids of texts by the tokenizers library; the ids of short pieces between spaces are kept.
+def byte_alphabet() -> dict[int, str]:
+    """The characters for which byte-level vocabularies write bytes: printable ones stand for themselves, others follow from U+0100 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
-    A byte-level pattern always starts a piece at a space that a non-space follows, so a text may be encoded between those.
+
+class Kept(dict):
+    """A bounded table in two generations: when the young one is full it becomes the old one, whose entries come back when used."""
+
+    def __init__(self, make, most: int, longest: int):
+        super().__init__()
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
+class Encoder:
+    """Ids of texts by the tokenizers library, for a byte-level vocabulary; ids of short pieces are kept.
+
+    The byte-level pattern always starts a piece at a space that a non-space follows, makes one of a newline between
+    non-spaces, and ends one between letters and an ASCII character that is none. So a text is cut there; letters, with a space
+    or none, are one piece of the pattern and go to the library's merge model without the pattern; all else
+    goes through the whole tokenizer.
     """
 
+    LINE = re.compile(r"(?<=\S)\n(?=\S)")
     CUT = re.compile(r" (?=\S)")
-    MOST = 300_000
-    LONG = 64
+    #: Letters, and then nothing or an ASCII character that is no letter.
+    LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)((?![A-Za-z])[\x00-\x7f].*)?", re.S)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.space = byte_alphabet()[0x20]
         self.end = np.array([END_ID], self.dtype).tobytes()
+        self.tails = Kept(self.plain, 50_000, 48)  # what follows letters
+        self.pieces = Kept(lambda x: self.piece(" ", x), 500_000, 64)  # a space, letters and what follows
+        self.starts = Kept(lambda x: self.piece("", x), 50_000, 64)  # the same at a line's start
+        self.newline = self.plain("\n")
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        out = self.plain(" " + piece)
-        if len(piece) <= self.LONG:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[piece] = out
-        return out
+    def word(self, word: str) -> bytes:
+        """Ids of letters, with a space or none before them."""
+        if word.isascii():
+            mapped = self.space + word[1:] if word[0] == " " else word
+        else:
+            mapped = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def piece(self, space: str, piece: str) -> bytes:
+        m = self.LETTERS.fullmatch(piece)
+        if not m:
+            return self.plain(space + piece)
+        letters, tail = m.groups()
+        if not tail:
+            return self.word(space + letters)
+        word = self.pieces[letters] if space else self.starts[letters]
+        return word + self.tails[tail]
+
+    def line(self, line: str) -> bytes:
+        first, *rest = self.CUT.split(line)
+        return b"".join([self.starts[first] if first else b"", *map(self.pieces.__getitem__, rest)])
 
     def encode(self, text: str) -> bytes:
         """The ids with the end id, as bytes."""
-        first, *rest = self.CUT.split(text)
-        return b"".join([self.plain(first) if first else b"", *map(self.__getitem__, rest), self.end])
+        return self.newline.join(map(self.line, self.LINE.split(text))) + self.end
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder; it and what it keeps last over tasks."""
+    return Encoder(path)
 
 
 MANIFEST = "part int, file int, path string, n_docs long, n_tokens long, n_bytes long"
@@ -230,7 +287,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int =
     parts = max(1, -(-size // partition_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, file, encoder = TaskContext.get().partitionId(), 0, None
+        part, file, encoder = TaskContext.get().partitionId(), 0, encoder_of(tokenizer_path)
         found: list[bytes] = []
         doc_ids: list[int | None] = []
         lengths: list[int] = []
@@ -249,7 +306,6 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int =
 
         schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
         for batch in slices(batches):
-            encoder = encoder or Encoder(tokenizer_path)
             for doc_id, text in zip(longs(batch).to_pylist(), column_text(batch), strict=True):
                 ids = encoder.encode(text)
                 n = len(ids) // encoder.dtype.itemsize

@@ -46,7 +46,7 @@ def test_many_blocks():
         shard.select(1, len(ids))
 
 
-pieces = st.sampled_from([" ", "  ", "\n", "\n ", " \n", "\t", "a", "the", "'s", "don't", " ", " ", "\x1c", "é", "漢字", "<|endoftext|>", "1234", "!", "...", "😀", "\x85", "᠎", "​"])
+pieces = st.sampled_from([" ", "  ", "\n", "\n ", " \n", "\t", "a", "the", "'s", "don't", " ", " ", "\x1c", "é", "漢字", "<|endoftext|>", "1234", "!", "'t", "_", "ÿ", "ª", "×", "ǅ", "ə", "́", "...", "😀", "\x85", "᠎", "​"])
 
 
 @settings(max_examples=500, deadline=None)
