@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import column_bytes, id_and_text, longs, slices
 
-MOST_LABELLED = 16_000
+MOST_LABELLED = 8_000
 MOST_TERMS = 4_000
 THRESHOLD = 0.3
 
@@ -185,19 +185,31 @@ def _level(log_odds: float) -> int:
 
 def learn(rows: list[tuple[bytes, int]]) -> Model:
     """From (text, label) rows."""
-    seen: set[tuple[int, int]] = set()
-    distinct = []
-    for text, label in rows:
-        words = text.lower().split()
-        sign = [(k, s) for k, s in enumerate(_signature(words))] if words else []
-        if words and not any(s in seen for s in sign):
-            seen.update(sign)
-            distinct.append(({_CORE.sub("", w.decode("utf-8", "replace").lower()) for w in words} - {""}, label))
-    n = [sum(1 for _, y in distinct if y == label) for label in (0, 1)]
-    words_of, begins_of = (Counter(), Counter()), (Counter(), Counter())
-    for words, label in distinct:
-        words_of[label].update(words)
-        begins_of[label].update({w[:k] for w in words if len(w) > 4 for k in range(4, min(len(w), 9))})
+    seen: set[tuple[int, int, int]] = set()
+    n, words_of, begins_of = [0, 0], (Counter(), Counter()), (Counter(), Counter())
+    largest: Counter = Counter()
+    likely: set[str] = set()
+    # toxic texts first: the others need only be counted for what several toxic ones have
+    for label in (1, 0):
+        for text, y in rows:
+            words = text.lower().split() if y == label else []
+            sign = {(label, k, s) for k, s in enumerate(_signature(words))} if words else set()
+            if not words or sign & seen:
+                continue
+            seen |= sign
+            n[label] += 1
+            cores = {_CORE.sub("", w.decode("utf-8", "replace").lower()) for w in words} - {""}
+            begins = {w[:k] for w in cores if len(w) > 4 for k in range(4, min(len(w), 9))}
+            words_of[label].update(cores if label else cores & likely)
+            begins_of[label].update(begins if label else begins & likely)
+        if label:
+            for w, c in words_of[1].items():
+                for k in range(4, min(len(w), 9)):
+                    largest[w[:k]] = max(largest[w[:k]], c)
+            for count in (words_of[1], begins_of[1]):
+                for w in [w for w, c in count.items() if c < 5]:
+                    del count[w]
+                likely.update(count)
 
     def odds(count: tuple[Counter, Counter], term: str) -> float:
         return float(np.log((count[1][term] + 0.5) / (n[1] + 1)) - np.log((count[0][term] + 0.5) / (n[0] + 1)))
@@ -208,10 +220,6 @@ def learn(rows: list[tuple[bytes, int]]) -> Model:
 
     words, begins = (telling(words_of), telling(begins_of)) if all(n) else ({}, {})
     # a beginning must hold more than one word's texts
-    largest = Counter()
-    for w in words_of[1]:
-        for k in range(4, min(len(w), 9)):
-            largest[w[:k]] = max(largest[w[:k]], words_of[1][w])
     begins = {b: o for b, o in begins.items() if begins_of[1][b] >= 1.5 * largest[b]}
     top = lambda terms, count: {t: _level(terms[t]) for t in sorted(terms, key=lambda t: (-terms[t] * count[1][t], t))[: MOST_TERMS // 2]}
     model = Model(top(words, words_of), top(begins, begins_of), PRIOR)
@@ -245,7 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     # at most `most_labelled` rows of 12 bytes are broadcast
     rows = id_and_text(docs).where("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most_labelled)
-    return learn([(r.text.encode("utf-8", "replace"), r.toxic) for r in rows.select("text", "toxic").collect()])
+    found = rows.select("text", "toxic").toArrow()
+    return learn(list(zip(found["text"].cast(pa.large_binary()).to_pylist(), found["toxic"].to_pylist(), strict=True)))
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
