@@ -70,6 +70,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Kept(dict):
+    """A bounded table in two generations: when the young one is full it becomes the old one, whose entries come back when used."""
+
+    def __init__(self, make, most: int, longest: int):
+        super().__init__()
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI inside spark.checkpoint.dir, which driver and executors share.
 

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.common import column_text, id_and_text, longs, slices
+from quire.llm.common import Kept, column_text, id_and_text, longs, slices
 
 SPACE = "▁"
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -78,8 +78,8 @@ class Transducers:
                 node = to
         self.names = {i: p for p, i in self.ids.items()}
         self.order: dict[tuple[int, int], bool] = {}
-        self.paths: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
+        self.paths = Kept(lambda x: np.array(self.shortest(x), self.dtype).tobytes(), KEPT, SHORT)
+        self.stretches = Kept(self.stretch, KEPT, SHORT)
 
     def merged(self, text: str) -> list[str]:
         """The characters of a short text after all merges, greatest score first, the left one of equals."""
@@ -108,24 +108,33 @@ class Transducers:
 
     def shortest(self, text: str) -> list[int]:
         """Ids on the shortest path of the composition with a normalised text. A state is (characters read, last piece, -1 for none)."""
-        reached: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(len(text) + 1)]  # last -> (weight, characters before, last before)
+        n = len(text)
+        reached: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(n + 1)]  # last -> (weight, characters before, last before)
         reached[0][-1] = (0, 0, -1)
-        for at in range(len(text)):
-            if not reached[at]:
+        trie, order = self.trie, self.order
+        for at in range(n):
+            here = reached[at]
+            if not here:
                 continue
-            node, end, arcs = 0, at, []
-            while end < len(text) and (arc := self.trie[node].get(text[end])):
+            node, end, found = 0, at, False
+            while end < n and (arc := trie[node].get(text[end])):
                 node, out = arc
                 end += 1
-                if out is not None:
-                    arcs.append((end, out))
-            if not arcs and text[at] not in self.ids:
-                arcs = [(at + 1, -1)]  # byte fallback; the acceptor starts anew behind it
-            for last, (weight, _, _) in reached[at].items():
-                for end, out in arcs:
-                    if (last < 0 or out < 0 or self.follows(last, out)) and weight + 1 < reached[end].get(out, (1 << 60,))[0]:
-                        reached[end][out] = (weight + 1, at, last)
-        at, path = len(text), []
+                if out is None:
+                    continue
+                found = True
+                there = reached[end]
+                for last, (weight, _, _) in here.items():
+                    if last >= 0:
+                        fits = order.get((last, out))
+                        if not (self.follows(last, out) if fits is None else fits):
+                            continue
+                    if out not in there or weight + 1 < there[out][0]:
+                        there[out] = (weight + 1, at, last)
+            if not found and text[at] not in self.ids:  # byte fallback; the acceptor starts anew behind it
+                last, (weight, _, _) = min(here.items(), key=lambda x: x[1][0])
+                reached[at + 1][-1] = (weight + 1, at, last)
+        at, path = n, []
         last = min(reached[at], key=lambda x: reached[at][x][0])
         while at:
             _, before, last_before = reached[at][last]
@@ -135,32 +144,14 @@ class Transducers:
 
     def stretch(self, text: str) -> bytes:
         """Ids of a normalised stretch, cut once more where no piece has the two characters side by side."""
-        out, start = [], 0
-        for end in range(1, len(text) + 1):
-            if end == len(text) or text[end - 1 : end + 1] not in self.beside:
-                part = text[start:end]
-                ids = self.paths.get(part)
-                if ids is None:
-                    ids = np.array(self.shortest(part), self.dtype).tobytes()
-                    if len(part) <= SHORT:
-                        if len(self.paths) >= KEPT:
-                            self.paths.clear()
-                        self.paths[part] = ids
-                out.append(ids)
-                start = end
-        ids = b"".join(out)
-        if len(text) <= SHORT:
-            if len(self.stretches) >= KEPT:
-                self.stretches.clear()
-            self.stretches[text] = ids
-        return ids
+        cuts = [k for k, (a, b) in enumerate(zip(text, text[1:], strict=False), 1) if a + b not in self.beside]
+        return b"".join([self.paths[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
 
     def encode(self, text: str) -> bytes:
         """The ids, as bytes of self.dtype."""
         if not text:
             return b""
-        known, new = self.stretches.get, self.stretch
-        return b"".join([known(x) or new(x) for x in _STRETCH.findall((SPACE + text).replace(" ", SPACE))])
+        return b"".join(map(self.stretches.__getitem__, _STRETCH.findall((SPACE + text).replace(" ", SPACE))))
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.surface.__getitem__, ids.tolist()))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_text, id_and_text, longs, shared_dir, slices
+from quire.llm.common import Kept, column_text, id_and_text, longs, shared_dir, slices
 from quire.llm.files import read_file, write_file
 
 MAGIC = b"QWAVE01\n"
@@ -190,25 +190,6 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class Kept(dict):
-    """A bounded table in two generations: when the young one is full it becomes the old one, whose entries come back when used."""
-
-    def __init__(self, make, most: int, longest: int):
-        super().__init__()
-        self.make, self.most, self.longest, self.old = make, most, longest, {}
-
-    def __missing__(self, key: str) -> bytes:
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = out
-        return out
-
-
 class Encoder:
     """Ids of texts by the tokenizers library, for a byte-level vocabulary; ids of short pieces are kept.
 
