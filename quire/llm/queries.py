@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, pieces, pii, quality_rules, simhash, toxicity, wavelet
+from quire.llm import chat, decontaminate, pieces, pii, quality, quality_rules, simhash, toxicity, wavelet
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +45,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_quality_rules, op3_wavelet_files, op4_decontaminate, op6_simhash, op7_toxicity, op8_pii, op10_pieces)}
+    return {f.__name__: f for f in (op1_chat, op2_quality_rules, op3_wavelet_files, op4_decontaminate, op6_simhash, op7_toxicity, op8_pii, op9_quality, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

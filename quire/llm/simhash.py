@@ -310,3 +310,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id: one row per row of `docs`."""
     fps = written(fingerprint_rows(docs), "fingerprints")
     return link(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that have the least doc_id of their component.
+
+    A doc_id names one document: rows that repeat one are copies of it, and one of them stays. Rows without a doc_id can't be named and stay.
+    """
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
