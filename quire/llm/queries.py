@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, pieces, pii, quality, quality_rules, simhash, toxicity, wavelet
+from quire.llm import chat, decontaminate, lm, pieces, pii, quality, quality_rules, simhash, toxicity, wavelet
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> D
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_quality_rules, op3_wavelet_files, op4_decontaminate, op6_simhash, op7_toxicity, op8_pii, op9_quality, op10_pieces)}
+    return {f.__name__: f for f in (op1_chat, op2_quality_rules, op3_wavelet_files, op4_decontaminate, op5_lm, op6_simhash, op7_toxicity, op8_pii, op9_quality, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
