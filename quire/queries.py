@@ -1,17 +1,587 @@
-"""Every query of the core library by name, with the SQL that states the same result."""
+"""Every query of the core library by name, with the SQL that states the same result.
+
+The SQL is written from the meaning of each operator, not from the plan: nesting walks row by row, runs join neighbours, and so on.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import classify, text
+from quire.operators import batch, blocks, completion, render, segment, tables, validate
+from quire.plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---------------------------------------------------------------- inputs
+
+
+def _paras(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.paragraphs(views.view(spark, d, views.PARA, "events"))
+
+
+def _segmented(spark: SparkSession, d: str) -> DataFrame:
+    return segment.segments(_paras(spark, d))
+
+
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    return segment.procedure(_segmented(spark, d))
+
+
+def _table_rows(spark: SparkSession, d: str) -> DataFrame:
+    t = views.view(spark, d, views.TABLES, "part")
+    return t.select("doc_id", "table_ord", "row_ord", F.slice(F.array("c1", "c2", "c3"), F.lit(1), F.col("n_cols").cast("int")).alias("cells"))
+
+
+def _headings(spark: SparkSession, d: str) -> DataFrame:
+    return views.view(spark, d, views.HEADINGS, "part")
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return views.view(spark, d, views.FILES, "part")
+
+
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    return validate.post_process(views.view(spark, d, views.PAYLOADS, "orders"))
+
+
+def _attempts(spark: SparkSession, d: str) -> DataFrame:
+    return completion.read_attempts(views.view(spark, d, views.RESPONSES, "supplier"))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+_UNITS = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+  '\b[Ss]ec(tion|\.)\s*(\d+(\.\d+)*)\b', 'Section \2', 'g'), '(\d)\s*\*g\*', '\1 × g', 'g'), '(\d)\s*_g_', '\1 × g', 'g'), '(\d)\s*[xX]\s*g\b', '\1 × g', 'g'),
+  '(\d)\s*[oO]\s*([CF])\b', '\1°\2', 'g'), '(\d+(\.\d+)?)\s*°\s*([CF])\b', '\1 °\3', 'g')"""
+_PLAIN = r"regexp_replace(regexp_replace(raw_text, '\*\*(.+?)\*\*', '\1', 'g'), '_(.+?)_', '\1', 'g')"
+_CALLOUT = rf"""CASE WHEN regexp_matches({_PLAIN}, '^(important|warning|caution)\s*[:\-–—]', 'i') THEN 'caution'
+  WHEN regexp_matches({_PLAIN}, '^(critical|crucial)\s*[:\-–—]', 'i') THEN 'critical'
+  WHEN regexp_matches({_PLAIN}, '^tip\s*[:\-–—]', 'i') THEN 'tip' WHEN regexp_matches({_PLAIN}, '^note\s*[:\-–—]', 'i') THEN 'note'
+  WHEN regexp_matches({_PLAIN}, '\b(critical|critical step|protocol will fail|crucial)\b', 'i') THEN 'critical'
+  WHEN regexp_matches({_PLAIN}, '\b(important|warning|caution|hazard|toxic|corrosive|flammable|carcinogen|biohazard|radiation|rnase|dnase|keep on ice|avoid freeze|sensitive to)\b', 'i') THEN 'caution'
+  WHEN regexp_matches({_PLAIN}, '\b(shortcut|to improve|for best results|works well)\b', 'i') THEN 'tip'
+  WHEN regexp_matches({_PLAIN}, '\b(see section|refer to|for more information|species-specific|see also|cross-reference)\b', 'i') THEN 'note' END"""
+_STOP = rf"regexp_matches({_PLAIN}, '\b(pause point|safe stopping point|can be stored|may be stored|can be left|store at this stage|can stop here|overnight at)\b', 'i')"
+_WITH = rf"""WITH RECURSIVE para AS ({views.PARA}), p AS (
+ SELECT doc_id, pos, style_name, list_level, style_name = 'List Number' AS is_list, trim(regexp_replace(text, ' {{2,}}', ' ', 'g')) AS raw_text, {_UNITS} AS text,
+  text AS marked FROM para), lev AS (
+ SELECT *, CASE style_name WHEN 'Heading 1' THEN 1 WHEN 'Heading 2' THEN 2 WHEN 'Heading 3' THEN 3 ELSE
+   CASE WHEN lower(raw_text) IN ('overview', 'materials', 'procedure', 'notes & variants', 'notes and variants', 'references', 'prerequisites') THEN 1
+    WHEN raw_text = upper(raw_text) AND raw_text <> lower(raw_text) AND len(string_split(raw_text, ' ')) <= 8 THEN 2 ELSE 0 END END AS heading_level,
+  CASE WHEN {_CALLOUT} IS NOT NULL THEN 'callout_' || {_CALLOUT} WHEN {_STOP} THEN 'stopping_point' WHEN is_list THEN 'step' ELSE 'prose' END AS class
+ FROM p), marks AS (
+ SELECT doc_id, pos AS from_pos, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), 9223372036854775807) AS to_pos,
+  CASE lower(raw_text) WHEN 'notes and variants' THEN 'notes' ELSE lower(raw_text) END AS role
+ FROM lev WHERE heading_level = 1 AND lower(raw_text) IN ('overview', 'materials', 'procedure', 'notes and variants', 'references')), seg AS (
+ SELECT l.*, coalesce(m.role, 'pre_overview') AS segment FROM lev l LEFT JOIN marks m ON l.doc_id = m.doc_id AND l.pos > m.from_pos AND l.pos < m.to_pos WHERE l.heading_level <> 1)"""
+_PROC = _WITH + """, proc AS (
+ SELECT s.*, (SELECT count(*) FROM seg h WHERE h.segment = 'procedure' AND h.heading_level = 2 AND h.doc_id = s.doc_id AND h.pos <= s.pos) AS section_no,
+  coalesce((SELECT max_by(h.raw_text, h.pos) FROM seg h WHERE h.segment = 'procedure' AND h.heading_level = 2 AND h.doc_id = s.doc_id AND h.pos <= s.pos), 'Procedure') AS heading
+ FROM seg s WHERE s.segment = 'procedure' AND s.heading_level = 0), edge AS (
+ SELECT doc_id, section_no, min(pos) FILTER (WHERE class = 'prose') AS first_prose, min(pos) FILTER (WHERE class IN ('step', 'stopping_point')) AS first_step FROM proc GROUP BY ALL), kinds AS (
+ SELECT p.*, CASE WHEN class LIKE 'callout_%' THEN 'callout' WHEN class = 'prose' THEN CASE WHEN pos = first_prose AND pos < coalesce(first_step, 9223372036854775807) THEN 'preamble' ELSE 'step' END ELSE class END AS kind
+ FROM proc p JOIN edge USING (doc_id, section_no)), sections AS (
+ SELECT * FROM kinds WHERE (doc_id, section_no) IN (SELECT (doc_id, section_no) FROM kinds WHERE kind <> 'preamble'))"""
+_TREE = _PROC + """, steps AS (
+ SELECT *, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY pos) - 1 AS seq FROM sections WHERE kind IN ('step', 'stopping_point')), walk AS (
+ SELECT doc_id, section_no, seq, pos, kind, text, 0 AS depth, [seq] AS spine, kind AS root FROM steps WHERE seq = 0
+ UNION ALL
+ SELECT s.doc_id, s.section_no, s.seq, s.pos, s.kind, s.text, d.depth, list_append(list_slice(w.spine, 1, d.depth), s.seq), CASE WHEN d.depth = 0 THEN s.kind ELSE w.root END
+ FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.section_no = w.section_no AND s.seq = w.seq + 1,
+ LATERAL (SELECT CAST(CASE WHEN s.class <> 'step' OR s.list_level <= 1 THEN 0 ELSE least(s.list_level - 1, len(w.spine)) END AS INT) AS depth) d), tree AS (
+ SELECT *, CASE WHEN depth > 0 THEN spine[depth] END AS parent_seq, NOT (depth > 0 AND root = 'stopping_point') AS rendered FROM walk)"""
+
+# ---------------------------------------------------------------- flagship
+
+
+@query(_WITH + " SELECT segment, class, count(*) AS n FROM seg GROUP BY ALL")
+def segment_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _segmented(spark, d).groupBy("segment", "class").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- text functions
+
+
+@query(_WITH + " SELECT pos, raw_text, length(raw_text) AS n_chars FROM p")
+def normalize_whitespace(spark: SparkSession, d: str) -> DataFrame:
+    return _paras(spark, d).select("pos", "raw_text", F.length("raw_text").cast("long").alias("n_chars"))
+
+
+@query(_WITH + rf" SELECT pos, {_PLAIN} AS plain, trim(regexp_replace({_PLAIN}, '[:;.,]+$', '')) AS title FROM p")
+def strip_markers(spark: SparkSession, d: str) -> DataFrame:
+    return _paras(spark, d).select("pos", text.strip_markers(F.col("raw_text")).alias("plain"), text.clean_title(F.col("raw_text")).alias("title"))
+
+
+@query(
+    _WITH
+    + r""", t AS (SELECT pos, unnest(regexp_extract_all(marked, '_\*\*.+?\*\*_|\*\*.+?\*\*|_.+?_|[^*_]+|[*_]')) AS t, generate_subscripts(regexp_extract_all(marked, '_\*\*.+?\*\*_|\*\*.+?\*\*|_.+?_|[^*_]+|[*_]'), 1) - 1 AS token_no FROM p)
+ SELECT pos, token_no, CASE WHEN t LIKE '**%' AND length(t) > 4 THEN t[3:-3] WHEN t[1] = '_' AND length(t) > 2 THEN t[2:-2] ELSE t END AS text, t LIKE '**%' AND length(t) > 4 AS bold, t[1] = '_' AND length(t) > 2 AS italic FROM t"""
+)
+def inline_tokens(spark: SparkSession, d: str) -> DataFrame:
+    para = views.view(spark, d, views.PARA, "events")
+    return para.select("pos", F.posexplode(text.inline_tokens(F.col("text"))).alias("token_no", "t")).select("pos", F.col("token_no").cast("long").alias("token_no"), "t.text", "t.bold", "t.italic")
+
+
+@query(_WITH + " SELECT pos, text, text <> marked AS changed FROM p")
+def normalize_units(spark: SparkSession, d: str) -> DataFrame:
+    para = views.view(spark, d, views.PARA, "events")
+    out = text.normalize_units(F.col("text"))
+    return para.select("pos", out.alias("text"), (out != F.col("text")).alias("changed"))
+
+
+@query(_WITH + r" SELECT pos, regexp_replace(marked, '\b[Ss]ec(tion|\.)\s*(\d+(\.\d+)*)\b', 'Section \2', 'g') AS text FROM p WHERE regexp_matches(marked, '\b[Ss]ec(tion|\.)\s*\d')")
+def normalize_xrefs(spark: SparkSession, d: str) -> DataFrame:
+    para = views.view(spark, d, views.PARA, "events")
+    return para.where(F.rlike("text", F.lit(r"\b[Ss]ec(?:tion|\.)\s*\d"))).select("pos", text.normalize_cross_references(F.col("text")).alias("text"))
+
+
+@query(
+    _WITH
+    + r""" SELECT pos, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(raw_text, '\[(\d+)\]', 1), lambda x: CAST(x AS BIGINT)))), ',') AS refs,
+ trim(regexp_replace(regexp_replace(raw_text, '\[\d+\]', '', 'g'), ' {2,}', ' ', 'g')) AS cleaned FROM p WHERE raw_text LIKE '%[%'"""
+)
+def footnote_refs(spark: SparkSession, d: str) -> DataFrame:
+    p = _paras(spark, d).where(F.contains("raw_text", F.lit("[")))
+    return p.select("pos", F.array_join(text.footnote_refs(F.col("raw_text")).cast("array<string>"), ",").alias("refs"), text.without_footnote_refs(F.col("raw_text")).alias("cleaned"))
+
+
+_DATE = r"""CASE WHEN regexp_matches({c}, '(\d{{1,2}})[/\-](\d{{1,2}})[/\-](\d{{4}})') THEN
+  lpad(regexp_extract({c}, '(\d{{1,2}})[/\-](\d{{1,2}})[/\-](\d{{4}})', 1), 2, '0') || '/' || lpad(regexp_extract({c}, '(\d{{1,2}})[/\-](\d{{1,2}})[/\-](\d{{4}})', 2), 2, '0') || '/' || regexp_extract({c}, '(\d{{1,2}})[/\-](\d{{1,2}})[/\-](\d{{4}})', 3)
+ WHEN {c} = 'March 2024' THEN '01/03/2024' WHEN {c} = '15 Jan 2023' THEN '15/01/2023' END"""
+
+
+@query(_WITH + " SELECT pos, " + _DATE.format(c="raw_text") + " AS date FROM p WHERE " + _DATE.format(c="raw_text") + " IS NOT NULL")
+def normalize_dates(spark: SparkSession, d: str) -> DataFrame:
+    return _paras(spark, d).select("pos", text.normalize_date(F.col("raw_text")).alias("date")).where("date is not null")
+
+
+@query(
+    _WITH
+    + r""" SELECT pos, callout, trim(regexp_replace(raw_text, '^(important|warning|caution|note|tip|critical|crucial)\s*[:\-–—]\s*', '', 'i')) AS body FROM (SELECT *, """
+    + _CALLOUT
+    + " AS callout FROM p) WHERE callout IS NOT NULL"
+)
+def callout_classify(spark: SparkSession, d: str) -> DataFrame:
+    p = _paras(spark, d).withColumn("callout", classify.callout_type(F.col("raw_text"))).where("callout is not null")
+    return p.select("pos", "callout", text.strip_callout_prefix(F.col("raw_text")).alias("body"))
+
+
+@query(_WITH + f" SELECT doc_id, count(*) AS n FROM p WHERE {_STOP} GROUP BY doc_id")
+def stopping_points(spark: SparkSession, d: str) -> DataFrame:
+    return _paras(spark, d).where(classify.is_stopping_point(F.col("raw_text"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""WITH lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+ SELECT doc_id, count(*) FILTER (WHERE line = upper(line) AND line <> lower(line) AND len(string_split_regex(line, '\s+')) <= 8) AS n_headings, count(*) AS n_lines FROM lines WHERE line <> '' AND NOT contains(line, 'ß') GROUP BY doc_id"""
+)
+def heading_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of `documents` that look like headings. Lines with a sharp s are left out: engines differ in its capital."""
+    lines = _documents(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> '' and not contains(line, 'ß')")
+    return lines.groupBy("doc_id").agg(F.count_if(classify.heading_level(F.col("line"), F.lit("")) == 2).alias("n_headings"), F.count("*").alias("n_lines"))
+
+
+@query(
+    _WITH
+    + r""", g AS (SELECT CAST(floor(pos / 8) AS BIGINT) AS part, string_agg(text, chr(10) ORDER BY pos) AS t FROM p GROUP BY 1)
+ SELECT part, CASE WHEN len(regexp_extract_all(t, '(?i)\b(bash|python|git|conda|pip|docker|node|npm|script|command|terminal|shell|cli|api|server|database|bioinformatics|pipeline|workflow|jupyter|notebook|environment|package|install|deploy)\b')) >= 3 THEN 'computational' ELSE 'wet_lab' END AS section_type FROM g"""
+)
+def section_type(spark: SparkSession, d: str) -> DataFrame:
+    p = _paras(spark, d).withColumn("part", F.floor(F.col("pos") / 8))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    return p.groupBy("part").agg(joined.alias("t")).select("part", classify.section_type(F.col("t")).alias("section_type"))
+
+
+@query(_WITH + r", l AS (SELECT doc_id, pos, CASE WHEN heading_level > 0 THEN repeat('#', heading_level) || ' ' WHEN is_list THEN repeat('  ', list_level - 1) || list_level || '. ' ELSE '' END || text AS line FROM lev) SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY pos)) AS text_sha256, sum(length(line)) AS n_chars FROM l GROUP BY doc_id")
+def full_text(spark: SparkSession, d: str) -> DataFrame:
+    out = blocks.full_text(_paras(spark, d))
+    lines = F.size(F.split("full_text", "\n"))
+    return out.select("doc_id", F.sha2("full_text", 256).alias("text_sha256"), (F.length("full_text") - lines + 1).cast("long").alias("n_chars"))
+
+
+_CASED = """array_to_string(list_transform(string_split({c}, ' '), lambda w, i: CASE WHEN upper(w) IN ('RNA', 'DNA', 'PCR', 'IF') THEN upper(w)
+ WHEN i > 1 AND i < len(string_split({c}, ' ')) AND lower(w) IN ('a', 'an', 'the', 'and', 'but', 'or', 'for', 'nor', 'on', 'at', 'to', 'by', 'in', 'of', 'up', 'as', 'is') THEN lower(w)
+ ELSE upper(w[1]) || lower(w[2:]) END), '{s}')"""
+_TITLE = "concat(lower(p_name), CASE p_partkey % 4 WHEN 0 THEN ' of rna' WHEN 1 THEN ' for the pcr' WHEN 2 THEN ' in a tube and more words that make it longer than sixty' ELSE '' END)"
+
+
+@query(f"SELECT p_partkey, {_CASED.format(c='t', s=' ')} AS title FROM (SELECT p_partkey, {_TITLE} AS t FROM part)")
+def title_case(spark: SparkSession, d: str) -> DataFrame:
+    return views.view(spark, d, f"SELECT p_partkey, {_TITLE} AS t FROM part", "part").select("p_partkey", text.title_case(F.col("t")).alias("title"))
+
+
+_SLUG = "array_to_string(list_transform(string_split(t, ' '), lambda w: CASE WHEN upper(w) IN ('RNA', 'PCR', 'IF') THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), '-')"
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey, {_SLUG} AS s FROM (SELECT p_partkey, {_TITLE} AS t FROM part)),
+ c AS (SELECT *, s[1:60] AS head, 60 - strpos(reverse(s[1:60]), '-') AS last FROM s)
+ SELECT p_partkey, slug, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(p_partkey % 9 AS VARCHAR) || '-' END || slug || '_v1_' || (p_partkey % 4) || '.docx' AS output_name
+ FROM (SELECT p_partkey, CASE WHEN length(s) <= 60 THEN s WHEN contains(head, '-') AND last > 20 THEN head[1:last] ELSE head END AS slug FROM c)"""
+)
+def output_filename(spark: SparkSession, d: str) -> DataFrame:
+    t = views.view(spark, d, f"SELECT p_partkey, {_TITLE} AS t FROM part", "part")
+    section = F.when(F.col("p_partkey") % 3 != 0, (F.col("p_partkey") % 9).cast("string"))
+    version = F.concat(F.lit("1."), (F.col("p_partkey") % 4).cast("string"))
+    return t.select("p_partkey", text.title_slug(F.col("t")).alias("slug"), text.output_filename(section, F.col("t"), version).alias("output_name"))
+
+
+@query(
+    r"""SELECT c_custkey, CASE WHEN t IS NULL OR trim(t) = '' OR lower(t) IN ('user', 'admin') THEN 'Unattributed' WHEN regexp_matches(t, 'customer#0*7\b', 'i') THEN 'Seven' ELSE trim(t) END AS author
+ FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'User' WHEN 3 THEN concat(' ', c_name) ELSE c_name END AS t FROM customer)"""
+)
+def author_attribution(spark: SparkSession, d: str) -> DataFrame:
+    c = views.view(spark, d, "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'User' WHEN 3 THEN concat(' ', c_name) ELSE c_name END AS t FROM customer", "customer")
+    return c.select("c_custkey", text.author(F.col("t"), {r"(?i)customer#0*7\b": "Seven"}).alias("author"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN length(p_name) > 15 THEN p_name || ' ' || p_name ELSE p_name END AS title,
+ CASE WHEN length(p_name || ' ' || p_name) > 40 AND length(p_name) > 15 THEN (p_name || ' ' || p_name)[1:37] || '…' WHEN length(p_name) > 15 THEN p_name || ' ' || p_name ELSE p_name END AS footer,
+ concat('SECTION ', p_size, ' — ', upper(p_brand), ' · Protocol Compendium') AS header,
+ p_brand || chr(160) || '·' || chr(160) || 'Version 1.' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE chr(160) || '·' || chr(160) || 'Last updated 01/02/2024' END AS byline FROM part"""
+)
+def page_furniture(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.read.parquet(f"{d}/part.parquet")
+    title = F.when(F.length("p_name") > 15, F.concat("p_name", F.lit(" "), "p_name")).otherwise(F.col("p_name"))
+    size = F.col("p_size").cast("string")
+    line = text.byline(F.col("p_brand"), F.concat(F.lit("1."), size), F.when(F.col("p_partkey") % 3 != 0, "01/02/2024"))
+    return p.select("p_partkey", title.alias("title"), text.footer_title(title).alias("footer"), text.header_line(size, F.col("p_brand")).alias("header"), line.alias("byline"))
+
+
+# ---------------------------------------------------------------- runs and tables
+
+
+@query(
+    f"""WITH r AS (SELECT * FROM ({views.RUNS}) WHERE text <> ''),
+ n AS (SELECT *, (SELECT count(*) FROM r b WHERE b.para_id = a.para_id AND b.run_pos <= a.run_pos AND
+   coalesce((SELECT max_by((c.bold, c.italic), c.run_pos) FROM r c WHERE c.para_id = b.para_id AND c.run_pos < b.run_pos) IS DISTINCT FROM (b.bold, b.italic), true)) AS island FROM r a),
+ m AS (SELECT para_id, island, any_value(bold) AS bold, any_value(italic) AS italic, string_agg(text, '' ORDER BY run_pos) AS t FROM n GROUP BY para_id, island),
+ k AS (SELECT *, CASE WHEN trim(t) = '' THEN '' WHEN bold AND italic THEN '_**' WHEN bold THEN '**' WHEN italic THEN '_' ELSE '' END AS a FROM m)
+ SELECT para_id, string_agg(CASE WHEN a = '' THEN t ELSE regexp_extract(t, '^ *') || a || trim(t) || reverse(a) || regexp_extract(t, ' *$') END, '' ORDER BY island) AS marked_text FROM k GROUP BY para_id"""
+)
+def run_merge(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.merge_runs(views.view(spark, d, views.RUNS, "events"))
+
+
+_TROWS = f"""WITH t AS ({views.TABLES}), h AS ({views.HEADINGS}), f AS (SELECT *, first_value(n_cols) OVER (PARTITION BY doc_id, table_ord ORDER BY row_ord) AS width FROM t),
+ n AS (SELECT f.*, (SELECT count(DISTINCT g.table_ord) FROM f g WHERE g.doc_id = f.doc_id AND g.table_ord < f.table_ord AND {{pick}}) AS table_no FROM f WHERE {{mine}})"""
+_CELL = "CASE WHEN trim({c}) = '' THEN '—' ELSE trim({c}) END"
+
+
+@query(
+    _TROWS.format(pick="g.width >= 2", mine="width >= 2")
+    + f""" SELECT n.doc_id, n.table_no, row_ord, coalesce(heading, 'Reagents') AS heading, {_CELL.format(c="c1")} AS cell1, {_CELL.format(c="c2")} AS cell2, CASE WHEN n_cols < 3 THEN '—' ELSE {_CELL.format(c="c3")} END AS cell3
+ FROM n LEFT JOIN h ON h.doc_id = n.doc_id AND h.ord = n.table_no WHERE c1 <> 'Reagent'"""
+)
+def materials_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = tables.materials(_table_rows(spark, d), _headings(spark, d))
+    return out.select("doc_id", "table_no", "row_ord", "heading", *(F.get("cells", F.lit(i)).alias(f"cell{i + 1}") for i in range(3)))
+
+
+@query(
+    _TROWS.format(pick="g.width = 2", mine="width = 2 AND doc_id % 4 <> 1")
+    + f""" SELECT n.doc_id, n.table_no, row_ord, coalesce(heading, 'Reagent Mix') AS heading, {_CELL.format(c="c1")} AS cell1, {_CELL.format(c="c2")} AS cell2, c1 LIKE 'Total%' OR c1 LIKE 'incubate%' AS bold
+ FROM n LEFT JOIN h ON h.doc_id = n.doc_id AND h.ord = n.table_no WHERE c1 <> 'Reagent'"""
+)
+def mix_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table_rows(spark, d)
+    out = tables.mixes(rows, _headings(spark, d), rows.where("doc_id % 4 <> 1"))
+    return out.select("doc_id", "table_no", "row_ord", "heading", F.get("cells", F.lit(0)).alias("cell1"), F.get("cells", F.lit(1)).alias("cell2"), "bold")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, list_filter(list_transform(string_split(line, ' | '), lambda x: trim(x)), lambda x: x <> '') AS cells FROM l WHERE contains(line, ' | '))
+ SELECT doc_id, count(*) AS n_rows, sum(len(cells)) AS n_cells, max(len(cells)) AS widest FROM c WHERE len(cells) > 0 GROUP BY doc_id"""
+)
+def pipe_table_scan(spark: SparkSession, d: str) -> DataFrame:
+    lines = _documents(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.contains("line", F.lit(" | ")))
+    rows = blocks.table_rows(lines.select("doc_id", F.split("line", r" \| ").alias("cells"))).withColumn("n", F.size(F.filter("cells", lambda c: F.length(c) > 0)).cast("long"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_cells"), F.max("n").alias("widest"))
+
+
+
+@query(
+    """WITH nums AS (SELECT p_partkey AS doc_id, p_size AS num_id, p_size % 4 AS abstract_id FROM part), abs AS (SELECT p_partkey AS doc_id, 1 AS abstract_id, 0 AS ilvl, 'bullet' AS fmt FROM part UNION ALL SELECT p_partkey, 2, 1, 'decimal' FROM part UNION ALL SELECT p_partkey, 3, 0, NULL FROM part)
+ SELECT n.doc_id, n.num_id, coalesce(a.ilvl, 0) AS ilvl, coalesce(a.fmt <> 'bullet', true) AS numbered FROM nums n LEFT JOIN abs a ON a.doc_id = n.doc_id AND a.abstract_id = n.abstract_id"""
+)
+def numbered_lists(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("num_id"), (F.col("p_size") % 4).alias("abstract_id"))
+    a = p.select("doc_id", F.explode(F.expr("array(named_struct('a', 1, 'l', 0, 'f', 'bullet'), named_struct('a', 2, 'l', 1, 'f', 'decimal'), named_struct('a', 3, 'l', 0, 'f', cast(null as string)))")).alias("s"))
+    return blocks.numbered_lists(p, a.select("doc_id", F.col("s.a").alias("abstract_id"), F.col("s.l").alias("ilvl"), F.col("s.f").alias("fmt")))
+
+
+# ---------------------------------------------------------------- segments, sections, steps
+
+
+@query(_WITH + " SELECT doc_id, segment, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM seg GROUP BY ALL")
+def segment_roles(spark: SparkSession, d: str) -> DataFrame:
+    return _segmented(spark, d).groupBy("doc_id", "segment").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query(_PROC + " SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, any_value(heading) AS heading, count(*) FILTER (WHERE kind = 'step') AS n_steps, count(*) FILTER (WHERE kind = 'callout') AS n_callouts, max(text) FILTER (WHERE kind = 'preamble') AS preamble FROM sections GROUP BY ALL")
+def procedure_sections(spark: SparkSession, d: str) -> DataFrame:
+    s = _sections(spark, d)
+    return s.groupBy("doc_id", "section_no").agg(F.first("heading").alias("heading"), F.count_if(F.col("kind") == "step").alias("n_steps"), F.count_if(F.col("kind") == "callout").alias("n_callouts"), F.max(F.when(F.col("kind") == "preamble", F.col("text"))).alias("preamble"))
+
+
+@query(_TREE + " SELECT doc_id, pos, CAST(section_no AS BIGINT) AS section_no, CAST(seq AS BIGINT) AS seq, depth, CAST(parent_seq AS BIGINT) AS parent_seq, rendered FROM tree")
+def step_tree(spark: SparkSession, d: str) -> DataFrame:
+    out = segment.step_tree(_sections(spark, d))
+    return out.select("doc_id", "pos", "section_no", F.col("seq").cast("long").alias("seq"), "depth", F.col("parent_seq").cast("long").alias("parent_seq"), "rendered")
+
+
+@query(_TREE + " SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, CAST(seq AS BIGINT) AS seq, CASE depth WHEN 0 THEN 'decimal' WHEN 1 THEN 'lower_letter' WHEN 2 THEN 'lower_roman' ELSE 'bullet' END AS number_style, row_number() OVER (PARTITION BY doc_id, depth ORDER BY pos) AS ordinal FROM tree WHERE kind = 'step' AND rendered")
+def step_numbering(spark: SparkSession, d: str) -> DataFrame:
+    out = segment.step_numbers(segment.step_tree(_sections(spark, d)))
+    return out.select("doc_id", "section_no", F.col("seq").cast("long").alias("seq"), "number_style", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+_FOOT = "SELECT c_custkey AS doc_id, k.id, concat('Footnote ', k.id, ' of ', c_name) AS text FROM customer CROSS JOIN (SELECT 3 AS id UNION ALL SELECT 1 UNION ALL SELECT 0) k WHERE c_custkey % 2 = 0"
+
+
+@query(_WITH + f", f AS ({_FOOT}), a AS (SELECT doc_id, 0 AS part, pos AS place, text AS note FROM seg WHERE segment = 'notes' AND (is_list OR heading_level = 0) UNION ALL SELECT doc_id, 1, id, text FROM f WHERE id > 0) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, place) AS number, note FROM a")
+def notes_and_footnotes(spark: SparkSession, d: str) -> DataFrame:
+    out = segment.notes(_segmented(spark, d), views.view(spark, d, _FOOT, "customer"))
+    return out.select("doc_id", F.col("number").cast("long").alias("number"), "note")
+
+
+@query(_WITH + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number, text AS reference FROM seg WHERE segment = 'references' AND heading_level = 0")
+def references(spark: SparkSession, d: str) -> DataFrame:
+    out = segment.references(_segmented(spark, d))
+    return out.select("doc_id", F.col("number").cast("long").alias("number"), "reference")
+
+
+@query(
+    _WITH
+    + f""", said AS (SELECT * FROM seg WHERE segment IN ('overview', 'pre_overview')), pick AS (SELECT doc_id, CASE WHEN bool_or(segment = 'overview') THEN 'overview' ELSE 'pre_overview' END AS segment FROM said GROUP BY doc_id),
+ main AS (SELECT doc_id, trim(string_agg(text, chr(10) || chr(10) ORDER BY pos), ' ' || chr(10)) AS t FROM said JOIN pick USING (doc_id, segment) WHERE heading_level = 0 AND NOT is_list AND NOT {_STOP} AND length(raw_text) > 20 GROUP BY doc_id),
+ early AS (SELECT doc_id, min_by(text, pos) AS t FROM lev l WHERE heading_level = 0 AND NOT is_list AND NOT {_STOP} AND length(raw_text) > 40 AND pos < coalesce((SELECT min(pos) FROM lev i WHERE i.doc_id = l.doc_id AND i.is_list), 9223372036854775807) GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(CASE WHEN main.t <> '' THEN main.t END, early.t, '') AS overview FROM (SELECT DISTINCT doc_id FROM p) d LEFT JOIN main USING (doc_id) LEFT JOIN early USING (doc_id)"""
+)
+def overview_text(spark: SparkSession, d: str) -> DataFrame:
+    return segment.overview(_paras(spark, d), _segmented(spark, d))
+
+
+_PRE = """SELECT event_id AS pos, user_id AS doc_id, 0 AS heading_level, 'prerequisites' AS segment,
+ CASE event_id % 5 WHEN 0 THEN concat('Software: tool ', event_id % 7) WHEN 1 THEN concat('ACCESS : node ', event_id % 3) WHEN 2 THEN concat('Dependencies: lib', event_id % 4) WHEN 3 THEN 'depends gcc' ELSE 'other text' END AS raw_text FROM events"""
+
+
+@query(
+    rf"""WITH p AS ({_PRE}) SELECT doc_id, regexp_replace(max_by(raw_text, pos) FILTER (WHERE lower(raw_text) LIKE 'software%'), '^software[:\s]+', '', 'i') AS software,
+ regexp_replace(max_by(raw_text, pos) FILTER (WHERE lower(raw_text) LIKE 'access%'), '^access[:\s]+', '', 'i') AS access, regexp_replace(max_by(raw_text, pos) FILTER (WHERE lower(raw_text) LIKE 'depend%'), '^depend\w*[:\s]+', '', 'i') AS dependencies FROM p GROUP BY doc_id"""
+)
+def prerequisites(spark: SparkSession, d: str) -> DataFrame:
+    return segment.prerequisites(views.view(spark, d, _PRE, "events"))
+
+
+@query(_WITH + " SELECT doc_id, count(*) AS n_paragraphs, count(*) FILTER (WHERE heading_level > 0) AS n_headings, count(*) FILTER (WHERE is_list) AS n_items, count(*) FILTER (WHERE class LIKE 'callout%') AS n_callouts FROM lev GROUP BY doc_id")
+def document_counts(spark: SparkSession, d: str) -> DataFrame:
+    p = _paras(spark, d)
+    return p.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.count_if(F.col("heading_level") > 0).alias("n_headings"), F.count_if("is_list").alias("n_items"), F.count_if(classify.callout_type(F.col("raw_text")).isNotNull()).alias("n_callouts"))
+
+
+@query(_WITH + r", t AS (SELECT doc_id, min_by(raw_text, pos) AS t FROM lev WHERE heading_level = 1 GROUP BY doc_id) SELECT d.doc_id, coalesce(t.t, concat('Document ', d.doc_id)) AS title FROM (SELECT DISTINCT doc_id FROM p) d LEFT JOIN t USING (doc_id)")
+def titles(spark: SparkSession, d: str) -> DataFrame:
+    """The first first-level heading, cleaned, else the file name's stem in title case."""
+    p = _paras(spark, d)
+    out = p.groupBy("doc_id").agg(F.min_by("raw_text", F.when(F.col("heading_level") == 1, F.col("pos"))).alias("t"))
+    return out.select("doc_id", F.coalesce(F.when(F.col("t").isNotNull(), text.clean_title(F.col("t"))), text.stem_title(F.concat(F.lit("/in/document_"), F.col("doc_id").cast("string"), F.lit(".docx")))).alias("title"))
+
+
+_REGISTRY = {str(i): f"Part {i}" for i in range(1, 10)}
+
+
+@query("SELECT payload_id, CASE WHEN n_sections BETWEEN 1 AND 5 THEN CAST(n_sections AS VARCHAR) WHEN has_prereq THEN '9' ELSE '' END AS section_number, CASE WHEN n_sections BETWEEN 1 AND 5 THEN concat('Part ', n_sections) WHEN has_prereq THEN 'Part 9' ELSE '' END AS section_name FROM (" + views.PAYLOADS + ")")
+def section_names(spark: SparkSession, d: str) -> DataFrame:
+    """The hinted section if the registry has it, else the computational default, else none."""
+    p = views.view(spark, d, views.PAYLOADS, "orders")
+    names = F.create_map(*(F.lit(x) for kv in _REGISTRY.items() for x in kv))
+    hint = F.when(F.col("n_sections") <= 5, F.col("n_sections").cast("string"))
+    number = F.when(F.element_at(names, hint).isNotNull(), hint).when(F.col("has_prereq"), "9").otherwise("")
+    return p.select("payload_id", number.alias("section_number"), F.coalesce(F.element_at(names, number), F.lit("")).alias("section_name"))
+
+
+# ---------------------------------------------------------------- rendering
+
+
+def _callouts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sections, tree, callouts): every third callout stays at the section's top, the others follow the step before them."""
+    from pyspark.sql import Window
+
+    sections = _sections(spark, d)
+    tree = segment.step_tree(sections)
+    w = Window.partitionBy("doc_id", "section_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    top = tree.where("depth = 0").select("doc_id", "section_no", "pos", F.lit(1).alias("is_top"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("text"))
+    calls = sections.where("kind = 'callout'").select("doc_id", "section_no", "pos", F.lit(0).alias("is_top"), "class", "text")
+    both = top.unionByName(calls).withColumn("before", F.sum("is_top").over(w))
+    after = F.when((F.col("pos") % 3 != 0) & (F.col("before") > 0), F.col("before") - 1)
+    callouts = both.where("is_top = 0").select("doc_id", "section_no", F.col("pos").alias("ord"), F.substring("class", 9, 20).alias("callout_type"), text.strip_callout_prefix(F.col("text")).alias("text"), after.alias("after_step"))
+    return sections, tree, callouts
+
+
+_PLACED = _TREE + r""", tops AS (SELECT doc_id, section_no, pos, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY pos) - 1 AS nth FROM tree WHERE depth = 0), calls AS (
+ SELECT doc_id, section_no, pos AS ord, class[9:] AS callout_type, trim(regexp_replace(text, '^(important|warning|caution|note|tip|critical|crucial)\s*[:\-–—]\s*', '', 'i')) AS text,
+  CASE WHEN pos % 3 <> 0 THEN (SELECT max(t.pos) FROM tops t WHERE t.doc_id = s.doc_id AND t.section_no = s.section_no AND t.pos < s.pos) END AS step_pos FROM sections s WHERE kind = 'callout')"""
+
+
+@query(_PLACED + " SELECT c.doc_id, CAST(c.section_no AS BIGINT) AS section_no, c.ord, c.callout_type, CAST(t.nth AS BIGINT) AS after_step, c.step_pos FROM calls c LEFT JOIN tops t ON t.doc_id = c.doc_id AND t.section_no = c.section_no AND t.pos = c.step_pos")
+def callout_placement(spark: SparkSession, d: str) -> DataFrame:
+    _, tree, callouts = _callouts(spark, d)
+    return render.place_callouts(tree, callouts).select("doc_id", "section_no", "ord", "callout_type", F.col("after_step").cast("long").alias("after_step"), "step_pos")
+
+
+@query(
+    _PLACED
+    + """, heads AS (SELECT doc_id, section_no, any_value(heading) AS heading, max(text) FILTER (WHERE kind = 'preamble') AS preamble FROM sections GROUP BY ALL), roots AS (
+ SELECT t.*, (SELECT max(r.pos) FROM tops r WHERE r.doc_id = t.doc_id AND r.section_no = t.section_no AND r.pos <= t.pos) AS root_pos FROM tree t), rows AS (
+ SELECT DISTINCT doc_id, -1 AS s, 0 AS a, 0 AS b, 0 AS c, 'heading1' AS kind, 'Procedure' AS body FROM heads UNION ALL SELECT DISTINCT doc_id, -1, 0, 0, 1, 'spacer', '' FROM heads
+ UNION ALL SELECT doc_id, section_no, -3, 0, 0, 'heading2', heading FROM heads UNION ALL SELECT doc_id, section_no, -2, 0, 0, 'paragraph', preamble FROM heads WHERE preamble IS NOT NULL
+ UNION ALL SELECT doc_id, section_no, coalesce(step_pos, -1), CASE WHEN step_pos IS NULL THEN 0 ELSE 1 END, 2 * ord + k.k, CASE k.k WHEN 0 THEN 'callout' ELSE 'spacer' END, CASE k.k WHEN 0 THEN upper(callout_type) || ': ' || text ELSE '' END FROM calls, (SELECT 0 AS k UNION ALL SELECT 1) k
+ UNION ALL SELECT doc_id, section_no, root_pos, 0, pos, CASE WHEN kind = 'stopping_point' THEN kind ELSE 'step' || depth END, text FROM roots WHERE rendered
+ UNION ALL SELECT doc_id, section_no, 4611686018427387904, 0, 0, 'spacer', '' FROM heads)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, a, b, c, kind, body) AS block_no, kind, body FROM rows"""
+)
+def render_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return render.procedure_blocks(*_callouts(spark, d)).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "kind", "body")
+
+
+@query(
+    _WITH
+    + """, r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, text FROM seg WHERE segment = 'references' AND heading_level = 0)
+ SELECT DISTINCT doc_id, 1 AS block_no, 'heading1' AS kind, 'References' AS body FROM r UNION ALL SELECT DISTINCT doc_id, 2, 'spacer', '' FROM r UNION ALL SELECT doc_id, n + 2, 'numbered', n || '. ' || text FROM r"""
+)
+def reference_blocks(spark: SparkSession, d: str) -> DataFrame:
+    out = render.numbered_blocks(segment.references(_segmented(spark, d)), "References", F.col("reference"))
+    return out.select("doc_id", F.col("block_no").cast("long").alias("block_no"), "kind", "body")
+
+
+# ---------------------------------------------------------------- records
+
+
+_POST = f"""WITH q AS ({views.PAYLOADS}), r AS (SELECT payload_id, title, has_prereq, n_materials, n_mix, n_sections, n_cells, n_steps, CASE WHEN section_type = '' THEN 'wet_lab' ELSE lower(trim(section_type)) END AS section_type,
+ {_DATE.format(c="date_raw")} AS date, CASE WHEN coalesce(author_raw, '') = '' THEN 'Unattributed' ELSE author_raw END AS author, CASE after_step_raw WHEN '2' THEN 2 WHEN '-1' THEN -1 END AS after_step FROM q)"""
+
+
+@query(_POST + " SELECT payload_id, section_type, date, author, after_step FROM r")
+def post_process(spark: SparkSession, d: str) -> DataFrame:
+    return _payloads(spark, d).select("payload_id", "section_type", "date", "author", "after_step")
+
+
+@query(
+    _POST
+    + """ SELECT payload_id, 'title_empty' AS rule, '' AS detail FROM r WHERE title = '' UNION ALL SELECT payload_id, 'type_unknown', section_type FROM r WHERE section_type NOT IN ('wet_lab', 'computational')
+ UNION ALL SELECT payload_id, 'date_invalid', date FROM r WHERE CAST(date[4:5] AS INT) NOT BETWEEN 1 AND 12 OR CAST(date[1:2] AS INT) NOT BETWEEN 1 AND 31
+ UNION ALL SELECT payload_id, 'prerequisites_in_wet_lab', '' FROM r WHERE section_type = 'wet_lab' AND has_prereq
+ UNION ALL SELECT payload_id, 'materials_in_computational', CAST(n_materials AS VARCHAR) FROM r WHERE section_type = 'computational' AND n_materials > 0
+ UNION ALL SELECT payload_id, 'mixes_in_computational', CAST(n_mix AS VARCHAR) FROM r WHERE section_type = 'computational' AND n_mix > 0
+ UNION ALL SELECT payload_id, 'procedure_empty', '' FROM r WHERE n_sections = 0 UNION ALL SELECT payload_id, 'materials_width', CAST(n_cells AS VARCHAR) FROM r WHERE n_materials > 0 AND n_cells <> 3
+ UNION ALL SELECT payload_id, 'mix_width', CAST(n_cells AS VARCHAR) FROM r WHERE n_mix > 0 AND n_cells <> 2 UNION ALL SELECT payload_id, 'after_step_range', CAST(after_step AS VARCHAR) FROM r WHERE NOT (after_step BETWEEN 0 AND n_steps - 1)"""
+)
+def violations(spark: SparkSession, d: str) -> DataFrame:
+    return validate.violations(_payloads(spark, d))
+
+
+@query(
+    _POST
+    + """ SELECT payload_id, CASE WHEN title = '' THEN 'title' WHEN section_type NOT IN ('wet_lab', 'computational') THEN 'section_type' WHEN n_sections = 0 THEN 'procedure'
+ WHEN section_type = 'wet_lab' AND has_prereq THEN 'prerequisites' WHEN section_type = 'computational' AND n_materials + n_mix > 0 THEN 'materials' END AS error FROM r"""
+)
+def first_render_error(spark: SparkSession, d: str) -> DataFrame:
+    return validate.first_render_error(_payloads(spark, d))
+
+
+# ---------------------------------------------------------------- batches
+
+
+_DUP = f"WITH f AS ({views.FILES}), d AS (SELECT *, row_number() OVER (PARTITION BY lower(list_last(string_split(path, '/'))) ORDER BY string_split(path, '/')) > 1 AS dup FROM f)"
+
+
+@query(f"SELECT path, lower(regexp_extract(path, '\\.[^.]*$')) AS suffix FROM ({views.FILES}) WHERE path LIKE '%.docx' OR path LIKE '%.doc'")
+def batch_sources(spark: SparkSession, d: str) -> DataFrame:
+    return batch.sources(_files(spark, d)).select("path", F.lower(F.regexp_extract("path", r"\.[^.]*$", 0)).alias("suffix"))
+
+
+@query(_DUP + " SELECT path, dup AS duplicate FROM d")
+def duplicate_files(spark: SparkSession, d: str) -> DataFrame:
+    return batch.duplicates(_files(spark, d)).select("path", "duplicate")
+
+
+@query(_DUP + " SELECT CASE WHEN dup THEN 'skipped' WHEN lower(path) LIKE '%.docx' THEN 'success' ELSE 'failed' END AS status, count(*) AS n FROM d GROUP BY ALL")
+def batch_summary(spark: SparkSession, d: str) -> DataFrame:
+    return batch.summary(batch.outcomes(_files(spark, d)))
+
+
+@query("SELECT o, count(*) > 1 AS collides, count(*) AS n FROM (SELECT concat(p_brand, '_v', p_size % 3, '.docx') AS o FROM part) GROUP BY o")
+def output_collisions(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.concat("p_brand", F.lit("_v"), (F.col("p_size") % 3).cast("string"), F.lit(".docx")).alias("output_name"))
+    return batch.output_collisions(names).groupBy(F.col("output_name").alias("o")).agg(F.bool_or("collides").alias("collides"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- completion
+
+
+@query(
+    """SELECT doc_id, attempt, CASE k WHEN 0 THEN '{"title": "T' || doc_id || '"}' WHEN 1 THEN '{"title": "A {b} ' || doc_id || '", "d": {"e": 1}}' WHEN 4 THEN '{"title": ""}' WHEN 5 THEN '{bad json}' END AS object,
+ CASE k WHEN 2 THEN 'no_json' WHEN 3 THEN 'incomplete' WHEN 4 THEN 'validation_error' WHEN 5 THEN 'parse_error' END AS failure_kind
+ FROM (SELECT s_suppkey AS doc_id, a AS attempt, (s_suppkey * 3 + a * 5) % 6 AS k FROM supplier, (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4))"""
+)
+def json_from_response(spark: SparkSession, d: str) -> DataFrame:
+    return _attempts(spark, d).select("doc_id", "attempt", "object", "failure_kind")
+
+
+@query(
+    """WITH k AS (SELECT s_suppkey AS doc_id, a AS attempt, (s_suppkey * 3 + a * 5) % 6 AS k FROM supplier, (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4)),
+ v AS (SELECT doc_id, min(attempt) AS attempt FROM k WHERE k IN (0, 1) GROUP BY doc_id)
+ SELECT s.s_suppkey AS doc_id, v.attempt, CASE k.k WHEN 0 THEN 'T' || s.s_suppkey WHEN 1 THEN 'A {b} ' || s.s_suppkey END AS title, CASE WHEN v.attempt IS NULL THEN 'heuristic' ELSE 'completion' END AS source
+ FROM supplier s LEFT JOIN v ON v.doc_id = s.s_suppkey LEFT JOIN k ON k.doc_id = v.doc_id AND k.attempt = v.attempt"""
+)
+def first_valid_attempt(spark: SparkSession, d: str) -> DataFrame:
+    return completion.first_valid(_attempts(spark, d))
+
+
+_USER = "'" + completion.conventions().replace("'", "''") + "' || chr(10) || chr(10) || 'File: ' || doc_id || '.docx' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Type: wet_lab' || chr(10) || chr(10) ELSE '' END || trim(text, ' ' || chr(9) || chr(10)) || chr(10) || chr(10) || '" + completion.TASK + "'"
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d)
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".docx"))
+    return docs.select("doc_id", completion.user_message(F.col("text"), name, None, F.when(F.col("doc_id") % 2 == 0, "wet_lab")).alias("user_message"))
+
+
+@query(f"SELECT doc_id, length(u) AS n_chars, sha256(u) AS message_sha256 FROM (SELECT doc_id, {_USER} AS u FROM documents)")
+def prompt_messages(spark: SparkSession, d: str) -> DataFrame:
+    return _messages(spark, d).select("doc_id", F.length("user_message").cast("long").alias("n_chars"), F.sha2("user_message", 256).alias("message_sha256"))
+
+
+@query(f"SELECT doc_id, CAST(greatest(1, floor(length(u) / 3.5)) AS BIGINT) + {max(1, int(len(completion.SYSTEM) / 3.5))} AS total, greatest(1, floor(length(u) / 3.5)) + {max(1, int(len(completion.SYSTEM) / 3.5))} > 24576 AS over FROM (SELECT doc_id, {_USER} AS u FROM documents)")
+def token_budget(spark: SparkSession, d: str) -> DataFrame:
+    m = _messages(spark, d).withColumn("b", completion.token_budget(F.col("user_message")))
+    return m.select("doc_id", F.col("b.total").alias("total"), F.col("b.over").alias("over"))
