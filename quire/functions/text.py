@@ -112,8 +112,8 @@ def footer_title(c: Column) -> Column:
     return F.when(F.length(c) > 40, F.concat(F.left(c, F.lit(37)), F.lit("…"))).otherwise(c)
 
 
-def header_line(number: Column, name: Column) -> Column:
-    return F.concat(F.lit("SECTION "), number, F.lit(f" {DASH} "), F.upper(name), F.lit(" · Protocol Compendium"))
+def header_line(number: Column, name: Column, series: str = "Collected Procedures") -> Column:
+    return F.concat(F.lit("SECTION "), number, F.lit(f" {DASH} "), F.upper(name), F.lit(f" · {series}"))
 
 
 def byline(author: Column, version: Column, date: Column) -> Column:

@@ -265,7 +265,7 @@ def author_attribution(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """SELECT p_partkey, CASE WHEN length(p_name) > 15 THEN p_name || ' ' || p_name ELSE p_name END AS title,
  CASE WHEN length(p_name || ' ' || p_name) > 40 AND length(p_name) > 15 THEN (p_name || ' ' || p_name)[1:37] || '…' WHEN length(p_name) > 15 THEN p_name || ' ' || p_name ELSE p_name END AS footer,
- concat('SECTION ', p_size, ' — ', upper(p_brand), ' · Protocol Compendium') AS header,
+ concat('SECTION ', p_size, ' — ', upper(p_brand), ' · Collected Procedures') AS header,
  p_brand || chr(160) || '·' || chr(160) || 'Version 1.' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE chr(160) || '·' || chr(160) || 'Last updated 01/02/2024' END AS byline FROM part"""
 )
 def page_furniture(spark: SparkSession, d: str) -> DataFrame:

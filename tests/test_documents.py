@@ -39,7 +39,7 @@ def test_reading_files(spark, tmp_path):
     assert (item.num_id, item.ilvl, item.has_numbering) == (3, 1, True)
     assert rows["one.docx", "table", 3].cells == [["a b", ""]]
     assert rows["one.docx", "footnote", -1].footnote_id == 2 and rows["one.docx", "footnote", -1].runs[0].text == "second note"
-    assert rows["bad.docx", "error", -1].problem.startswith("BadZipFile") and len(rows) == 5
+    assert rows["bad.docx", "error", -1].problem.startswith("BadZipFile") and len(rows) == 6
 
 
 def test_writing_and_reading_again(spark, tmp_path):
@@ -47,7 +47,7 @@ def test_writing_and_reading_again(spark, tmp_path):
     out = ooxml.write_documents(spark.createDataFrame(made, "doc_id long, output_name string, block_no int, kind string, body string"), f"file://{tmp_path}/out")
     assert {r.output_path.rsplit("/", 1)[1] for r in out.collect()} == {"a.docx", "b.docx"}
     assert zipfile.ZipFile(io.BytesIO((tmp_path / "out" / "a.docx").read_bytes())).testzip() is None
-    got = ooxml.read_documents(spark, f"{tmp_path}/out").where(F.col("path").endswith("a.docx")).orderBy("pos").collect()
+    got = ooxml.read_documents(spark, f"{tmp_path}/out").where(F.col("path").endswith("a.docx") & (F.col("kind") == "paragraph")).orderBy("pos").collect()
     assert [(r.style_name, "".join(x.text for x in r.runs)) for r in got] == [("Heading 1", "Overview"), ("Normal", "x < y & z"), ("Normal", "")]
 
 
@@ -89,3 +89,33 @@ def test_prompts_and_a_client(spark):
     assert body["messages"][0]["role"] == "system" and body["stream"] is False
     again = df.select(completion.retry_message(F.lit("x" * 3000), F.lit("bad")).alias("m")).first().m
     assert "[cut]" in again and len(again) < 2200
+
+
+def test_a_folder_from_files_to_files(spark, tmp_path):
+    from quire.plans.folder import format_folder, records
+
+    def p(text, style="", num=""):
+        props = (f'<w:pStyle w:val="{style}"/>' if style else "") + (f'<w:numPr><w:ilvl w:val="{num}"/><w:numId w:val="1"/></w:numPr>' if num else "")
+        return f'<w:p><w:pPr>{props}</w:pPr><w:r><w:t xml:space="preserve">{text}</w:t></w:r></w:p>'
+
+    styles = f'<w:styles {W}>' + "".join(f'<w:style w:styleId="h{i}"><w:name w:val="Heading {i}"/></w:style>' for i in (1, 2, 3)) + "</w:styles>"
+    row = lambda *cells: "<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in cells) + "</w:tr>"
+    body = [p("Buffer work", "h1"), p("This says at some length what the procedure is for."), p("Materials", "h1"), p("Salts", "h3"), "<w:tbl>" + row("Reagent", "Supplier", "Notes") + row("NaCl", "", "x") + "</w:tbl>"]
+    body += [p("Procedure", "h1"), p("Mixing", "h2"), p("First some words"), p("Spin at 300 xg", num="0"), p("IMPORTANT: keep cold", num="0"), p("Sub step", num="1"), p("Can be stored", num="0"), p("References", "h1"), p("A book")]
+    make(tmp_path / "one.docx", document=f"<w:document {W}><w:body>{''.join(body)}</w:body></w:document>", styles=styles)
+    make(tmp_path / "empty.docx", document=f"<w:document {W}><w:body/></w:document>")
+    (tmp_path / "bad.docx").write_bytes(b"x")
+    got = {r.doc_id.rsplit("/", 1)[1]: json.loads(r.record) for r in records(spark, str(tmp_path)).collect()}
+    one = got["one.docx"]
+    assert one["title"] == "Buffer work" and one["overview"].startswith("This says") and one["references"] == ["A book"] and one["section_type"] == "wet_lab"
+    assert one["materials"] == [{"heading": "Salts", "rows": [["NaCl", "—", "x"]]}] and one["subtitle"] is None
+    section = one["procedure"][0]
+    assert section["heading"] == "Mixing" and section["preamble"] == "First some words" and [c["text"] for c in section["callouts"]] == ["keep cold"]
+    assert [(s["text"], s["depth"], s["step_type"]) for s in section["steps"]] == [("Spin at 300 × g", 0, "action"), ("Sub step", 1, "action"), ("Can be stored", 0, "stopping_point")]
+    assert got["empty.docx"]["title"] == "Empty" and got["empty.docx"]["procedure"][0]["steps"][0]["text"].startswith("[")
+    results = {r.path.rsplit("/", 1)[1]: r for r in format_folder(spark, str(tmp_path), f"file://{tmp_path}/out").collect()}
+    assert {k: r.status for k, r in results.items()} == {"one.docx": "success", "empty.docx": "success", "bad.docx": "failed"}
+    written = (tmp_path / "out" / "Buffer-Work_v1_0.docx").read_bytes()
+    xml = zipfile.ZipFile(io.BytesIO(written)).read("word/document.xml").decode()
+    order = ["Buffer work", "This says", "Materials", "Salts", "NaCl", "Procedure", "Mixing", "First some", "CAUTION: keep cold", "Spin at 300 × g", "Sub step", "Can be stored", "References", "1. A book"]
+    assert [xml.index(x) for x in order] == sorted(xml.index(x) for x in order)
