@@ -239,13 +239,13 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """a, b: for each node of the edges (a, b) but the least of its component, that least node.
 
-    Large-star and small-star steps; the edges of a star centre are only joined to one row and aggregated, so a large component is
-    split like any skewed join.
+    Large-star and small-star steps. The edges of a star's centre, which may be most of them, are joined to one row: the
+    least neighbours are written first, so that both sides of the join are plain exchanges, which adaptive execution can split.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         joined = both.join(least, "a")
         if large:  # larger neighbours go to the least one
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
