@@ -35,7 +35,8 @@ from quire.llm.common import Kept, column_text, id_and_text, longs, slices
 
 SPACE = "▁"
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-KEPT = 250_000
+KEPT = 450_000
+KEPT_PATHS = 250_000
 KEPT_PAIRS = 1_000_000
 SHORT = 48
 
@@ -78,7 +79,7 @@ class Transducers:
                 node = to
         self.names = {i: p for p, i in self.ids.items()}
         self.order: dict[tuple[int, int], bool] = {}
-        self.paths = Kept(lambda x: np.array(self.shortest(x), self.dtype).tobytes(), KEPT, SHORT)
+        self.paths = Kept(lambda x: np.array(self.shortest(x), self.dtype).tobytes(), KEPT_PATHS, SHORT)
         self.stretches = Kept(self.stretch, KEPT, SHORT)
 
     def merged(self, text: str) -> list[str]:
@@ -107,44 +108,49 @@ class Transducers:
         return known
 
     def shortest(self, text: str) -> list[int]:
-        """Ids on the shortest path of the composition with a normalised text. A state is (characters read, last piece, -1 for none)."""
+        """Ids on the shortest path of the composition with a normalised text.
+
+        A state is (characters read, last piece, -1 for none). The acceptor lets one state through for each number of characters, so one
+        is kept; should two ever meet there, the lighter path wins.
+        """
         n = len(text)
-        reached: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(n + 1)]  # last -> (weight, characters before, last before)
-        reached[0][-1] = (0, 0, -1)
+        last, weight, before = [-2] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # -2: not reached
+        last[0] = -1
         trie, order = self.trie, self.order
         for at in range(n):
-            here = reached[at]
-            if not here:
+            here = last[at]
+            if here == -2:
                 continue
             node, end, found = 0, at, False
-            while end < n and (arc := trie[node].get(text[end])):
+            while end < n:
+                arc = trie[node].get(text[end])
+                if arc is None:
+                    break
                 node, out = arc
                 end += 1
                 if out is None:
                     continue
                 found = True
-                there = reached[end]
-                for last, (weight, _, _) in here.items():
-                    if last >= 0:
-                        fits = order.get((last, out))
-                        if not (self.follows(last, out) if fits is None else fits):
-                            continue
-                    if out not in there or weight + 1 < there[out][0]:
-                        there[out] = (weight + 1, at, last)
+                if here >= 0:
+                    fits = order.get((here, out))
+                    if not (self.follows(here, out) if fits is None else fits):
+                        continue
+                if last[end] == -2 or weight[at] + 1 < weight[end]:
+                    last[end], weight[end], before[end] = out, weight[at] + 1, at
             if not found and text[at] not in self.ids:  # byte fallback; the acceptor starts anew behind it
-                last, (weight, _, _) = min(here.items(), key=lambda x: x[1][0])
-                reached[at + 1][-1] = (weight + 1, at, last)
-        at, path = n, []
-        last = min(reached[at], key=lambda x: reached[at][x][0])
+                last[at + 1], weight[at + 1], before[at + 1] = -1, weight[at] + 1, at
+        path, at = [], n
         while at:
-            _, before, last_before = reached[at][last]
-            path.append([last] if last >= 0 else [self.byte_ids[b] for b in text[before:at].encode("utf-8", "surrogatepass")])
-            at, last = before, last_before
+            start, out = before[at], last[at]
+            path.append([out] if out >= 0 else [self.byte_ids[b] for b in text[start:at].encode("utf-8", "surrogatepass")])
+            at = start
         return [i for ids in reversed(path) for i in ids]
 
     def stretch(self, text: str) -> bytes:
         """Ids of a normalised stretch, cut once more where no piece has the two characters side by side."""
-        cuts = [k for k, (a, b) in enumerate(zip(text, text[1:], strict=False), 1) if a + b not in self.beside]
+        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.beside]
+        if not cuts:
+            return self.paths[text]
         return b"".join([self.paths[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
 
     def encode(self, text: str) -> bytes:
