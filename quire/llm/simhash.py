@@ -285,7 +285,8 @@ def link(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     edges = found.where("b is not null").select("a", "b").unionByName(more).distinct()
     linked = components(edges)
     of = classes.join(linked.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written first, so that the join with a large component's classes can be split
+    least = checkpointed(of.groupBy("root").agg(F.min("least_id").alias("component_id")))
     return fps.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
