@@ -3,10 +3,12 @@
 A document is judged by how far zstandard shrinks it. Ratio here is raw bytes over compressed bytes, less the
 fixed cost of an empty frame. Repetitive text (high ratio) and incompressible text such as key material or
 encoded binaries (low ratio) lie outside a band; the band depends on the length, as short texts shrink less.
-The ratio is taken over the whole document and over fixed chunks of it, so that neither a long repetitive
-stretch in a sound document nor a document that only repeats itself far apart escapes.
+The ratio is taken over the whole document and over chunks of it, so that neither a long repetitive
+stretch in a sound document nor a document that only repeats itself far apart escapes. Chunks cover every byte: the last one is what
+is left, or goes to the one before if it is too short to be judged. Lower limits lie between what base64 and random words of that
+length reach and what prose does; text in hexadecimal digits shrinks like prose and isn't told from it.
 
-Defined cases: a null or empty text has no words and fails the base rule; texts below 256
+Defined cases: a null or empty text has no words and fails the base rule; texts below 128
 bytes have no lower limit; repeated rows are judged row by row; the order of rows plays no
 part; an empty table gives no rows; extra columns are ignored.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +41,21 @@ class Band:
     most: float
 
 
+#: (bytes, lower limit from that length on)
+LOWEST = ((0, 0.0), (128, 1.09), (192, 1.16), (256, 1.2), (384, 1.28), (512, 1.34), (768, 1.42), (1024, 1.5))
+
+
 @dataclass(frozen=True)
 class Bands:
-    """`whole`: by a document's length. `chunk`: one band for full chunks; more than `bad_share` of a document's chunks outside it reject."""
+    """`whole`: by a document's length. `chunk`: by a chunk's length; more than `bad_share` of a document's bytes in chunks outside it reject.
+
+    Documents of less than two chunks of `chunk_bytes` are cut into chunks of `short_chunk_bytes`."""
 
-    whole: tuple[Band, ...] = field(default_factory=lambda: (Band(0, 0.0, 3.0), Band(256, 1.1, 3.0), Band(1024, 1.25, 3.2), Band(4096, 1.4, 3.6), Band(32768, 1.5, 4.5)))
-    chunk: Band = Band(0, 1.25, 3.0)
+    whole: tuple[Band, ...] = field(default_factory=lambda: (*(Band(n, least, 3.0 if n < 1024 else 3.2) for n, least in LOWEST), Band(4096, 1.5, 3.6), Band(32768, 1.5, 4.5)))
+    chunk: tuple[Band, ...] = field(default_factory=lambda: tuple(Band(n, least, 3.0) for n, least in LOWEST))
     chunk_bytes: int = 2048
+    short_chunk_bytes: int = 512
+    least_bytes: int = 128
     bad_share: float = 0.34
     level: int = 3
 
@@ -89,6 +100,10 @@ def repeated_words(words: list[bytes], counts: np.ndarray) -> np.ndarray:
     return (inside[starts + counts] - inside[starts]).astype(np.int64)
 
 
+def band_of(bands: tuple[Band, ...], size: int) -> Band:
+    return next(b for b in reversed(bands) if size >= b.from_bytes)
+
+
 class Compressor:
     """Ratios of one worker's texts."""
 
@@ -104,13 +119,20 @@ class Compressor:
         """Whole ratio, chunks, chunks too repetitive, chunks incompressible, kept."""
         bands = self.bands
         whole = self.ratio(text) if text else 0.0
-        band = next(b for b in reversed(bands.whole) if len(text) >= b.from_bytes)
-        n = len(text) // bands.chunk_bytes
-        if n < 2:
+        band = band_of(bands.whole, len(text))
+        size = bands.chunk_bytes if len(text) >= 2 * bands.chunk_bytes else bands.short_chunk_bytes
+        cuts = [*range(0, len(text), size), len(text)]
+        if len(cuts) > 2 and cuts[-1] - cuts[-2] < bands.least_bytes:
+            del cuts[-2]
+        if len(cuts) <= 2:
             return whole, 0, 0, 0, band.least <= whole <= band.most
-        ratios = [self.ratio(text[k * bands.chunk_bytes : (k + 1) * bands.chunk_bytes]) for k in range(n)]
-        high, low = sum(r > bands.chunk.most for r in ratios), sum(r < bands.chunk.least for r in ratios)
-        return whole, n, high, low, band.least <= whole <= band.most and high + low <= bands.bad_share * n
+        high = low = bad = 0
+        for a, b in pairwise(cuts):
+            ratio, own = self.ratio(text[a:b]), band_of(bands.chunk, b - a)
+            high += ratio > own.most
+            low += ratio < own.least
+            bad += 0 if own.least <= ratio <= own.most else b - a
+        return whole, len(cuts) - 1, high, low, band.least <= whole <= band.most and bad <= bands.bad_share * len(text)
 
 
 def judge(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:

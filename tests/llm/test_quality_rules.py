@@ -58,5 +58,38 @@ def test_clean_labelled_documents_stay(spark):
     assert sum(r.kept for r in rows) >= 0.995 * len(rows)
 
 
+def test_planted_junk_at_several_lengths_and_shares():
+    """Base64 and random words, alone and after prose; the tail after the last full chunk is judged too."""
+    import base64
+    import random
+    import string
+
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(4)
+    tables = {n: pq.read_table(f"/root/testdata/sf0.01/{n}.parquet").to_pydict() for n in ("documents", "labels")}
+    good = {d for d, v in zip(tables["labels"]["doc_id"], tables["labels"]["quality"]) if v == 1}
+    prose = " ".join(t for d, t in zip(tables["documents"]["doc_id"], tables["documents"]["text"]) if d in good and t).encode()
+
+    def encoded(n):
+        x = base64.b64encode(rnd.randbytes(n)).decode()
+        return " ".join(x[i : i + 24] for i in range(0, len(x), 24)).encode()[:n]
+
+    def words(n):
+        return " ".join("".join(rnd.choices(string.ascii_letters + string.digits, k=rnd.randint(2, 10))) for _ in range(n)).encode()[:n]
+
+    z = q.Compressor(q.Bands())
+    for junk in (encoded, words):
+        for n in (256, 300, 600, 1024, 2048, 3000, 4095, 9000):
+            assert not z.verdict(junk(n))[-1], n
+        for n in (2500, 4095, 6000, 51_000):
+            assert not z.verdict(prose[: n * 4 // 10] + b" " + junk(n * 6 // 10))[-1], n
+        assert z.verdict(prose[:20_000] + junk(2048) + prose[:700])[3] > 0
+        assert z.verdict(prose[: 2 * 2048] + junk(600))[3] == 1
+    starts = range(0, len(prose) - 60_000, 10_007)
+    for n in (150, 300, 700, 1500, 3000, 5000, 50_000):
+        assert sum(z.verdict(prose[a : a + n])[-1] for a in starts) >= 0.99 * len(starts), n
+
+
 def test_empty_table(spark):
     assert q.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
