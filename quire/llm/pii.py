@@ -36,7 +36,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "email_text", "login", "account", "secret", "address")
 Span = tuple[str, int, int]
 
-#: What announces each kind. Each is also sought capitalised and in capitals.
+#: What announces each kind, sought in any case.
 CUES = {
     "email": ("@",),
     "email_text": ("[at]", "(at)"),
@@ -55,10 +55,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _TEXT_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?$")
 _TEXT_RIGHT = re.compile(r"\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[(](?i:dot)[\])]\x20?|\.)[A-Za-z0-9-]{1,63}){1,5}")
-_LOGIN = re.compile(r"[^\s/@:?#]{1,64}:[^\s/@?#]{1,128}(?=@)")
+# a login may be of any length: possessive groups read each character once
+_LOGIN = re.compile(r"[^\s/@:?#]++:[^\s/@?#]++(?=@)")
 _IBAN = re.compile(r"\W{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8})(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?i:\x20?(?:number|num|no|nr|id)?\b\.?)[\x20\t]*[:#=]?[\x20\t\"']*([A-Z0-9](?:[-./]?[A-Z0-9]){4,33})(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?:[\x20\t]*[:=][\x20\t]*[\"']?|[\x20\t]+[\"'])([A-Za-z0-9+/_=.-]{8,256})")
+_SECRET = re.compile(r"(?:[\x20\t]*[:=][\x20\t]*[\"']?|[\x20\t]+[\"'])(?=[A-Za-z0-9+/_=.-]{8})")
+_VALUE = re.compile(r"[A-Za-z0-9+/_=.-]++")
 _NUMBER_LEFT = re.compile(r"(?<!\w)[0-9]{1,5}[A-Za-z]?\x20(?:[A-ZÄÖÜÉ][\w'-]{1,30}\x20){1,3}$")
 _NAME_RIGHT = re.compile(r"(?:\x20(?:de|la|le|du|des|del|los|las))*(?:\x20[A-ZÄÖÜÉÁÍÓÚÑ][\w'-]{1,30}){1,3},?\x20[0-9]{1,5}(?!\w)")
 _STREET_NUMBER = re.compile(r"\x20[0-9]{1,4}[a-z]?(?!\w)")
@@ -70,12 +72,16 @@ def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in {cue, cue.capitalize(), cue.upper()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """Lower case at the same offsets: U+0130 alone would become two characters."""
+    return text.replace("\u0130", "i").lower()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -142,9 +148,10 @@ def _account(text: str, start: int, end: int) -> tuple[int, int] | None:
     return None
 
 
-def _secret(text: str, start: int, end: int) -> tuple[int, int] | None:
+def _secret(text: str, end: int, known: int) -> tuple[int, int] | None:
+    """known: where the last value ended; a cue inside that value has the same end, which isn't sought again."""
     m = _SECRET.match(text, end)
-    return m.span(1) if m and re.search("[0-9]", m[1]) else None
+    return (m.end(), known if m.end() < known else _VALUE.match(text, m.end()).end()) if m else None
 
 
 def _address(text: str, start: int, end: int) -> tuple[int, int] | None:
@@ -160,21 +167,23 @@ def _address(text: str, start: int, end: int) -> tuple[int, int] | None:
     return None
 
 
-_PARSERS = {"email_text": _email_text, "login": _login, "account": _account, "secret": _secret, "address": _address}
+_PARSERS = {"email_text": _email_text, "login": _login, "account": _account, "address": _address}
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans), each by kind and start."""
     signs, anchors = [], []
-    for last, (kind, size) in automaton().iter(text):
+    for last, (kind, size) in automaton().iter(lowered(text)):
         if kind == "email":
             signs.append(last)
         else:
             anchors.append((kind, last + 1 - size, last + 1))
     base = [*emails(text, signs), *numbers(text)]
-    added = []
+    added, known = [], 0
     for kind, start, end in anchors:
-        if span := _PARSERS[kind](text, start, end):
+        span = _secret(text, end, known) if kind == "secret" else _PARSERS[kind](text, start, end)
+        if span:
+            known = span[1] if kind == "secret" else known
             added.append((span[0], -span[1], KINDS.index(kind)))
     if added:
         taken = sorted((a, b) for _, a, b in base)

@@ -66,6 +66,33 @@ def test_added_kinds():
     assert found("the account of a road was a secret passport to rue") == []
 
 
+def test_values_run_to_their_end():
+    for n in (8, 256, 257, 1000, 40_000):
+        assert found("token = " + "aB3-" * (n // 4) + "x" * (n % 4) + ", next") == [("secret", "aB3-" * (n // 4) + "x" * (n % 4))]
+        assert pii.redact_text("password=" + "q" * n + " end") == "password=<SECRET> end"
+    for n in (5, 128, 129, 5000):
+        assert found(f"ftp://{'u' * n}:{'p!' * n}@host/x") == [("login", f"{'u' * n}:{'p!' * n}")]
+    assert found("token=token=abcdefgh ok") == [("secret", "token=abcdefgh")]
+    assert found("token=1.2.3.4/token=abcdefgh ok") == [("ip", "1.2.3.4"), ("secret", "abcdefgh")]
+    assert found("token: short") == []
+
+
+def test_cues_in_every_case():
+    for cue in ("Tax ID", "Customer ID", "Social Security", "sOCIAL sECURITY", "Ssn", "IBan"):
+        assert found(f"{cue} 12345678 ok") == [("account", "12345678")], cue
+    for cue in ("API_Key", "Api_key", "PassWord", "ApiKey"):
+        assert found(f"\u0130 {cue}='abcdefgh'") == [("secret", "abcdefgh")], cue
+
+
+def test_many_cues_in_one_value_take_linear_time():
+    import time
+
+    start = time.process_time()
+    assert found("token=" * 200_000) == [("secret", "token=" * 199_999)]
+    assert found("://u:p" * 200_000) == []
+    assert time.process_time() - start < 20
+
+
 def test_redaction_keeps_the_columns(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co now", "en", 15), (2, None, "en", 0), (3, "plain", None, 5)], "doc_id long, text string, lang string, n_chars long")
     got = pii.redact(docs)
