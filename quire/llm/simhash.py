@@ -32,7 +32,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import checkpointed, column_bytes, id_and_text, longs, slices, written
@@ -99,14 +99,21 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return np.packbits(counts * 2 > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprint_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def text_key() -> Column:
+    """A hash of the text, which tells rows of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def fingerprint_rows(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long; and text_key, if keyed."""
+    more = ["text_key"] * keyed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([longs(batch), pa.array(fingerprints(column_bytes(batch)).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([longs(batch), pa.array(fingerprints(column_bytes(batch)).view(np.int64)), *(longs(batch, c) for c in more)], names=["doc_id", "fp", *more])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = id_and_text(docs)
+    return (rows.withColumn("text_key", text_key()) if keyed else rows).mapInArrow(run, "doc_id long, fp long" + ", text_key long" * keyed)
 
 
 def variants(classes: DataFrame) -> DataFrame:
@@ -267,9 +274,8 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def link(fps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp -> doc_id, fp, component_id: the least doc_id that links reach."""
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+def rooted(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """fp, least (distinct fingerprints) -> fp, least, root: a fingerprint that names its component."""
     keyed = variants(classes).repartition("key").sortWithinPartitions("key")
     found = written(keyed.mapInArrow(partial(search, block=block), RUNS), "links")
     blocks = found.where("key is not null").select("key", F.col("a").alias("fp"), "block")
@@ -284,9 +290,14 @@ def link(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     more = pairs.mapInArrow(pair_search, "a long, b long")
     edges = found.where("b is not null").select("a", "b").unionByName(more).distinct()
     linked = components(edges)
-    of = classes.join(linked.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    return classes.join(linked.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def link(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, fp -> doc_id, fp, component_id: the least doc_id that links reach."""
+    of = rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), block)
     # written first, so that the join with a large component's classes can be split
-    least = checkpointed(of.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    least = checkpointed(of.groupBy("root").agg(F.min("least").alias("component_id")))
     return fps.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -314,10 +325,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that have the least doc_id of their component.
+    """The documents, with all their columns, one of each component: the row of the least doc_id, and of its rows the one of the least text key.
 
-    A doc_id names one document: rows that repeat one are copies of it, and one of them stays. Rows without a doc_id can't be named and stay.
+    Rows that repeat both doc_id and text are one; rows of one doc_id with other texts are judged each by its own text. Rows without a doc_id can't be named and stay.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    fps = written(fingerprint_rows(docs, keyed=True), "fingerprints")
+    classes = fps.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least"))
+    kept = rooted(classes).groupBy("root").agg(F.min("least").alias("kept")).where("kept is not null").select("kept.doc_id", F.col("kept.text_key").alias("_text_key"))
+    named = docs.where("doc_id is not null").withColumn("_text_key", text_key()).join(kept, ["doc_id", "_text_key"], "left_semi")
+    return named.dropDuplicates(["doc_id", "_text_key"]).select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -40,3 +40,17 @@ def test_deduplication_of_repeated_and_unnamed_rows(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (None, "z"), (3, "q r s t u v")]
     got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0) for r in got) == [0, 0, 1, 3]
+
+
+def test_deduplication_keeps_a_row_of_each_component_of_a_repeated_id(spark):
+    from quire.llm.simhash import deduplicate
+
+    one, two, three = "a b c d e", "q r s t u v", "some other words stand in here"
+    for rows, want in (
+        ([(1, one), (1, two)], [(1, one), (1, two)]),  # two texts of one doc_id
+        ([(1, one), (2, one), (2, two), (2, two)], [(1, one), (2, two)]),  # a copy and another text
+        ([(5, three), (5, one), (3, one), (3, two), (4, two), (None, two)], [(3, one), (3, two), (5, three), (None, two)]),
+    ):
+        for order in (rows, rows[::-1]):
+            got = deduplicate(spark.createDataFrame(order, "doc_id long, text string"))
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
