@@ -5,7 +5,7 @@ that occurs c >= 2 times has the quantised count q = floor(log2 c); the filter h
 (pair, 1), (pair, 2), ... until one is missing gives q back (too high with a probability of about 0.6 % a step, never too low), and the
 middle of its range as the count. A token's probability interpolates the pair's relative frequency with the smoothed token
 frequency; a token before which comes none has the texts' beginnings as history. The interpolation weight depends on the history's count, by powers
-of two, and is fitted on a bounded sample of training texts with their own occurrences taken out of the counts. Pairs that occur
+of two, and is fitted on all training texts with their own occurrences taken out of the counts. Pairs that occur
 once are left to the token frequencies at every size of corpus.
 
 The filter and the token counts grow with the corpus, so they aren't sent through the driver. They are cut into segments of
@@ -38,7 +38,6 @@ CACHE_BYTES = 96 << 20
 BITS_PER_ITEM = 12
 PROBES = 4
 MOST_LEVELS = 48
-SAMPLE_TEXTS = 3_000
 SWEEP_BYTES = 3 << 20
 #: Distinct keys that a counting task holds before it hands them on.
 HELD_KEYS = 800_000
@@ -258,16 +257,14 @@ def train(docs: DataFrame) -> Model:
     made = cut.groupBy("segment").applyInArrow(build, "segment long, bytes long")
     present = frozenset(r.segment for r in written(made, "segments").collect())
     model = Model(folder, segments, present, int(size["tokens"]), int(size["distinct"]), texts, (0.0,) * MOST_LEVELS)
-    return Model(**{**model.__dict__, "weights": fit(model, known, texts)})
+    return Model(**{**model.__dict__, "weights": fit(model, known)})
 
 
-def fit(model: Model, known: DataFrame, texts: int, rounds: int = 60) -> tuple[float, ...]:
-    """Interpolation weights by EM on about SAMPLE_TEXTS training texts, each without its own occurrences.
+def fit(model: Model, known: DataFrame, rounds: int = 60) -> tuple[float, ...]:
+    """Interpolation weights by EM on all training texts, each without its own occurrences.
 
     Tokens enter as numbers by (bucket, eighth-octave of the ratio of the two probabilities), some hundred rows.
     """
-    part = min(1.0, SAMPLE_TEXTS / max(1, texts))
-
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SWEEP_BYTES):
             _, _, smoothed, share, bucket = model.facts(column_bytes(batch), own=1)
@@ -275,8 +272,7 @@ def fit(model: Model, known: DataFrame, texts: int, rounds: int = 60) -> tuple[f
             pairs, n = np.unique(np.stack([bucket, ratio]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n)], names=["bucket", "ratio", "n"])
 
-    sample = known.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 30)) < int(part * (1 << 30)))
-    rows = sample.mapInArrow(ratios, "bucket long, ratio long, n long").groupBy("bucket", "ratio").agg(F.sum("n").alias("n")).collect()
+    rows = known.mapInArrow(ratios, "bucket long, ratio long, n long").groupBy("bucket", "ratio").agg(F.sum("n").alias("n")).collect()
     out = [0.0] * MOST_LEVELS
     for b in {r.bucket for r in rows if r.bucket > 0}:
         r = np.array([0.0 if x.ratio == -10_000 else 2.0 ** (x.ratio / 8) for x in rows if x.bucket == b])
