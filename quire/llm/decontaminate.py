@@ -6,7 +6,8 @@ tokens, three or more of them literal words, are hash-joined: an item's windows
 documents probe it. A document holds an item when at least LEAST of the item's windows occur in it
 with consistent slots, and at least that share of the matching windows that have slots are consistent: over the windows that match, each value of the item stands for one value of the document and
 no two values of a type for the same one, so that a question with other numbers and names is caught, while
-windows that merely share wording with contradictory values do not count.
+windows that merely share wording with contradictory values do not count. A run of RUN literal words that document and item share
+is evidence by itself, whatever part of the item it is.
 
 A name is a capitalised word that doesn't begin a sentence, or one that does and is such a name elsewhere in the text.
 
@@ -37,6 +38,8 @@ from quire.llm.common import column_bytes, id_and_text, longs, mix64, slices
 WINDOW = 5
 LITERALS = 3
 LEAST = 0.5
+#: Literal words in a row, the same in item and document, that are evidence whatever the item's length.
+RUN = 13
 BLOCK_WORDS = 1_000_000
 
 #: Units of measure, in lower case.
@@ -147,11 +150,26 @@ class Index:
             places = np.repeat(at[hit[a:b]], last[a:b] - first[a:b])
             items = self.item[entries]
             counts = np.bincount(self.item[np.unique(entries)], minlength=len(self.total))
-            for item in np.flatnonzero(counts >= np.maximum(1, np.ceil(LEAST * self.total))):
+            enough = np.maximum(1, np.ceil(LEAST * self.total))
+            for item in np.flatnonzero(counts >= np.minimum(enough, RUN - WINDOW + 1)):
                 own = items == item
                 matched, equal = self.consistent(int(item), entries[own], places[own], t)
                 if matched and matched >= LEAST * self.total[item]:
                     yield int(texts[a]), int(item), matched, int(self.total[item]), equal
+                elif n := self.in_runs(int(item), entries[own], places[own]):
+                    yield int(texts[a]), int(item), n, int(self.total[item]), True
+
+    def in_runs(self, item: int, entries: np.ndarray, places: np.ndarray) -> int:
+        """The item's windows that lie in runs of RUN literal words or more, the same in both."""
+        literal = np.fromiter(((item, p) not in self.slot for p in self.place[entries].tolist()), bool, len(entries))
+        entries, places = entries[literal], places[literal]
+        mine = self.place[entries].astype(np.int64)
+        shift = places - mine
+        order = np.lexsort((mine, shift))
+        mine, shift, entries = mine[order], shift[order], entries[order]
+        heads = np.flatnonzero(np.concatenate([[True], (shift[1:] != shift[:-1]) | (mine[1:] != mine[:-1] + 1)])) if len(mine) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(heads, len(mine)))
+        return len(np.unique(entries[np.repeat(sizes >= RUN - WINDOW + 1, sizes)]))
 
     def consistent(self, item: int, entries: np.ndarray, places: np.ndarray, t: Templates) -> tuple[int, bool]:
         """The item's windows that match with slots that agree with one mapping of values (0 if most with slots don't), and whether it maps each value to itself."""

@@ -60,6 +60,22 @@ def test_contradictory_slots_do_not_count(spark):
     assert got == {1: False, 2: True}
 
 
+def test_a_run_of_thirteen_literal_words_is_evidence(spark):
+    long = prose(300)
+    words = long.split()
+    item = " ".join(words[:40]) + " 17 " + " ".join(words[40:])
+    cases = {
+        1: prose(50) + " " + " ".join(words[100:113]) + " " + prose(50),
+        2: prose(50) + " " + " ".join(words[100:112]) + " xyz " + " ".join(words[113:125]) + " " + prose(50),
+        3: " ".join(words[34:40]) + " 17 " + " ".join(words[40:46]),  # 12 words and a number
+        4: " ".join(words[200:260]),
+        5: " ".join([*words[10:18], *words[60:68], *words[110:118]]),
+        6: " ".join(words[287:]).upper(),
+    }
+    got = d.judge(spark.createDataFrame(list(cases.items()), "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert {r.doc_id: (r.item_id, r.matched_windows) for r in got.collect() if r.contaminated} == {1: (9, 9), 4: (9, 56), 6: (9, 9)}
+
+
 def brute(text, items):
     """Items of which five plain words in a row, in half of their places, occur in the text."""
     words = lambda t: [x for w in t.split() if (x := d._EDGE.sub("", w).lower())]
