@@ -7,12 +7,13 @@ block a plane. A document table has doc_ids and lengths.
 
 File: magic, u32 header length, JSON header, then sections at the offsets that the header names.
 
-Order: documents are range-partitioned by doc_id and sorted within partitions by (doc_id, text); a partition starts
-another file after `shard_tokens` ids, so a file holds that many ids or one document. Partition and file numbers
-follow doc_id order, and a document's start is the ids of all files before its own plus those before it in the file.
+Order: documents are range-partitioned and sorted by (doc_id, hash of the text, text), so that a doc_id with many rows takes many
+partitions; a partition starts another file after `shard_tokens` ids, so a file holds that many ids or one document. Partition and file
+numbers follow that order, and a document's start is the ids of all files before its own plus those before it in the file.
 
 Defined cases: a null or empty text has the end id alone; null doc_ids come first; rows that repeat a doc_id keep
-a row each, in text order; an empty table writes no file and gives no rows; extra columns are ignored.
+a row each, in the order of their texts' hashes; an empty table writes no file and gives no rows; extra columns are ignored; a
+special token's string in a text is that token; a text above ENCODE_BYTES is encoded alone, whole, in some ten times its bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import Kept, column_text, id_and_text, longs, shared_dir, slices
@@ -41,6 +42,11 @@ BLOCK_BITS = 1 << 16
 #: Ids in a file, and bytes of text in a partition.
 SHARD_TOKENS = 16 << 20
 PARTITION_BYTES = 24 << 20
+#: Bytes of text encoded at once (a longer text is encoded alone).
+ENCODE_BYTES = 6 << 20
+#: Partitions that one running sum goes over, and tasks that read files back (a task reads one file after another).
+SUM_PARTS = 1024
+READ_TASKS = 4096
 
 
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -59,16 +65,18 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
     planes, zeros = [], []
     rest = ids.astype(np.uint32 if bits > 16 else np.uint16)
     for level in range(bits):
-        bit = (rest >> (bits - 1 - level) & 1).astype(bool)
+        bit = (rest & rest.dtype.type(1 << (bits - 1 - level))) != 0
         packed = np.packbits(bit)
         step = BLOCK_BITS // 8
         blocks = [packed[at : at + step].tobytes() for at in range(0, len(packed), step)]
-        ranks = np.concatenate([[0], np.cumsum([int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in blocks])]).astype("<u8")
+        ranks = np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), step), dtype=np.int64) if len(packed) else [])]).astype("<u8")
         stored = [min(b, z.compress(b), key=len) for b in blocks]
         places = np.concatenate([[0], np.cumsum([len(b) for b in stored])]).astype("<u8")
         planes.append({"blocks": add(b"".join(stored)), "places": add(places.tobytes()), "ranks": add(ranks.tobytes())})
-        zeros.append(int(len(bit) - bit.sum()))
-        rest = np.concatenate([rest[~bit], rest[bit]])
+        ones = np.flatnonzero(bit)
+        zeros.append(len(bit) - len(ones))
+        if level < bits - 1:
+            rest = np.concatenate([rest.take(np.flatnonzero(~bit)), rest.take(ones)])
     known = np.array([d is not None for d in doc_ids])
     docs = {"ids": add(z.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes())), "known": add(z.compress(np.packbits(known).tobytes())), "lengths": add(z.compress(np.array(lengths, "<i8").tobytes()))}
     header = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "planes": planes, "docs": docs, "n_docs": len(doc_ids), "block_bits": BLOCK_BITS}).encode()
@@ -171,8 +179,8 @@ class Shard:
             packed = np.concatenate([self._block(level, k) for k in range(len(self.planes[level]["places"]) - 1)] or [np.zeros(0, np.uint8)])
             bit = np.unpackbits(packed, count=self.n).astype(bool)
             before = np.empty_like(rest)
-            before[~bit] = rest[: self.zeros[level]]
-            before[bit] = rest[self.zeros[level] :] | (1 << (self.bits - 1 - level))
+            before[np.flatnonzero(~bit)] = rest[: self.zeros[level]]
+            before[np.flatnonzero(bit)] = rest[self.zeros[level] :] | rest.dtype.type(1 << (self.bits - 1 - level))
             rest = before
         return rest
 
@@ -190,64 +198,118 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class Encoder:
-    """Ids of texts by the tokenizers library, for a byte-level vocabulary; ids of short pieces are kept.
+def _class(members: str | bytes | range) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+#: White space by the pattern's rule or by any near it; what is taken for white space in error is just not cut at.
+_WHITE = _class(bytes([*range(0x09, 0x0E), *range(0x1C, 0x21)]))
+_LETTER = _class(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)]))
+_WIDE = np.array([int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+
+
+def _white(u: np.ndarray, at: np.ndarray, after: bool) -> np.ndarray:
+    """Whether the character that starts at (after) or ends before (not after) each place is white space. `u` has three spare bytes at both ends."""
+    one = u[at] if after else u[at - 1]
+    out = _WHITE[one]
+    high = np.flatnonzero(one >= 0x80)
+    if len(high):
+        p = at[high] if after else at[high] - 3
+        x, y, z = (u[p + k].astype(np.int64) for k in range(3))
+        pair = x << 8 | y if after else y << 8 | z
+        out[high] = np.isin(pair, _WIDE) | np.isin(x << 16 | y << 8 | z, _WIDE)
+    return out
+
+
+def cuts(u: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places at which UTF-8 texts, one after another in `u` between three spare bytes at both ends, fall into parts that tokenise alone.
 
     The byte-level pattern always starts a piece at a space that a non-space follows, makes one of a newline between
-    non-spaces, and ends one between letters and an ASCII character that is none. So a text is cut there; letters, with a space
-    or none, are one piece of the pattern and go to the library's merge model without the pattern; all else
-    goes through the whole tokenizer.
+    non-spaces, and ends one between a letter and an ASCII character that is none. `starts`: where texts begin, and the end of the last.
     """
+    edge = np.zeros(len(u), bool)
+    edge[starts] = True
+    space = np.flatnonzero(u[3:-3] == 0x20) + 3
+    space = space[~edge[space + 1]]
+    space = space[~_white(u, space + 1, True)]
+    line = np.flatnonzero(u[3:-3] == 0x0A) + 3
+    line = line[~edge[line] & ~edge[line + 1]]
+    line = line[~_white(u, line, False)]
+    line = line[~_white(u, line + 1, True)]
+    here, before = u[3:-3], u[2:-4]
+    other = (here < 0x80) & ~_LETTER[here]
+    ends = np.flatnonzero(other & _LETTER[before]) + 3
+    # Latin letters of two bytes, U+00C0 to U+024F without the two signs among them
+    two = np.flatnonzero(other & (before >= 0x80)) + 3
+    code = u[two - 2].astype(np.int64) << 8 | u[two - 1]
+    two = two[(code >= 0xC380) & (code <= 0xC98F) & (code != 0xC397) & (code != 0xC3B7)]
+    for found in (space, line, line + 1, ends, two):
+        edge[found] = True
+    return np.flatnonzero(edge)
 
-    LINE = re.compile(r"(?<=\S)\n(?=\S)")
-    CUT = re.compile(r" (?=\S)")
-    #: Letters, and then nothing or an ASCII character that is no letter.
-    LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)((?![A-Za-z])[\x00-\x7f].*)?", re.S)
+
+class Encoder:
+    """Ids of texts by the tokenizers library, for a byte-level vocabulary; ids of short parts are kept.
+
+    Texts fall into parts (see `cuts`); a batch's distinct parts are looked up or encoded once and put together by place. Letters, with a space
+    or none before them, are one piece of the pattern and go to the library's merge model without the pattern; all other parts
+    go through the whole tokenizer. A special token's string in a text is that token, as the library has it: the text is parted there.
+    """
+
+    LETTERS = re.compile(rb" ?[A-Za-z]+| ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("special tokens that take their surroundings in aren't supported")
+        self.special = {t.content.encode(): i for i, t in added.items()}
+        self.at_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")")
         self.letters = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.space = byte_alphabet()[0x20]
-        self.end = np.array([END_ID], self.dtype).tobytes()
-        self.tails = Kept(self.plain, 50_000, 48)  # what follows letters
-        self.pieces = Kept(lambda x: self.piece(" ", x), 500_000, 64)  # a space, letters and what follows
-        self.starts = Kept(lambda x: self.piece("", x), 50_000, 64)  # the same at a line's start
-        self.newline = self.plain("\n")
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def word(self, word: str) -> bytes:
-        """Ids of letters, with a space or none before them."""
-        if word.isascii():
-            mapped = self.space + word[1:] if word[0] == " " else word
-        else:
-            mapped = word.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def piece(self, space: str, piece: str) -> bytes:
-        m = self.LETTERS.fullmatch(piece)
-        if not m:
-            return self.plain(space + piece)
-        letters, tail = m.groups()
-        if not tail:
-            return self.word(space + letters)
-        word = self.pieces[letters] if space else self.starts[letters]
-        return word + self.tails[tail]
-
-    def line(self, line: str) -> bytes:
-        first, *rest = self.CUT.split(line)
-        return b"".join([self.starts[first] if first else b"", *map(self.pieces.__getitem__, rest)])
+        self.end = self.packed([END_ID])
+        self.parts = Kept(self.part, 300_000, 48)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def part(self, part: bytes) -> bytes:
+        if len(part) < 1000 and self.LETTERS.fullmatch(part):
+            return self.packed([t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.letters))])
+        return self.packed(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids)
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each UTF-8 text with the end id, as bytes."""
+        with_special = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
+        out = self.plain([b"" if k in with_special else t for k, t in enumerate(texts)])
+        for k in with_special:
+            # every second one is a special token; a text between two of them is encoded by itself
+            split = self.at_special.split(texts[k])
+            ids = self.plain(split[::2])
+            out[k] = b"".join(x for i, x in zip(ids, [*(self.packed([self.special[s]]) for s in split[1::2]), b""], strict=True) for x in (i, x))
+        return [ids + self.end for ids in out]
+
+    def plain(self, texts: list[bytes]) -> list[bytes]:
+        data = b"".join([b"   ", *texts, b"   "])
+        starts = np.cumsum([3, *map(len, texts)])
+        u = np.frombuffer(data, np.uint8)
+        edges = cuts(u, starts)
+        if len(edges) < 2:
+            return [b""] * len(texts)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(map(self.parts.__getitem__, parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)[np.searchsorted(edges, starts)].tolist()
+        found = memoryview(ids.buffers()[2]) if ids.buffers()[2] is not None else memoryview(b"")
+        return [bytes(found[a:b]) for a, b in zip(ends, ends[1:])]
 
     def encode(self, text: str) -> bytes:
-        """The ids with the end id, as bytes."""
-        return self.newline.join(map(self.line, self.LINE.split(text))) + self.end
+        return self.encode_all([text.encode()])[0]
 
 
 @lru_cache(maxsize=2)
@@ -286,9 +348,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int =
             return row
 
         schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
-        for batch in slices(batches):
-            for doc_id, text in zip(longs(batch).to_pylist(), column_text(batch), strict=True):
-                ids = encoder.encode(text)
+        for batch in slices(batches, most=ENCODE_BYTES):
+            texts = [t.encode() for t in column_text(batch)]
+            for doc_id, ids in zip(longs(batch).to_pylist(), encoder.encode_all(texts), strict=True):
                 n = len(ids) // encoder.dtype.itemsize
                 if held and held + n > shard_tokens:
                     yield flush()
@@ -299,23 +361,30 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int =
         if doc_ids:
             yield flush()
 
-    ranged = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the text's hash parts the rows of one doc_id, without texts in the sample that sets the ranges
+    ranged = docs.withColumn("mark", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     path = f"{folder}/manifest"
     ranged.mapInArrow(run, MANIFEST).write.parquet(path)
     return spark.read.schema(MANIFEST).parquet(path)
 
 
+def starts(manifest: DataFrame) -> DataFrame:
+    """path and before: the ids of all files before it. Sums of SUM_PARTS partitions are summed in one window, files within each such block in their own."""
+    blocks = manifest.withColumn("block", F.floor(F.col("part") / SUM_PARTS))
+    sums = blocks.groupBy("block").agg(F.sum("n_tokens").alias("all"))
+    ahead = F.sum("all").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("n_tokens").over(Window.partitionBy("block").orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1))
+    placed = blocks.join(sums.select("block", F.coalesce(ahead, F.lit(0)).alias("ahead")), "block")
+    return placed.select("path", (F.col("ahead") + F.coalesce(within, F.lit(0))).alias("before"))
+
+
 def read(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files. The driver sees one row a file."""
-    spark = manifest.sparkSession
-    rows, start = [], 0
-    for r in sorted(manifest.select("part", "file", "path", "n_tokens").collect()):
-        rows.append((len(rows), r.path, start))
-        start += r.n_tokens
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files. The driver sees the number of files alone."""
+    tasks = max(1, min(manifest.count(), READ_TASKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(read_file(path))
                 doc_ids, lengths = shard.documents()
                 data = memoryview(shard.ids().astype("<u4").tobytes())
@@ -325,8 +394,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 whole = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(before + starts), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                 yield from (whole.slice(at, 50_000) for at in range(0, whole.num_rows, 50_000))
 
-    files = spark.createDataFrame(rows, "n int, path string, before long")
-    return files.repartitionByRange(max(1, len(rows)), "n").mapInArrow(run, ROWS)
+    return starts(manifest).repartitionByRange(tasks, "before").mapInArrow(run, ROWS)
 
 
 def encode_and_read(docs: DataFrame, tokenizer_path: str, **sizes: int) -> DataFrame:

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm import wavelet as w
@@ -46,7 +47,7 @@ def test_many_blocks():
         shard.select(1, len(ids))
 
 
-pieces = st.sampled_from([" ", "  ", "\n", "\n ", " \n", "\t", "a", "the", "'s", "don't", " ", " ", "\x1c", "é", "漢字", "<|endoftext|>", "1234", "!", "'t", "_", "ÿ", "ª", "×", "ǅ", "ə", "́", "...", "😀", "\x85", "᠎", "​"])
+pieces = st.sampled_from([" ", "  ", "\n", "\n ", " \n", "\t", "a", "the", "'s", "don't", "'", "é,", "ñandú", "“", "A1b", "。", "k", " ", " ", "\x1c", "é", "漢字", "<|endoftext|>", "1234", "!", "'t", "_", "ÿ", "ª", "×", "ǅ", "ə", "́", "...", "😀", "\x85", "᠎", "​"])
 
 
 @settings(max_examples=500, deadline=None)
@@ -57,9 +58,8 @@ def test_pieces_encode_as_the_whole(encoder, text):
 
 def brute(rows):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     out, start = [], 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for doc_id, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -69,11 +69,24 @@ def brute(rows):
 @pytest.mark.parametrize("sizes", [{}, {"shard_tokens": 2000, "partition_bytes": 60_000}])
 def test_documents_against_brute_force(spark, sf, sizes):
     docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id * 3 - 50 doc_id", "text", "1 start")
-    texts = [(1000, None), (1001, ""), (1000, "b"), (1000, "b"), (None, "x y"), (-99, "word " * 4000), (1002, "  \n ")]
+    texts = [(1000, None), (1001, ""), (1000, "b"), (1000, "b"), (None, "x y"), (-99, "word " * 4000), (1002, "  \n "), (1003, "a  <|endoftext|>b<|endoftext|><|endoftext|> \n")]
     docs = docs.unionByName(spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, start int")).repartition(5)
     got = [tuple(r) for r in w.encode_and_read(docs, PATH, **sizes).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
-    assert sorted(got, key=lambda r: r[1]) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    rows = docs.withColumn("mark", F.xxhash64("text")).collect()
+    rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.mark))
+    assert sorted(got, key=lambda r: r[1]) == brute([(r.doc_id, r.text) for r in rows])
 
 
 def test_empty_table(spark):
     assert w.encode_and_read(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 3, 2000])
+def test_rows_of_one_doc_id_take_many_files(spark, monkeypatch, n):
+    monkeypatch.setattr(w, "SUM_PARTS", 2)
+    docs = spark.range(n).selectExpr("cast(null as long) doc_id", "concat('text ', id) text")
+    manifest = w.write(docs, PATH, w.shared_dir(spark), partition_bytes=2_000)
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == n and (n < 2000 or len(sizes) > 5 and max(sizes) < 600)
+    got = sorted((r.start, r.n_tokens) for r in w.read(manifest).collect())
+    assert [s for s, _ in got] == np.cumsum([0, *(t for _, t in got)])[:-1].tolist()
