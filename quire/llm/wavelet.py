@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import Kept, column_text, id_and_text, longs, shared_dir, slices
+from quire.llm.common import column_text, id_and_text, longs, shared_dir, slices
 from quire.llm.files import read_file, write_file
 
 MAGIC = b"QWAVE01\n"
@@ -44,6 +44,9 @@ SHARD_TOKENS = 16 << 20
 PARTITION_BYTES = 24 << 20
 #: Bytes of text encoded at once (a longer text is encoded alone).
 ENCODE_BYTES = 6 << 20
+#: Parts of texts whose ids a worker keeps, in each of two generations, and the bytes of the longest.
+KEPT_PARTS = 400_000
+LONGEST_KEPT = 48
 #: Partitions that one running sum goes over, and tasks that read files back (a task reads one file after another).
 SUM_PARTS = 1024
 READ_TASKS = 4096
@@ -274,15 +277,40 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = self.packed([END_ID])
-        self.parts = Kept(self.part, 300_000, 48)
+        self.newline = self.letters[0x0A]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def part(self, part: bytes) -> bytes:
-        if len(part) < 1000 and self.LETTERS.fullmatch(part):
-            return self.packed([t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.letters))])
-        return self.packed(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids)
+    def encode_parts(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts: from the two generations that are kept, or anew."""
+        found = list(map(self.young.get, parts))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if not missing:
+            return found
+        new = []
+        for k in missing:
+            found[k] = self.old.get(parts[k])
+            if found[k] is None:
+                new.append(k)
+        letters = [k for k in new if self.LETTERS.fullmatch(parts[k])]
+        mapped = b"\n".join([parts[k] for k in letters]).decode("latin-1").translate(self.letters).split(self.newline)
+        tokenize, flat, ends = self.model.tokenize, [], [0]
+        for word in mapped if letters else ():
+            flat += [t.id for t in tokenize(word)]
+            ends.append(len(flat) * self.dtype.itemsize)
+        ids = self.packed(flat)
+        for k, at, to in zip(letters, ends, ends[1:]):
+            found[k] = ids[at:to]
+        for k in new:
+            if found[k] is None:
+                found[k] = self.packed(self.tokenizer.encode(parts[k].decode(), add_special_tokens=False).ids)
+        if len(self.young) + len(missing) > KEPT_PARTS:
+            self.old, self.young = self.young, {}
+        self.young.update((parts[k], found[k]) for k in missing if len(parts[k]) <= LONGEST_KEPT)
+        return found
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text with the end id, as bytes."""
@@ -303,7 +331,7 @@ class Encoder:
         if len(edges) < 2:
             return [b""] * len(texts)
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        ids = pa.array(map(self.parts.__getitem__, parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
+        ids = pa.array(self.encode_parts(parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)[np.searchsorted(edges, starts)].tolist()
         found = memoryview(ids.buffers()[2]) if ids.buffers()[2] is not None else memoryview(b"")
         return [bytes(found[a:b]) for a, b in zip(ends, ends[1:])]
