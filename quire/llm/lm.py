@@ -1,122 +1,104 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Tokens are words, ASCII capitals lowered, and one end a text. Training counts tokens exactly, and pairs of tokens. A pair
-that occurs c >= 2 times has the quantised count q = floor(log2 c); the filter holds (pair, 1) to (pair, q). Probing
-(pair, 1), (pair, 2), ... until one is missing gives q back (too high with a probability of about 0.6 % a step, never too low), and the
-middle of its range as the count. A token's probability interpolates the pair's relative frequency with the smoothed token
-frequency; a token before which comes none has the texts' beginnings as history. The interpolation weight depends on the history's count, by powers
-of two, and is fitted on all training texts with their own occurrences taken out of the counts. Pairs that occur
-once are left to the token frequencies at every size of corpus.
-
-The filter and the token counts grow with the corpus, so they aren't sent through the driver. They are cut into segments of
-about SEGMENT_KEYS keys by hash and written to the shared folder, each a file of a few MB. Workers gather the distinct keys of some MB
-of text, go through the segments once, and keep the last ones read within CACHE_BYTES.
+Tokens are words, ASCII capitals lowered, and one end a text. Training counts tokens exactly, and runs of two tokens (of up to ORDER where a
+model is trained so). A run that occurs c times has the quantised count q = 1 + floor(log2 c); the filter holds (run, 1) to (run, q). Probing
+(run, 1), (run, 2), ... until one is missing gives q back (too high with a probability of about 0.6 % a step, never too low), and the
+middle of its range as the count. A token's probability interpolates the run's frequency relative to its history with the probability by the
+shorter run, down to the smoothed token frequency; the first token of a text has the texts' beginnings as history. The weights depend on the
+history's count, by powers of two, and are fitted on all training texts, each with its own occurrences taken out of the counts.
+
+The filter grows with the corpus, so it is neither broadcast nor sent through the driver: probes go to it. Texts are cut into slices of
+some MB. A slice's tokens are written to a file in the shared folder; its distinct keys, sorted, go by shuffle to the segments of
+the key space, a row for each slice and segment. A task adds a segment's counts up, builds the segment's filter, writes it, probes
+it for each distinct key once, and sends each slice the answers for its keys; another shuffle brings a slice's answers together. So every
+key moves once each way and nothing is read more often as the corpus grows. The number of segments follows the number of keys
+that are sent, so that a segment is some tens of MB at any size. A key that all slices have adds a row's entry a slice to its segment.
 
 Defined cases: null and empty texts are one end; a null doc_id is a training row; without training rows all probabilities are those
 of the base formula (log 0 never occurs); repeated rows count and are scored each; an empty table gives no rows; extra columns
-are ignored. Keys are 63-bit hashes of words and pairs.
+are ignored; a long text is a slice of its own, whole, in memory of some ten times its bytes. Keys are 62-bit hashes of words and runs.
 """
 
 from __future__ import annotations
 
 import struct
-from collections import OrderedDict
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import column_bytes, id_and_text, longs, mix64, shared_dir, slices, written
 from quire.llm.files import read_file, write_file
 
-SEGMENT_KEYS = 500_000
-CACHE_BYTES = 96 << 20
+#: Longest run of tokens in the filter.
+ORDER = 2
+#: Bytes of text in a slice; keys, as sent by slices, in a segment.
+SLICE_TEXT = 8 << 20
+SEGMENT_KEYS = 1_500_000
+#: Most tasks that go over the slices.
+TASKS = 20_000
 BITS_PER_ITEM = 12
 PROBES = 4
 MOST_LEVELS = 48
-SWEEP_BYTES = 3 << 20
-#: Distinct keys that a counting task holds before it hands them on.
-HELD_KEYS = 800_000
 END = xxhash.xxh64_intdigest(b"\n", 11)
 START = xxhash.xxh64_intdigest(b"\n\n", 11)
+KIND = np.uint64(3)
+
+_LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the tokens of the texts, one after another, tokens of each)."""
-    split = [t.lower().split() for t in texts]
-    n = np.fromiter((len(ws) + 1 for ws in split), np.int64, len(split))
-    flat = []
-    for ws in split:
-        flat += ws
-        flat.append(b"\n")  # no word has it
-    encoded = pa.array(flat, pa.large_binary()).dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in encoded.dictionary.to_pylist()), np.uint64)
-    return hashes[np.asarray(encoded.indices)] if len(flat) else np.zeros(0, np.uint64), n
-
-
-def token_keys(hashes: np.ndarray) -> np.ndarray:
-    return hashes & ~np.uint64(1)
-
-
-def pair_keys(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[np.cumsum(n) - n] = START
-    with np.errstate(over="ignore"):
-        return mix64(before * np.uint64(0x9E3779B97F4A7C15) ^ mix64(hashes)) | np.uint64(1)
-
-
-def _tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k)
-    k, c = k[order], c[order]
-    heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[heads], np.add.reduceat(c, heads) if len(k) else c
-
-
-def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> (key, n): tokens and pairs of a task, summed as far as they are held at once."""
-    keys: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        whole = pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], names=["key", "n"])
-        yield from (whole.slice(at, 100_000) for at in range(0, whole.num_rows, 100_000))
-
-    for batch in slices(batches):
-        h, n = tokens(column_bytes(batch))
-        for k in (token_keys(h), pair_keys(h, n)):
-            u, c = np.unique(k, return_counts=True)
-            keys.append(u)
-            counts.append(c.astype(np.int64))
-        if sum(map(len, keys)) > HELD_KEYS:
-            k, c = _tally(keys, counts)
-            keys, counts = [k], [c]
-            if len(k) > HELD_KEYS // 2:
-                yield from out()
-                keys, counts = [], []
-    if keys:
-        k, c = _tally(keys, counts)
-        keys, counts = [k], [c]
-        yield from out()
-    pa.default_memory_pool().release_unused()
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct tokens, the place there of each token of the texts, one after another, tokens of each text)."""
+    # each text becomes its words and "\n" as a part of its own: words and gaps alternate once every text ends with one gap
+    data = b"".join([b"\n".join([b"", *texts]), b"\n"]).translate(_LOWER)
+    u = np.frombuffer(data, np.uint8)
+    gap = _GAP[u]
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    offsets = np.concatenate([[0], edges, [len(u)]])  # begins and ends with a gap
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    words = parts.take(pa.array(np.arange(1, len(offsets) - 1, 2))).dictionary_encode()
+    ends = np.cumsum([len(t) + 1 for t in texts])  # of texts, in data
+    upto = np.searchsorted(offsets[1::2], ends) if len(offsets) > 2 else np.zeros(len(texts), np.int64)  # words that start before each end
+    n = np.diff(upto, prepend=0) + 1
+    place = np.insert(np.asarray(words.indices, dtype=np.int64), upto, len(words.dictionary))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in [*words.dictionary.to_pylist(), b"\n"]), np.uint64)
+    return hashes, place, n
+
+
+def run_keys(h: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
+    """For lengths 2 to `order`, the key of the run that ends at each token. At a text's first token all runs are (START, token)."""
+    heads = np.cumsum(n) - n
+    mixed, before, out = mix64(h), h, []
+    for length in range(2, order + 1):
+        last = np.empty_like(h)
+        last[1:] = before[:-1]
+        last[heads] = START
+        with np.errstate(over="ignore"):
+            before = mix64(last * np.uint64(0x9E3779B97F4A7C15) ^ mixed) & ~KIND | np.uint64(length - 1)
+        out.append(before)
+    return out
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """Quantised counts, 0 below 2."""
-    return np.where(counts >= 2, np.floor(np.log2(np.maximum(counts, 1) + 0.5)), 0).astype(np.int64)
+    """Quantised counts, 0 for none."""
+    return np.where(counts >= 1, 1 + np.floor(np.log2(np.maximum(counts, 1) * (1 + 1e-12))), 0).astype(np.int64)
 
 
 def middle(q: np.ndarray) -> np.ndarray:
-    return np.where(q > 0, 1.5 * 2.0**q - 0.5, 0.0)
+    return np.where(q > 0, 1.5 * 2.0 ** (q - 1) - 0.5, 0.0)
 
 
 def _places(keys: np.ndarray, level: np.ndarray | int, bits: int) -> Iterator[np.ndarray]:
@@ -132,17 +114,16 @@ class Segment:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, filter_bits: np.ndarray):
         self.keys, self.counts, self.filter = keys, counts, filter_bits
-        self.size = keys.nbytes + counts.nbytes + filter_bits.nbytes
 
     @classmethod
     def build(cls, keys: np.ndarray, counts: np.ndarray) -> Segment:
-        token = keys & np.uint64(1) == 0
+        token = keys & KIND == 0
         order = np.argsort(keys[token])
-        pairs, q = keys[~token], levels(counts[~token])
+        runs, q = keys[~token], levels(counts[~token])
         bits = max(64, -(-BITS_PER_ITEM * int(q.sum()) // 64) * 64)
         filled = np.zeros(bits // 8, np.uint8)
         for level in range(1, int(q.max(initial=0)) + 1):
-            for at in _places(pairs[q >= level], level, bits):
+            for at in _places(runs[q >= level], level, bits):
                 np.bitwise_or.at(filled, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         return cls(keys[token][order], counts[token][order], filled)
 
@@ -161,7 +142,7 @@ class Segment:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.counts[at], 0).astype(np.int64)
 
-    def pair_levels(self, keys: np.ndarray) -> np.ndarray:
+    def run_levels(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts, by probing level after level."""
         out = np.zeros(len(keys), np.int64)
         there = np.arange(len(keys))
@@ -175,104 +156,267 @@ class Segment:
             out[there] = level
         return out
 
+    def answers(self, keys: np.ndarray) -> np.ndarray:
+        """Of distinct keys: a token's count, a run's quantised count."""
+        token = keys & KIND == 0
+        out = np.empty(len(keys), np.int64)
+        out[token], out[~token] = self.token_counts(keys[token]), self.run_levels(keys[~token])
+        return out
+
+
+# ---------------------------------------------------------------- arrays in rows and files
+
 
-_cache: OrderedDict[str, Segment] = OrderedDict()
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers, in bytes of the least width and byte by byte of equal weight, compressed."""
+    most = int(numbers.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    planes = numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def segment(path: str) -> Segment:
-    """A segment from the shared folder; a worker keeps the last ones within CACHE_BYTES."""
-    if path in _cache:
-        _cache.move_to_end(path)
-        return _cache[path]
-    found = _cache[path] = Segment.of_bytes(read_file(path))
-    while len(_cache) > 1 and sum(s.size for s in _cache.values()) > CACHE_BYTES:
-        _cache.popitem(last=False)
-    return found
+def unpack(data: bytes | memoryview) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(f"<u{data[0]}").astype(np.uint64)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes | memoryview) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+class Slice:
+    """Some MB of texts as tokens: hashes and places, the texts' tokens and doc_ids, and which are held out."""
+
+    def __init__(self, hashes, place, n, doc_ids, known, held):
+        self.hashes, self.place, self.n, self.doc_ids, self.known, self.held = hashes, place, n, doc_ids, known, held
+
+    def to_bytes(self) -> bytes:
+        fields = [pack(x) for x in (self.hashes, self.place, self.n, self.doc_ids.view(np.uint64), self.known, self.held)]
+        return struct.pack("<6Q", *map(len, fields)) + b"".join(fields)
+
+    @classmethod
+    def of_bytes(cls, data: memoryview) -> Slice:
+        ends = 48 + np.cumsum([0, *struct.unpack("<6Q", data[:48])])
+        hashes, place, n, doc_ids, known, held = (unpack(data[a:b]) for a, b in zip(ends, ends[1:]))
+        return cls(hashes, place.astype(np.int64), n.astype(np.int64), doc_ids.view(np.int64), known.astype(bool), held.astype(bool))
+
+    def keys(self, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(the slice's distinct keys, sorted; for tokens and each length of run the place there of each token's key; times that a key occurs in training texts)."""
+        h = self.hashes[self.place]
+        train = np.repeat(~self.held, self.n)
+        found = []
+        for k in [None, *run_keys(h, self.n, order)]:
+            if k is None:
+                u, at = np.unique(self.hashes & ~KIND, return_inverse=True)
+                at = at[self.place]
+            else:
+                u, at = np.unique(k, return_inverse=True)
+            found.append((u, at, np.bincount(at[train], minlength=len(u))))
+        every = np.concatenate([u for u, _, _ in found])
+        by_key = np.argsort(every)
+        rank = np.empty_like(by_key)
+        rank[by_key] = np.arange(len(by_key))
+        ranks = np.split(rank, np.cumsum([len(u) for u, _, _ in found])[:-1])
+        return every[by_key], [r[at] for r, (_, at, _) in zip(ranks, found, strict=True)], np.concatenate([c for _, _, c in found])[by_key]
+
+
+@dataclass(frozen=True)
+class Sliced:
+    """Texts in slices: table has slice, path, keys, texts (training texts); the files are in the shared folder."""
+
+    table: DataFrame
+    n: int
+    keys: int
+    texts: int
+    order: int
+
+
+def sliced(docs: DataFrame, order: int = ORDER) -> Sliced:
+    docs = id_and_text(docs)
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/slices"
+    names = ["slice", "path", "keys", "texts"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, most=SLICE_TEXT):
+            ids = longs(batch)
+            held = batch.column(batch.schema.get_field_index("held")).to_numpy(zero_copy_only=False).astype(bool)
+            one = Slice(*tokens(column_bytes(batch)), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), held)
+            path = f"{folder}/{number:016x}-{uuid.uuid4().hex}"
+            write_file(path, one.to_bytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, path, len(one.keys(order)[0]), int((~held).sum()))], names=names)
+            number += 1
+
+    table = written(docs.withColumn("held", held_out(F.col("doc_id"))).mapInArrow(cut, "slice long, path string, keys long, texts long"), "slices")
+    zero = F.lit(0)
+    sums = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("keys"), zero).alias("keys"), F.coalesce(F.sum("texts"), zero).alias("texts")).first()
+    return Sliced(table, sums.n, sums["keys"], sums.texts, order)
+
+
+def sent(texts: Sliced, segments: int) -> DataFrame:
+    """segment, slice, keys, counts: each slice's keys by segment of the key space."""
+    order = texts.order
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys, _, counts = Slice.of_bytes(read_file(path)).keys(order)
+                segment = ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+                heads = np.flatnonzero(np.diff(segment, prepend=-1))
+                rows = [(int(segment[a]), number, pack_sorted(keys[a:b]), pack(counts[a:b])) for a, b in zip(heads, [*heads[1:], len(keys)])]
+                for at in range(0, len(rows), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["segment", "slice", "keys", "counts"])
+
+    dealt = texts.table.select("slice", "path").repartitionByRange(max(1, min(texts.n, TASKS)), "slice")
+    return dealt.mapInArrow(send, "segment long, slice long, keys binary, counts binary")
+
+
+ANSWERS = "slice long, segment long, answers binary, path string, tokens long, distinct long"
+
+
+def _answered(segment: int, built: Segment | None, asked: pa.Table, folder: str = "") -> pa.Table:
+    """The answers of a segment to the slices that ask it; builds it from their counts, and writes it, if there is none yet."""
+    parts = [unpack_sorted(k) for k in asked["keys"].to_pylist()]
+    keys, at = np.unique(np.concatenate(parts), return_inverse=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    path = tokens_in = distinct = None
+    if built is None:
+        counts = np.zeros(len(keys), np.int64)
+        ends = np.cumsum([0, *map(len, parts)])
+        for a, b, c in zip(ends, ends[1:], asked["counts"].to_pylist()):
+            counts[at[a:b]] += unpack(c).astype(np.int64)  # a slice has a key once
+        there = counts > 0
+        built = Segment.build(keys[there], counts[there])
+        path = f"{folder}/segment-{segment:08d}"
+        write_file(path, built.to_bytes())
+        tokens_in, distinct = int(built.counts.sum()), len(built.keys)
+    found = built.answers(keys)[at].astype(np.uint64)
+    ends = np.cumsum([0, *map(len, parts)])
+    blobs = [pack(found[a:b]) for a, b in zip(ends, ends[1:])]
+    once = lambda x: pa.array([x] + [None] * (len(blobs) - 1), pa.string() if isinstance(x, str) else pa.int64())
+    if not blobs:
+        return pa.Table.from_batches([], _ANSWERS)
+    columns = [pa.array(asked["slice"].to_pylist(), pa.int64()), pa.array([segment] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()), once(path).cast(pa.string()), once(tokens_in), once(distinct)]
+    return pa.table(columns, schema=_ANSWERS)
+
+
+_ANSWERS = pa.schema([("slice", pa.int64()), ("segment", pa.int64()), ("answers", pa.binary()), ("path", pa.string()), ("tokens", pa.int64()), ("distinct", pa.int64())])
 
 
 @dataclass(frozen=True)
 class Model:
-    folder: str
     segments: int
-    present: frozenset[int]
+    files: DataFrame  # segment, path
     tokens: int
     distinct: int
     texts: int
-    weights: tuple[float, ...]  # of the pair's frequency, by log2 of the history's count
-
-    def look_up(self, token: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(counts of distinct token keys, quantised counts of distinct pair keys), in one sweep over the segments."""
-        counts, q = np.zeros(len(token), np.int64), np.zeros(len(pair), np.int64)
-        place = lambda k: (k >> np.uint64(1)) % np.uint64(self.segments)
-        token_in, pair_in = place(token), place(pair)
-        by_token, by_pair = np.argsort(token_in, kind="stable"), np.argsort(pair_in, kind="stable")
-        token_in, pair_in = token_in[by_token], pair_in[by_pair]
-        for s in sorted(self.present):
-            t = by_token[np.searchsorted(token_in, s) : np.searchsorted(token_in, s, side="right")]
-            p = by_pair[np.searchsorted(pair_in, s) : np.searchsorted(pair_in, s, side="right")]
-            if len(t) or len(p):
-                found = segment(f"{self.folder}/segment-{s:06d}")
-                counts[t], q[p] = found.token_counts(token[t]), found.pair_levels(pair[p])
-        return counts, q
-
-    def facts(self, texts: list[bytes], own: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens of each text; for each token: count, smoothed probability, pair's relative frequency, bucket of its history).
+    order: int
+    weights: tuple[tuple[float, ...], ...]  # of runs' relative frequencies: for lengths from 2 on, by log2 of the history's count
+    of: Sliced | None = field(default=None, compare=False)  # the texts that were counted, and the answers to them
+    answers: DataFrame | None = field(default=None, compare=False)
 
-        own: times that each occurrence is taken out of the counts."""
-        h, n = tokens(texts)
-        token, token_at = np.unique(token_keys(h), return_inverse=True)
-        pair, pair_at = np.unique(pair_keys(h, n), return_inverse=True)
-        c_of, q_of = self.look_up(token, pair)
-        c = c_of[token_at]
-        history = np.empty_like(c)
-        history[1:] = c[:-1]
-        history[np.cumsum(n) - n] = self.texts
-        together = np.maximum(middle(q_of[pair_at]) - own, 0)
-        history = np.maximum(history - own, 0)
-        share = np.where(history > 0, np.minimum(together, history) / np.maximum(history, 1), 0.0)
-        bucket = np.where(history > 0, np.log2(np.maximum(history, 1)).astype(np.int64) + 1, 0)
-        smoothed = (np.maximum(c - own, 0) + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
-        return n, c, smoothed, share, np.minimum(bucket, MOST_LEVELS - 1)
+    def asked(self, texts: Sliced) -> DataFrame:
+        """slice, segment, answers."""
+        if texts is self.of:
+            return self.answers
 
+        def answer(asked: pa.Table, files: pa.Table) -> pa.Table:
+            if not asked.num_rows:
+                return pa.Table.from_batches([], _ANSWERS)
+            empty = Segment.build(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            built = Segment.of_bytes(read_file(files["path"][0].as_py())) if files.num_rows else empty
+            return _answered(asked["segment"][0].as_py(), built, asked)
 
-def train(docs: DataFrame) -> Model:
-    docs = id_and_text(docs)
-    spark = docs.sparkSession
-    known = docs.where(~held_out(F.col("doc_id")))
-    counted = known.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    is_token = F.col("key").bitwiseAND(F.lit(1)) == 0
-    kept = written(counted.where(is_token | (F.col("n") >= 2)), "counts")
-    size = kept.agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.when(is_token, F.col("n"))), F.lit(0)).alias("tokens"), F.count(F.when(is_token, 1)).alias("distinct")).first()
-    texts = known.select("doc_id").count()
-    segments = max(1, -(-size["keys"] // SEGMENT_KEYS))
-    folder = f"{shared_dir(spark)}/filter"
-
-    def build(key: tuple, group: pa.Table) -> pa.Table:
-        s = key[0].as_py()
-        data = Segment.build(group["key"].to_numpy().view(np.uint64), group["n"].to_numpy()).to_bytes()
-        write_file(f"{folder}/segment-{s:06d}", data)
-        return pa.table({"segment": pa.array([s], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
-
-    cut = kept.select(F.pmod(F.shiftrightunsigned("key", 1), F.lit(segments)).alias("segment"), "key", "n")
-    made = cut.groupBy("segment").applyInArrow(build, "segment long, bytes long")
-    present = frozenset(r.segment for r in written(made, "segments").collect())
-    model = Model(folder, segments, present, int(size["tokens"]), int(size["distinct"]), texts, (0.0,) * MOST_LEVELS)
-    return Model(**{**model.__dict__, "weights": fit(model, known)})
-
-
-def fit(model: Model, known: DataFrame, rounds: int = 60) -> tuple[float, ...]:
-    """Interpolation weights by EM on all training texts, each without its own occurrences.
-
-    Tokens enter as numbers by (bucket, eighth-octave of the ratio of the two probabilities), some hundred rows.
+        both = sent(texts, self.segments).groupBy("segment").cogroup(self.files.groupBy("segment"))
+        return both.applyInArrow(answer, ANSWERS).select("slice", "segment", "answers")
+
+    def plain(self) -> Model:
+        """The same numbers without tables: what tasks need."""
+        return replace(self, files=None, of=None, answers=None)
+
+    def facts(self, one: Slice, answers: list[bytes], own: int = 0) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(counts; smoothed probabilities; for each length of run its relative frequency and its history's bucket), for each token.
+
+        own: times that each occurrence is taken out of the counts."""
+        _, places, _ = one.keys(self.order)
+        found = np.concatenate([unpack(a) for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
+        c = found[places[0]]
+        heads = np.cumsum(one.n) - one.n
+        smoothed = (np.maximum(c - own, 0) + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
+        runs, before = [], c.astype(float)
+        for at in places[1:]:
+            history = np.empty_like(before)
+            history[1:] = before[:-1]
+            history[heads] = self.texts
+            before = middle(found[at])
+            together, history = np.maximum(before - own, 0), np.maximum(history - own, 0)
+            share = np.where(history > 0, np.minimum(together, history) / np.maximum(history, 0.5), 0.0)
+            bucket = np.where(history > 0, np.log2(np.maximum(history, 1)).astype(np.int64) + 1, 0)
+            runs.append((share, np.minimum(bucket, MOST_LEVELS - 1)))
+        return c, smoothed, runs
+
+    def probability(self, smoothed: np.ndarray, runs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        p = smoothed
+        for w, (share, bucket) in zip(self.weights, runs):
+            by = np.array(w)[bucket]
+            p = (1 - by) * p + by * share
+        return p
+
+
+def _per_slice(texts: Sliced, answers: DataFrame, f, schema: str) -> DataFrame:
+    """f(slice, its answers in order of segments) over all slices."""
+
+    def one(table: pa.Table, found: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return f(None, [])
+        return f(Slice.of_bytes(read_file(table["path"][0].as_py())), found.sort_by("segment")["answers"].to_pylist())
+
+    return texts.table.select("slice", "path").groupBy("slice").cogroup(answers.select("slice", "segment", "answers").groupBy("slice")).applyInArrow(one, schema)
+
+
+def train(docs: DataFrame | Sliced, order: int = ORDER) -> Model:
+    texts = docs if isinstance(docs, Sliced) else sliced(docs, order)
+    segments = max(1, -(-texts.keys // SEGMENT_KEYS))
+    folder = f"{shared_dir(texts.table.sparkSession)}/filter"
+
+    def build(key: tuple, asked: pa.Table) -> pa.Table:
+        return _answered(key[0].as_py(), None, asked, folder)
+
+    answers = written(sent(texts, segments).groupBy("segment").applyInArrow(build, ANSWERS), "answers")
+    zero = F.lit(0)
+    sums = answers.agg(F.coalesce(F.sum("tokens"), zero).alias("tokens"), F.coalesce(F.sum("distinct"), zero).alias("distinct")).first()
+    files = answers.where("path is not null").select("segment", "path")
+    model = Model(segments, files, sums.tokens, sums["distinct"], texts.texts, texts.order, (), texts, answers.select("slice", "segment", "answers"))
+    for _ in range(2, texts.order + 1):
+        model = replace(model, weights=(*model.weights, fit(model)))
+    return model
+
+
+def fit(model: Model, rounds: int = 60) -> tuple[float, ...]:
+    """The weights of the shortest runs that have none yet, by EM on all training texts, each without its own occurrences.
+
+    Tokens enter as numbers by (bucket, eighth-octave of the ratio of the run's frequency to the probability by shorter runs), some hundred rows.
     """
-    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SWEEP_BYTES):
-            _, _, smoothed, share, bucket = model.facts(column_bytes(batch), own=1)
-            ratio = np.where(share > 0, np.round(8 * np.log2(np.maximum(share, 1e-300) / smoothed)), -10_000).astype(np.int64)
-            pairs, n = np.unique(np.stack([bucket, ratio]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n)], names=["bucket", "ratio", "n"])
-
-    rows = known.mapInArrow(ratios, "bucket long, ratio long, n long").groupBy("bucket", "ratio").agg(F.sum("n").alias("n")).collect()
+    plain = model.plain()
+    schema = pa.schema([("bucket", pa.int64()), ("ratio", pa.int64()), ("n", pa.int64())])
+
+    def ratios(one: Slice | None, answers: list[bytes]) -> pa.Table:
+        if one is None:
+            return schema.empty_table()
+        _, smoothed, runs = plain.facts(one, answers, own=1)
+        share, bucket = runs[len(plain.weights)]
+        train = np.repeat(~one.held, one.n)
+        shorter = plain.probability(smoothed, runs)[train]
+        share, bucket = share[train], bucket[train]
+        ratio = np.where(share > 0, np.round(8 * np.log2(np.maximum(share, 1e-300) / shorter)), -10_000).astype(np.int64)
+        code, n = np.unique(bucket << 32 | (ratio + (1 << 20)), return_counts=True)
+        return pa.table([pa.array(code >> 32), pa.array((code & 0xFFFFFFFF) - (1 << 20)), pa.array(n.astype(np.int64))], schema=schema)
+
+    rows = _per_slice(model.of, model.answers, ratios, "bucket long, ratio long, n long").groupBy("bucket", "ratio").agg(F.sum("n").alias("n")).collect()
     out = [0.0] * MOST_LEVELS
     for b in {r.bucket for r in rows if r.bucket > 0}:
         r = np.array([0.0 if x.ratio == -10_000 else 2.0 ** (x.ratio / 8) for x in rows if x.bucket == b])
@@ -284,23 +428,25 @@ def fit(model: Model, known: DataFrame, rounds: int = 60) -> tuple[float, ...]:
     return tuple(out)
 
 
-SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame | Sliced, model: Model) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
-    weights = np.array(model.weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SWEEP_BYTES):
-            n, c, smoothed, share, bucket = model.facts(column_bytes(batch))
-            w = weights[bucket]
-            heads = np.cumsum(n) - n
-            total = lambda x: np.add.reduceat(x, heads)  # noqa: E731  each text has a token
-            yield pa.RecordBatch.from_arrays(
-                [longs(batch), pa.array(n), pa.array(total((c > 0).astype(np.int64))), pa.array(total(np.log10(smoothed))), pa.array(total(np.log10((1 - w) * smoothed + w * share)))],
-                names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
-            )
-
-    out = id_and_text(docs).mapInArrow(run, SCHEMA)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    texts = docs if isinstance(docs, Sliced) else sliced(docs, model.order)
+    plain = model.plain()
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def scores(one: Slice | None, answers: list[bytes]) -> pa.Table:
+        if one is None:
+            return schema.empty_table()
+        c, smoothed, runs = plain.facts(one, answers)
+        heads = np.cumsum(one.n) - one.n
+        total = lambda x: np.add.reduceat(x, heads)  # noqa: E731  each text has a token
+        return pa.table(
+            [pa.array(one.doc_ids, mask=~one.known), pa.array(one.held), pa.array(one.n), pa.array(total((c > 0).astype(np.int64))), pa.array(total(np.log10(smoothed))), pa.array(total(np.log10(plain.probability(smoothed, runs))))],
+            schema=schema,
+        )
+
+    out = _per_slice(texts, model.asked(texts), scores, SCHEMA)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

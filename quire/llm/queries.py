@@ -33,8 +33,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs))
+    texts = lm.sliced(table(spark, sf_dir, "documents"))
+    return lm.score(texts, lm.train(texts))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

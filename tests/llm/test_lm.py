@@ -18,51 +18,75 @@ def out(doc_id):
 
 
 def brute(rows, weights):
-    """doc_id -> columns, from exact counts of tokens and pairs."""
+    """Columns by row, from exact counts of tokens and runs; weights: for runs of two tokens, three, ... by the history's count."""
     train = [t for d, t in rows if not out(d)]
-    uni, pairs = Counter(), Counter()
+    counts = Counter()
     for t in train:
-        ws = toks(t)
-        uni.update(ws)
-        pairs.update(zip([0, *ws], ws))
-    n, v = sum(uni.values()), len(uni)
+        ws = [0, *toks(t)]
+        counts.update((w,) for w in ws[1:])
+        for size in range(2, len(weights) + 2):
+            counts.update(tuple(ws[max(0, i - size + 1) : i + 1]) + (size,) for i in range(1, len(ws)))
+    n, v = sum(c for k, c in counts.items() if len(k) == 1), sum(len(k) == 1 for k in counts)
+    mid = lambda c: 1.5 * 2 ** int(math.log2(c)) - 0.5 if c else 0
     result = []
     for d, t in rows:
-        ws = toks(t)
+        ws = [0, *toks(t)]
         base = score = 0.0
-        for h, w in zip([0, *ws], ws):
-            p = (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+        for i in range(1, len(ws)):
+            p = (counts[ws[i],] + 0.1) / (n + 0.1 * (v + 1))
             base += math.log10(p)
-            c, ch = pairs[h, w], len(train) if h == 0 else uni[h]
-            mid = 1.5 * 2 ** int(math.log2(c)) - 0.5 if c >= 2 else 0
-            lam = weights[int(math.log2(ch)) + 1] if ch else 0
-            score += math.log10((1 - lam) * p + lam * (min(mid, ch) / ch if ch else 0))
-        result.append((d, out(d), len(ws), sum(uni[w] > 0 for w in ws), n, base, score))
+            for size, by in enumerate(weights, 2):
+                c = mid(counts[tuple(ws[max(0, i - size + 1) : i + 1]) + (size,)])
+                if i == 1:
+                    h = len(train)
+                else:
+                    h = counts[ws[i - 1],] if size == 2 else mid(counts[tuple(ws[max(0, i - size + 1) : i]) + (size - 1,)])
+                lam = by[int(math.log2(max(h, 1))) + 1] if h else 0
+                p = (1 - lam) * p + lam * (min(c, h) / h if h else 0)
+            score += math.log10(p)
+        result.append((d, out(d), len(ws) - 1, sum(counts[w,] > 0 for w in ws[1:]), n, base, score))
     return result
 
 
-@pytest.mark.parametrize("segment_keys", [lm.SEGMENT_KEYS, 7_000])
-def test_against_brute_force(spark, sf, monkeypatch, segment_keys):
+@pytest.mark.parametrize(("segment_keys", "slice_text", "order"), [(lm.SEGMENT_KEYS, lm.SLICE_TEXT, lm.ORDER), (7_000, 50_000, 2), (30_000, 200_000, 3)])
+def test_against_brute_force(spark, sf, monkeypatch, segment_keys, slice_text, order):
     monkeypatch.setattr(lm, "SEGMENT_KEYS", segment_keys)
-    texts = [None, "", "The the THE", "x" * 40_000, "é É ü", "same again", "same again", "a b " * 4000]
+    monkeypatch.setattr(lm, "SLICE_TEXT", slice_text)
+    texts = [None, "", "The the THE", "x" * 40_000, "é É ü", "same again", "same again", "a b " * 4000, " \t", "a\x0bb\x1cc\x85d"]
     docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id + 100 doc_id", "text", "1 score")
     docs = docs.unionByName(spark.createDataFrame([(i or None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, score int"))
-    model = lm.train(docs)
+    prepared = lm.sliced(docs, order)
+    model = lm.train(prepared)
     key = lambda r: (r[0] is not None, r[0] or 0)
-    got = sorted((tuple(r) for r in lm.score(docs, model).collect()), key=key)
+    got = sorted((tuple(r) for r in lm.score(prepared, model).collect()), key=key)
     want = sorted(brute([(r.doc_id, r.text) for r in docs.collect()], model.weights), key=key)
-    assert len(got) == len(want) and (model.segments > 1) == (segment_keys < 10_000)
+    assert len(got) == len(want) and (model.segments > 1) == (segment_keys < 100_000) and len(model.weights) == order - 1
     for g, w in zip(got, want):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9)
-        # the filter may find a pair that isn't there, or one too often, but never misses one
-        assert g[6] >= w[6] - 1e-6 * abs(w[6])
+    # the filter may find a run that isn't there, or one too often, but never misses one
+    if order == 2:
+        assert all(g[6] >= w[6] - 1e-6 * abs(w[6]) for g, w in zip(got, want))
     assert sum(g[6] for g in got) == pytest.approx(sum(w[6] for w in want), rel=0.02)
-    assert sum(g[6] == pytest.approx(w[6], rel=0.01) for g, w in zip(got, want)) >= 0.8 * len(got)
+    # a longer run brings a filter probe more, and its history another
+    assert sum(g[6] == pytest.approx(w[6], rel=0.01 * (order - 1)) for g, w in zip(got, want)) >= 0.8 * len(got)
+    # other texts ask the same filter; the same texts get the same scores that way
+    again = sorted((tuple(r) for r in lm.score(docs, model).collect()), key=key)
+    assert [r[:5] for r in again] == [r[:5] for r in got] and [r[6] for r in again] == pytest.approx([r[6] for r in got])
+
+
+def test_single_pairs_count(spark):
+    """A pair that occurs once is held: its text scores higher than one of the same words in other pairs."""
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "gamma alpha delta beta epsilon"), (3, "zeta " * 50)], "doc_id long, text string")
+    model = lm.train(docs)
+    model = lm.replace(model, weights=((0.5,) * lm.MOST_LEVELS,))
+    seen, mixed = (lm.score(spark.createDataFrame([(1, t)], "doc_id long, text string"), model).first().score for t in ("alpha beta gamma", "gamma beta alpha"))
+    assert seen > mixed
 
 
 def test_pairs_help_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = [r for r in lm.score(docs, lm.train(docs)).collect() if r.held_out]
+    texts = lm.sliced(docs)
+    rows = [r for r in lm.score(texts, lm.train(texts)).collect() if r.held_out]
     assert len(rows) > 50 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
@@ -71,12 +95,23 @@ def test_filter_never_counts_too_low():
     keys = rnd.integers(0, 1 << 63, 30_000).astype(np.uint64)
     counts = np.minimum(rnd.zipf(1.5, len(keys)), 100_000).astype(np.int64)
     seg = lm.Segment.of_bytes(memoryview(lm.Segment.build(keys, counts).to_bytes()))
-    pair = keys & np.uint64(1) == 1
-    assert (seg.token_counts(keys[~pair]) == counts[~pair]).all()
-    q = seg.pair_levels(keys[pair])
-    assert (q >= lm.levels(counts[pair])).all() and (q > lm.levels(counts[pair])).mean() < 0.02
+    run = keys & lm.KIND != 0
+    assert (seg.token_counts(keys[~run]) == counts[~run]).all()
+    q = seg.run_levels(keys[run])
+    assert (q >= lm.levels(counts[run])).all() and (q > lm.levels(counts[run])).mean() < 0.02
     other = rnd.integers(0, 1 << 63, 30_000).astype(np.uint64) | np.uint64(1)
-    assert (seg.pair_levels(other) > 0).mean() < 0.02
+    assert (seg.run_levels(other) > 0).mean() < 0.02
+
+
+def test_levels_at_powers_of_two():
+    counts = np.array([0, 1, 2, 3, 4, 7, 8, *(2**k + d for k in range(4, 47) for d in (-1, 0, 1))])
+    assert lm.levels(counts).tolist() == [int(c).bit_length() for c in counts]
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [255, 3], [256, 1], [1 << 40, 5], [(1 << 64) - 1, 0]])
+def test_packed_numbers(numbers):
+    assert lm.unpack(lm.pack(np.array(numbers, np.uint64))).tolist() == numbers
+    assert lm.unpack_sorted(lm.pack_sorted(np.sort(np.array(numbers, np.uint64)))).tolist() == sorted(numbers)
 
 
 def test_no_training_rows_and_empty_table(spark):
