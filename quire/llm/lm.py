@@ -93,8 +93,8 @@ def run_keys(h: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """Quantised counts, 0 for none."""
-    return np.where(counts >= 1, 1 + np.floor(np.log2(np.maximum(counts, 1) * (1 + 1e-12))), 0).astype(np.int64)
+    """Quantised counts, 0 for none: a number's length in bits."""
+    return np.frexp(counts.astype(float))[1].astype(np.int64)
 
 
 def middle(q: np.ndarray) -> np.ndarray:
