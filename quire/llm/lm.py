@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_bytes, id_and_text, longs, mix64, shared_dir, slices, written
+from quire.llm.common import column_bytes, id_and_text, longs, mix64, shared_dir, slices, words, written
 from quire.llm.files import read_file, write_file
 
 #: Longest run of tokens in the filter.
@@ -51,10 +51,6 @@ END = xxhash.xxh64_intdigest(b"\n", 11)
 START = xxhash.xxh64_intdigest(b"\n\n", 11)
 KIND = np.uint64(3)
 
-_LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
-_GAP = np.zeros(256, bool)
-_GAP[[0x20, *range(0x09, 0x0E)]] = True
-
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
@@ -62,20 +58,9 @@ def held_out(doc_id: Column) -> Column:
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct tokens, the place there of each token of the texts, one after another, tokens of each text)."""
-    # each text becomes its words and "\n" as a part of its own: words and gaps alternate once every text ends with one gap
-    data = b"".join([b"\n".join([b"", *texts]), b"\n"]).translate(_LOWER)
-    u = np.frombuffer(data, np.uint8)
-    gap = _GAP[u]
-    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    offsets = np.concatenate([[0], edges, [len(u)]])  # begins and ends with a gap
-    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
-    words = parts.take(pa.array(np.arange(1, len(offsets) - 1, 2))).dictionary_encode()
-    ends = np.cumsum([len(t) + 1 for t in texts])  # of texts, in data
-    upto = np.searchsorted(offsets[1::2], ends) if len(offsets) > 2 else np.zeros(len(texts), np.int64)  # words that start before each end
-    n = np.diff(upto, prepend=0) + 1
-    place = np.insert(np.asarray(words.indices, dtype=np.int64), upto, len(words.dictionary))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in [*words.dictionary.to_pylist(), b"\n"]), np.uint64)
-    return hashes, place, n
+    distinct, place, n, _ = words(texts)
+    place = np.insert(place, np.cumsum(n), len(distinct))  # the end, which no word equals
+    return np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in [*distinct, b"\n"]), np.uint64), place, n + 1
 
 
 def run_keys(h: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:

@@ -1,22 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: insult (four strengths), threat, target, negation, report, other. A clause, which ends at a punctuation
-mark or a line's end, passes through a cascade of letter-to-letter transducers, composed into one machine:
+Words, parted by white space, become symbols: insult (four strengths), threat, target, negation, report, other. A clause, which ends
+at a punctuation mark or a newline, passes through a cascade of letter-to-letter transducers. The first reads it from its end:
+  addressed  an insult or threat with a person within four words after it becomes its targeted form
+What it writes, a machine composed of the others reads from the beginning:
   negation   an insult or threat within three words after a negation becomes its negated form
   report     one after a verb of reporting or an opening quotation mark in the same clause becomes its reported form
-  target     one with a person addressed within four words before it becomes its targeted form
+  target     one with a person within four words before it becomes its targeted form
   score      writes each form's weight
-so `you are an idiot` weighs more than `idiot`, and `he is not an idiot` or `they said idiot` weigh less. A clause
-weighs the sum of its words' weights, and a document's score is a logistic function of its clauses: the strongest,
-the sum, and how many weigh anything.
+so `you are an idiot` weighs more than `idiot`, `he is not an idiot` or `they said idiot` weigh less, and `kill you` or `you I will kill`
+is a threat, `kill the process` none. A clause weighs the sum of its words' weights, and a document's score is a logistic function
+of its clauses: the strongest, the sum, and how many weigh anything.
 
 Function words are fixed lists. Insults are learned from labelled rows: words and word beginnings that occur in far more
-toxic texts than others; near copies among the labelled rows count once. The logistic function is fitted to the same rows.
-Learning takes at most `most_labelled` rows, those with the smallest hashes of doc_id; scoring takes all rows.
-
-Defined cases: null and empty texts have no clauses and get the score of a text in which nothing matches; with no labelled rows, or
-none of a label, no insults are known and scores rest on a fixed prior; repeated rows are scored each; an empty table gives no
-rows; extra columns are ignored.
+toxic texts than others (in LEAST_TEXTS toxic texts or more); near copies among the labelled rows count once. The logistic function
+is fitted to the same rows. Learning takes at most `most_labelled` labelled rows of `most_bytes` bytes at most, those with the smallest
+hashes of doc_id and then of the text, which bounds what the driver holds; scoring takes all rows and whole texts.
+
+Defined cases: null and empty texts have no clauses and get the score of a text in which nothing matches; a null doc_id isn't held out
+and isn't learned from; with no labelled rows, or none of a label, no insults are known and scores rest on a fixed prior; a doc_id
+with both labels counts as toxic; repeated rows are scored each; a score of exactly 0.3 predicts 1; an empty table gives no
+rows; extra columns are ignored; a long text is held whole, in some ten times its bytes.
 """
 
 from __future__ import annotations
@@ -29,13 +33,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_bytes, id_and_text, longs, slices
+from quire.llm.common import column_bytes, id_and_text, longs, slices, words
 
+#: Bounds of what is learned from: labelled rows, and bytes of a text.
 MOST_LABELLED = 8_000
-MOST_TERMS = 4_000
+MOST_BYTES = 32 << 10
+#: Toxic texts that a word must occur in.
+LEAST_TEXTS = 5
 THRESHOLD = 0.3
 
 #: The closed word classes of the grammar.
@@ -112,6 +119,11 @@ def _scorer(strengths: tuple[float, ...]) -> Transducer:
 STRENGTHS = (0.75, 1.5, 2.5, 3.5)
 
 
+def addressed() -> Transducer:
+    """Reads a clause from its end."""
+    return _marker(TARGET, 4, TARGETED)
+
+
 def grammar() -> Transducer:
     return _marker(NEGATION, 3, NEGATED) @ _marker(REPORT, None, REPORTED) @ _marker(TARGET, 4, TARGETED) @ _scorer(STRENGTHS)
 
@@ -123,6 +135,7 @@ class Model:
     weights: tuple[float, ...]  # bias, strongest clause, log of the sum, log of the number of clauses
 
     def symbol(self, word: str) -> int:
+        word = word.replace("\u2019", "'")
         core = _CORE.sub("", word)
         if core in NEGATIONS:
             return NEGATION
@@ -142,28 +155,37 @@ class Model:
 PRIOR = (-3.0, 0.8, 0.5, 0.2)
 
 
+def clause_weight(symbols: list[int], back: Transducer, machine: Transducer) -> float:
+    state, forms = 0, []
+    for x in reversed(symbols):
+        forms.append(back.out[state][x])
+        state = back.to[state][x]
+    state, total = 0, 0.0
+    for x in reversed(forms):
+        total += machine.out[state][x]
+        state = machine.to[state][x]
+    return total
+
+
 def clause_features(texts: list[bytes], model: Model, machine: Transducer) -> np.ndarray:
     """A row a text: strongest clause, log(1 + sum), log(1 + clauses that weigh anything). Clauses without a hot word are not run."""
     out = np.zeros((len(texts), 3))
-    pieces = [t.replace(b"\n", b" \n ").split(b" ") for t in texts]
-    counts = np.fromiter(map(len, pieces), np.int64, len(texts))
-    encoded = pa.array([w for ws in pieces for w in ws], pa.large_binary()).dictionary_encode()
-    ids = np.asarray(encoded.indices)
-    words = [w.decode("utf-8", "replace") for w in encoded.dictionary.to_pylist()]
-    symbol = np.fromiter((model.symbol(w.lower()) for w in words), np.int8, len(words))[ids]
-    ends = np.fromiter((bool(_ENDS.search(w)) or not w.strip() for w in words), bool, len(words))[ids]
+    back = addressed()
+    distinct, ids, counts, newlines = words(texts)
+    decoded = [w.decode("utf-8", "replace").lower() for w in distinct]
+    symbol = np.fromiter((model.symbol(w) for w in decoded), np.int8, len(decoded))[ids]
+    ends = np.fromiter((bool(_ENDS.search(w)) for w in decoded), bool, len(decoded))[ids]
     of = np.repeat(np.arange(len(texts)), counts)
-    begins = np.ones(len(of), bool)
-    begins[1:] = ends[:-1] | (of[1:] != of[:-1])
-    heads = np.flatnonzero(begins)
-    clause = np.cumsum(begins) - 1
+    begins = np.zeros(len(of) + 1, bool)
+    begins[newlines] = True  # a newline ends each text
+    begins[1:][ends] = True
+    begins[0] = True
+    heads = np.flatnonzero(begins[:-1])
+    clause = np.cumsum(begins[:-1]) - 1
     bounds = np.append(heads, len(of))
     sums, most, number = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     for c in np.unique(clause[symbol >= THREAT]).tolist():
-        state, total = 0, 0.0
-        for x in symbol[bounds[c] : bounds[c + 1]].tolist():
-            total += machine.out[state][x]
-            state = machine.to[state][x]
+        total = clause_weight(symbol[bounds[c] : bounds[c + 1]].tolist(), back, machine)
         if total:
             d = of[bounds[c]]
             sums[d] += total
@@ -192,13 +214,13 @@ def learn(rows: list[tuple[bytes, int]]) -> Model:
     # toxic texts first: the others need only be counted for what several toxic ones have
     for label in (1, 0):
         for text, y in rows:
-            words = text.lower().split() if y == label else []
-            sign = {(label, k, s) for k, s in enumerate(_signature(words))} if words else set()
-            if not words or sign & seen:
+            split = text.lower().split() if y == label else []
+            sign = {(label, k, s) for k, s in enumerate(_signature(split))} if split else set()
+            if not split or sign & seen:
                 continue
             seen |= sign
             n[label] += 1
-            cores = {_CORE.sub("", w.decode("utf-8", "replace").lower()) for w in words} - {""}
+            cores = {_CORE.sub("", w.decode("utf-8", "replace").lower().replace("\u2019", "'")) for w in split} - {""}
             begins = {w[:k] for w in cores if len(w) > 4 for k in range(4, min(len(w), 9))}
             words_of[label].update(cores if label else cores & likely)
             begins_of[label].update(begins if label else begins & likely)
@@ -207,7 +229,7 @@ def learn(rows: list[tuple[bytes, int]]) -> Model:
                 for k in range(4, min(len(w), 9)):
                     largest[w[:k]] = max(largest[w[:k]], c)
             for count in (words_of[1], begins_of[1]):
-                for w in [w for w, c in count.items() if c < 5]:
+                for w in [w for w, c in count.items() if c < LEAST_TEXTS]:
                     del count[w]
                 likely.update(count)
 
@@ -215,14 +237,13 @@ def learn(rows: list[tuple[bytes, int]]) -> Model:
         return float(np.log((count[1][term] + 0.5) / (n[1] + 1)) - np.log((count[0][term] + 0.5) / (n[0] + 1)))
 
     def telling(count: tuple[Counter, Counter]) -> dict[str, float]:
-        least = max(5, 0.004 * n[1])
+        least = max(LEAST_TEXTS, 0.004 * n[1])
         return {t: o for t, c in count[1].items() if c >= least and (o := odds(count, t)) >= 2.5}
 
-    words, begins = (telling(words_of), telling(begins_of)) if all(n) else ({}, {})
+    telling_words, begins = (telling(words_of), telling(begins_of)) if all(n) else ({}, {})
     # a beginning must hold more than one word's texts
     begins = {b: o for b, o in begins.items() if begins_of[1][b] >= 1.5 * largest[b]}
-    top = lambda terms, count: {t: _level(terms[t]) for t in sorted(terms, key=lambda t: (-terms[t] * count[1][t], t))[: MOST_TERMS // 2]}
-    model = Model(top(words, words_of), top(begins, begins_of), PRIOR)
+    model = Model({t: _level(o) for t, o in telling_words.items()}, {t: _level(o) for t, o in begins.items()}, PRIOR)
     if not all(n):
         return model
     x = np.concatenate([clause_features([t for t, _ in rows[k : k + 500]], model, grammar()) for k in range(0, len(rows), 500)])
@@ -243,16 +264,16 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-def held_out(doc_id):  # noqa: ANN001, ANN201  a column
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
-    """A model from at most `most_labelled` labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> Model:
+    """A model from at most `most_labelled` labelled rows, of at most `most_bytes` bytes each, that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     # at most `most_labelled` rows of 12 bytes are broadcast
-    rows = id_and_text(docs).where("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most_labelled)
+    rows = id_and_text(docs).where(F.octet_length("text") <= most_bytes).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most_labelled)
     found = rows.select("text", "toxic").toArrow()
     return learn(list(zip(found["text"].cast(pa.large_binary()).to_pylist(), found["toxic"].to_pylist(), strict=True)))
 

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -13,18 +15,44 @@ def by_rule(symbols):
         if x < t.THREAT:
             continue
         near = lambda kind, reach: any(symbols[j] == kind for j in range(max(0, i - reach), i))
-        targeted = near(t.TARGET, 4)
+        targeted = near(t.TARGET, 4) or t.TARGET in symbols[i + 1 : i + 5]
         base = (1.5 if targeted else 0.0) if x == t.THREAT else t.STRENGTHS[x - t.INSULT]
         total += base * (0.5 if near(t.NEGATION, 3) else 1) * (0.7 if near(t.REPORT, len(symbols)) else 1) * (1.25 if targeted else 1)
     return total
 
 
 def run(symbols):
-    m, state, total = t.grammar(), 0, 0.0
-    for x in symbols:
-        total += m.out[state][x]
-        state = m.to[state][x]
-    return total
+    return t.clause_weight(symbols, t.addressed(), t.grammar())
+
+
+def by_clauses(text, model):
+    """The score of a text, clause by clause and word by word."""
+    weights = []
+    for line in (text or "").split("\n"):
+        clause = []
+        for word in re.findall(r"[^\x20\x09-\x0D]+", line):
+            clause.append(model.symbol(word.lower()))
+            if re.search(r"[.,;:!?…|)\"”»]$", word):
+                weights.append(by_rule(clause))
+                clause = []
+        weights.append(by_rule(clause))
+    bias, strongest, total, number = model.weights
+    z = bias + strongest * max(weights) + total * math.log1p(sum(weights)) + number * math.log1p(sum(w > 0 for w in weights))
+    return 1 / (1 + math.exp(-z))
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_query_against_clause_by_clause(spark, learned):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = t.train(docs, spark.read.parquet(f"{sf}/labels.parquet")) if learned else MODEL
+    texts = ["you idiot\nyou\n\nidiot", "  you  are\tan \v idiot ; \r\n kill\n you", "not\tan idiot, kill you!", "“idiot ” kill", "don’t be an idiot you", "x\x1cidiot", "\n.\n"]
+    docs = docs.unionByName(spark.createDataFrame(list(enumerate(texts, 10**6)), docs.schema))
+    text_of = {r.doc_id: r.text for r in docs.collect()}
+    rows = t.score(docs, model).collect()
+    assert len(rows) == len(text_of) > 900
+    for r in rows:
+        assert r.score == pytest.approx(by_clauses(text_of[r.doc_id], model), abs=1e-9)
 
 
 def test_composed_machine_against_the_rules():
@@ -48,15 +76,19 @@ def test_clauses_rather_than_words():
     assert weight("not an idiot") < plain
     assert weight("not now. idiot") == plain  # the clause ends
     assert weight("you, idiot") == plain
-    assert weight("kill the process") == 0 and weight("I will kill you") == 0 and weight("you they kill") > 0
+    assert weight("kill the process") == 0 and weight("I will kill you") == weight("kill you") == weight("you I will kill") > 0
+    assert weight("they will not kill you") < weight("they will kill you") and weight("kill it. you") == 0
     assert weight("nothing here") == 0 and weight("") == 0
+    # words are parted by any white space, clauses by marks and newlines alone
+    assert weight("you\tare\tan\tidiot") == weight("you are  an idiot") == weight("you idiot") and weight("you\nidiot") == plain
+    assert weight("not an  idiot") == weight("not an idiot") < plain
+    assert weight("don\u2019t idiot") == weight("don't idiot") < plain
 
 
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = t.train(docs, labels)
-    assert len(model.words) + len(model.beginnings) <= t.MOST_TERMS
     rows = t.score(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r.held_out]
@@ -76,3 +108,14 @@ def test_odd_rows(spark):
     assert not model.words and model.weights == t.PRIOR
     assert t.train(docs, spark.createDataFrame([(3, 1), (None, 0), (1, None)], "doc_id long, toxic int")).weights == t.PRIOR
     assert t.score(docs.limit(0), model).count() == 0
+    lost = t.score(spark.createDataFrame([(None, "idiot")], "doc_id long, text string"), MODEL).first()
+    assert lost.doc_id is None and lost.held_out is False and lost.score == got[3]
+
+
+def test_learns_from_bounded_rows(spark):
+    rows = [(i, ("word " * 20 + f"zorgle{'x' * (i % 3)} number{i} ") if i % 2 else f"plain text number{i} of words", i % 2) for i in range(400)]
+    rows += [(1000 + i, "zorgle " * 20_000 + str(i), 0) for i in range(20)]  # too long to be learned from
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert "zorgle" in t.train(docs, labels, most_bytes=1000).words
+    assert t.train(docs, labels, most_labelled=3).words == {}
