@@ -3,35 +3,41 @@
 Each labeller votes good, bad or nothing on a document. Over the counts of all vote patterns of the corpus, EM in the manner of Dawid
 and Skene estimates, for each labeller, how often it gives each vote to good and to bad documents, and the share of
 good ones; a pattern's posterior follows. There are 3^10 patterns at most, so the driver's share is bounded. The posteriors
-of a bounded sample (`most_sample` documents, expected, chosen by a hash of doc_id) label the training of a logistic scorer over hashed word shapes,
-short words and repetitions. All documents are scored; those below THRESHOLD are rejected.
-
-Defined cases: null and empty texts get the votes of a text without words, and are scored like it; with documents of one kind
-only, EM keeps its prior towards good; repeated rows count and are scored each; an empty table gives no rows; extra
-columns are ignored (or passed on by `accept`).
+of a bounded sample (`most_sample` rows at most, chosen by a hash of doc_id and text; rows alike in both once) label the training of
+a logistic scorer over hashed word shapes, short words and repetitions. All documents are scored; those below THRESHOLD are rejected.
+Texts are gone over once: votes and features (numbers above zero, in half precision) are written to the shared folder, and the rest reads those.
+
+Defined cases: null and empty texts get the votes of a text without words, and are scored like it; a null doc_id is a row like
+any other; with documents of one kind only, EM keeps its prior towards good; repeated rows count and are scored each; a score of
+exactly THRESHOLD is accepted; an empty table gives no rows; extra columns are ignored (or passed on by `accept`, whatever
+their names); a long text is held whole, in some ten times its bytes.
 """
 
 from __future__ import annotations
 
 import re
 import string
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from quire.llm.common import column_bytes, id_and_text, longs, slices
+from quire.llm.common import column_bytes, slices, words, written
 
 MOST_SAMPLE = 8_000
 DIMENSIONS = 1024
 THRESHOLD = 0.5
-#: Greatest share of good documents, among those a labeller votes on, that it may be taken to find bad.
-MOST_FALSE = 0.002
+#: Good votes that a bad one outweighs where EM begins. With so many, a document that two of them find bad begins as
+#: bad, so that a group on which two that go together agree isn't taken for good ones; all rates are estimated from there.
+START_BAD = 6.0
 _SYMBOLS = b"#*$%&|<>^~{}[]\\_=+@"
 _MARKS = string.punctuation.encode()
 _EDGES = b".,;:!?\"'()"
@@ -72,24 +78,21 @@ def bucket(kind: str, x: bytes) -> int:
 
 
 def shape(word: bytes) -> bytes:
-    """Runs of character classes, each once, and the length in steps of four."""
-    return _RUN.sub(rb"\1", word[:64].translate(_CLASS))[:8] + bytes([min(len(word), 16) // 4])
+    """The character classes of the whole word, the binary order of the number of their runs, and the length in steps of four (16 and more alike)."""
+    runs = _RUN.sub(rb"\1", word.translate(_CLASS))
+    return bytes(sorted(set(runs))) + bytes([255, len(runs).bit_length(), min(len(word), 16) // 4])
 
 
-def measures(texts: list[bytes], hashed: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """(a row of the labellers' measures for each text, its hashed features if wanted)."""
+def measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of the labellers' measures for each text, its hashed features)."""
     n = len(texts)
-    split = [t.split() for t in texts]
-    counts = np.fromiter(map(len, split), np.int64, n)
-    encoded = pa.array([w for ws in split for w in ws], pa.large_binary()).dictionary_encode()
-    ids = np.asarray(encoded.indices).astype(np.int64)
-    distinct = encoded.dictionary.to_pylist()
+    distinct, ids, counts, _ = words(texts, lower=False)
     size = max(1, len(distinct))
     of = np.repeat(np.arange(n), counts)
-    words = np.maximum(counts, 1)
+    some = np.maximum(counts, 1)
 
     def mean(values: list[int]) -> np.ndarray:
-        return np.bincount(of, np.array(values, float)[ids] if values else None, minlength=n) / words
+        return np.bincount(of, np.array(values, float)[ids] if values else None, minlength=n) / some
 
     core = [w.lower().strip(_EDGES) for w in distinct]
     pair, often = np.unique(of * size + ids, return_counts=True)
@@ -107,12 +110,12 @@ def measures(texts: list[bytes], hashed: bool = True) -> tuple[np.ndarray, np.nd
         again = 1 - np.bincount(seen, minlength=n) / np.maximum(counts - 1, 1)
     lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
     repeated = np.array([1 - len(set(x)) / len(x) if x else 0.0 for x in lines])
-    after_itself = np.bincount(of, same, minlength=n) / words
+    after_itself = np.bincount(of, same, minlength=n) / some
     m = np.stack([
         -counts.astype(float),
         mean([len(w) - len(w.translate(None, _SYMBOLS)) for w in distinct]),
         mean([len(w) > 1 and w.isupper() for w in distinct]),
-        most / words,
+        most / some,
         repeated,
         mean([len(w) - len(w.translate(None, _MARKS)) for w in distinct]),
         -mean([c in _FUNCTION for c in core]),
@@ -120,13 +123,11 @@ def measures(texts: list[bytes], hashed: bool = True) -> tuple[np.ndarray, np.nd
         np.where(counts > 1, again, 0),
         after_itself,
     ], axis=1)
-    if not hashed:
-        return m, None
     first = [bucket("shape", shape(w)) for w in distinct]
     second = [bucket("word", c) if 0 < len(c) <= 3 else f for c, f in zip(core, first, strict=True)]
     x = sum(np.bincount(of * DIMENSIONS + np.array(b, np.int64)[ids], minlength=n * DIMENSIONS) if b else np.zeros(n * DIMENSIONS) for b in (first, second))
-    x = np.sqrt(x.reshape(n, DIMENSIONS) / (2.0 * words[:, None]))
-    x[:, :6] = np.stack([np.ones(n), np.minimum(np.log1p(counts) / 5, 1), after_itself, most / words, m[:, 8], repeated], axis=1)
+    x = np.sqrt(x.reshape(n, DIMENSIONS) / (2.0 * some[:, None]))
+    x[:, :6] = np.stack([np.ones(n), np.minimum(np.log1p(counts) / 5, 1), after_itself, most / some, m[:, 8], repeated], axis=1)
     return m, x.astype(np.float32)
 
 
@@ -154,8 +155,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     v = unpack(patterns)
     k = v.shape[1]
     good, bad = (v == GOOD).sum(1), (v == BAD).sum(1)
-    # to begin with: one bad vote weighs as much as three good ones
-    posterior = 1 / (1 + np.exp(-(good - 3.0 * bad)))
+    # to begin with: one bad vote weighs as much as START_BAD good ones
+    posterior = 1 / (1 + np.exp(-(good - START_BAD * bad)))
     rates, share = np.full((2, k, 3), 1.0), 0.5
     smooth = {BAD: (2.0, 0.2), GOOD: (1.0, 2.0)}  # towards labellers that are better than chance: votes added to (bad, good) documents
     for _ in range(rounds):
@@ -164,9 +165,6 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
             cast = {vote: weight[c] @ (v == vote) + smooth[vote][c] for vote in (BAD, GOOD)}
             for vote in cast:
                 rates[c, :, vote] = cast[vote] / (cast[BAD] + cast[GOOD])
-        # a group of documents that two labellers that go together find bad isn't taken for good ones
-        rates[1, :, BAD] = np.minimum(rates[1, :, BAD], MOST_FALSE)
-        rates[1, :, GOOD] = 1 - rates[1, :, BAD]
         share = float((weight[1].sum() + 2) / (counts.sum() + 3))
         # a vote of NOTHING is missing, and says nothing (its rate stays 1)
         log = np.stack([np.log(rates[c][np.arange(k), v]).sum(axis=1) for c in (0, 1)])
@@ -197,65 +195,94 @@ class Model:
     rates: np.ndarray
     share: float
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -500, 500)))
+    def score(self, column: pa.Array) -> np.ndarray:
+        """Of rows of features, as `sparse` writes them."""
+        if not len(column):
+            return np.zeros(0)
+        entries, begins = entries_of(column)
+        z = np.add.reduceat(self.weights.astype(float)[entries["at"]] * entries["value"], begins)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+ENTRY = np.dtype([("at", "<u2"), ("value", "<f2")])
+
 
+def sparse(x: np.ndarray) -> pa.Array:
+    """Each row's numbers above zero, as bytes. A row has its bias at least."""
+    rows, at = np.nonzero(x)
+    entries = np.empty(len(rows), ENTRY)
+    entries["at"], entries["value"] = at, x[rows, at]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(x)))]) * ENTRY.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(entries.tobytes())]).cast(pa.binary())
 
-def train(docs: DataFrame, most_sample: int = MOST_SAMPLE) -> Model:
-    docs = id_and_text(docs)
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(3 ** len(LABELLERS), np.int64)
+def entries_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(entries of all rows, where each row's begin)."""
+    found = column.to_pylist()
+    return np.frombuffer(b"".join(found), ENTRY), np.cumsum([0, *map(len, found)])[:-1] // ENTRY.itemsize
+
+
+@dataclass(frozen=True)
+class Featured:
+    """Rows with their votes and features, written: `columns` as they came, then `added` (row hash, pattern, features)."""
+
+    table: DataFrame
+    columns: list[str]
+    added: list[str]
+
+
+def featured(docs: DataFrame) -> Featured:
+    """`docs` has doc_id and text, and any other columns."""
+    token = uuid.uuid4().hex
+    added = [f"{kind}_{token}" for kind in ("row", "pattern", "features")]
+    marked = docs.withColumn(added[0], F.xxhash64(F.col("doc_id"), F.col("text")))
+    schema = StructType([*marked.schema.fields, StructField(added[1], LongType()), StructField(added[2], BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            total += np.bincount(pattern(votes(measures(column_bytes(batch), hashed=False)[0])), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pattern", "n"])
+            m, x = measures(column_bytes(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pattern(votes(m))), sparse(x)], names=[*batch.schema.names, *added[1:]])
 
-    # one row a pattern and task, then one a pattern
-    found = docs.mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    return Featured(written(marked.mapInArrow(run, schema), "features"), docs.columns, added)
+
+
+def train(rows: Featured, most_sample: int = MOST_SAMPLE) -> Model:
+    mark, voted, x = (F.col(c) for c in rows.added)
+    found = rows.table.groupBy(voted.alias("pattern")).agg(F.count("*").alias("n")).orderBy("pattern").collect()
     patterns, counts = np.array([r.pattern for r in found], np.int64), np.array([r.n for r in found], np.int64)
     posterior, rates, share = expectation_maximisation(patterns, counts)
     posteriors = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
     if not len(found):
         return Model(np.zeros(DIMENSIONS), posteriors, rates, share)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            m, x = measures(column_bytes(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(pattern(votes(m))), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["pattern", "x"])
-
-    part = min(1.0, most_sample / int(counts.sum()))
-    chosen = docs.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 30)) < int(part * (1 << 30)))
-    sample = chosen.mapInArrow(features, "pattern long, x binary").toArrow()
-    if not sample.num_rows:
-        return Model(np.zeros(DIMENSIONS), posteriors, rates, share)
-    x = np.stack([np.frombuffer(b, np.float16) for b in sample["x"].to_pylist()]).astype(np.float32)
+    # twice as many hashes as are wanted, so that the limit, and not chance, sets the number
+    part = min(1.0, 2 * most_sample / int(counts.sum()))
+    chosen = rows.table.select(mark.alias("row"), voted.alias("pattern"), x.alias("x")).where(F.pmod("row", F.lit(1 << 30)) < int(part * (1 << 30)))
+    sample = chosen.dropDuplicates(["row"]).orderBy(F.pmod("row", F.lit(1 << 30)), "row").limit(most_sample).toArrow()
+    entries, begins = entries_of(sample["x"])
+    dense = np.zeros((sample.num_rows, DIMENSIONS), np.float32)
+    dense[np.repeat(np.arange(len(dense)), np.diff(begins, append=len(entries))), entries["at"]] = entries["value"]
     y = np.array([posteriors[p] for p in sample["pattern"].to_pylist()])
     rare = np.where(y >= 0.5, 1.0, min(20.0, max(1.0, (y >= 0.5).sum() / max(1, (y < 0.5).sum()))) ** 0.5)
-    return Model(fit(x, y, rare), posteriors, rates, share)
+    return Model(fit(dense, y, rare), posteriors, rates, share)
 
 
 SCHEMA = "doc_id long, posterior double, score double, accepted boolean"
 
 
-def judge(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of `docs`: the labellers' posterior, the scorer's score, and whether it reaches THRESHOLD."""
+def judge(rows: Featured, model: Model) -> DataFrame:
+    """One row per row: the labellers' posterior, the scorer's score, and whether it reaches THRESHOLD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            m, x = measures(column_bytes(batch))
-            score = model.score(x)
-            known = [model.posteriors.get(p) for p in pattern(votes(m)).tolist()]
-            yield pa.RecordBatch.from_arrays([longs(batch), pa.array(known, pa.float64()), pa.array(score.astype(float)), pa.array(score >= THRESHOLD)], names=["doc_id", "posterior", "score", "accepted"])
-
-    return id_and_text(docs).mapInArrow(run, SCHEMA)
+        for batch in batches:
+            if batch.num_rows:
+                score = model.score(batch.column(2))
+                known = [model.posteriors.get(p) for p in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.float64()), pa.array(score), pa.array(score >= THRESHOLD)], names=["doc_id", "posterior", "score", "accepted"])
 
+    return rows.table.select(F.col("doc_id").cast("long"), *rows.added[1:]).mapInArrow(run, SCHEMA)
 
-def accept(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, with all their columns, that the scorer accepts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield batch.filter(pa.array(model.score(measures(column_bytes(batch))[1]) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+def accept(rows: Featured, model: Model) -> DataFrame:
+    """The rows, with the columns that they came with, that the scorer accepts."""
+    accepted = F.pandas_udf(lambda x: pd.Series(model.score(pa.array(x, pa.binary())) >= THRESHOLD), "boolean")
+    return rows.table.where(accepted(rows.added[2])).select(*rows.columns)

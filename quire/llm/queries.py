@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import chat, decontaminate, lm, pieces, pii, quality, quality_rules, simhash, toxicity, wavelet
-from quire.llm.common import table
+from quire.llm.common import id_and_text, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,8 +51,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.judge(docs, quality.train(docs))
+    rows = quality.featured(id_and_text(table(spark, sf_dir, "documents")))
+    return quality.judge(rows, quality.train(rows))
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
