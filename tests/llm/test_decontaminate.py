@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quire.llm import decontaminate as d
@@ -37,7 +38,8 @@ DOCS = {
     11: " ".join(ITEM.split()[:14]) + " " + prose(60),
     12: ITEM,
 }
-WANT = {1: (1, 1, False), 2: (1, 1, True), 7: (2, 2, False), 9: (1, 1, False), 12: (1, 1, False)}
+# 8 and 10 are whole copies of items without windows; 11 has fourteen words of an item, ten of them literal
+WANT = {1: (1, 1, False), 2: (1, 1, True), 7: (2, 2, False), 8: (7, 1, False), 9: (1, 1, False), 10: (4, 1, False), 12: (1, 1, False)}
 
 
 @pytest.mark.parametrize("block_words", [d.BLOCK_WORDS, 20])
@@ -76,6 +78,54 @@ def test_a_run_of_thirteen_literal_words_is_evidence(spark):
     assert {r.doc_id: (r.item_id, r.matched_windows) for r in got.collect() if r.contaminated} == {1: (9, 9), 4: (9, 56), 6: (9, 9)}
 
 
+def held(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    rows = d.judge(docs, spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    return [(r.item_id, r.n_items, r.other_values) if r.contaminated else None for r in rows]
+
+
+def test_items_without_windows(spark):
+    items = [(1, "Add 3 km and 4 km"), (2, "Bonn 1949 1990 Berlin"), (3, "12 + 5 = 17, 17 * 2 = 34, 34 - 4 = 30")]
+    texts = ["please add 3 km and 4 km now", "add 3 km and 5 km", "Bonn 1949 1990 Berlin", "see Bonn 1949 1990 Berlin", prose(40) + " 12 + 5 = 17, 17 * 2 = 34, 34 - 4 = 30 " + prose(9)]
+    assert held(spark, texts, items) == [(1, 1, False), None, (2, 1, False), None, (3, 1, False)]
+
+
+def test_names_and_numbers_do_not_break_runs(spark):
+    words = prose(200).split()
+    item = " ".join(w + (f" {i}" if i % 5 == 4 else "") for i, w in enumerate(words))
+    part = " ".join(item.split()[60:78])  # 18 tokens, 15 of them literal
+    assert held(spark, [part, part.replace("59", "58")], [(1, item)]) == [(1, 1, False), None]
+
+
+def test_scripts_without_spaces(spark):
+    item = "第一段文字说明了如何计算面积和周长的方法"
+    assert held(spark, ["前言。" + item + "。后记", "完全不同的一句话没有任何关系可言"], [(1, item)]) == [(1, 1, False), None]
+
+
+def test_items_of_one_template(spark):
+    """Many items that differ in values alone are one class; the member with the document's values is reported."""
+    question = "a farmer has {} cows and sells them at the market for {} dollars each before the winter comes"
+    items = [(k, question.format(k + 100, 2 * k + 300)) for k in range(3000)]
+    got = held(spark, [question.format(102, 304), question.format(1, 2), prose(30)], items)
+    assert got == [(2, 3000, False), (0, 3000, True), None]
+
+
+def test_null_and_repeated_items(spark):
+    items = [(None, ITEM), (None, ITEM), (5, BENCH[1][1]), (5, BENCH[2][1]), (6, BENCH[1][1]), (6, None)]
+    assert held(spark, [ITEM, BENCH[1][1], BENCH[2][1]], items) == [(None, 1, False), (5, 2, False), (5, 1, False)]
+
+
+def test_candidates_cover_every_match():
+    """Half of a class's windows, and any seven in a row, hold a window that finds it."""
+    shared = " ".join(VOCAB[:40])
+    index = d.Index([(k, f"{shared} {prose(n)} {shared}".encode()) for k, n in enumerate([0, 3, 10, 80, 200])])
+    chosen = np.zeros(len(index.keys), bool)
+    chosen[index.candidates()] = True
+    for a, b in zip(index.ranges, index.ranges[1:]):
+        assert (~chosen[a:b]).sum() < d.LEAST * (b - a)
+        assert all(chosen[i : i + 7].any() for i in range(a, b - 6))
+
+
 def brute(text, items):
     """Items of which five plain words in a row, in half of their places, occur in the text."""
     words = lambda t: [x for w in t.split() if (x := d._EDGE.sub("", w).lower())]
