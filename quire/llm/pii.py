@@ -14,16 +14,19 @@ Base kinds, always kept: email, ip, card, phone. Added kinds, which never overla
   secret      quoted or assigned values after token, secret, password, api_key; 8 characters or more
   address     a house number with a street name of one to three capitalised words
 
-Defined cases: null is an empty text; empty texts have no spans and the hash of the empty string; offsets in repeated rows
-are each row's own; an empty table gives no rows; extra columns are ignored.
+Defined cases: null is an empty text; empty texts have no spans and the hash of the empty string; a null doc_id is carried; offsets
+in repeated rows are each row's own; an empty table gives no rows; extra columns are ignored (or passed on by `redact`, which
+leaves null texts null); a long text is gone over whole, in time that grows with its length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -53,8 +56,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TEXT_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?$")
-_TEXT_RIGHT = re.compile(r"\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[(](?i:dot)[\])]\x20?|\.)[A-Za-z0-9-]{1,63}){1,5}")
+_TEXT_RIGHT = re.compile(r"\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[(](?i:dot)[\])]\x20?|\.)[A-Za-z0-9-]++)++")
 # a login may be of any length: possessive groups read each character once
 _LOGIN = re.compile(r"[^\s/@:?#]++:[^\s/@?#]++(?=@)")
 _IBAN = re.compile(r"\W{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8})(?![A-Za-z0-9])")
@@ -128,9 +130,11 @@ def _word(text: str, start: int, end: int) -> bool:
 
 
 def _email_text(text: str, start: int, end: int) -> tuple[int, int] | None:
-    left = _TEXT_LEFT.search(text[max(0, start - 66) : start])
+    local = begin = start - (start > 0 and text[start - 1] == " ")
+    while begin and text[begin - 1] in _LOCAL:
+        begin -= 1
     right = _TEXT_RIGHT.match(text, end)
-    return (start - len(left[0]), right.end()) if left and right else None
+    return (begin, right.end()) if begin < local and right else None
 
 
 def _login(text: str, start: int, end: int) -> tuple[int, int] | None:
@@ -187,9 +191,11 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
             added.append((span[0], -span[1], KINDS.index(kind)))
     if added:
         taken = sorted((a, b) for _, a, b in base)
+        starts = [a for a, _ in taken]
+        furthest = [0, *accumulate((b for _, b in taken), max)]  # the furthest end of the first spans
         kept, free = [], 0
         for start, minus_end, kind in sorted(set(added)):
-            if start >= free and not any(a < -minus_end and start < b for a, b in taken):
+            if start >= free and furthest[bisect_left(starts, -minus_end)] <= start:
                 kept.append((kind, start, -minus_end))
                 free = -minus_end
         added = [(KINDS[k], a, b) for k, a, b in sorted(kept)]

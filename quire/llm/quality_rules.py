@@ -9,8 +9,9 @@ is left, or goes to the one before if it is too short to be judged. Lower limits
 length reach and what prose does; text in hexadecimal digits shrinks like prose and isn't told from it.
 
 Defined cases: a null or empty text has no words and fails the base rule; texts below 128
-bytes have no lower limit; repeated rows are judged row by row; the order of rows plays no
-part; an empty table gives no rows; extra columns are ignored.
+bytes have no lower limit; a ratio that equals a limit, or a share of bytes that equals `bad_share`, is
+kept; repeated rows are judged row by row, and a null doc_id is a row like any other; the order of rows plays no
+part; an empty table gives no rows; extra columns are ignored; a long text is judged whole, in some ten times its bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from quire.llm.common import SPACE, column_bytes, id_and_text, longs, mix64, slices
+from quire.llm.common import SPACE, column_bytes, id_and_text, longs, mix64, slices, words
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -66,13 +67,13 @@ SCHEMA = (
 )
 
 
-def repeated_words(words: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """For texts whose words follow each other in `words` (counts: words of each), the words of each that lie in a 5-word window found twice or more in that text."""
-    total, n = len(words), len(counts)
+def repeated_words(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For texts whose words, as numbers, follow each other in `ids` (counts: words of each), the words of each that lie in a 5-word window found twice or more in that text."""
+    total, n = len(ids), len(counts)
     starts = np.cumsum(counts) - counts
     if total < WINDOW + 1:
         return np.zeros(n, np.int64)
-    ids = np.asarray(pa.array(words, pa.large_binary()).dictionary_encode().indices).astype(np.uint64)
+    ids = ids.astype(np.uint64)
     of = np.repeat(np.arange(n), counts)
     at = np.flatnonzero(of[: total - WINDOW + 1] == of[WINDOW - 1 :])
     if len(at) < 2:
@@ -142,9 +143,8 @@ def judge(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
         z = Compressor(bands)
         for batch in slices(batches):
             texts = column_bytes(batch)
-            split = [t.split() for t in texts]
-            n_words = np.fromiter(map(len, split), np.int64, len(split))
-            repeat = repeated_words([w for ws in split for w in ws], n_words)
+            _, ids, n_words, _ = words(texts, lower=False)
+            repeat = repeated_words(ids, n_words)
             # code points: bytes that don't continue one
             points = np.fromiter((len(t.decode("utf-8", "replace")) for t in texts), np.int64, len(texts))
             spaces = np.fromiter((len(t) - len(t.translate(None, SPACE)) for t in texts), np.int64, len(texts))

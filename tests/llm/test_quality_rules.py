@@ -1,6 +1,10 @@
+import base64
+import random
 import re
 from collections import Counter
 
+import zstandard
+
 from quire.llm import quality_rules as q
 
 CASES = [
@@ -35,9 +39,6 @@ def test_counts_against_brute_force(spark, sf):
 
 
 def test_bands_reject_repetition_and_noise_and_keep_prose(spark):
-    import base64
-    import random
-
     rnd = random.Random(1)
     words = ["".join(rnd.choices("etaoinshr", k=rnd.randint(2, 8))) for _ in range(3000)]
     prose = " ".join(rnd.choices(words, k=1500))
@@ -60,8 +61,6 @@ def test_clean_labelled_documents_stay(spark):
 
 def test_planted_junk_at_several_lengths_and_shares():
     """Base64 and random words, alone and after prose; the tail after the last full chunk is judged too."""
-    import base64
-    import random
     import string
 
     import pyarrow.parquet as pq
@@ -93,3 +92,41 @@ def test_planted_junk_at_several_lengths_and_shares():
 
 def test_empty_table(spark):
     assert q.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_verdict(text):
+    """(ratio of the whole, chunks, too repetitive, incompressible, whether the bands keep it), chunk by chunk."""
+    z = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    ratio = lambda b: len(b) / max(1, len(z.compress(b)) - len(z.compress(b"")))
+    n = len(text)
+    least = lambda size: max(low for least, low in q.LOWEST if size >= least)
+    most = 3.0 if n < 1024 else 3.2 if n < 4096 else 3.6 if n < 32768 else 4.5
+    whole = ratio(text) if text else 0.0
+    fits = least(n) <= whole <= most
+    size = 2048 if n >= 4096 else 512
+    chunks = [text[a : a + size] for a in range(0, n, size)]
+    if len(chunks) > 1 and len(chunks[-1]) < 128:
+        chunks[-2:] = [chunks[-2] + chunks[-1]]
+    if len(chunks) < 2:
+        return whole, 0, 0, 0, fits
+    high = [c for c in chunks if ratio(c) > 3.0]
+    low = [c for c in chunks if ratio(c) < least(len(c))]
+    return whole, len(chunks), len(high), len(low), fits and sum(map(len, high + low)) <= 0.34 * n
+
+
+def test_verdict_against_brute_force(spark):
+    rnd = random.Random(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    prose = " ".join(r.text for r in docs.where("length(text) > 2000").limit(40).collect() if r.text)
+    junk = base64.b64encode(rnd.randbytes(40_000)).decode()
+    texts = [*CASES, *(prose[:n] for n in (127, 128, 511, 512, 513, 639, 640, 4095, 4096, 4100, 4224, 33_000))]
+    texts += [prose[:a] + junk[:b] for a in (300, 2500, 9000) for b in (100, 400, 1500, 8000)] + [("ab " * a)[:b] + prose[:b] for a, b in ((100, 300), (2000, 2000), (9000, 9000))]
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], docs.schema))
+    text_of = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    verdicts = set()
+    for r in q.judge(docs).collect():
+        whole, n, high, low, fits = brute_verdict(text_of[r.doc_id])
+        assert (r.whole_ratio, r.n_chunks, r.n_chunks_repetitive, r.n_chunks_incompressible) == (whole, n, high, low), r.doc_id
+        assert r.kept == (fits and not r.base_failed)
+        verdicts.add((fits, high > 0, low > 0))
+    assert len(verdicts) >= 5
