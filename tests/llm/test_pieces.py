@@ -38,6 +38,28 @@ def test_encodes_and_decodes_as_the_library(fst, library, text):
     assert fst.decode(np.array(ids, fst.dtype)) == text.replace("▁", " ")
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="▁aeinorstlh'sé", min_size=1, max_size=14))
+def test_one_state_a_place_is_enough(fst, text):
+    assert fst.shortest(text) == fst.shortest_of_all(text)
+
+
+def test_a_text_without_a_path_is_an_error():
+    fst = p.Transducers(PATH)
+    fst.follows = lambda a, b: False
+    with pytest.raises(ValueError, match="no path"):
+        fst.encode("thethethe")
+
+
+def test_the_normaliser_is_the_models(library):
+    assert p.Normaliser.of(library.serialized_model_proto())(b"a b") == "▁a▁b".encode()
+    settings = lambda *pairs: bytes([3 << 3 | 2, 2 * len(pairs)]) + b"".join(bytes([n << 3, v]) for n, v in pairs)
+    assert p.Normaliser.of(settings((3, 0), (4, 0)))(b" a") == "▁a".encode()
+    for refused in (settings((4, 1)), settings((4, 0), (5, 0)), bytes([3 << 3 | 2, 5, 2 << 3 | 2, 1, 65, 4 << 3, 0])):
+        with pytest.raises(ValueError, match="normaliser"):
+            p.Normaliser.of(refused)
+
+
 def test_corpus_words_as_the_library(fst, library, sf):
     import pyarrow.parquet as pq
 
