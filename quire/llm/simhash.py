@@ -14,7 +14,8 @@ not paired with each other: a breadth-first search over the key's members gives
 links, and a spanning forest of them is all that leaves the task. A link (u, v) that holds meets in some key,
 where u and v fall in one component; so the union of the forests has exactly the components of all links.
 A key with more members than `BLOCK` (one bucket of a large group of near copies) is split: its members are dealt
-to blocks, and each pair of blocks is a task's group of its own, so that no task holds more than two blocks.
+to blocks, and each pair of blocks is a task's group of its own, so that no task holds more than two blocks. A member
+goes to as many groups as its key has blocks: MOST_BLOCKS at most up to a million members, then one more for each 16,384.
 
 Components come from alternating large-star and small-star steps over the forest, with checkpoints between.
 
@@ -42,8 +43,10 @@ SHINGLE = 4
 MOST = 4
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Members of a key that one group holds; a key with more is dealt to pairs of blocks.
+#: Members of a key that one group holds; a key with more is dealt to pairs of blocks, of up to WIDEST times as many members.
 BLOCK = 1024
+MOST_BLOCKS = 64
+WIDEST = 16
 #: Shingles whose bits are unpacked at once.
 AT_ONCE = 1 << 17
 _SPACE = re.compile(rb"[ \t\n\v\f\r]")
@@ -279,10 +282,13 @@ def rooted(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     keyed = variants(classes).repartition("key").sortWithinPartitions("key")
     found = written(keyed.mapInArrow(partial(search, block=block), RUNS), "links")
     blocks = found.where("key is not null").select("key", F.col("a").alias("fp"), "block")
-    last = blocks.groupBy("key").agg(F.max("block").alias("last"))
+    # written first, so that the join with a large key's members can be split
+    last = checkpointed(blocks.groupBy("key").agg(F.max("block").alias("last")))
+    # a key of more than MOST_BLOCKS blocks gets wider ones, up to WIDEST, as each member goes to as many groups as its key has blocks
+    width = F.least(F.lit(WIDEST), F.ceil((F.col("last") + 1) / MOST_BLOCKS)).cast("int")
     pairs = (
-        blocks.join(last, "key")
-        .select("key", "fp", "block", F.explode(F.expr("sequence(0, last)")).alias("other"))
+        blocks.join(last.select("key", "last", width.alias("width")), "key")
+        .select("key", "fp", F.expr("block div width").alias("block"), F.explode(F.expr("sequence(0L, last div width)")).alias("other"))
         .select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "fp")
         .repartition("pair")
         .sortWithinPartitions("pair")
