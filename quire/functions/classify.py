@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import strip, strip_markers
+from quire.functions.text import CALLOUT_LABELS, strip, strip_markers
 
 #: What marks a callout of each class, in order of priority.
 CALLOUT_WORDS = {
@@ -14,7 +14,7 @@ CALLOUT_WORDS = {
     "tip": "shortcut|to improve|for best results|works well",
     "note": "see section|refer to|for more information|species-specific|see also|cross-reference",
 }
-CALLOUT_LABELS = {"caution": "important|warning|caution", "critical": "critical|crucial", "tip": "tip", "note": "note"}
+#: Phrases of a stopping point; words of computational texts; titles of first-level sections.
 STOPPING = "pause point|safe stopping point|can be stored|may be stored|samples can be stored|can be left|store at this stage|can stop here|overnight at"
 COMPUTATIONAL = "bash|python|git|conda|pip|docker|node|npm|script|command|terminal|shell|cli|api|server|database|bioinformatics|pipeline|workflow|jupyter|notebook|environment|package|install|deploy"
 KNOWN_TITLES = ("overview", "materials", "procedure", "notes & variants", "notes and variants", "references", "reagent mixes & recipes", "reagent mixes and recipes", "prerequisites")
@@ -23,6 +23,7 @@ ROLES = {
     "overview": "overview", "materials": "materials", "procedure": "procedure", "notes & variants": "notes", "notes and variants": "notes", "notes & variants:": "notes",
     "references": "references", "reagent mixes & recipes": "mixes", "reagent mixes and recipes": "mixes", "prerequisites": "prerequisites",
 }
+#: Words of a table's header row.
 HEADER_WORDS = ("reagent", "supplier", "cat", "equipment", "notes", "catalogue")
 
 

@@ -9,15 +9,24 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-_FENCE = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
 _TOKEN = re.compile(r'"(?:\\.|[^"\\])*"?|[{}]', re.S)
 _STEP = re.compile(r"([^.\[\]]+)|\[(\d+)\]")
 
 
+def fenced(text: str) -> str | None:
+    """The first text between fences that begins and ends as an object does; the opening fence may name the format."""
+    parts = text.split("```")
+    for inside in parts[1:-1]:
+        body = inside.removeprefix("json").strip()
+        if body[:1] == "{" and body[-1:] == "}":
+            return body
+    return None
+
+
 def find_object(text: str | None) -> tuple[str | None, str | None]:
     """(the first JSON object's text, what is wrong): a fenced one, else the first balanced one."""
-    if m := _FENCE.search(text or ""):
-        return m[1], None
+    if body := fenced(text or ""):
+        return body, None
     start = (text or "").find("{")
     if start < 0:
         return None, "no object"

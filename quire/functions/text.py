@@ -15,7 +15,8 @@ TITLE_ACRONYMS = "RNA DNA PCR RT FISH ISH FACS GFP RFP YFP CFP ATAC HCR CRISPR L
 SLUG_ACRONYMS = "RNA DNA PCR RT FISH ISH FACS GFP RFP YFP CFP MRNA GRNA SGRNA CRRNA SIRNA SHRNA CHIP ATAC HCR SMFISH CRISPR LNP IHC IF PBS BSA EDTA DMSO ETOH".split()
 #: Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = "mL uL mM uM nM pH e.g i.e vs al Fig Tab Ref Sec approx min max vol conc".split()
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+#: The months; three letters stand for each, too.
+MONTHS = "january february march april may june july august september october november december".split()
 DASH = "—"
 
 
@@ -61,8 +62,13 @@ def normalize_units(c: Column) -> Column:
     return normalize_temperature_units(normalize_centrifuge_units(normalize_cross_references(c)))
 
 
+#: What a callout of each class may begin with.
+CALLOUT_LABELS = {"caution": "important|warning|caution", "critical": "critical|crucial", "tip": "tip", "note": "note"}
+
+
 def strip_callout_prefix(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?i)^(?:IMPORTANT|WARNING|CAUTION|NOTE|TIP|CRITICAL|CRUCIAL)\s*[:\-–—]\s*", ""))
+    """Without a callout's label and the mark behind it."""
+    return strip(F.regexp_replace(c, rf"(?i)^(?:{'|'.join(CALLOUT_LABELS.values())})\s*[:\-–—]\s*", ""))
 
 
 def clean_title(c: Column) -> Column:
@@ -140,11 +146,11 @@ def sentences(c: Column) -> Column:
 def normalize_date(c: Column) -> Column:
     """DD/MM/YYYY of the first day-month-year in digits (unchecked), else of [day] month-name year; else null."""
     numeric = r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})"
-    named = r"(?i)(\d{1,2}\s+)?(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+(\d{4})"
+    named = rf"(?i)(\d{{1,2}}\s+)?({'|'.join(f'{m[:3]}(?:{m[3:]})?' if m[3:] else m for m in MONTHS)})\s+(\d{{4}})"
     part = lambda pattern, g: F.regexp_extract(c, pattern, g)
     two = lambda x: F.lpad(x, 2, "0")
     day = F.trim(part(named, 1))
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.left(part(named, 2), F.lit(3)))).cast("string")
+    month = F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), F.lower(F.left(part(named, 2), F.lit(3)))).cast("string")
     return F.when(F.rlike(c, F.lit(numeric)), F.concat_ws("/", two(part(numeric, 1)), two(part(numeric, 2)), part(numeric, 3))).when(
         F.rlike(c, F.lit(named)), F.concat_ws("/", two(F.when(day == "", "1").otherwise(day)), two(month), part(named, 3))
     )

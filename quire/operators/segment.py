@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.functions import classify
 
-MAX_DEPTH = 8
-
 
 def by_document() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("pos")
@@ -55,11 +53,12 @@ def step_tree(sections: DataFrame) -> DataFrame:
     rows = sections.where("kind in ('step', 'stopping_point')").withColumn("seq", F.row_number().over(w) - 1)
     a = F.when((F.col("class") == "step") & (F.col("seq") > 0), F.greatest(F.col("list_level") - 1, F.lit(0))).otherwise(0)
     rows = rows.withColumn("depth", (F.col("seq") + F.min(a - F.col("seq")).over(up)).cast("int"))
-    parent: Column = F.lit(None).cast("int")
-    for d in range(1, MAX_DEPTH + 1):
-        parent = F.when(F.col("depth") == d, F.last(F.when(F.col("depth") == d - 1, F.col("seq")), True).over(up)).otherwise(parent)
     under_stop = (F.col("depth") > 0) & (F.last(F.when(F.col("depth") == 0, F.col("kind")), True).over(up) == "stopping_point")
-    return rows.withColumn("parent_seq", parent).withColumn("rendered", ~under_stop)
+    rows = rows.withColumn("rendered", ~under_stop)
+    # a step's parent is the last one before it that is one level up: each step stands once for itself and once, a level down, for its children
+    twice = rows.withColumn("as", F.explode(F.array(F.struct(F.col("depth").alias("level"), F.lit(None).cast("int").alias("above")), F.struct((F.col("depth") + 1).alias("level"), F.col("seq").alias("above")))))
+    beside = Window.partitionBy("doc_id", "section_no", "as.level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return twice.withColumn("parent_seq", F.last("as.above", True).over(beside).cast("int")).where("as.above is null").drop("as")
 
 
 STYLES = ("decimal", "lower_letter", "lower_roman")
