@@ -19,10 +19,14 @@ def sources(files: DataFrame, glob_suffix: str = ".docx") -> DataFrame:
     return main.unionByName(more.select(main.columns))
 
 
-def duplicates(files: DataFrame) -> DataFrame:
-    """With `duplicate`: whether an earlier path, in order of path components, has the same name but for case."""
-    w = Window.partitionBy("name").orderBy(F.split("path", "/"))
-    return files.withColumn("name", basename(F.col("path"))).withColumn("duplicate", F.row_number().over(w) > 1)
+def duplicates(files: DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """With `duplicate`: whether an earlier path, in order of path components, has the same name, but for case unless that counts.
+
+    The earliest path of each name comes from an aggregation, which combines before it shuffles, so a name that most files have is no window."""
+    name = F.element_at(F.split("path", "/"), -1) if case_sensitive else basename(F.col("path"))
+    files = files.withColumn("name", name)
+    first = files.groupBy("name").agg(F.min(F.struct(F.split("path", "/").alias("parts"), "path")).alias("least")).select("name", F.col("least.path").alias("first_path"))
+    return files.join(first, "name").withColumn("duplicate", F.col("path") != F.col("first_path")).drop("first_path")
 
 
 def outcomes(files: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """The deterministic side of extraction by a completion service: prompts, replies, attempts.
 
 Replies are a table (doc_id, attempt, content). A client is any function from batches of prompts to batches of replies, run by
-complete(); tests replay a table instead.
+complete(); tests replay a table instead. extract() runs the rounds of attempts.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,10 +16,14 @@ from pyspark.sql import functions as F
 
 from quire.functions import classify, text
 from quire.functions.jsontext import json_object
+from quire.sources import records
+from quire.sources.shared import written
 
 CONTEXT_TOKENS = 32_768
 WARN_SHARE = 0.75
-MOST_PREVIOUS = 2_000
+MOST_ATTEMPTS = 4
+#: Characters kept of a reply that goes back, of a reply of an odd structure, of an error, and of a reply that is no JSON.
+MOST_PREVIOUS, MOST_ODD, MOST_ERROR, MOST_NOT_JSON = 2_000, 500, 400, 300
 MOST_WORDS = 6
 #: The numbered sections that a document may belong to carry their names as data; this is the instruction.
 SYSTEM = "Read the procedure below and answer with one JSON object that has its title, type, overview, materials, procedure sections with steps and callouts, notes and references. Add nothing that the text lacks."
@@ -46,10 +52,10 @@ def messages(user: Column) -> Column:
     return F.array(made("system", F.lit(SYSTEM)), made("user", user))
 
 
-def request(model: str, user: Column, most_tokens: int = 4096) -> Column:
-    """The request body as JSON text."""
+def request(model: str, turns: Column, most_tokens: int = 4096) -> Column:
+    """The request body as JSON text, of the turns of a conversation (see messages())."""
     options = F.struct(F.lit(0.1).alias("temperature"), F.lit(most_tokens).alias("num_predict"))
-    return F.to_json(F.struct(F.lit(model).alias("model"), messages(user).alias("messages"), F.lit(False).alias("stream"), F.lit("json").alias("format"), options.alias("options")))
+    return F.to_json(F.struct(F.lit(model).alias("model"), turns.alias("messages"), F.lit(False).alias("stream"), F.lit("json").alias("format"), options.alias("options")))
 
 
 def token_budget(user: Column, system: str = SYSTEM) -> Column:
@@ -58,29 +64,75 @@ def token_budget(user: Column, system: str = SYSTEM) -> Column:
     return F.struct(total.alias("total"), (total > CONTEXT_TOKENS * WARN_SHARE).alias("over"))
 
 
-def complete(prompts: DataFrame, client: Callable[[list[str]], list[str]]) -> DataFrame:
-    """doc_id, user_message -> doc_id, content. The client is called on Arrow batches in the executors."""
+class Unavailable(RuntimeError):
+    """The completion service can't be reached."""
+
+
+Reply = tuple[str | None, str | None]  # content; what went wrong
+
+
+class HttpClient:
+    """Posts request bodies (JSON texts), one after another, and gives (content, problem) for each. Problems: unavailable, not_json and odd_structure, with the beginning of what came."""
+
+    def __init__(self, url: str, timeout: float = 120.0):
+        self.url, self.timeout = url, timeout
+
+    def one(self, body: str) -> Reply:
+        from urllib import error, request
+
+        sent = request.Request(self.url, body.encode(), {"Content-Type": "application/json"})
+        try:
+            with request.urlopen(sent, timeout=self.timeout) as r:
+                said = r.read().decode("utf-8", "replace")
+        except error.HTTPError as e:
+            return None, f"http_{e.code}: {e.read().decode('utf-8', 'replace')[:MOST_ERROR]}"
+        except OSError as e:
+            return None, f"unavailable: {e}"
+        try:
+            answer = json.loads(said)
+        except ValueError:
+            return None, f"not_json: {said[:MOST_NOT_JSON]}"
+        content = answer.get("message", {}).get("content") if isinstance(answer, dict) and isinstance(answer.get("message"), dict) else None
+        return (content, None) if isinstance(content, str) else (None, f"odd_structure: {said[:MOST_ODD]}")
+
+    def __call__(self, bodies: list[str]) -> list[Reply]:
+        return [self.one(b) for b in bodies]
+
+
+def complete(requests: DataFrame, client: Callable[[list[str]], list[str | Reply]], column: str = "user_message") -> DataFrame:
+    """doc_id and a column of prompts or request bodies -> doc_id, content, problem. The client is called on Arrow batches in the executors; it gives a content, or (content, problem), for each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.string()), ("problem", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(client(batch.column(1).to_pylist()), pa.string())], names=["doc_id", "content"])
+            if batch.num_rows:
+                replies = [r if isinstance(r, tuple) else (r, None) for r in client(batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([r[0] for r in replies], pa.string()), pa.array([r[1] for r in replies], pa.string())], schema=schema)
 
-    return prompts.select("doc_id", "user_message").mapInArrow(run, "doc_id long, content string")
+    return requests.select("doc_id", column).mapInArrow(run, "doc_id long, content string, problem string")
 
 
 def read_attempts(replies: DataFrame) -> DataFrame:
-    """With object, failure_kind (null if valid) and title. A record is valid here if it parses and has a title."""
-    found = replies.withColumn("found", json_object(F.col("content")))
+    """doc_id, attempt, content[, problem] -> with object, failure_kind (null if valid), detail and title.
+
+    A reply is valid if its JSON object, post-processed, breaks no rule of a record but those that a later stage fills (section number and name). Kinds: the client's problem,
+    no_json, incomplete, parse_error, validation_error."""
+    problem = F.col("problem") if "problem" in replies.columns else F.lit(None).cast("string")
+    found = replies.withColumn("found", json_object(F.col("content"))).withColumn("trouble", problem)
     # a reply is parsed once; what isn't JSON gives null
-    parsed = found.withColumn("json", F.try_parse_json("found.object"))
-    title = F.try_variant_get("json", "$.title", "string")
+    parsed = found.withColumn("json", F.try_parse_json("found.object")).withColumn("record", records.post_processed(F.col("found.object")))
+    broken = records.broken(F.col("record"), F.col("json"))
+    broken = F.filter(broken, lambda v: ~v["rule"].isin("section_number_missing", "section_name_missing", "overview_missing", "section_type_missing"))
+    parsed = parsed.withColumn("broken", F.when(F.col("json").isNotNull(), broken))
     kind = (
-        F.when(F.col("found.problem") == "no object", "no_json")
+        F.when(F.col("trouble").isNotNull(), F.regexp_extract("trouble", "^([a-z_]+)", 1))
+        .when(F.col("found.problem") == "no object", "no_json")
         .when(F.col("found.problem").isNotNull(), "incomplete")
         .when(F.col("json").isNull(), "parse_error")
-        .when(F.length(F.coalesce(title, F.lit(""))) == 0, "validation_error")
+        .when(F.size("broken") > 0, "validation_error")
     )
-    return parsed.select("doc_id", "attempt", F.col("found.object").alias("object"), kind.alias("failure_kind"), title.alias("title"))
+    detail = F.coalesce("trouble", F.when(F.size("broken") > 0, F.array_join(F.transform("broken", lambda v: F.concat_ws(" ", v["rule"], v["path"])), "; ")), F.lit(""))
+    return parsed.select("doc_id", "attempt", F.col("found.object").alias("object"), kind.alias("failure_kind"), F.left(detail, F.lit(MOST_ERROR)).alias("detail"), F.col("record.title").alias("title"))
 
 
 def first_valid(attempts: DataFrame) -> DataFrame:
@@ -88,3 +140,35 @@ def first_valid(attempts: DataFrame) -> DataFrame:
     good = F.when(F.col("failure_kind").isNull(), F.col("attempt"))
     out = attempts.groupBy("doc_id").agg(F.min(good).alias("attempt"), F.min_by("title", good).alias("title"))
     return out.withColumn("source", F.when(F.col("attempt").isNull(), "heuristic").otherwise("completion"))
+
+
+def extract(prompts: DataFrame, client: Callable[[list[str]], list[str | Reply]], model: str = "model", most_attempts: int = MOST_ATTEMPTS) -> DataFrame:
+    """doc_id, user_message -> all attempts: doc_id, attempt, object, failure_kind, detail, title, as a written table.
+
+    A round sends the request of each document that has no valid reply yet; a reply that isn't valid goes back with what was wrong with it, as another turn of the conversation. Each round is
+    a distributed pass, written before the next; the driver sees how many are left. Unavailable is raised if the service can't be reached. What is invalid in the end is the heuristic's turn."""
+    turn = "array<struct<role: string, content: string>>"
+    pending = prompts.select("doc_id", messages(F.col("user_message")).cast(turn).alias("turns"))
+    done = []
+    for attempt in range(1, most_attempts + 1):
+        body = pending.select("doc_id", request(model, F.col("turns")).alias("body"))
+        replies = written(complete(body, client, "body").withColumn("attempt", F.lit(attempt)), "replies")
+        lost = replies.where(F.startswith("problem", F.lit("unavailable"))).select("problem").first()
+        if lost:
+            raise Unavailable(lost.problem)
+        read = written(read_attempts(replies), "attempts")
+        done.append(read)
+        failed = read.where("failure_kind is not null")
+        if attempt == most_attempts or failed.isEmpty():
+            break
+        said = F.coalesce(F.col("content"), F.lit(""))
+        made = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+        again = F.array(made("assistant", said), made("user", retry_message(said, F.concat_ws(": ", "failure_kind", "detail"))))
+        more = failed.join(replies.select("doc_id", "content"), "doc_id").select("doc_id", again.cast(turn).alias("more"))
+        pending = written(pending.join(more, "doc_id").select("doc_id", F.concat("turns", "more").alias("turns")), "pending")
+    return reduce(DataFrame.unionByName, done)
+
+
+def nested(content: Column, *path: str, default: str = "") -> Column:
+    """The text at a path of a JSON text, or the default."""
+    return F.coalesce(F.get_json_object(content, "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path)), F.lit(default))

@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions import classify, text
-from quire.operators import batch, blocks, render, segment, tables
+from quire.operators import batch, blocks, registry, render, segment, tables
 from quire.sources import ooxml
-
-PLACEHOLDER = "[Steps to be reviewed]"
+from quire.sources.records import RECORD
+from quire.sources.shared import written
 
 
 @dataclass(frozen=True)
 class Folder:
-    """The stages over a folder's files; doc_id is a file's path."""
+    """The stages over a folder's files, or over `files` (path, content); doc_id is a file's path.
+
+    Files are parsed once: blocks, paragraphs with their levels and paragraphs with their segments are written to the shared folder, and all else reads those.
+    """
 
     spark: SparkSession
-    path: str
+    path: str = ""
     glob: str = "*.docx"
     author: str = "Unattributed"
     version: str = "1.0"
+    section: str = ""  # the section that the documents are said to belong to
+    sections_registry: dict[str, str] = field(default_factory=dict)
+    converter: Callable[[bytes], bytes] | None = None
+    files: DataFrame | None = None
 
     @cached_property
     def raw(self) -> DataFrame:
-        return ooxml.read_documents(self.spark, self.path, self.glob).withColumnRenamed("path", "doc_id")
+        files = self.files if self.files is not None else ooxml.listing(self.spark, self.path, self.glob)
+        return written(ooxml.read_files(files, self.converter), "blocks").withColumnRenamed("path", "doc_id")
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -44,11 +54,11 @@ class Folder:
         marked = blocks.merge_runs(runs)
         whole = F.array_join(F.transform("runs", lambda r: r["text"]), "")
         out = rows.select("doc_id", "pos", "style_name", place.alias("para_id"), text.normalize_whitespace(whole).alias("raw_text"), info.alias("i")).join(marked, "para_id").where(F.length("raw_text") > 0)
-        return out.select("doc_id", "pos", "style_name", F.col("i.level").alias("list_level"), "raw_text", text.normalize_units(F.col("marked_text")).alias("text"), F.col("i.is_list").alias("is_list"), classify.heading_level(F.col("raw_text"), F.col("style_name")).alias("heading_level"))
+        return written(out.select("doc_id", "pos", "style_name", F.col("i.level").alias("list_level"), "raw_text", text.normalize_units(F.col("marked_text")).alias("text"), F.col("i.is_list").alias("is_list"), classify.heading_level(F.col("raw_text"), F.col("style_name")).alias("heading_level")), "paragraphs")
 
     @cached_property
     def segmented(self) -> DataFrame:
-        return segment.segments(self.paragraphs)
+        return written(segment.segments(self.paragraphs), "segments")
 
     @cached_property
     def sections(self) -> DataFrame:
@@ -72,7 +82,8 @@ class Folder:
         heading = F.when(F.col("heading").isNotNull(), text.clean_title(F.col("heading")))
         title = F.coalesce(F.when(F.length("title") > 0, F.col("title")), heading, text.stem_title(F.col("doc_id")))
         out = d.select("doc_id", title.alias("title"), text.author(F.col("author"), None, self.author).alias("author"), "date", F.coalesce("section_type", F.lit("wet_lab")).alias("section_type"), F.coalesce("overview", F.lit("")).alias("overview"))
-        return out.withColumn("output_name", text.output_filename(F.lit(""), F.col("title"), F.lit(self.version)))
+        out = out.withColumn("place", registry.section(F.lit(self.section), F.col("section_type") == "computational", self.sections_registry))
+        return out.withColumn("output_name", text.output_filename(F.col("place.number"), F.col("title"), F.lit(self.version)))
 
     def _tables(self, role: str) -> tuple[DataFrame, DataFrame]:
         wet = self.heads.where("section_type = 'wet_lab'").select("doc_id")
@@ -103,82 +114,68 @@ def _listed(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
 
 
 def _table_list(rows: DataFrame, name: str) -> DataFrame:
-    one = rows.groupBy("doc_id", "table_no").agg(F.first("heading").alias("heading"), F.transform(F.array_sort(F.collect_list(F.struct("row_ord", "cells"))), lambda x: x["cells"]).alias("rows"))
+    ordered = F.array_sort(F.collect_list(F.struct("row_ord", "cells", "bold")))
+    one = rows.groupBy("doc_id", "table_no").agg(F.first("heading").alias("heading"), F.transform(ordered, lambda x: F.struct(x["cells"].alias("cells"), x["bold"].alias("bold"))).alias("rows"))
     return one.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "heading", "rows"))), lambda t: F.struct(t["heading"].alias("heading"), t["rows"].alias("rows"))).alias(name))
 
 
-def _sections(f: Folder) -> DataFrame:
+_STEP = "struct<seq: int, depth: int, parent_seq: int, step_type: string, text: string, code: string, code_language: string>"
+_CALLOUT = "struct<callout_type: string, text: string, after_step: bigint>"
+
+
+def procedures(sections: DataFrame, tree: DataFrame, callouts: DataFrame) -> DataFrame:
     """doc_id, procedure: sections with their steps as an adjacency list (seq, depth, parent_seq) and their callouts."""
     key = ["doc_id", "section_no"]
-    heads = f.sections.groupBy(key).agg(F.first("heading").alias("heading"), F.max(F.when(F.col("kind") == "preamble", F.col("text"))).alias("preamble"))
+    heads = sections.groupBy(key).agg(F.first("heading").alias("heading"), F.max(F.when(F.col("kind") == "preamble", F.col("text"))).alias("preamble"))
     kind = F.when(F.col("kind") == "stopping_point", "stopping_point").otherwise("action")
-    steps = f.tree.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "depth", "parent_seq", kind.alias("step_type"), "text"))).alias("steps"))
-    calls = f.callouts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "callout_type", "text", "after_step"))), lambda c: F.struct(c["callout_type"].alias("callout_type"), c["text"].alias("text"), c["after_step"].alias("after_step"))).alias("callouts"))
+    no = F.lit(None).cast("string")
+    steps = tree.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "depth", "parent_seq", kind.alias("step_type"), "text", no.alias("code"), no.alias("code_language")).cast(_STEP))).alias("steps"))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "callout_type", "text", "after_step")))
+    calls = callouts.groupBy(key).agg(F.transform(ordered, lambda c: F.struct(c["callout_type"].alias("callout_type"), c["text"].alias("text"), c["after_step"].cast("bigint").alias("after_step"))).alias("callouts"))
     joined = heads.join(steps, key, "left").join(calls, key, "left")
-    section = F.struct("section_no", "heading", "preamble", F.coalesce("steps", F.expr("array()").cast(steps.schema["steps"].dataType)).alias("steps"), F.coalesce("callouts", F.expr("array()").cast(calls.schema["callouts"].dataType)).alias("callouts"))
-    made = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(section)).alias("procedure"))
-    # without a section: all list items in one, or a placeholder
-    items = f.paragraphs.where("is_list and heading_level = 0").withColumn("seq", (F.row_number().over(segment.by_document()) - 1).cast(steps.schema["steps"].dataType.elementType["seq"].dataType))
-    empty = F.expr("array()").cast(calls.schema["callouts"].dataType)
-    bare = lambda seq, body: F.struct(seq.alias("seq"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("parent_seq"), F.lit("action").alias("step_type"), body.alias("text"))
+    empty = lambda kind: F.expr("array()").cast(f"array<{kind}>")
+    section = F.struct(F.col("section_no").cast("bigint").alias("section_no"), "heading", "preamble", F.coalesce("steps", empty(_STEP)).alias("steps"), F.coalesce("callouts", empty(_CALLOUT)).alias("callouts"))
+    return joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(section)).alias("procedure"))
+
+
+def _sections(f: Folder) -> DataFrame:
+    """doc_id, procedure of every readable file; without a section: all list items in one, or a placeholder."""
+    made = procedures(f.sections, f.tree, f.callouts)
+    items = f.paragraphs.where("is_list and heading_level = 0").withColumn("seq", (F.row_number().over(segment.by_document()) - 1).cast("int"))
+    no = F.lit(None)
+    bare = lambda seq, body: F.struct(seq.alias("seq"), F.lit(0).alias("depth"), no.alias("parent_seq"), F.lit("action").alias("step_type"), body.alias("text"), no.alias("code"), no.alias("code_language")).cast(_STEP)
     all_items = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(bare(F.col("seq"), F.col("text")))).alias("all_items"))
     docs = f.documents.where("problem is null").select("doc_id").join(made, "doc_id", "left").join(all_items, "doc_id", "left")
-    fallback = F.array(F.struct(F.lit(0).cast("long").alias("section_no"), F.lit("Procedure").alias("heading"), F.lit(None).cast("string").alias("preamble"), F.coalesce("all_items", F.array(bare(F.lit(0), F.lit(PLACEHOLDER)))).alias("steps"), empty.alias("callouts")))
-    return docs.select("doc_id", F.coalesce("procedure", fallback.cast(made.schema["procedure"].dataType)).alias("procedure"))
+    fallback = F.array(F.struct(F.lit(0).cast("bigint").alias("section_no"), F.lit("Procedure").alias("heading"), F.lit(None).cast("string").alias("preamble"), F.coalesce("all_items", F.array(bare(F.lit(0), F.lit(render.PLACEHOLDER)))).alias("steps"), F.expr("array()").cast(f"array<{_CALLOUT}>").alias("callouts")))
+    return docs.select("doc_id", F.coalesce("procedure", fallback).alias("procedure"))
 
 
-def records(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """doc_id, record: each readable file's record as JSON, nulls written out."""
-    f = Folder(spark, path, **options)
+def record_rows(f: Folder) -> DataFrame:
+    """doc_id, output_name, record (a struct of the declared schema) of each readable file."""
     parts = [_table_list(f.materials, "materials"), _table_list(f.mixes, "mix_tables"), _listed(f.notes, "number", "note", "notes"), _listed(f.references, "number", "reference", "references"), segment.prerequisites(f.segmented).select("doc_id", F.struct("software", "access", "dependencies").alias("prerequisites")), _sections(f)]
     whole = reduce(lambda a, b: a.join(b, "doc_id", "left"), parts, f.heads)
     none = lambda c: F.coalesce(c, F.expr("array()").cast(whole.schema[c].dataType)).alias(c)
     record = F.struct(
-        "title", F.lit(None).cast("string").alias("subtitle"), "author", "section_type", F.lit("").alias("section_number"), F.lit("").alias("section_name"), F.lit(f.version).alias("version"), "date", "overview",
+        "title", F.lit(None).cast("string").alias("subtitle"), "author", "section_type", F.col("place.number").alias("section_number"), F.col("place.name").alias("section_name"), F.lit(f.version).alias("version"), "date", "overview",
         none("materials"), F.when(F.col("section_type") == "computational", F.col("prerequisites")).alias("prerequisites"), "procedure", none("notes"), none("references"), none("mix_tables"),
         F.element_at(F.split("doc_id", "/"), -1).alias("source_filename"),
     )
-    return whole.select("doc_id", "output_name", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
-
-
-def render_plan(f: Folder) -> DataFrame:
-    """doc_id, output_name, block_no, kind, body of whole documents: title, overview, materials, procedure, notes, references, mixes, end."""
-    h = f.heads
-    line = text.byline(F.col("author"), F.lit(f.version), F.col("date"))
-    part = lambda df, n, at, kind, body: df.select("doc_id", F.lit(n).alias("part"), at.cast("long").alias("at"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), body.alias("body"))
-    one = lambda df: df.select("doc_id").distinct()
-
-    def table_part(rows: DataFrame, n: int, title: str) -> list[DataFrame]:
-        at = F.col("table_no") * 1_000_000
-        names = rows.groupBy("doc_id", "table_no").agg(F.first("heading").alias("heading"))
-        return [part(one(rows), n, F.lit(-1), "heading1", F.lit(title)), part(names, n, at, "heading3", F.col("heading")), part(rows, n, at + 1 + F.col("row_ord"), "table_row", F.array_join("cells", " | "))]
-
-    proc = render.procedure_blocks(f.sections, f.tree, f.callouts)
-    missing = h.select("doc_id").join(one(f.sections), "doc_id", "left_anti")
-    parts = [
-        part(h, 0, F.lit(0), "title", F.col("title")),
-        part(h, 0, F.lit(1), "paragraph", line),
-        part(h, 1, F.lit(0), "heading1", F.lit("Overview")),
-        part(h.select("doc_id", F.posexplode(text.overview_paragraphs(F.col("overview"))).alias("at", "body")), 1, F.col("at") + 1, "paragraph", F.col("body")),
-        *table_part(f.materials, 2, "Materials"),
-        part(proc, 3, F.col("block_no"), F.col("kind"), F.col("body")),
-        part(missing, 3, F.lit(0), "paragraph", F.lit(PLACEHOLDER)),
-        *(part(render.numbered_blocks(rows, title, F.col(c)), n, F.col("block_no"), F.col("kind"), F.col("body")) for n, rows, title, c in ((4, f.notes, "Notes", "note"), (5, f.references, "References", "reference"))),
-        *table_part(f.mixes, 6, "Reagent Mixes"),
-        part(h, 7, F.lit(0), "end", F.lit("— end —")),
-    ]
-    rows = reduce(DataFrame.unionByName, parts).join(h.select("doc_id", "output_name"), "doc_id")
-    return rows.withColumn("block_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "at")))
-
-
-def format_folder(spark: SparkSession, path: str, out: str, **options: str) -> DataFrame:
-    """path, status, output_path, reason: a row a file. Files whose names repeat are skipped; of files with one output name the first is written."""
+    return whole.select("doc_id", "output_name", record.cast(StructType.fromDDL(RECORD)).alias("record"))
+
+
+def records(spark: SparkSession, path: str, **options) -> DataFrame:  # noqa: ANN003  a Folder's
+    """doc_id, output_name, record: each readable file's record as JSON, nulls written out."""
+    return record_rows(Folder(spark, path, **options)).select("doc_id", "output_name", F.to_json("record", {"ignoreNullFields": "false"}).alias("record"))
+
+
+def format_folder(spark: SparkSession, path: str, out: str, case_sensitive: bool = False, **options) -> DataFrame:  # noqa: ANN003  a Folder's
+    """path, status, output_path, reason: a row a file, whatever is wrong with it. Files whose names repeat are skipped; of files with one output name the first is written."""
     f = Folder(spark, path, **options)
-    listed = batch.duplicates(f.documents.select(F.col("doc_id").alias("path"), "problem"))
+    listed = batch.duplicates(f.documents.select(F.col("doc_id").alias("path"), "problem"), case_sensitive)
     first = F.row_number().over(Window.partitionBy("output_name").orderBy(F.split("doc_id", "/"))) == 1
-    chosen = f.heads.join(listed.where("not duplicate").select(F.col("path").alias("doc_id")), "doc_id", "left_semi").withColumn("first", first)
-    plan = render_plan(f).join(chosen.where("first").select("doc_id"), "doc_id", "left_semi")
-    done = ooxml.write_documents(plan.select("doc_id", "output_name", "block_no", "kind", "body"), out)
+    made = written(record_rows(f), "records")
+    chosen = made.join(listed.where("not duplicate").select(F.col("path").alias("doc_id")), "doc_id", "left_semi").withColumn("first", first).where("first")
+    done = written(ooxml.write_documents(render.plan(chosen), out), "files")
     joined = listed.join(done.select(F.col("doc_id").alias("path"), "output_path"), "path", "left")
     status = F.when(F.col("duplicate"), "skipped").when(F.col("output_path").isNotNull(), "success").otherwise("failed")
     reason = F.when(F.col("duplicate"), "duplicate name").when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("output_path").isNull(), "output name taken")

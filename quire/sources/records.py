@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, StringType, StructType
 
-from quire.functions import text
+from quire.functions import classify, text
 
-_ROWS = "array<struct<heading: string, rows: array<array<string>>>>"
+_ROWS = "array<struct<heading: string, rows: array<struct<cells: array<string>, bold: boolean>>>>"
 RECORD = (
     "title string, subtitle string, author string, section_type string, section_number string, section_name string, version string, date string, overview string,"
     f" materials {_ROWS}, prerequisites struct<software: string, access: string, dependencies: string>,"
-    " procedure array<struct<section_no: bigint, heading: string, preamble: string, steps: array<struct<seq: int, depth: int, parent_seq: int, step_type: string, text: string>>,"
+    " procedure array<struct<section_no: bigint, heading: string, preamble: string, steps: array<struct<seq: int, depth: int, parent_seq: int, step_type: string, text: string, code: string, code_language: string>>,"
     " callouts: array<struct<callout_type: string, text: string, after_step: bigint>>>>,"
     f" notes array<string>, references array<string>, mix_tables {_ROWS}, source_filename string"
 )
+#: The same as a completion service may write it: numbers as text, rows as they come.
+LOOSE = RECORD.replace("after_step: bigint", "after_step: string")
 REQUIRED = ("title", "section_type", "section_number", "section_name", "overview", "procedure")
 CALLOUTS = ("critical", "caution", "tip", "note")
 STEPS = ("action", "stopping_point")
 
 
+def _json_schema(kind: DataType) -> dict:
+    if isinstance(kind, StructType):
+        return {"type": "object", "properties": {f.name: _json_schema(f.dataType) for f in kind}}
+    if isinstance(kind, ArrayType):
+        return {"type": "array", "items": _json_schema(kind.elementType)}
+    name = {StringType: "string", BooleanType: "boolean"}.get(type(kind), "integer")
+    return {"anyOf": [{"type": name}, {"type": "null"}]}
+
+
 def schema_json() -> str:
-    """The record's schema as JSON."""
-    return StructType.fromDDL(RECORD).json()
+    """The record's schema as a JSON Schema document."""
+    fixed = {"section_type": {"enum": ["wet_lab", "computational"]}}
+    whole = _json_schema(StructType.fromDDL(RECORD))
+    whole["properties"] |= fixed
+    return json.dumps({"$schema": "https://json-schema.org/draft/2020-12/schema", "title": "record", "required": list(REQUIRED), **whole}, indent=1)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -32,6 +48,41 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("json"), F.from_json("value", RECORD).alias("record"))
 
 
+def post_processed(content: Column, default_author: str = "Unattributed", version: str = "1.0") -> Column:
+    """The record in a loose JSON text, with defaults, dates as DD/MM/YYYY (null where none is found), the type in lower case, callouts without their
+    labels, after_step as a number or null, and rows of three and two cells; rows of a mix that begin with a total or an incubation are bold. Null where the text is no JSON object."""
+    r = F.from_json(content, LOOSE)
+    none = lambda name: F.expr("array()").cast(StructType.fromDDL(RECORD)[name].dataType)
+    filled = lambda c, default: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, c).otherwise(default)
+    dated = F.when(F.rlike(r["date"], F.lit(r"^\d{2}/\d{2}/\d{4}$")), r["date"]).otherwise(text.normalize_date(r["date"]))
+    step_number = lambda c: F.when(F.rlike(c, F.lit(r"^\s*[+-]?\d+\s*$")), F.trim(c).try_cast("long"))
+    callout = lambda c: F.struct(c["callout_type"].alias("callout_type"), text.strip_callout_prefix(text.normalize_whitespace(c["text"])).alias("text"), step_number(c["after_step"]).alias("after_step"))
+    section = lambda s: F.struct(*(s[c].alias(c) for c in ("section_no", "heading", "preamble", "steps")), F.transform(s["callouts"], callout).alias("callouts"))
+
+    def tables(name: str, width: int, mixes: bool) -> Column:
+        bold = lambda row: F.coalesce(row["bold"], F.lit(False)) | (F.coalesce(classify.is_bold_row(F.get(row["cells"], F.lit(0))), F.lit(False)) if mixes else F.lit(False))
+        row = lambda x: F.struct(text.pad_cells(x["cells"], width).alias("cells"), bold(x).alias("bold"))
+        return F.coalesce(F.transform(r[name], lambda t: F.struct(t["heading"].alias("heading"), F.transform(t["rows"], row).alias("rows"))), none(name)).alias(name)
+
+    made = F.struct(
+        r["title"].alias("title"), r["subtitle"].alias("subtitle"), filled(r["author"], default_author).alias("author"),
+        F.when(F.length(text.strip(F.coalesce(r["section_type"], F.lit("")))) > 0, F.lower(text.strip(r["section_type"]))).otherwise("wet_lab").alias("section_type"),
+        r["section_number"].alias("section_number"), r["section_name"].alias("section_name"), filled(r["version"], version).alias("version"), dated.alias("date"), r["overview"].alias("overview"),
+        tables("materials", 3, False), r["prerequisites"].alias("prerequisites"), F.transform(r["procedure"], section).alias("procedure"),
+        F.coalesce(r["notes"], none("notes")).alias("notes"), F.coalesce(r["references"], none("references")).alias("references"), tables("mix_tables", 2, True), r["source_filename"].alias("source_filename"),
+    )
+    return F.when(r.isNotNull(), made.cast(StructType.fromDDL(RECORD)))
+
+
+def counts(records: DataFrame) -> DataFrame:
+    """doc_id and the record's sections, steps, callouts, notes, references, materials tables and mix tables."""
+    r = F.col("record")
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    inner = lambda name: size(F.flatten(F.transform(r["procedure"], lambda s: F.coalesce(s[name], F.expr("array()").cast(StructType.fromDDL(RECORD)["procedure"].dataType.elementType[name].dataType)))))
+    plain = {"n_sections": "procedure", "n_notes": "notes", "n_references": "references", "n_materials": "materials", "n_mixes": "mix_tables"}
+    return records.select("doc_id", *(size(r[c]).alias(n) for n, c in plain.items()), inner("steps").alias("n_steps"), inner("callouts").alias("n_callouts"))
+
+
 def _where(items: Column, name: str, bad) -> Column:  # noqa: ANN001  a function of an item and its place
     """Violations struct<rule, path> of an array's items."""
     hits = F.filter(F.transform(items, lambda x, i: F.struct(F.coalesce(bad(x, i), F.lit(False)).alias("bad"), i.alias("i"))), lambda h: h["bad"])
@@ -39,16 +90,19 @@ def _where(items: Column, name: str, bad) -> Column:  # noqa: ANN001  a function
 
 
 def violations(records: DataFrame) -> DataFrame:
-    """doc_id, rule, path: a row for each rule that a record breaks; path has the place in its list."""
-    r = F.col("record")
+    """doc_id, json, record -> doc_id, rule, path: a row for each rule that a record breaks; path has the place in its list."""
+    return records.select("doc_id", F.explode(broken(F.col("record"), F.try_parse_json("json"))).alias("v")).select("doc_id", "v.rule", "v.path")
+
+
+def broken(r: Column, raw: Column) -> Column:
+    """array<struct<rule, path>> of a record and the variant that it was read from."""
     blank = lambda c: F.length(text.strip(F.coalesce(c, F.lit("")))) == 0
-    raw = F.try_parse_json("json")
 
     def whole(name: str, bad: Column) -> Column:
         return F.when(F.coalesce(bad, F.lit(False)), F.array(F.struct(F.lit(name).alias("rule"), F.lit("").alias("path"))))
 
     def width(name: str, tables: str, n: int) -> Column:
-        return _where(F.coalesce(r[tables], F.expr("array()").cast(StructType.fromDDL(RECORD)[tables].dataType)), name, lambda t, i: F.exists(t["rows"], lambda row: F.size(row) != n))
+        return _where(F.coalesce(r[tables], F.expr("array()").cast(StructType.fromDDL(RECORD)[tables].dataType)), name, lambda t, i: F.exists(t["rows"], lambda row: F.coalesce(F.size(row["cells"]), F.lit(-1)) != n))
 
     procedure = F.coalesce(r["procedure"], F.expr("array()").cast(StructType.fromDDL(RECORD)["procedure"].dataType))
     tops = lambda s: F.size(F.filter(s["steps"], lambda x: F.coalesce(x["depth"], F.lit(0)) == 0))
@@ -73,4 +127,4 @@ def violations(records: DataFrame) -> DataFrame:
         _where(procedure, "after_step_range", lambda s, i: F.exists(s["callouts"], lambda x: F.coalesce((x["after_step"] < 0) | (x["after_step"] >= tops(s)), F.lit(False)))),
     ]
     none = F.expr("array()").cast("array<struct<rule: string, path: string>>")
-    return records.select("doc_id", F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("v")).select("doc_id", "v.rule", "v.path")
+    return F.concat(*(F.coalesce(p, none) for p in parts))

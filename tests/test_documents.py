@@ -4,10 +4,11 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import blocks, completion, segment
-from quire.sources import ooxml
+from quire.operators import blocks, completion, render, segment
+from quire.sources import ooxml, probes, records
 from quire.streaming import ingest
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -83,9 +84,9 @@ def test_prompts_and_a_client(spark):
     prompts = df.select("doc_id", completion.user_message(F.col("text"), F.lit("f.docx")).alias("user_message"))
     r = prompts.orderBy("doc_id").first()
     assert "File: f.docx\n\nbody\n\n" in r.user_message and "Section" not in r.user_message
-    out = completion.complete(prompts, lambda batch: [f'{{"title": "T{len(x)}"}}' for x in batch]).withColumn("attempt", F.lit(1))
+    out = completion.complete(prompts, lambda batch: [f'{{"title": "T{len(x)}", "procedure": [{{"heading": "H", "steps": []}}]}}' for x in batch]).withColumn("attempt", F.lit(1))
     assert {x.source for x in completion.first_valid(completion.read_attempts(out)).collect()} == {"completion"}
-    body = json.loads(prompts.select(completion.request("m", F.col("user_message")).alias("b")).first().b)
+    body = json.loads(prompts.select(completion.request("m", completion.messages(F.col("user_message"))).alias("b")).first().b)
     assert body["messages"][0]["role"] == "system" and body["stream"] is False
     again = df.select(completion.retry_message(F.lit("x" * 3000), F.lit("bad")).alias("m")).first().m
     assert "[cut]" in again and len(again) < 2200
@@ -108,7 +109,7 @@ def test_a_folder_from_files_to_files(spark, tmp_path):
     got = {r.doc_id.rsplit("/", 1)[1]: json.loads(r.record) for r in records(spark, str(tmp_path)).collect()}
     one = got["one.docx"]
     assert one["title"] == "Buffer work" and one["overview"].startswith("This says") and one["references"] == ["A book"] and one["section_type"] == "wet_lab"
-    assert one["materials"] == [{"heading": "Salts", "rows": [["NaCl", "—", "x"]]}] and one["subtitle"] is None
+    assert one["materials"] == [{"heading": "Salts", "rows": [{"cells": ["NaCl", "—", "x"], "bold": False}]}] and one["subtitle"] is None
     section = one["procedure"][0]
     assert section["heading"] == "Mixing" and section["preamble"] == "First some words" and [c["text"] for c in section["callouts"]] == ["keep cold"]
     assert [(s["text"], s["depth"], s["step_type"]) for s in section["steps"]] == [("Spin at 300 × g", 0, "action"), ("Sub step", 1, "action"), ("Can be stored", 0, "stopping_point")]
@@ -117,5 +118,99 @@ def test_a_folder_from_files_to_files(spark, tmp_path):
     assert {k: r.status for k, r in results.items()} == {"one.docx": "success", "empty.docx": "success", "bad.docx": "failed"}
     written = (tmp_path / "out" / "Buffer-Work_v1_0.docx").read_bytes()
     xml = zipfile.ZipFile(io.BytesIO(written)).read("word/document.xml").decode()
-    order = ["Buffer work", "This says", "Materials", "Salts", "NaCl", "Procedure", "Mixing", "First some", "CAUTION: keep cold", "Spin at 300 × g", "Sub step", "Can be stored", "References", "1. A book"]
+    order = ["Buffer work", "This says", "Materials", "Salts", "NaCl", "Procedure", "Mixing", "First some", "Caution", "Spin at 300 × g", "Sub step", "Safe stopping point", "Can be stored", "References", "A book", "End of Protocol"]
     assert [xml.index(x) for x in order] == sorted(xml.index(x) for x in order)
+
+
+def test_rounds_of_attempts(spark):
+    good = '{"title": "T", "section_type": "Wet_Lab ", "date": "5 March 2024", "procedure": [{"heading": "H", "steps": [{"depth": 0, "step_type": "action", "text": "x"}]}]}'
+
+    def client(bodies):
+        out = []
+        for b in bodies:
+            turns = json.loads(b)["messages"]
+            tries = (len(turns) - 2) // 2
+            wanted = int(turns[1]["content"])
+            if tries:
+                assert turns[-1]["role"] == "user" and "The answer was not valid" in turns[-1]["content"]
+            out.append(good if tries >= wanted else [("no", None), ('{"title": "", "procedure": []}', None), (None, "not_json: <html>")][tries % 3])
+        return out
+
+    prompts = spark.createDataFrame([(i, str(i)) for i in range(6)], "doc_id long, user_message string")
+    attempts = completion.extract(prompts, client)
+    kinds = {}
+    for r in attempts.orderBy("doc_id", "attempt").collect():
+        kinds.setdefault(r.doc_id, []).append(r.failure_kind)
+    assert kinds == {0: [None], 1: ["no_json", None], 2: ["no_json", "validation_error", None], 3: ["no_json", "validation_error", "not_json", None], **{k: ["no_json", "validation_error", "not_json", "no_json"] for k in (4, 5)}}
+    assert {r.doc_id: (r.attempt, r.source) for r in completion.first_valid(attempts).collect()} == {k: (k + 1, "completion") if k < 4 else (None, "heuristic") for k in range(6)}
+    with pytest.raises(completion.Unavailable):
+        completion.extract(prompts, lambda bodies: [(None, "unavailable: refused")] * len(bodies))
+
+
+def test_http_client():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = {"ok": '{"message": {"content": "hi"}}', "html": "<html>" * 100, "odd": '{"x": 1}'}[body["k"]].encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(said)
+
+        do_GET = lambda self: (self.send_response(200), self.end_headers(), self.wfile.write(b'{"models": [{"name": "m"}]}'))
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    ok, html, odd = completion.HttpClient(url, 5)([json.dumps({"k": k}) for k in ("ok", "html", "odd")])
+    assert ok == ("hi", None) and html[1].startswith("not_json: <html>") and len(html[1]) == 310 and odd[1].startswith("odd_structure")
+    assert probes.server(url) == (True, ["m"])
+    server.shutdown()
+    server.server_close()
+    assert completion.HttpClient(url, 1)(["{}"])[0][1].startswith("unavailable") and probes.server(url, 1) == (False, [])
+    assert probes.command("no-such-program") is None and probes.command("python")
+
+
+def test_files_by_type_and_a_converter(spark, tmp_path):
+    make(tmp_path / "a.docx", document=BODY)
+    (tmp_path / "b.doc").write_bytes((tmp_path / "a.docx").read_bytes())
+    (tmp_path / "c.pdf").write_bytes(b"x")
+    locked = bytearray((tmp_path / "a.docx").read_bytes())
+    for at in (6, locked.index(b"PK\x01\x02") + 8):
+        locked[at] |= 1  # says that it is encrypted
+    (tmp_path / "d.docx").write_bytes(locked)
+    every = ooxml.listing(spark, str(tmp_path), "*")
+    problems = lambda rows: {r.path.rsplit("/", 1)[1]: r.problem for r in rows.where("kind = 'error'").collect()}
+    got = problems(ooxml.read_files(every))
+    assert got.pop("d.docx").startswith("RuntimeError") and got == {"b.doc": "no converter", "c.pdf": "unsupported type"}
+    assert set(problems(ooxml.read_files(every, lambda data: data))) == {"c.pdf", "d.docx"}
+
+    def fails(data):
+        raise TimeoutError("120 s")
+
+    assert problems(ooxml.read_files(every, fails))["b.doc"] == "TimeoutError: 120 s"
+    assert {r.path.rsplit("/", 1)[1] for r in ooxml.listing(spark, str(tmp_path)).select("path").collect()} == {"a.docx", "b.doc", "d.docx"}
+
+
+def test_steps_nested_deeper_than_eight(spark):
+    rows = [(1, 0, i, "step", "step", i + 1, f"s{i}") for i in range(14)] + [(1, 0, 14, "step", "step", 12, "x"), (1, 0, 15, "step", "step", 1, "y")]
+    tree = segment.step_tree(spark.createDataFrame(rows, "doc_id long, section_no long, pos long, kind string, class string, list_level int, text string"))
+    got = {r.seq: (r.depth, r.parent_seq) for r in tree.collect()}
+    assert got == {**{i: (i, i - 1 if i else None) for i in range(14)}, 14: (11, 10), 15: (0, None)}
+
+
+def test_what_hangs_under_a_nested_stopping_point_is_not_shown(spark):
+    step = lambda seq, depth, kind: {"seq": seq, "depth": depth, "parent_seq": None, "step_type": kind, "text": f"t{seq}", "code": "a\n\nb" if seq == 5 else None, "code_language": None}
+    steps = [step(0, 0, "action"), step(1, 1, "stopping_point"), step(2, 2, "action"), step(3, 1, "action"), step(4, 0, "stopping_point"), step(5, 0, "action")]
+    section = {"section_no": 0, "heading": "H", "preamble": None, "steps": steps, "callouts": [{"callout_type": "tip", "text": "c0", "after_step": 0}, {"callout_type": "note", "text": "c9", "after_step": 9}, {"callout_type": "note", "text": "top", "after_step": None}]}
+    df = spark.createDataFrame([([section],)], "procedure " + records.RECORD.split("procedure ")[1].split(", notes")[0])
+    for computational, kinds in ((False, ["step0"]), (True, ["code_step0", "code", "spacer"])):
+        blocks_ = df.select(F.explode(render.procedure_blocks(F.col("procedure"), F.lit(computational))).alias("b")).select("b.*").collect()
+        said = [(b.kind, b.body) for b in blocks_][2:]
+        assert [k for k, _ in said] == ["heading2", "callout_note", "spacer", kinds[0], "stopping_point", kinds[0][:-1] + "1", "callout_tip", "spacer", "stopping_point", *kinds, "spacer"]
+        assert said[1][1] == "ℹ\u00a0\u00a0Note\ntop" and said[4][1].endswith("t1") and said[5][1] == "t3"

@@ -8,7 +8,7 @@ from quire.__main__ import main
 from quire.sources import config, records
 
 GOOD = {
-    "title": "T", "subtitle": None, "section_type": "wet_lab", "section_number": "", "section_name": "", "date": "01/02/2024", "overview": "", "materials": [{"heading": "h", "rows": [["a", "b", "c"]]}], "unknown": 1,
+    "title": "T", "subtitle": None, "section_type": "wet_lab", "section_number": "", "section_name": "", "date": "01/02/2024", "overview": "", "materials": [{"heading": "h", "rows": [{"cells": ["a", "b", "c"]}]}], "unknown": 1,
     "procedure": [{"section_no": 0, "heading": "H", "steps": [{"seq": 0, "depth": 0, "step_type": "action", "text": "x"}], "callouts": [{"callout_type": "tip", "text": "y", "after_step": 0}]}],
 }
 BAD = {
@@ -17,7 +17,7 @@ BAD = {
     "typed": (GOOD | {"procedure": "x"}, [("procedure_mistyped", "")]),
     "date": (GOOD | {"date": "2024-01-01"}, [("date_invalid", "")]),
     "kind": (GOOD | {"section_type": "computational"}, [("materials_in_computational", "")]),
-    "rows": (GOOD | {"materials": [{"heading": "h", "rows": [["a", "b", "c"]]}, {"heading": "h", "rows": [["a"]]}]}, [("materials_width", "1")]),
+    "rows": (GOOD | {"materials": [{"heading": "h", "rows": [{"cells": ["a", "b", "c"]}]}, {"heading": "h", "rows": [{"cells": ["a"]}]}]}, [("materials_width", "1")]),
     "after": (GOOD | {"procedure": [GOOD["procedure"][0] | {"callouts": [{"callout_type": "tip", "text": "y", "after_step": 1}]}]}, [("after_step_range", "0")]),
     "step": (GOOD | {"procedure": [GOOD["procedure"][0] | {"steps": [{"depth": 0, "step_type": "odd", "text": ""}]}]}, [("step_text_empty", "0"), ("step_type_unknown", "0")]),
     "none": (GOOD | {"procedure": []}, [("procedure_empty", "")]),
