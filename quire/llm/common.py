@@ -1,10 +1,9 @@
-"""What the operators share: text in bounded slices, the shared folder, lineage cuts."""
+"""What the operators share: text in bounded slices, words, memory given back, lineage cuts. The shared folder is quire.sources.shared's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.shared import shared_dir, written
+
 #: The white space that separates words in every contract here.
 SPACE = b" \t\n\v\f\r"
 #: Bytes of text that a worker holds in intermediate arrays at once (a longer text is held alone).
@@ -79,6 +80,26 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[list[bytes], np.ndarr
     return found.dictionary.to_pylist(), np.asarray(found.indices, dtype=np.int64), n, np.searchsorted(starts, np.flatnonzero(u == 0x0A))
 
 
+def release() -> None:
+    """Gives what Arrow and the C library hold unused back to the system: workers live on from task to task, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same pass over batches, and release() at its end."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
 def longs(batch: pa.RecordBatch, name: str = "doc_id") -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -115,29 +136,6 @@ class Kept(dict):
         return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI inside spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent, as in a local test, a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="quire-")
-    if "://" not in base:
-        base = "file://" + base if base.startswith("/") else base
-    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read from there: a cut of the lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder; sets a folder only where the session names none."""
     spark = df.sparkSession

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_bytes, id_and_text, longs, mix64, shared_dir, slices, words, written
+from quire.llm.common import column_bytes, id_and_text, longs, mix64, shared_dir, slices, tidied, words, written
 from quire.llm.files import read_file, write_file
 
 WINDOW = 5
@@ -360,7 +360,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
                 rows[i] = (True, None if item == NO_ID else item, n, matched, total, other)
             yield pa.RecordBatch.from_arrays([longs(batch), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=_NAMES)
 
-    return id_and_text(docs).mapInArrow(run, RESULT)
+    return id_and_text(docs).mapInArrow(tidied(run), RESULT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -373,4 +373,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
             keep[list(blocks.held(column_bytes(batch)))] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

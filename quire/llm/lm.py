@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_bytes, id_and_text, longs, mix64, shared_dir, slices, words, written
+from quire.llm.common import column_bytes, id_and_text, longs, mix64, shared_dir, slices, tidied, words, written
 from quire.llm.files import read_file, write_file
 
 #: Longest run of tokens in the filter.
@@ -237,7 +237,7 @@ def sliced(docs: DataFrame, order: int = ORDER) -> Sliced:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, path, len(one.keys(order)[0]), int((~held).sum()))], names=names)
             number += 1
 
-    table = written(docs.withColumn("held", held_out(F.col("doc_id"))).mapInArrow(cut, "slice long, path string, keys long, texts long"), "slices")
+    table = written(docs.withColumn("held", held_out(F.col("doc_id"))).mapInArrow(tidied(cut), "slice long, path string, keys long, texts long"), "slices")
     zero = F.lit(0)
     sums = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("keys"), zero).alias("keys"), F.coalesce(F.sum("texts"), zero).alias("texts")).first()
     return Sliced(table, sums.n, sums["keys"], sums.texts, order)
@@ -258,7 +258,7 @@ def sent(texts: Sliced, segments: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["segment", "slice", "keys", "counts"])
 
     dealt = texts.table.select("slice", "path").repartitionByRange(max(1, min(texts.n, TASKS)), "slice")
-    return dealt.mapInArrow(send, "segment long, slice long, keys binary, counts binary")
+    return dealt.mapInArrow(tidied(send), "segment long, slice long, keys binary, counts binary")
 
 
 ANSWERS = "slice long, segment long, answers binary, path string, tokens long, distinct long"

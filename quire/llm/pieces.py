@@ -35,11 +35,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.common import Kept, column_text, id_and_text, longs, slices
+from quire.llm.common import Kept, column_text, id_and_text, longs, slices, tidied
 
 SPACE = "▁"
-KEPT = 400_000
-KEPT_PAIRS = 1_000_000
+KEPT = 250_000
+KEPT_PAIRS = 500_000
 SHORT = 48
 
 
@@ -321,7 +321,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
             columns = [pa.array(c, pa.bool_() if k == 4 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))]
             yield pa.RecordBatch.from_arrays([longs(batch), *columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return id_and_text(docs).mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(tidied(run), SCHEMA)
 
 
 def encoded(docs: DataFrame, model_file: str) -> DataFrame:
@@ -336,4 +336,4 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, fst.dtype), *ids]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([longs(batch), lists, pa.array([back == t for back, t in zip(fst.decode_all(ids), texts, strict=True)], pa.bool_())], names=["doc_id", "ids", "exact"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>, exact boolean")
+    return id_and_text(docs).mapInArrow(tidied(run), "doc_id long, ids array<int>, exact boolean")

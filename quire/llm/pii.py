@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_text, id_and_text, longs, slices
+from quire.llm.common import column_text, id_and_text, longs, slices, tidied
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "email_text", "login", "account", "secret", "address")
@@ -224,7 +224,7 @@ def detect(docs: DataFrame) -> DataFrame:
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(BASE))]
             yield pa.RecordBatch.from_arrays([longs(batch), *columns, pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
-    return id_and_text(docs).mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(tidied(run), SCHEMA)
 
 
 def redact_text(text: str | None) -> str | None:
@@ -252,5 +252,5 @@ def redact(docs: DataFrame) -> DataFrame:
             texts = batch.column(place).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([redact_text(t) for t in texts], c.type) if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(tidied(run), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from quire.llm.common import column_bytes, slices, words, written
+from quire.llm.common import column_bytes, slices, tidied, words, written
 
 MOST_SAMPLE = 8_000
 DIMENSIONS = 1024
@@ -243,7 +243,7 @@ def featured(docs: DataFrame) -> Featured:
             m, x = measures(column_bytes(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pattern(votes(m))), sparse(x)], names=[*batch.schema.names, *added[1:]])
 
-    return Featured(written(marked.mapInArrow(run, schema), "features"), docs.columns, added)
+    return Featured(written(marked.mapInArrow(tidied(run), schema), "features"), docs.columns, added)
 
 
 def train(rows: Featured, most_sample: int = MOST_SAMPLE) -> Model:

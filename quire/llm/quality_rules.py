@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from quire.llm.common import SPACE, column_bytes, id_and_text, longs, mix64, slices, words
+from quire.llm.common import SPACE, column_bytes, id_and_text, longs, mix64, slices, tidied, words
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -157,7 +157,7 @@ def judge(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
                 names=NAMES,
             )
 
-    return id_and_text(docs).mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(tidied(run), SCHEMA)
 
 
 NAMES = [c.split()[0] for c in SCHEMA.split(",")]

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, column_bytes, id_and_text, longs, slices, written
+from quire.llm.common import checkpointed, column_bytes, id_and_text, longs, slices, tidied, written
 
 SEED = 42
 SHINGLE = 4
@@ -116,7 +116,7 @@ def fingerprint_rows(docs: DataFrame, keyed: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([longs(batch), pa.array(fingerprints(column_bytes(batch)).view(np.int64)), *(longs(batch, c) for c in more)], names=["doc_id", "fp", *more])
 
     rows = id_and_text(docs)
-    return (rows.withColumn("text_key", text_key()) if keyed else rows).mapInArrow(run, "doc_id long, fp long" + ", text_key long" * keyed)
+    return (rows.withColumn("text_key", text_key()) if keyed else rows).mapInArrow(tidied(run), "doc_id long, fp long" + ", text_key long" * keyed)
 
 
 def variants(classes: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def components(edges: DataFrame) -> DataFrame:
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = checkpointed(edges.mapInArrow(contract, "a long, b long").where("a > b").distinct())
+    edges = checkpointed(edges.mapInArrow(tidied(contract), "a long, b long").where("a > b").distinct())
     before = state(edges)
     while before[0]:
         edges = checkpointed(star(star(edges, large=True), large=False))
@@ -280,7 +280,7 @@ def components(edges: DataFrame) -> DataFrame:
 def rooted(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """fp, least (distinct fingerprints) -> fp, least, root: a fingerprint that names its component."""
     keyed = variants(classes).repartition("key").sortWithinPartitions("key")
-    found = written(keyed.mapInArrow(partial(search, block=block), RUNS), "links")
+    found = written(keyed.mapInArrow(tidied(partial(search, block=block)), RUNS), "links")
     blocks = found.where("key is not null").select("key", F.col("a").alias("fp"), "block")
     # written first, so that the join with a large key's members can be split
     last = checkpointed(blocks.groupBy("key").agg(F.max("block").alias("last")))

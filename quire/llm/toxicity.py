@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_bytes, id_and_text, longs, slices, words
+from quire.llm.common import column_bytes, id_and_text, longs, slices, tidied, words
 
 #: Bounds of what is learned from: labelled rows, and bytes of a text.
 MOST_LABELLED = 8_000
@@ -291,5 +291,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             z = clause_features(column_bytes(batch), model, machine) @ w[1:] + w[0]
             yield pa.RecordBatch.from_arrays([longs(batch), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
 
-    out = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+    out = id_and_text(docs).mapInArrow(tidied(run), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_text, id_and_text, longs, shared_dir, slices
+from quire.llm.common import column_text, id_and_text, longs, shared_dir, slices, tidied
 from quire.llm.files import read_file, write_file
 
 MAGIC = b"QWAVE01\n"
@@ -392,7 +392,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int =
     # the text's hash parts the rows of one doc_id, without texts in the sample that sets the ranges
     ranged = docs.withColumn("mark", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     path = f"{folder}/manifest"
-    ranged.mapInArrow(run, MANIFEST).write.parquet(path)
+    ranged.mapInArrow(tidied(run), MANIFEST).write.parquet(path)
     return spark.read.schema(MANIFEST).parquet(path)
 
 
@@ -422,7 +422,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 whole = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(before + starts), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                 yield from (whole.slice(at, 50_000) for at in range(0, whole.num_rows, 50_000))
 
-    return starts(manifest).repartitionByRange(tasks, "before").mapInArrow(run, ROWS)
+    return starts(manifest).repartitionByRange(tasks, "before").mapInArrow(tidied(run), ROWS)
 
 
 def encode_and_read(docs: DataFrame, tokenizer_path: str, **sizes: int) -> DataFrame:

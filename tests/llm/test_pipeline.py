@@ -1,30 +1,55 @@
 import public_tokenizers
+import pytest
 import sentencepiece
 
 import corpus_pipeline
-from quire.llm import decontaminate, pii, quality
+from quire.llm import quality
+from tests.llm.test_decontaminate import brute as leaked
+from tests.llm.test_pii import added_brute
+from tests.llm.test_pii import brute as base_spans
+from tests.llm.test_quality import brute_measures, brute_score
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
 
+def redacted(text):
+    base = base_spans(text)
+    out, at = "", 0
+    for a, b, kind in sorted((a, b, k) for k, a, b in base + added_brute(text, base)):
+        if a >= at:
+            out += text[at:a] + f"<{kind.upper()}>"
+        at = max(at, b)
+    return out + text[at:]
+
+
 def test_run_against_a_plain_version(spark):
-    """The same stages on lists: all pairs of fingerprints, the library's encoder, one document at a time."""
+    """The same stages on lists, from their descriptions, one document at a time; only the scorer's weights are the package's."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    model = quality.train(docs)
-    rows = [(d, t) for d, t in rows if model.score(quality.measures([t.encode()])[1])[0] >= quality.THRESHOLD]
+    weights = quality.train(quality.featured(docs)).weights
+    rows = [(d, t) for d, t in rows if brute_score(t.encode(), brute_measures(t.encode()), weights) >= quality.THRESHOLD]
     fps = [(d, brute_fingerprint(t)) for d, t in rows]
     keep = {d for (d, _), c in zip(fps, brute_components(fps)) if d == c}
     rows = [(d, t) for d, t in rows if d in keep]
-    index = decontaminate.indexes(spark.read.parquet(f"{SF}/benchmark.parquet"))[0]
-    rows = [(d, t) for d, t in rows if not list(index.probe(decontaminate.Templates([t.encode()])))]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(d, t) for d, t in rows if not leaked(t, items)]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    want = {d: library.encode(pii.redact_text(t)) for d, t in rows}
+    want = {d: library.encode(redacted(t)) for d, t in rows}
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want and 50 < len(got) < docs.count()
 
 
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_pass_on_columns_with_clashing_names(spark, stage):
+    """Extra columns named as the stages' own come through as they were."""
+    extra = ["pattern", "fp", "text_key", "contaminated", "spans", "score", "key", "row", "block", "root"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("doc_id", "text", "lang", "source", "n_chars", *(f"concat('{c}', doc_id) {c}" for c in extra))
+    out = stage[1](spark, docs, SF)
+    rows = out.collect()
+    assert out.columns == docs.columns and rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
+
+
 def test_stages_keep_the_columns_and_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
