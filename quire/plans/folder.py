@@ -109,7 +109,7 @@ class Folder:
         return segment.references(self.segmented)
 
 
-def _listed(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+def listed(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias(name))
 
 
@@ -152,7 +152,7 @@ def _sections(f: Folder) -> DataFrame:
 
 def record_rows(f: Folder) -> DataFrame:
     """doc_id, output_name, record (a struct of the declared schema) of each readable file."""
-    parts = [_table_list(f.materials, "materials"), _table_list(f.mixes, "mix_tables"), _listed(f.notes, "number", "note", "notes"), _listed(f.references, "number", "reference", "references"), segment.prerequisites(f.segmented).select("doc_id", F.struct("software", "access", "dependencies").alias("prerequisites")), _sections(f)]
+    parts = [_table_list(f.materials, "materials"), _table_list(f.mixes, "mix_tables"), listed(f.notes, "number", "note", "notes"), listed(f.references, "number", "reference", "references"), segment.prerequisites(f.segmented).select("doc_id", F.struct("software", "access", "dependencies").alias("prerequisites")), _sections(f)]
     whole = reduce(lambda a, b: a.join(b, "doc_id", "left"), parts, f.heads)
     none = lambda c: F.coalesce(c, F.expr("array()").cast(whole.schema[c].dataType)).alias(c)
     record = F.struct(

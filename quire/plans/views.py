@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.functions import text
+
 PARA = """
 SELECT user_id AS doc_id, event_id AS pos,
  CASE WHEN event_id % 31 = 0 THEN 'Heading 1' WHEN event_id % 31 IN (7, 19) THEN 'Heading 2'
@@ -71,15 +73,61 @@ SELECT o_orderkey AS payload_id,
  CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'user' ELSE concat(' Team  ', o_orderkey % 40) END AS author_raw
 FROM orders"""
 
-RESPONSES = """
+_PROC = '"procedure": [{"heading": "H", "steps": [], "callouts": []}]'
+RESPONSES = f"""
 SELECT s.s_suppkey AS doc_id, a.attempt,
- CASE (s.s_suppkey * 3 + a.attempt * 5) % 6
-  WHEN 0 THEN concat('```json', chr(10), '{"title": "T', s.s_suppkey, '"}', chr(10), '```')
-  WHEN 1 THEN concat('Here: {"title": "A {b} ', s.s_suppkey, '", "d": {"e": 1}} done')
-  WHEN 2 THEN 'no object here' WHEN 3 THEN '{"title": "cut' WHEN 4 THEN '{"title": ""}' ELSE '{bad json}' END AS content
+ CASE (s.s_suppkey * 3 + a.attempt * 5) % 7
+  WHEN 0 THEN concat('```json', chr(10), '{{"title": "T', s.s_suppkey, '", {_PROC}}}', chr(10), '```')
+  WHEN 1 THEN concat('Here: {{"title": "A {{b}} ', s.s_suppkey, '", "d": {{"e": 1}}, {_PROC}}} done')
+  WHEN 2 THEN 'no object here' WHEN 3 THEN '{{"title": "cut' WHEN 4 THEN '{{"title": "", {_PROC}}}' WHEN 5 THEN '{{bad json}}' ELSE '{{"title": "T", "procedure": []}}' END AS content
 FROM supplier s CROSS JOIN (SELECT 1 AS attempt UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) a"""
 
 
+def _one_of(number: str, values: list[str] | tuple[str, ...]) -> str:
+    """SQL for the value at a number."""
+    return f"CASE {number} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+_MONTH = _one_of("CAST(extract(MONTH FROM o_orderdate) AS INT) - 1", [m.capitalize() for m in text.MONTHS])
+_DAY, _NUMBER, _YEAR = (f"CAST(extract({x} FROM o_orderdate) AS INT)" for x in ("DAY", "MONTH", "YEAR"))
+#: Dates as people write them.
+DATES = f"""
+SELECT o_orderkey AS doc_id, o_orderdate, CAST(o_orderkey % 7 AS INT) AS form, CASE o_orderkey % 7
+  WHEN 0 THEN concat('Revised ', {_DAY}, ' ', {_MONTH}, ' ', {_YEAR}) WHEN 1 THEN concat({_MONTH}, ' ', {_YEAR}) WHEN 2 THEN concat('of ', lower(substr({_MONTH}, 1, 3)), '  ', {_YEAR})
+  WHEN 3 THEN concat('updated ', {_DAY}, '/', {_NUMBER}, '/', {_YEAR}, '.') WHEN 4 THEN concat({_DAY}, '-', {_NUMBER}, '-', {_YEAR}, ' rev') WHEN 5 THEN concat({_DAY}, ' ', upper(substr({_MONTH}, 1, 3)), ' ', {_YEAR})
+  ELSE concat('no date ', {_YEAR}) END AS text
+FROM orders"""
+
+_LINES = "concat(chr(92), 'n', chr(92), 'n')"
+#: Records as JSON texts, as a completion service writes them: all valid.
+RECORDS = f"""
+SELECT o_orderkey AS doc_id, concat('{{"title": "Protocol ', o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN ' with a title that is longer than what a footer holds' ELSE '' END, '", ',
+ CASE WHEN o_orderkey % 3 = 0 THEN concat('"subtitle": "Part ', o_orderkey % 5, '", ') ELSE '' END,
+ CASE o_orderkey % 4 WHEN 0 THEN '"section_type": "computational", "prerequisites": {{"software": "git", "access": "", "dependencies": "numpy"}}, ' WHEN 1 THEN '"section_type": " WET_LAB", ' ELSE '' END,
+ CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('"author": "Team ', o_custkey, '", ') END, CASE WHEN o_orderkey % 6 = 0 THEN '"version": "2.1", ' ELSE '' END,
+ CASE o_orderkey % 3 WHEN 0 THEN concat('"date": "', {_MONTH}, ' ', {_YEAR}, '", ') WHEN 1 THEN '"date": "07/08/2021", ' ELSE '"date": "soon", ' END,
+ '"overview": "First ', o_orderkey % 7, CASE WHEN o_orderkey % 2 = 0 THEN concat({_LINES}, ' Second ') ELSE '' END, '", "section_number": "', o_orderkey % 8, '", "section_name": "Name ', o_orderkey % 8, '", ',
+ CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 3 > 0 THEN concat('"materials": [{{"heading": "Salts", "rows": [{{"cells": ["NaCl", "", "x', o_orderkey % 9, '", "more"]}}, {{"cells": ["KCl"], "bold": true}}]}}], ') ELSE '' END,
+ CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 5 > 2 THEN '"mix_tables": [{{"heading": "Mix", "rows": [{{"cells": ["Salt", "1 g"]}}, {{"cells": ["Total", "2 g"]}}]}}], ' ELSE '' END,
+ '"procedure": [{{"heading": "Prepare", "preamble": ', CASE WHEN o_orderkey % 2 = 0 THEN '"Read all."' ELSE 'null' END,
+ ', "steps": [{{"seq": 0, "depth": 0, "step_type": "action", "text": "Run `make`", "code": "make', chr(92), 'n', chr(92), 'nls", "code_language": "bash"}}, {{"seq": 1, "depth": 1, "step_type": "action", "text": "Wait ', o_orderkey % 11,
+ '"}}, {{"seq": 2, "depth": 0, "step_type": "stopping_point", "text": "Can be stored"}}, {{"seq": 3, "depth": 1, "step_type": "action", "text": "Hidden"}}], "callouts": [{{"callout_type": "tip", "text": "TIP:  use  ice", "after_step": ',
+ CASE o_orderkey % 3 WHEN 0 THEN 'null' WHEN 1 THEN '"0"' ELSE '1' END, '}}]}}], "notes": [', CASE WHEN o_orderkey % 3 = 1 THEN '"one", "two"' ELSE '' END, '], "references": [', CASE WHEN o_orderkey % 4 = 2 THEN '"A book"' ELSE '' END, ']}}') AS json
+FROM orders"""
+
+#: Records as JSON texts, most of which break some rule.
+BROKEN = """
+SELECT o_orderkey AS doc_id, concat('{', CASE o_orderkey % 7 WHEN 0 THEN '"title": " ", ' WHEN 1 THEN '' WHEN 2 THEN '"title": null, ' ELSE concat('"title": "T', o_orderkey, '", ') END,
+ CASE o_orderkey % 5 WHEN 0 THEN '"section_type": "computational", ' WHEN 1 THEN '"section_type": "odd", ' ELSE '"section_type": "wet_lab", ' END, CASE WHEN o_orderkey % 6 = 1 THEN '' ELSE '"section_number": "1", ' END,
+ '"section_name": "N", ', CASE o_orderkey % 8 WHEN 3 THEN '' WHEN 4 THEN '"overview": ["x"], ' ELSE '"overview": "", ' END,
+ CASE o_orderkey % 4 WHEN 0 THEN '"date": "31/12/2024", ' WHEN 1 THEN '"date": "2024-01-01", ' WHEN 2 THEN '"date": "45/01/2024", ' ELSE '' END, CASE WHEN o_orderkey % 3 = 0 THEN '"prerequisites": {"software": "git"}, ' ELSE '' END,
+ CASE o_orderkey % 11 WHEN 0 THEN '"materials": [{"heading": "h", "rows": [{"cells": ["a", "b"]}]}], ' WHEN 1 THEN '"materials": [{"heading": "h", "rows": [{"cells": ["a", "b", "c"]}]}], "mix_tables": [{"heading": "m", "rows": [{"cells": ["a"]}]}], ' ELSE '' END,
+ CASE o_orderkey % 9 WHEN 0 THEN '"procedure": []' WHEN 1 THEN '"section_no": 0' WHEN 2 THEN '"procedure": "x"' ELSE concat('"procedure": [{"heading": "H", "steps": [{"depth": 0, "step_type": "action", "text": "x"}], "callouts": []}, {"heading": "',
+   CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE 'H' END, '", "steps": [{"depth": 0, "step_type": "', CASE WHEN o_orderkey % 5 = 3 THEN 'odd' ELSE 'stopping_point' END, '", "text": "', CASE WHEN o_orderkey % 3 = 2 THEN '' ELSE 'y' END,
+   '"}], "callouts": [{"callout_type": "', CASE WHEN o_orderkey % 7 = 5 THEN 'hint' ELSE 'note' END, '", "text": "', CASE WHEN o_orderkey % 7 = 6 THEN '  ' ELSE 'z' END, '", "after_step": ', CASE o_orderkey % 5 WHEN 0 THEN '-1' WHEN 1 THEN '0' WHEN 2 THEN '1' ELSE 'null' END, '}]}]') END, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE '}' END) AS json
+FROM orders"""
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """The view over the tables of a folder. The names are resolved when this returns."""
     for t in tables:

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import classify, text
-from quire.operators import batch, blocks, completion, render, segment, tables, validate
-from quire.plans import views
+from quire.functions.jsontext import set_json_path
+from quire.operators import batch, blocks, completion, registry, render, segment, tables, validate
+from quire.plans import folder, views
+from quire.sources import ooxml, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -174,7 +176,8 @@ def footnote_refs(spark: SparkSession, d: str) -> DataFrame:
 
 _DATE = r"""CASE WHEN regexp_matches({c}, '(\d{{1,2}})[/\-](\d{{1,2}})[/\-](\d{{4}})') THEN
   lpad(regexp_extract({c}, '(\d{{1,2}})[/\-](\d{{1,2}})[/\-](\d{{4}})', 1), 2, '0') || '/' || lpad(regexp_extract({c}, '(\d{{1,2}})[/\-](\d{{1,2}})[/\-](\d{{4}})', 2), 2, '0') || '/' || regexp_extract({c}, '(\d{{1,2}})[/\-](\d{{1,2}})[/\-](\d{{4}})', 3)
- WHEN {c} = 'March 2024' THEN '01/03/2024' WHEN {c} = '15 Jan 2023' THEN '15/01/2023' END"""
+ WHEN regexp_matches({c}, '[A-Za-z]{{3,}}\s+\d{{4}}') THEN lpad(coalesce(nullif(regexp_extract({c}, '(\d{{1,2}})\s+[A-Za-z]', 1), ''), '1'), 2, '0') || '/' ||
+  lpad(CAST(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(regexp_extract({c}, '([A-Za-z]{{3}})[A-Za-z]*\s+\d{{4}}', 1))) AS VARCHAR), 2, '0') || '/' || regexp_extract({c}, '[A-Za-z]\s+(\d{{4}})', 1) END"""
 
 
 @query(_WITH + " SELECT pos, " + _DATE.format(c="raw_text") + " AS date FROM p WHERE " + _DATE.format(c="raw_text") + " IS NOT NULL")
@@ -200,11 +203,11 @@ def stopping_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""WITH lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
- SELECT doc_id, count(*) FILTER (WHERE line = upper(line) AND line <> lower(line) AND len(string_split_regex(line, '\s+')) <= 8) AS n_headings, count(*) AS n_lines FROM lines WHERE line <> '' AND NOT contains(line, 'ß') GROUP BY doc_id"""
+ SELECT doc_id, count(*) FILTER (WHERE line = upper(replace(line, 'ß', 'SS')) AND line <> lower(line) AND len(string_split_regex(line, '\s+')) <= 8) AS n_headings, count(*) AS n_lines FROM lines WHERE line <> '' GROUP BY doc_id"""
 )
 def heading_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of `documents` that look like headings. Lines with a sharp s are left out: engines differ in its capital."""
-    lines = _documents(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> '' and not contains(line, 'ß')")
+    """Lines of `documents` that look like headings. A sharp s is no capital; the SQL writes its capital out, as its engine knows none."""
+    lines = _documents(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> ''")
     return lines.groupBy("doc_id").agg(F.count_if(classify.heading_level(F.col("line"), F.lit("")) == 2).alias("n_headings"), F.count("*").alias("n_lines"))
 
 
@@ -226,10 +229,14 @@ def full_text(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.sha2("full_text", 256).alias("text_sha256"), (F.length("full_text") - lines + 1).cast("long").alias("n_chars"))
 
 
-_CASED = """array_to_string(list_transform(string_split({c}, ' '), lambda w, i: CASE WHEN upper(w) IN ('RNA', 'DNA', 'PCR', 'IF') THEN upper(w)
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_CASED = """array_to_string(list_transform(string_split({c}, ' '), lambda w, i: CASE WHEN upper(w) IN (%s) THEN upper(w)
  WHEN i > 1 AND i < len(string_split({c}, ' ')) AND lower(w) IN ('a', 'an', 'the', 'and', 'but', 'or', 'for', 'nor', 'on', 'at', 'to', 'by', 'in', 'of', 'up', 'as', 'is') THEN lower(w)
- ELSE upper(w[1]) || lower(w[2:]) END), '{s}')"""
-_TITLE = "concat(lower(p_name), CASE p_partkey % 4 WHEN 0 THEN ' of rna' WHEN 1 THEN ' for the pcr' WHEN 2 THEN ' in a tube and more words that make it longer than sixty' ELSE '' END)"
+ ELSE upper(w[1]) || lower(w[2:]) END), '{s}')""" % _quoted(text.TITLE_ACRONYMS)
+_TITLE = f"concat(lower(p_name), ' ', {views._one_of(f'p_partkey % {len(text.SLUG_ACRONYMS)}', [w.lower() for w in text.SLUG_ACRONYMS])}, CASE p_partkey % 4 WHEN 0 THEN ' of rna' WHEN 1 THEN ' for the pcr' WHEN 2 THEN ' in a tube and more words that make it longer than sixty' ELSE '' END)"
 
 
 @query(f"SELECT p_partkey, {_CASED.format(c='t', s=' ')} AS title FROM (SELECT p_partkey, {_TITLE} AS t FROM part)")
@@ -237,7 +244,7 @@ def title_case(spark: SparkSession, d: str) -> DataFrame:
     return views.view(spark, d, f"SELECT p_partkey, {_TITLE} AS t FROM part", "part").select("p_partkey", text.title_case(F.col("t")).alias("title"))
 
 
-_SLUG = "array_to_string(list_transform(string_split(t, ' '), lambda w: CASE WHEN upper(w) IN ('RNA', 'PCR', 'IF') THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), '-')"
+_SLUG = "array_to_string(list_transform(string_split(t, ' '), lambda w: CASE WHEN upper(w) IN (" + _quoted(text.SLUG_ACRONYMS) + ") THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), '-')"
 
 
 @query(
@@ -364,7 +371,7 @@ def step_numbering(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "section_no", F.col("seq").cast("long").alias("seq"), "number_style", F.col("ordinal").cast("long").alias("ordinal"))
 
 
-_FOOT = "SELECT c_custkey AS doc_id, k.id, concat('Footnote ', k.id, ' of ', c_name) AS text FROM customer CROSS JOIN (SELECT 3 AS id UNION ALL SELECT 1 UNION ALL SELECT 0) k WHERE c_custkey % 2 = 0"
+_FOOT = "SELECT c_custkey AS doc_id, k.id, concat('Footnote ', k.id, ' of ', c_name) AS text FROM customer CROSS JOIN (SELECT 3 AS id UNION ALL SELECT 1 UNION ALL SELECT 0) k"
 
 
 @query(_WITH + f", f AS ({_FOOT}), a AS (SELECT doc_id, 0 AS part, pos AS place, text AS note FROM seg WHERE segment = 'notes' AND (is_list OR heading_level = 0) UNION ALL SELECT doc_id, 1, id, text FROM f WHERE id > 0) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, place) AS number, note FROM a")
@@ -419,14 +426,13 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
 _REGISTRY = {str(i): f"Part {i}" for i in range(1, 10)}
 
 
-@query("SELECT payload_id, CASE WHEN n_sections BETWEEN 1 AND 5 THEN CAST(n_sections AS VARCHAR) WHEN has_prereq THEN '9' ELSE '' END AS section_number, CASE WHEN n_sections BETWEEN 1 AND 5 THEN concat('Part ', n_sections) WHEN has_prereq THEN 'Part 9' ELSE '' END AS section_name FROM (" + views.PAYLOADS + ")")
+@query("SELECT payload_id, CASE WHEN n_sections BETWEEN 1 AND 5 THEN CAST(n_sections AS VARCHAR) WHEN n_sections = 6 THEN '66' WHEN has_prereq THEN '9' ELSE '' END AS section_number, CASE WHEN n_sections BETWEEN 1 AND 5 THEN concat('Part ', n_sections) WHEN has_prereq THEN 'Part 9' ELSE '' END AS section_name FROM (" + views.PAYLOADS + ")")
 def section_names(spark: SparkSession, d: str) -> DataFrame:
-    """The hinted section if the registry has it, else the computational default, else none."""
+    """The hinted section, with its name if the registry has it; else the computational default, else none."""
     p = views.view(spark, d, views.PAYLOADS, "orders")
-    names = F.create_map(*(F.lit(x) for kv in _REGISTRY.items() for x in kv))
-    hint = F.when(F.col("n_sections") <= 5, F.col("n_sections").cast("string"))
-    number = F.when(F.element_at(names, hint).isNotNull(), hint).when(F.col("has_prereq"), "9").otherwise("")
-    return p.select("payload_id", number.alias("section_number"), F.coalesce(F.element_at(names, number), F.lit("")).alias("section_name"))
+    hint = F.when(F.col("n_sections").between(1, 5), F.col("n_sections").cast("string")).when(F.col("n_sections") == 6, "66")
+    place = registry.section(hint, F.col("has_prereq"), _REGISTRY)
+    return p.select("payload_id", place.alias("s")).select("payload_id", F.col("s.number").alias("section_number"), F.col("s.name").alias("section_name"))
 
 
 # ---------------------------------------------------------------- rendering
@@ -464,23 +470,40 @@ def callout_placement(spark: SparkSession, d: str) -> DataFrame:
  SELECT t.*, (SELECT max(r.pos) FROM tops r WHERE r.doc_id = t.doc_id AND r.section_no = t.section_no AND r.pos <= t.pos) AS root_pos FROM tree t), rows AS (
  SELECT DISTINCT doc_id, -1 AS s, 0 AS a, 0 AS b, 0 AS c, 'heading1' AS kind, 'Procedure' AS body FROM heads UNION ALL SELECT DISTINCT doc_id, -1, 0, 0, 1, 'spacer', '' FROM heads
  UNION ALL SELECT doc_id, section_no, -3, 0, 0, 'heading2', heading FROM heads UNION ALL SELECT doc_id, section_no, -2, 0, 0, 'paragraph', preamble FROM heads WHERE preamble IS NOT NULL
- UNION ALL SELECT doc_id, section_no, coalesce(step_pos, -1), CASE WHEN step_pos IS NULL THEN 0 ELSE 1 END, 2 * ord + k.k, CASE k.k WHEN 0 THEN 'callout' ELSE 'spacer' END, CASE k.k WHEN 0 THEN upper(callout_type) || ': ' || text ELSE '' END FROM calls, (SELECT 0 AS k UNION ALL SELECT 1) k
- UNION ALL SELECT doc_id, section_no, root_pos, 0, pos, CASE WHEN kind = 'stopping_point' THEN kind ELSE 'step' || depth END, text FROM roots WHERE rendered
+ UNION ALL SELECT doc_id, section_no, coalesce(step_pos, -1), CASE WHEN step_pos IS NULL THEN 0 ELSE 1 END, 2 * ord + k.k, CASE k.k WHEN 0 THEN 'callout_' || callout_type ELSE 'spacer' END, CASE k.k WHEN 0 THEN CASE callout_type WHEN 'critical' THEN '⚠' || repeat(chr(160), 2) || 'CRITICAL' WHEN 'caution' THEN '⚠' || repeat(chr(160), 2) || 'Caution' WHEN 'tip' THEN '💡' || repeat(chr(160), 2) || 'Tip' ELSE 'ℹ' || repeat(chr(160), 2) || 'Note' END || chr(10) || text ELSE '' END FROM calls, (SELECT 0 AS k UNION ALL SELECT 1) k
+ UNION ALL SELECT doc_id, section_no, root_pos, 0, pos, CASE WHEN kind = 'stopping_point' THEN kind ELSE 'step' || depth END, CASE WHEN kind = 'stopping_point' THEN '⏸' || repeat(chr(160), 2) || 'Safe stopping point' || chr(160) || '—' || chr(160) ELSE '' END || text FROM roots WHERE rendered
  UNION ALL SELECT doc_id, section_no, 4611686018427387904, 0, 0, 'spacer', '' FROM heads)
  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, a, b, c, kind, body) AS block_no, kind, body FROM rows"""
 )
 def render_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return render.procedure_blocks(*_callouts(spark, d)).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "kind", "body")
+    made = folder.procedures(*_callouts(spark, d))
+    blocks = made.select("doc_id", F.posexplode(render.procedure_blocks(F.col("procedure"))).alias("block_no", "b"))
+    return blocks.select("doc_id", (F.col("block_no") + 1).cast("long").alias("block_no"), "b.kind", "b.body")
 
 
 @query(
     _WITH
     + """, r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, text FROM seg WHERE segment = 'references' AND heading_level = 0)
- SELECT DISTINCT doc_id, 1 AS block_no, 'heading1' AS kind, 'References' AS body FROM r UNION ALL SELECT DISTINCT doc_id, 2, 'spacer', '' FROM r UNION ALL SELECT doc_id, n + 2, 'numbered', n || '. ' || text FROM r"""
+ SELECT DISTINCT doc_id, 1 AS block_no, 'heading1' AS kind, 'References' AS body FROM r UNION ALL SELECT DISTINCT doc_id, 2, 'spacer', '' FROM r UNION ALL SELECT doc_id, n + 2, 'reference', text FROM r"""
 )
 def reference_blocks(spark: SparkSession, d: str) -> DataFrame:
-    out = render.numbered_blocks(segment.references(_segmented(spark, d)), "References", F.col("reference"))
-    return out.select("doc_id", F.col("block_no").cast("long").alias("block_no"), "kind", "body")
+    return _list_blocks(folder.listed(segment.references(_segmented(spark, d)), "number", "reference", "items"), render.reference_blocks)
+
+
+def _list_blocks(items: DataFrame, blocks) -> DataFrame:  # noqa: ANN001  a function of the column `items`
+    out = items.select("doc_id", F.posexplode(blocks(F.col("items"))).alias("block_no", "b"))
+    return out.select("doc_id", (F.col("block_no") + 1).cast("long").alias("block_no"), "b.kind", "b.body")
+
+
+@query(
+    _WITH
+    + f""", f AS ({_FOOT}), a AS (SELECT doc_id, 0 AS part, pos AS place, text AS note FROM seg WHERE segment = 'notes' AND (is_list OR heading_level = 0) UNION ALL SELECT doc_id, 1, id, text FROM f WHERE id > 0),
+ r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, place) AS n, note FROM a)
+ SELECT DISTINCT doc_id, 1 AS block_no, 'heading1' AS kind, 'Notes & Variants' AS body FROM r UNION ALL SELECT DISTINCT doc_id, 2, 'spacer', '' FROM r UNION ALL SELECT doc_id, n + 2, 'note', n || '.' || repeat(chr(160), 2) || note FROM r"""
+)
+def note_blocks(spark: SparkSession, d: str) -> DataFrame:
+    notes = segment.notes(_segmented(spark, d), views.view(spark, d, _FOOT, "customer"))
+    return _list_blocks(folder.listed(notes, "number", "note", "items"), render.note_blocks)
 
 
 # ---------------------------------------------------------------- records
@@ -549,16 +572,17 @@ def output_collisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, attempt, CASE k WHEN 0 THEN '{"title": "T' || doc_id || '"}' WHEN 1 THEN '{"title": "A {b} ' || doc_id || '", "d": {"e": 1}}' WHEN 4 THEN '{"title": ""}' WHEN 5 THEN '{bad json}' END AS object,
- CASE k WHEN 2 THEN 'no_json' WHEN 3 THEN 'incomplete' WHEN 4 THEN 'validation_error' WHEN 5 THEN 'parse_error' END AS failure_kind
- FROM (SELECT s_suppkey AS doc_id, a AS attempt, (s_suppkey * 3 + a * 5) % 6 AS k FROM supplier, (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4))"""
+    """SELECT doc_id, attempt, CASE k WHEN 0 THEN '{"title": "T' || doc_id || '", ' || p || '}' WHEN 1 THEN '{"title": "A {b} ' || doc_id || '", "d": {"e": 1}, ' || p || '}' WHEN 4 THEN '{"title": "", ' || p || '}' WHEN 5 THEN '{bad json}' WHEN 6 THEN '{"title": "T", "procedure": []}' END AS object,
+ CASE k WHEN 2 THEN 'no_json' WHEN 3 THEN 'incomplete' WHEN 4 THEN 'validation_error' WHEN 5 THEN 'parse_error' WHEN 6 THEN 'validation_error' END AS failure_kind,
+ CASE k WHEN 4 THEN 'title_empty ' WHEN 6 THEN 'procedure_empty ' ELSE '' END AS detail
+ FROM (SELECT s_suppkey AS doc_id, a AS attempt, (s_suppkey * 3 + a * 5) % 7 AS k, '"procedure": [{"heading": "H", "steps": [], "callouts": []}]' AS p FROM supplier, (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4))"""
 )
 def json_from_response(spark: SparkSession, d: str) -> DataFrame:
-    return _attempts(spark, d).select("doc_id", "attempt", "object", "failure_kind")
+    return _attempts(spark, d).select("doc_id", "attempt", "object", "failure_kind", "detail")
 
 
 @query(
-    """WITH k AS (SELECT s_suppkey AS doc_id, a AS attempt, (s_suppkey * 3 + a * 5) % 6 AS k FROM supplier, (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4)),
+    """WITH k AS (SELECT s_suppkey AS doc_id, a AS attempt, (s_suppkey * 3 + a * 5) % 7 AS k FROM supplier, (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4)),
  v AS (SELECT doc_id, min(attempt) AS attempt FROM k WHERE k IN (0, 1) GROUP BY doc_id)
  SELECT s.s_suppkey AS doc_id, v.attempt, CASE k.k WHEN 0 THEN 'T' || s.s_suppkey WHEN 1 THEN 'A {b} ' || s.s_suppkey END AS title, CASE WHEN v.attempt IS NULL THEN 'heuristic' ELSE 'completion' END AS source
  FROM supplier s LEFT JOIN v ON v.doc_id = s.s_suppkey LEFT JOIN k ON k.doc_id = v.doc_id AND k.attempt = v.attempt"""
@@ -585,3 +609,305 @@ def prompt_messages(spark: SparkSession, d: str) -> DataFrame:
 def token_budget(spark: SparkSession, d: str) -> DataFrame:
     m = _messages(spark, d).withColumn("b", completion.token_budget(F.col("user_message")))
     return m.select("doc_id", F.col("b.total").alias("total"), F.col("b.over").alias("over"))
+
+
+# ---------------------------------------------------------------- small functions
+
+
+@query("SELECT doc_id, CASE WHEN form IN (0, 3, 4, 5) THEN strftime(o_orderdate, '%d/%m/%Y') WHEN form IN (1, 2) THEN strftime(o_orderdate, '01/%m/%Y') END AS date FROM (" + views.DATES + ")")
+def dates_in_words(spark: SparkSession, d: str) -> DataFrame:
+    """Dates as people write them; the SQL knows the day that was written."""
+    return views.view(spark, d, views.DATES, "orders").select("doc_id", text.normalize_date(F.col("text")).alias("date"))
+
+
+_SAID = "SELECT p_partkey AS doc_id, concat('Add 5 mL. ', p_name, ' is here! Use approx. ', p_size, ' tubes, e.g. Falcon? Yes. no end… “', p_brand, '” it’s 1–2 ') AS text FROM part"
+
+
+@query(f"SELECT doc_id, unnest(['Add 5 mL. ' || p_name || ' is here!', 'Use approx. ' || p_size || ' tubes, e.g. Falcon?', 'Yes. no end… “' || p_brand || '” it’s 1–2 ']) AS sentence, unnest([0, 1, 2]) AS n FROM (SELECT p_partkey AS doc_id, * FROM part)")
+def sentences(spark: SparkSession, d: str) -> DataFrame:
+    return views.view(spark, d, _SAID, "part").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence"))
+
+
+@query(f"SELECT doc_id, trim(text) AS kept, trim(replace(replace(replace(replace(replace(replace(text, '“', chr(34)), '”', chr(34)), '’', chr(39)), '‘', chr(39)), '–', '-'), '…', '...')) AS plain FROM ({_SAID})")
+def plain_punctuation(spark: SparkSession, d: str) -> DataFrame:
+    return views.view(spark, d, _SAID, "part").select("doc_id", text.normalize_text(F.col("text")).alias("kept"), text.normalize_text(F.col("text"), False).alias("plain"))
+
+
+_CODED = "SELECT p_partkey AS doc_id, concat('Run `make **', p_size, '**` in _', p_brand, '_ and **wait** ', p_name, CASE WHEN p_partkey % 3 = 0 THEN ' ` open' ELSE '' END) AS text, concat('cd ', p_name, chr(10), CASE WHEN p_partkey % 2 = 0 THEN chr(13) ELSE '' END, chr(10), 'ls') AS code, CASE p_partkey % 4 WHEN 0 THEN 'bash' WHEN 1 THEN '' END AS code_language FROM part"
+
+
+@query(
+    f"""WITH p AS ({_CODED}), t AS (SELECT doc_id, unnest([{{'text': 'Run ', 'code': false, 'bold': false, 'italic': false}}, {{'text': 'make **' || p_size || '**', 'code': true, 'bold': false, 'italic': false}}, {{'text': ' in ', 'code': false, 'bold': false, 'italic': false}},
+ {{'text': p_brand, 'code': false, 'bold': false, 'italic': true}}, {{'text': ' and ', 'code': false, 'bold': false, 'italic': false}}, {{'text': 'wait', 'code': false, 'bold': true, 'italic': false}}, {{'text': ' ' || p_name || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END, 'code': false, 'bold': false, 'italic': false}},
+ CASE WHEN doc_id % 3 = 0 THEN {{'text': '`', 'code': false, 'bold': false, 'italic': false}} END, CASE WHEN doc_id % 3 = 0 THEN {{'text': ' open', 'code': false, 'bold': false, 'italic': false}} END]) AS t, unnest(range(9)) AS n FROM p JOIN part ON p_partkey = doc_id)
+ SELECT doc_id, CAST(n AS INT) AS n, t.text AS text, t.bold AS bold, t.italic AS italic, t.code AS code FROM t WHERE t IS NOT NULL"""
+)
+def code_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return views.view(spark, d, _CODED, "part").select("doc_id", F.posexplode(text.inline_code_tokens(F.col("text"))).alias("n", "t")).select("doc_id", "n", "t.text", "t.bold", "t.italic", "t.code")
+
+
+@query(f"SELECT doc_id, CASE WHEN coalesce(code_language, '') = '' THEN '' ELSE '# ' || code_language || '|' END || 'cd ' || p_name || '| |ls' AS lines FROM ({_CODED}) JOIN part ON p_partkey = doc_id")
+def code_lines(spark: SparkSession, d: str) -> DataFrame:
+    return views.view(spark, d, _CODED, "part").select("doc_id", F.array_join(text.code_lines(F.col("code"), F.col("code_language")), "|").alias("lines"))
+
+
+_INFO = "SELECT o_orderkey AS doc_id, o_orderkey % 5 <> 0 AS has_properties, o_orderkey % 3 <> 0 AS has_numbering, CAST(o_orderkey % 4 AS INT) AS num_id, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey % 7 AS INT) END AS ilvl, CASE o_orderkey % 2 WHEN 0 THEN 'List Number' ELSE CASE o_orderkey % 11 WHEN 3 THEN 'List Bullet' ELSE 'Normal' END END AS style, CASE o_orderkey % 13 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS numbered FROM orders"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN NOT has_properties THEN false WHEN NOT has_numbering THEN style LIKE 'List%' ELSE num_id > 0 END AS is_list,
+ CAST(CASE WHEN NOT has_properties OR (has_numbering AND num_id = 0) OR (NOT has_numbering AND style NOT LIKE 'List%') THEN 0 WHEN NOT has_numbering THEN 1 ELSE coalesce(ilvl, 0) + 1 END AS INT) AS level,
+ CASE WHEN NOT has_properties OR (has_numbering AND num_id = 0) THEN false WHEN NOT has_numbering THEN style = 'List Number' ELSE coalesce(numbered, true) END AS numbered FROM ({_INFO})"""
+)
+def list_info(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.view(spark, d, _INFO, "orders")
+    return rows.select("doc_id", blocks.list_info(*(F.col(c) for c in ("has_properties", "has_numbering", "num_id", "ilvl", "style", "numbered"))).alias("i")).select("doc_id", "i.*")
+
+
+_SHOWN = "SELECT event_id AS ord, CASE event_id % 6 WHEN 0 THEN 'critical' WHEN 1 THEN 'caution' WHEN 2 THEN 'tip' WHEN 3 THEN 'note' WHEN 4 THEN 'hint' END AS callout_type FROM events"
+
+
+@query(f"SELECT ord, callout_type, CASE callout_type WHEN 'tip' THEN '💡' WHEN 'note' THEN 'ℹ' ELSE '⚠' END AS symbol, CASE callout_type WHEN 'critical' THEN upper(callout_type) ELSE upper(callout_type[1]) || callout_type[2:] END AS label, NULL AS problem FROM ({_SHOWN}) WHERE callout_type <> 'hint' UNION ALL SELECT ord, callout_type, NULL, NULL, 'unknown' FROM ({_SHOWN}) WHERE coalesce(callout_type, 'hint') = 'hint'")
+def callout_presentation(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.view(spark, d, _SHOWN, "events")
+    null = lambda name: F.lit(None).cast("string").alias(name)
+    known = render.presentation(rows).select("ord", "callout_type", "symbol", "label", null("problem"))
+    return known.unionByName(render.unknown_callouts(rows).select("ord", "callout_type", null("symbol"), null("label"), F.lit("unknown").alias("problem")))
+
+
+_EDIT = """SELECT p_partkey AS doc_id, concat('{"title": "', p_name, '", "procedure": [{"heading": "H"}]}') AS document, CASE p_partkey % 6 WHEN 0 THEN 'title' WHEN 1 THEN 'procedure[0].heading' WHEN 2 THEN 'procedure[2].heading' WHEN 3 THEN 'none.x' WHEN 4 THEN 'title[0]' ELSE '..' END AS path,
+ CASE WHEN p_partkey % 4 = 0 THEN '7' ELSE p_brand END AS value FROM part"""
+
+
+@query(
+    f"""SELECT doc_id, CASE p WHEN 0 THEN v ELSE title END AS title, CASE p WHEN 1 THEN v WHEN 0 THEN 'H' END AS heading, p IN (0, 1) AS done FROM (SELECT doc_id, doc_id % 6 AS p, value AS v, CASE WHEN doc_id % 6 = 1 THEN json_extract_string(document, '$.title') END AS title FROM ({_EDIT}))"""
+)
+def json_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Values set at nested paths, which count from 0; paths that lead nowhere change nothing and are said."""
+    rows = views.view(spark, d, _EDIT, "part").select("doc_id", set_json_path(F.col("document"), F.col("path"), F.col("value")).alias("e"))
+    at = lambda *path: F.when(F.col("e.document").isNotNull(), completion.nested(F.col("e.document"), *path))
+    return rows.select("doc_id", at("title").alias("title"), F.get_json_object("e.document", "$.procedure[0].heading").alias("heading"), F.col("e.problem").isNull().alias("done"))
+
+
+@query("SELECT doc_id, length(m) AS n_chars, sha256(m) AS message_sha256 FROM (SELECT doc_id, 'The answer was not valid:' || chr(10) || chr(10) || 'title_empty' || chr(10) || chr(10) || 'It was:' || chr(10) || chr(10) || CASE WHEN length(text) > 2000 THEN text[1:2000] || chr(10) || '[cut]' ELSE text END || chr(10) || chr(10) || '" + completion.TASK + "' AS m FROM documents)")
+def retry_messages(spark: SparkSession, d: str) -> DataFrame:
+    m = _documents(spark, d).select("doc_id", completion.retry_message(F.col("text"), F.lit("title_empty")).alias("m"))
+    return m.select("doc_id", F.length("m").cast("long").alias("n_chars"), F.sha2("m", 256).alias("message_sha256"))
+
+
+@query(f"SELECT c_custkey AS doc_id, 'm' AS model, 'system, user' AS roles, c_name AS said, false AS stream, 'json' AS format, CAST(0.1 AS DOUBLE) AS temperature, 4096 AS most_tokens, {len(completion.SYSTEM)} AS n_system FROM customer")
+def completion_requests(spark: SparkSession, d: str) -> DataFrame:
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    body = completion.request("m", completion.messages(F.col("c_name")))
+    shape = "model string, messages array<struct<role: string, content: string>>, stream boolean, format string, options struct<temperature: double, num_predict: int>"
+    r = c.select(F.col("c_custkey").alias("doc_id"), F.from_json(body, shape).alias("r"))
+    return r.select("doc_id", "r.model", F.array_join("r.messages.role", ", ").alias("roles"), F.col("r.messages")[1]["content"].alias("said"), "r.stream", "r.format", F.col("r.options.temperature").alias("temperature"), F.col("r.options.num_predict").alias("most_tokens"), F.length(F.col("r.messages")[0]["content"]).alias("n_system"))
+
+
+# ---------------------------------------------------------------- records as JSON
+
+
+def _json_records(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    return views.view(spark, d, sql, "orders").withColumn("record", F.from_json("json", records.RECORD))
+
+
+_RULES = f"""WITH b AS ({views.BROKEN}), p AS (SELECT doc_id, doc_id % 13 <> 0 AS fine, doc_id % 9 AS q, doc_id % 9 NOT IN (0, 1, 2) AS whole, doc_id % 5 AS f FROM b), k AS (SELECT *, CASE f WHEN 0 THEN 'computational' WHEN 1 THEN 'odd' ELSE 'wet_lab' END AS t, doc_id % 11 IN (0, 1) AS m FROM p WHERE fine)"""
+
+
+@query(
+    _RULES
+    + """ SELECT doc_id, 'not_json' AS rule, '' AS path FROM p WHERE NOT fine
+ UNION ALL SELECT doc_id, 'title_empty', '' FROM k WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'title_missing', '' FROM k WHERE doc_id % 7 = 1
+ UNION ALL SELECT doc_id, 'title_mistyped', '' FROM k WHERE doc_id % 7 = 2 UNION ALL SELECT doc_id, 'section_number_missing', '' FROM k WHERE doc_id % 6 = 1 UNION ALL SELECT doc_id, 'overview_missing', '' FROM k WHERE doc_id % 8 = 3 UNION ALL SELECT doc_id, 'overview_mistyped', '' FROM k WHERE doc_id % 8 = 4
+ UNION ALL SELECT doc_id, 'type_unknown', '' FROM k WHERE t = 'odd' UNION ALL SELECT doc_id, 'date_invalid', '' FROM k WHERE doc_id % 4 IN (1, 2)
+ UNION ALL SELECT doc_id, 'prerequisites_in_wet_lab', '' FROM k WHERE t = 'wet_lab' AND doc_id % 3 = 0
+ UNION ALL SELECT doc_id, 'materials_in_computational', '' FROM k WHERE t = 'computational' AND m UNION ALL SELECT doc_id, 'mixes_in_computational', '' FROM k WHERE t = 'computational' AND doc_id % 11 = 1
+ UNION ALL SELECT doc_id, 'materials_width', '0' FROM k WHERE doc_id % 11 = 0 UNION ALL SELECT doc_id, 'mix_width', '0' FROM k WHERE doc_id % 11 = 1
+ UNION ALL SELECT doc_id, 'procedure_empty', '' FROM k WHERE q = 0 UNION ALL SELECT doc_id, 'procedure_missing', '' FROM k WHERE q = 1 UNION ALL SELECT doc_id, 'procedure_mistyped', '' FROM k WHERE q = 2
+ UNION ALL SELECT doc_id, 'heading_empty', '1' FROM k WHERE whole AND doc_id % 4 = 0 UNION ALL SELECT doc_id, 'step_text_empty', '1' FROM k WHERE whole AND doc_id % 3 = 2 UNION ALL SELECT doc_id, 'step_type_unknown', '1' FROM k WHERE whole AND f = 3
+ UNION ALL SELECT doc_id, 'callout_type_unknown', '1' FROM k WHERE whole AND doc_id % 7 = 5 UNION ALL SELECT doc_id, 'callout_text_empty', '1' FROM k WHERE whole AND doc_id % 7 = 6 UNION ALL SELECT doc_id, 'after_step_range', '1' FROM k WHERE whole AND f IN (0, 2)"""
+)
+def record_violations(spark: SparkSession, d: str) -> DataFrame:
+    return records.violations(_json_records(spark, d, views.BROKEN))
+
+
+def _processed(spark: SparkSession, d: str) -> DataFrame:
+    return views.view(spark, d, views.RECORDS, "orders").select("doc_id", records.post_processed(F.col("json")).alias("record"))
+
+
+_GOOD = """WITH g AS (SELECT o_orderkey AS k, *, o_orderkey % 4 = 0 AS comp, o_orderkey % 4 <> 0 AND o_orderkey % 3 > 0 AS has_m, o_orderkey % 4 <> 0 AND o_orderkey % 5 > 2 AS has_x FROM orders)"""
+
+
+@query(
+    _GOOD
+    + """ SELECT k AS doc_id, CASE WHEN k % 5 = 0 THEN 'Unattributed' ELSE 'Team ' || o_custkey END AS author, CASE WHEN k % 6 = 0 THEN '2.1' ELSE '1.0' END AS version, CASE WHEN comp THEN 'computational' ELSE 'wet_lab' END AS section_type,
+ CASE k % 3 WHEN 0 THEN strftime(o_orderdate, '01/%m/%Y') WHEN 1 THEN '07/08/2021' END AS date, 'use ice' AS callout, CASE k % 3 WHEN 1 THEN 0 WHEN 2 THEN 1 END AS after_step,
+ CASE WHEN has_m THEN 'NaCl,—,x' || (k % 9) || ',false;KCl,—,—,true' ELSE '' END AS materials, CASE WHEN has_x THEN 'Salt,1 g,false;Total,2 g,true' ELSE '' END AS mixes FROM g"""
+)
+def record_post_process(spark: SparkSession, d: str) -> DataFrame:
+    r = F.col("record")
+    call = r["procedure"][0]["callouts"][0]
+    rows = lambda t: F.array_join(F.flatten(F.transform(t, lambda x: F.transform(x["rows"], lambda y: F.concat_ws(",", y["cells"], y["bold"].cast("string"))))), ";")
+    out = _processed(spark, d)
+    return out.select("doc_id", *(r[c].alias(c) for c in ("author", "version", "section_type", "date")), call["text"].alias("callout"), call["after_step"].cast("int").alias("after_step"), rows(r["materials"]).alias("materials"), rows(r["mix_tables"]).alias("mixes"))
+
+
+@query(_GOOD + " SELECT k AS doc_id, 1 AS n_sections, CASE WHEN k % 3 = 1 THEN 2 ELSE 0 END AS n_notes, CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END AS n_references, has_m::INT AS n_materials, has_x::INT AS n_mixes, 4 AS n_steps, 1 AS n_callouts FROM g")
+def record_counts(spark: SparkSession, d: str) -> DataFrame:
+    return records.counts(_processed(spark, d)).select("doc_id", *(F.col(c).cast("int") for c in ("n_sections", "n_notes", "n_references", "n_materials", "n_mixes", "n_steps", "n_callouts")))
+
+
+_NB = "chr(160)"
+_TITLED = "'Protocol ' || k || CASE WHEN k % 5 = 0 THEN ' with a title that is longer than what a footer holds' ELSE '' END"
+_BLOCKS = (
+    _GOOD
+    + f""", t AS (SELECT *, {_TITLED} AS title, CASE WHEN comp THEN 'code_step' ELSE 'step' END AS s, CASE k % 3 WHEN 0 THEN strftime(o_orderdate, '01/%m/%Y') WHEN 1 THEN '07/08/2021' END AS date, CASE WHEN k % 6 = 0 THEN '2.1' ELSE '1.0' END AS version FROM g), b AS (
+ SELECT k, 1 AS a, 'page_header' AS kind, concat('SECTION ', k % 8, ' — NAME ', k % 8, ' · Collected Procedures') AS body, NULL::VARCHAR[] AS cells FROM t
+ UNION ALL SELECT k, 2, 'page_footer', CASE WHEN length(title) > 40 THEN title[1:37] || '…' ELSE title END || chr(9) || 'Version ' || version || chr(9), NULL FROM t UNION ALL SELECT k, 3, 'title', title, NULL FROM t
+ UNION ALL SELECT k, 4, 'subtitle', 'Part ' || (k % 5), NULL FROM t WHERE k % 3 = 0
+ UNION ALL SELECT k, 5, 'byline', CASE WHEN k % 5 = 0 THEN 'Unattributed' ELSE 'Team ' || o_custkey END || {_NB} || '·' || {_NB} || 'Version ' || version || CASE WHEN date IS NULL THEN '' ELSE {_NB} || '·' || {_NB} || 'Last updated ' || date END, NULL FROM t
+ UNION ALL SELECT k, 6, 'spacer', '', NULL FROM t UNION ALL SELECT k, 7, 'heading1', 'Overview', NULL FROM t UNION ALL SELECT k, 8, 'spacer', '', NULL FROM t UNION ALL SELECT k, 9, 'paragraph', 'First ' || (k % 7), NULL FROM t UNION ALL SELECT k, 10, 'paragraph', 'Second', NULL FROM t WHERE k % 2 = 0
+ UNION ALL SELECT k, 11, 'heading1', 'Prerequisites', NULL FROM t WHERE comp UNION ALL SELECT k, 12, 'spacer', '', NULL FROM t WHERE comp UNION ALL SELECT k, 13, 'field', 'Software:' || {_NB} || 'git', NULL FROM t WHERE comp UNION ALL SELECT k, 14, 'field', 'Dependencies:' || {_NB} || 'numpy', NULL FROM t WHERE comp UNION ALL SELECT k, 15, 'spacer', '', NULL FROM t WHERE comp
+ UNION ALL SELECT k, 16 + i, x.kind, x.body, x.cells FROM (SELECT k, unnest([{{'kind': 'heading1', 'body': 'Materials', 'cells': NULL::VARCHAR[]}}, {{'kind': 'spacer', 'body': '', 'cells': NULL}}, {{'kind': 'heading3', 'body': 'Salts', 'cells': NULL}}, {{'kind': 'material_header', 'body': '', 'cells': ['Reagent / Equipment', 'Supplier', 'Cat. No. / Notes']}},
+   {{'kind': 'material', 'body': '', 'cells': ['NaCl', '—', 'x' || (k % 9)]}}, {{'kind': 'material_bold', 'body': '', 'cells': ['KCl', '—', '—']}}, {{'kind': 'spacer', 'body': '', 'cells': NULL}}]) AS x, unnest(range(7)) AS i FROM t WHERE has_m)
+ UNION ALL SELECT k, 30 + i, x.kind, x.body, NULL FROM (SELECT k, unnest([{{'kind': 'heading1', 'body': 'Procedure'}}, {{'kind': 'spacer', 'body': ''}}, {{'kind': 'heading2', 'body': 'Prepare'}}, CASE WHEN k % 2 = 0 THEN {{'kind': 'paragraph', 'body': 'Read all.'}} END,
+   CASE WHEN k % 3 = 0 THEN {{'kind': 'callout_tip', 'body': '💡' || repeat(chr(160), 2) || 'Tip' || chr(10) || 'use ice'}} END, CASE WHEN k % 3 = 0 THEN {{'kind': 'spacer', 'body': ''}} END, {{'kind': s || '0', 'body': 'Run `make`'}},
+   CASE WHEN comp THEN {{'kind': 'code', 'body': '# bash' || chr(10) || 'make' || chr(10) || ' ' || chr(10) || 'ls'}} END, CASE WHEN comp THEN {{'kind': 'spacer', 'body': ''}} END, {{'kind': s || '1', 'body': 'Wait ' || (k % 11)}},
+   CASE WHEN k % 3 = 1 THEN {{'kind': 'callout_tip', 'body': '💡' || repeat(chr(160), 2) || 'Tip' || chr(10) || 'use ice'}} END, CASE WHEN k % 3 = 1 THEN {{'kind': 'spacer', 'body': ''}} END,
+   {{'kind': 'stopping_point', 'body': '⏸' || repeat(chr(160), 2) || 'Safe stopping point' || chr(160) || '—' || chr(160) || 'Can be stored'}},
+   CASE WHEN k % 3 = 2 THEN {{'kind': 'callout_tip', 'body': '💡' || repeat(chr(160), 2) || 'Tip' || chr(10) || 'use ice'}} END, CASE WHEN k % 3 = 2 THEN {{'kind': 'spacer', 'body': ''}} END, {{'kind': 'spacer', 'body': ''}}]) AS x, unnest(range(16)) AS i FROM t) WHERE x IS NOT NULL
+ UNION ALL SELECT k, 50 + i, x.kind, x.body, NULL FROM (SELECT k, unnest([{{'kind': 'heading1', 'body': 'Notes & Variants'}}, {{'kind': 'spacer', 'body': ''}}, {{'kind': 'note', 'body': '1.' || repeat(chr(160), 2) || 'one'}}, {{'kind': 'note', 'body': '2.' || repeat(chr(160), 2) || 'two'}}]) AS x, unnest(range(4)) AS i FROM t WHERE k % 3 = 1)
+ UNION ALL SELECT k, 60, 'heading1', 'References', NULL FROM t WHERE k % 4 = 2 UNION ALL SELECT k, 61, 'spacer', '', NULL FROM t WHERE k % 4 = 2 UNION ALL SELECT k, 62, 'reference', 'A book', NULL FROM t WHERE k % 4 = 2
+ UNION ALL SELECT k, 70 + i, x.kind, x.body, x.cells FROM (SELECT k, unnest([{{'kind': 'heading1', 'body': 'Reagent Mixes & Recipes', 'cells': NULL::VARCHAR[]}}, {{'kind': 'spacer', 'body': '', 'cells': NULL}}, {{'kind': 'heading3', 'body': 'Mix', 'cells': NULL}}, {{'kind': 'mix_header', 'body': '', 'cells': ['Component', 'Amount']}},
+   {{'kind': 'mix', 'body': '', 'cells': ['Salt', '1 g']}}, {{'kind': 'mix_bold', 'body': '', 'cells': ['Total', '2 g']}}, {{'kind': 'spacer', 'body': '', 'cells': NULL}}]) AS x, unnest(range(7)) AS i FROM t WHERE has_x)
+ UNION ALL SELECT k, 80, 'spacer', '', NULL FROM t UNION ALL SELECT k, 81, 'end', '───  End of Protocol  ───', NULL FROM t)"""
+)
+
+
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    return render.plan(_processed(spark, d).withColumn("output_name", F.concat(F.col("doc_id").cast("string"), F.lit(".docx"))))
+
+
+@query(_BLOCKS + " SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY a) AS block_no, kind, body, array_to_string(cells, '|') AS cells FROM b")
+def document_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of whole records, wet and computational."""
+    return _plan(spark, d).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "kind", "body", F.array_join("cells", "|").alias("cells"))
+
+
+# ---------------------------------------------------------------- Word files
+
+
+def _read(packed: DataFrame) -> DataFrame:
+    """The blocks that are read from files as bytes."""
+    return ooxml.read_bytes(packed.select(F.col("doc_id").alias("path"), "content")).withColumn("doc_id", F.col("path").cast("long"))
+
+
+@query(
+    _BLOCKS
+    + """ SELECT k AS doc_id, count(*) FILTER (WHERE kind NOT LIKE 'page_%' AND kind NOT LIKE 'callout_%' AND kind <> 'code' AND cells IS NULL) AS n_paragraphs, count(*) FILTER (WHERE kind LIKE 'callout_%' OR kind = 'code' OR kind LIKE '%_header' AND kind <> 'page_header') AS n_tables,
+ coalesce(string_agg(array_to_string(cells, '|'), ';' ORDER BY a) FILTER (WHERE cells IS NOT NULL), '') AS rows, count(*) FILTER (WHERE kind LIKE 'step%' OR kind LIKE 'code_step%') AS n_items,
+ string_agg(CASE WHEN kind = 'code_step0' THEN 'Run make' ELSE body END, '|' ORDER BY a) FILTER (WHERE kind LIKE 'heading%' OR kind LIKE 'step%' OR kind LIKE 'code_step%' OR kind = 'title') AS said FROM b GROUP BY k"""
+)
+def rendered_files(spark: SparkSession, d: str) -> DataFrame:
+    """Records rendered, written as Word files and read again: paragraphs, tables, list items, headings."""
+    rows = _read(ooxml.pack_documents(_plan(spark, d)))
+    plain = F.array_join(F.transform("runs", lambda r: r["text"]), "")
+    shown = F.col("has_numbering") | F.col("style_name").isin("Title", "Heading 1", "Heading 2", "Heading 3")
+    data = F.when((F.col("kind") == "table") & (F.size(F.col("cells")[0]) > 1), F.array_join(F.transform("cells", lambda c: F.array_join(c, "|")), ";"))
+    ordered = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(F.col("pos"), c.alias("x"))))), lambda s: s["x"]), sep)
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("kind") == "paragraph").alias("n_paragraphs"), F.count_if(F.col("kind") == "table").alias("n_tables"), ordered(data, ";").alias("rows"), F.count_if("has_numbering").alias("n_items"), ordered(F.when(shown, plain), "|").alias("said"))
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """The procedural view as Word files: doc_id, content."""
+    para = views.view(spark, d, views.PARA, "events")
+    kind = F.when(F.startswith("style_name", F.lit("Heading")), F.concat(F.lit("heading"), F.substring("style_name", 9, 1))).when(F.col("list_level") > 0, F.concat(F.lit("step"), (F.col("list_level") - 1).cast("string"))).otherwise("paragraph")
+    return ooxml.pack_documents(para.select("doc_id", F.concat(F.lit("document_"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("output_name"), F.col("pos").alias("block_no"), kind.alias("kind"), F.col("text").alias("body")))
+
+
+_RAW = _PLAIN.replace("raw_text", "text")
+
+
+@query(
+    f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, CASE WHEN style_name LIKE 'Heading%' THEN style_name ELSE 'Normal' END AS style_name, {_RAW} AS text, list_level > 0 AS is_list, list_level AS level, list_level BETWEEN 1 AND 3 AS numbered FROM ({views.PARA})"
+)
+def word_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs read from Word files: order, styles, texts, numbering."""
+    rows = _read(_words(spark, d)).where("kind = 'paragraph'")
+    info = blocks.list_info(*(F.col(c) for c in ("has_properties", "has_numbering", "num_id", "ilvl", "style_name", "numbered")))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "style_name", F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("text"), info.alias("i")).select("doc_id", "pos", "style_name", "text", "i.is_list", "i.level", "i.numbered")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, regexp_extract_all(text, '_\\*\\*.+?\\*\\*_|\\*\\*.+?\\*\\*|_.+?_|[^*_]+|[*_]') AS ts FROM ({views.PARA})), t AS (SELECT doc_id, pos, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS run_no FROM p)
+ SELECT doc_id, pos, run_no, CASE WHEN t LIKE '**%' AND length(t) > 4 THEN t[3:-3] WHEN t[1] = '_' AND length(t) > 2 THEN t[2:-2] ELSE t END AS text, t LIKE '**%' AND length(t) > 4 AS bold, t[1] = '_' AND length(t) > 2 AS italic FROM t"""
+)
+def word_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs and their formats, read from Word files."""
+    rows = _read(_words(spark, d)).where("kind = 'paragraph'").select("doc_id", "pos", F.posexplode("runs").alias("run_no", "r"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("run_no").cast("long").alias("run_no"), "r.text", "r.bold", "r.italic")
+
+
+@query(
+    f"""WITH t AS ({views.TABLES}), c AS (SELECT doc_id, table_ord, row_ord, list_transform([c1, c2, c3][1:n_cols], lambda x: trim(x)) AS cells FROM t), n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY table_ord) - 1 AS pos FROM c)
+ SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, pos ORDER BY row_ord) - 1 AS row_no, array_to_string(cells, '|') AS cells FROM n WHERE len(list_filter(cells, lambda x: x <> '')) > 0"""
+)
+def word_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables and their cells, read from Word files."""
+    kind = F.when(F.col("row_ord") == 0, "material_header").otherwise("material")
+    rows = _table_rows(spark, d).select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("output_name"), (F.col("table_ord") * 1000 + F.col("row_ord")).alias("block_no"), kind.alias("kind"), F.lit("").alias("body"), "cells")
+    found = _read(ooxml.pack_documents(rows)).where("kind = 'table'").select("doc_id", F.col("pos").cast("long").alias("pos"), F.posexplode("cells").alias("row_no", "c"))
+    return found.select("doc_id", "pos", F.col("row_no").cast("long").alias("row_no"), F.array_join("c", "|").alias("cells"))
+
+
+_OWNED = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN '' ELSE concat('  Title   ', o_orderkey) END AS title, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Admin' ELSE concat('Clerk ', o_custkey) END AS creator, o_orderdate FROM orders"
+
+
+@query(f"SELECT doc_id, CASE WHEN title <> '' THEN 'Title ' || doc_id END AS title, CASE doc_id % 3 WHEN 2 THEN creator ELSE 'Unattributed' END AS author, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN strftime(o_orderdate + INTERVAL 1 DAY, '%d/%m/%Y') ELSE strftime(o_orderdate, '%d/%m/%Y') END AS date FROM ({_OWNED})")
+def word_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Title, author and last date, read from Word files."""
+    o = views.view(spark, d, _OWNED, "orders")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    made, changed = F.when(F.col("doc_id") % 5 > 0, stamp(F.col("o_orderdate"))), F.when(F.col("doc_id") % 5 == 1, stamp(F.date_add("o_orderdate", 1)))
+    rows = F.array(*(F.struct(F.lit(f"property_{n}").alias("kind"), F.coalesce(c, F.lit("")).alias("body")) for n, c in (("title", F.col("title")), ("creator", F.col("creator")), ("created", made), ("modified", changed))), F.struct(F.lit("paragraph").alias("kind"), F.lit("x").alias("body")))
+    packed = ooxml.pack_documents(o.select("doc_id", F.lit("x.docx").alias("output_name"), F.posexplode(rows).alias("block_no", "b")).select("doc_id", "output_name", "block_no", "b.kind", "b.body"))
+    return _read(packed).where("kind = 'properties'").select("doc_id", "title", text.author(F.col("author")).alias("author"), "date")
+
+
+@query(f"SELECT doc_id, CAST(id AS INT) AS id, text FROM ({_FOOT}) WHERE id > 0")
+def word_footnotes(spark: SparkSession, d: str) -> DataFrame:
+    """Footnotes read from Word files; the numbers below 1 are the format's own."""
+    notes = views.view(spark, d, _FOOT, "customer")
+    packed = ooxml.pack_documents(notes.select("doc_id", F.lit("x.docx").alias("output_name"), F.col("id").alias("block_no"), F.concat(F.lit("footnote_"), F.col("id").cast("string")).alias("kind"), F.replace("text", F.lit(" "), F.lit("  ")).alias("body")))
+    return _read(packed).where("kind = 'footnote'").select("doc_id", F.col("footnote_id").alias("id"), F.col("runs")[0]["text"].alias("text"))
+
+
+@query(f"SELECT path, CASE WHEN lower(path) LIKE '%.docx' THEN CASE WHEN file_id % 3 = 0 THEN 'BadZipFile' ELSE 'read' END WHEN path LIKE '%.doc' THEN 'no converter' ELSE 'unsupported type' END AS outcome FROM ({views.FILES})")
+def files_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """Files read by their type; what can't be read is a row with its reason."""
+    from quire.sources.docx import document_bytes
+
+    whole = F.lit(document_bytes([("paragraph", "x")]))
+    files = _files(spark, d).select("path", F.when(F.col("file_id") % 3 == 0, F.lit(b"no zip")).otherwise(whole).alias("content"))
+    rows = ooxml.read_files(files).where("kind in ('error', 'paragraph')")
+    return rows.select("path", F.coalesce(F.regexp_extract("problem", "^([^:]+)", 1), F.lit("read")).alias("outcome"))
+
+
+@query(
+    _TREE
+    + r""", docs AS (SELECT DISTINCT doc_id FROM p), heads AS (SELECT doc_id, min_by(raw_text, pos) AS t FROM lev WHERE heading_level = 1 GROUP BY doc_id),
+ kind AS (SELECT doc_id, bool_or(is_list AND heading_level = 0 AND list_level > 2) OR sum(len(regexp_extract_all(text, '(?i)\b(python|script|server)\b'))) >= 3 AS comp FROM lev GROUP BY doc_id),
+ sec AS (SELECT doc_id, count(DISTINCT section_no) AS n FROM sections GROUP BY doc_id), st AS (SELECT doc_id, count(*) AS n FROM tree GROUP BY doc_id), ca AS (SELECT doc_id, count(*) AS n FROM sections WHERE kind = 'callout' GROUP BY doc_id),
+ items AS (SELECT doc_id, count(*) AS n FROM lev WHERE is_list AND heading_level = 0 GROUP BY doc_id),
+ no AS (SELECT doc_id, count(*) AS n FROM seg WHERE segment = 'notes' AND (is_list OR heading_level = 0) GROUP BY doc_id), re AS (SELECT doc_id, count(*) AS n FROM seg WHERE segment = 'references' AND heading_level = 0 GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(heads.t, 'Document ' || d.doc_id) AS title, CASE WHEN comp THEN 'computational' ELSE 'wet_lab' END AS section_type, CASE WHEN comp THEN '9' ELSE '' END AS section_number, CASE WHEN comp THEN 'Part 9' ELSE '' END AS section_name,
+  coalesce(sec.n, 1) AS n_sections, CASE WHEN sec.n IS NULL THEN greatest(coalesce(items.n, 0), 1) ELSE coalesce(st.n, 0) END AS n_steps, coalesce(ca.n, 0) AS n_callouts, coalesce(no.n, 0) AS n_notes, coalesce(re.n, 0) AS n_references
+ FROM docs d LEFT JOIN heads USING (doc_id) LEFT JOIN kind USING (doc_id) LEFT JOIN sec USING (doc_id) LEFT JOIN st USING (doc_id) LEFT JOIN ca USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN no USING (doc_id) LEFT JOIN re USING (doc_id)"""
+)
+def records_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """From the bytes of Word files to records: title, type, section, counts of the parts."""
+    files = _words(spark, d).select(F.concat(F.lit("/in/"), "output_name").alias("path"), "content")
+    rows = folder.record_rows(folder.Folder(spark, files=files, sections_registry=_REGISTRY)).withColumn("doc_id", F.regexp_extract("doc_id", r"(\d+)\.docx$", 1).cast("long"))
+    heads = rows.select("doc_id", *(F.col(f"record.{c}").alias(c) for c in ("title", "section_type", "section_number", "section_name")), "record")
+    n = records.counts(rows)
+    return heads.drop("record").join(n.select("doc_id", "n_sections", "n_steps", "n_callouts", "n_notes", "n_references"), "doc_id")

@@ -107,9 +107,8 @@ def broken(r: Column, raw: Column) -> Column:
     procedure = F.coalesce(r["procedure"], F.expr("array()").cast(StructType.fromDDL(RECORD)["procedure"].dataType))
     tops = lambda s: F.size(F.filter(s["steps"], lambda x: F.coalesce(x["depth"], F.lit(0)) == 0))
     parts = [
-        whole("not_json", r.isNull() | raw.isNull()),
-        *(whole(f"{c}_missing", r.isNotNull() & r[c].isNull() & F.try_variant_get(raw, f"$.{c}", "variant").isNull()) for c in REQUIRED),
-        *(whole(f"{c}_mistyped", r[c].isNull() & F.try_variant_get(raw, f"$.{c}", "variant").isNotNull() & (F.schema_of_variant(F.try_variant_get(raw, f"$.{c}", "variant")) != "VOID")) for c in REQUIRED),
+        *(whole(f"{c}_missing", r[c].isNull() & F.try_variant_get(raw, f"$.{c}", "variant").isNull()) for c in REQUIRED),
+        *(whole(f"{c}_mistyped", ~F.startswith(F.schema_of_variant(F.try_variant_get(raw, f"$.{c}", "variant")), F.lit("ARRAY" if c == "procedure" else "STRING"))) for c in REQUIRED),
         whole("title_empty", r["title"].isNotNull() & blank(r["title"])),
         whole("type_unknown", ~r["section_type"].isin("wet_lab", "computational")),
         whole("date_invalid", r["date"].isNotNull() & ~text.valid_date(r["date"])),
@@ -127,4 +126,5 @@ def broken(r: Column, raw: Column) -> Column:
         _where(procedure, "after_step_range", lambda s, i: F.exists(s["callouts"], lambda x: F.coalesce((x["after_step"] < 0) | (x["after_step"] >= tops(s)), F.lit(False)))),
     ]
     none = F.expr("array()").cast("array<struct<rule: string, path: string>>")
-    return F.concat(*(F.coalesce(p, none) for p in parts))
+    not_json = F.array(F.struct(F.lit("not_json").alias("rule"), F.lit("").alias("path")))
+    return F.when(r.isNull() | raw.isNull(), not_json).otherwise(F.concat(*(F.coalesce(p, none) for p in parts)))
