@@ -330,6 +330,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return link(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """rooted: least (struct<doc_id, text_key>) and root of each class. -> the rows of `docs` that are the least of their component, and those without a doc_id."""
+    kept = rooted.groupBy("root").agg(F.min("least").alias("kept")).where("kept is not null").select("kept.doc_id", F.col("kept.text_key").alias("_text_key"))
+    named = docs.where("doc_id is not null").withColumn("_text_key", text_key()).join(kept, ["doc_id", "_text_key"], "left_semi")
+    return named.dropDuplicates(["doc_id", "_text_key"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, one of each component: the row of the least doc_id, and of its rows the one of the least text key.
 
@@ -337,6 +344,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     fps = written(fingerprint_rows(docs, keyed=True), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least"))
-    kept = rooted(classes).groupBy("root").agg(F.min("least").alias("kept")).where("kept is not null").select("kept.doc_id", F.col("kept.text_key").alias("_text_key"))
-    named = docs.where("doc_id is not null").withColumn("_text_key", text_key()).join(kept, ["doc_id", "_text_key"], "left_semi")
-    return named.dropDuplicates(["doc_id", "_text_key"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return one_of_each(docs, rooted(classes))

@@ -8,7 +8,7 @@ from tests.llm.test_decontaminate import brute as leaked
 from tests.llm.test_pii import added_brute
 from tests.llm.test_pii import brute as base_spans
 from tests.llm.test_quality import brute_measures, brute_score
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_wide import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,8 +29,7 @@ def test_run_against_a_plain_version(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     weights = quality.train(quality.featured(docs)).weights
     rows = [(d, t) for d, t in rows if brute_score(t.encode(), brute_measures(t.encode()), weights) >= quality.THRESHOLD]
-    fps = [(d, brute_fingerprint(t)) for d, t in rows]
-    keep = {d for (d, _), c in zip(fps, brute_components(fps)) if d == c}
+    keep = plain_kept(rows)
     rows = [(d, t) for d, t in rows if d in keep]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [(d, t) for d, t in rows if not leaked(t, items)]
