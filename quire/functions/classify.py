@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import CALLOUT_LABELS, strip, strip_markers
+from quire.functions.text import CALLOUT_LABELS, once, strip, strip_markers
 
 #: What marks a callout of each class, in order of priority.
 CALLOUT_WORDS = {
@@ -31,9 +31,7 @@ def _has(c: Column, pattern: str) -> Column:
     return F.rlike(c, F.lit(pattern))
 
 
-def callout_type(c: Column) -> Column:
-    """critical, caution, tip, note or null: a label in front first, then the words of each class."""
-    plain = strip_markers(c)
+def _callout(plain: Column) -> Column:
     out = F.when(F.length(strip(F.coalesce(plain, F.lit("")))) == 0, None)
     for kind, labels in CALLOUT_LABELS.items():
         out = out.when(_has(plain, rf"(?i)^(?:{labels})\s*[:\-–—]"), kind)
@@ -42,8 +40,17 @@ def callout_type(c: Column) -> Column:
     return out
 
 
+def _stops(plain: Column) -> Column:
+    return _has(plain, rf"(?i)\b(?:{STOPPING})\b")
+
+
+def callout_type(c: Column) -> Column:
+    """critical, caution, tip, note or null: a label in front first, then the words of each class."""
+    return once(strip_markers(c), _callout)
+
+
 def is_stopping_point(c: Column) -> Column:
-    return _has(strip_markers(c), rf"(?i)\b(?:{STOPPING})\b")
+    return _stops(strip_markers(c))
 
 
 def heading_level(text: Column, style: Column) -> Column:
@@ -64,8 +71,11 @@ def section_type(full_text: Column) -> Column:
 
 
 def paragraph_class(raw_text: Column, is_list: Column) -> Column:
-    kind = callout_type(raw_text)
-    return F.when(kind.isNotNull(), F.concat(F.lit("callout_"), kind)).when(is_stopping_point(raw_text), "stopping_point").when(is_list, "step").otherwise("prose")
+    def of(plain: Column) -> Column:
+        rest = F.when(_stops(plain), "stopping_point").when(is_list, "step").otherwise("prose")
+        return once(_callout(plain), lambda kind: F.coalesce(F.concat(F.lit("callout_"), kind), rest))
+
+    return once(strip_markers(raw_text), of)
 
 
 def role(heading: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ MONTHS = "january february march april may june july august september october no
 DASH = "—"
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of an expression that f uses more than once: it is evaluated once a row, whatever the optimizer copies around it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -16,11 +16,14 @@ def up_to_here() -> WindowSpec:
     return by_document().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _with_segment(paras: DataFrame) -> DataFrame:
+    role = F.when(F.col("heading_level") == 1, classify.role(F.col("raw_text")))
+    return paras.withColumn("segment", F.coalesce(F.last(role, True).over(up_to_here()), F.lit("pre_overview")))
+
+
 def segments(paras: DataFrame) -> DataFrame:
     """Paragraphs with `segment`, the role of the last first-level heading that has one; first-level headings go."""
-    role = F.when(F.col("heading_level") == 1, classify.role(F.col("raw_text")))
-    out = paras.withColumn("segment", F.coalesce(F.last(role, True).over(up_to_here()), F.lit("pre_overview")))
-    return out.where("heading_level <> 1").withColumn("class", classify.paragraph_class(F.col("raw_text"), F.col("is_list")))
+    return _with_segment(paras).where("heading_level <> 1").withColumn("class", classify.paragraph_class(F.col("raw_text"), F.col("is_list")))
 
 
 def procedure(segmented: DataFrame) -> DataFrame:
@@ -71,18 +74,22 @@ def step_numbers(tree: DataFrame) -> DataFrame:
     return tree.where("kind = 'step' and rendered").select("doc_id", "section_no", "seq", "depth", style.alias("number_style"), F.row_number().over(w).alias("ordinal"))
 
 
-def overview(paras: DataFrame, segmented: DataFrame) -> DataFrame:
-    """doc_id, overview: prose over 20 characters of the overview (or of what precedes every role), else the first over 40 before any list item."""
-    said = (F.col("heading_level") == 0) & ~F.col("is_list") & ~classify.is_stopping_point(F.col("raw_text"))
-    whole = Window.partitionBy("doc_id")
-    rows = segmented.where("segment in ('overview', 'pre_overview')").withColumn("has", F.max((F.col("segment") == "overview").cast("int")).over(whole))
-    rows = rows.where("segment = case when has = 1 then 'overview' else 'pre_overview' end").where(said & (F.length("raw_text") > 20))
-    joined = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("main"))
-    early = paras.withColumn("first_item", F.min(F.when(F.col("is_list"), F.col("pos"))).over(whole)).where("first_item is null or pos < first_item")
-    second = early.where(said & (F.length("raw_text") > 40)).groupBy("doc_id").agg(F.min_by("text", "pos").alias("second"))
-    docs = paras.select("doc_id").distinct()
+def overview(paras: DataFrame) -> DataFrame:
+    """doc_id, overview: prose over 20 characters of the overview (or of what precedes every role), else the first over 40 before any list item.
+
+    One aggregation over the window's own exchange."""
+    size = F.length("raw_text")
+    said = (F.col("heading_level") == 0) & ~F.col("is_list") & (size > 20)
+    # stopping points are sought among the paragraphs that may be said, once each
+    rows = _with_segment(paras).withColumn("said", F.when(said, ~classify.is_stopping_point(F.col("raw_text"))).otherwise(False))
+    joined = lambda part: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("said") & (F.col("segment") == part), F.struct("pos", "text")))), lambda x: x["text"]), "\n\n")
+    has = F.bool_or((F.col("segment") == "overview") & (F.col("heading_level") != 1))
+    early = F.when(F.col("said") & (F.length("raw_text") > 40), F.col("pos"))
+    first_item = F.min(F.when(F.col("is_list"), F.col("pos")))
+    found = rows.groupBy("doc_id").agg(F.when(has, joined("overview")).otherwise(joined("pre_overview")).alias("main"), F.min_by("text", early).alias("second"), F.min(early).alias("at"), first_item.alias("first_item"))
     trimmed = F.regexp_replace("main", r"^\s+|\s+$", "")
-    return docs.join(joined, "doc_id", "left").join(second, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.length(trimmed) > 0, trimmed), "second", F.lit("")).alias("overview"))
+    second = F.when(F.col("first_item").isNull() | (F.col("at") < F.col("first_item")), F.col("second"))
+    return found.select("doc_id", F.coalesce(F.when(F.length(trimmed) > 0, trimmed), second, F.lit("")).alias("overview"))
 
 
 def prerequisites(segmented: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ class Folder:
         """doc_id, title, author, date, section_type, overview, output_name."""
         p = self.paragraphs.groupBy("doc_id").agg(F.min_by("raw_text", F.when(F.col("heading_level") == 1, F.col("pos"))).alias("heading"))
         kinds = blocks.full_text(self.paragraphs).select("doc_id", classify.section_type(F.col("full_text")).alias("section_type"))
-        d = self.documents.where("problem is null").join(p, "doc_id", "left").join(kinds, "doc_id", "left").join(segment.overview(self.paragraphs, self.segmented), "doc_id", "left")
+        d = self.documents.where("problem is null").join(p, "doc_id", "left").join(kinds, "doc_id", "left").join(segment.overview(self.paragraphs), "doc_id", "left")
         heading = F.when(F.col("heading").isNotNull(), text.clean_title(F.col("heading")))
         title = F.coalesce(F.when(F.length("title") > 0, F.col("title")), heading, text.stem_title(F.col("doc_id")))
         out = d.select("doc_id", title.alias("title"), text.author(F.col("author"), None, self.author).alias("author"), "date", F.coalesce("section_type", F.lit("wet_lab")).alias("section_type"), F.coalesce("overview", F.lit("")).alias("overview"))

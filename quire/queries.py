@@ -192,7 +192,9 @@ def normalize_dates(spark: SparkSession, d: str) -> DataFrame:
     + " AS callout FROM p) WHERE callout IS NOT NULL"
 )
 def callout_classify(spark: SparkSession, d: str) -> DataFrame:
-    p = _paras(spark, d).withColumn("callout", classify.callout_type(F.col("raw_text"))).where("callout is not null")
+    # the class is made and sifted inside one expression: a filter on a column would have it made twice
+    found = F.filter(F.array(classify.callout_type(F.col("raw_text"))), lambda c: c.isNotNull())
+    p = _paras(spark, d).select("pos", "raw_text", F.explode(found).alias("callout"))
     return p.select("pos", "callout", text.strip_callout_prefix(F.col("raw_text")).alias("body"))
 
 
@@ -394,7 +396,7 @@ def references(spark: SparkSession, d: str) -> DataFrame:
  SELECT d.doc_id, coalesce(CASE WHEN main.t <> '' THEN main.t END, early.t, '') AS overview FROM (SELECT DISTINCT doc_id FROM p) d LEFT JOIN main USING (doc_id) LEFT JOIN early USING (doc_id)"""
 )
 def overview_text(spark: SparkSession, d: str) -> DataFrame:
-    return segment.overview(_paras(spark, d), _segmented(spark, d))
+    return segment.overview(_paras(spark, d))
 
 
 _PRE = """SELECT event_id AS pos, user_id AS doc_id, 0 AS heading_level, 'prerequisites' AS segment,

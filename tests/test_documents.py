@@ -63,7 +63,7 @@ def test_overview_before_and_after_the_steps(spark):
     long = "This paragraph is long enough to stand for an overview of it."
     rows = [(1, 1, "Normal", 0, long), (1, 2, "Heading 1", 0, "Procedure"), (1, 3, "List Number", 1, "Do this"), (2, 1, "Heading 1", 0, "Procedure"), (2, 2, "List Number", 1, "Do that"), (2, 3, "Normal", 0, long)]
     paras = blocks.paragraphs(spark.createDataFrame(rows, "doc_id long, pos long, style_name string, list_level int, text string"))
-    got = {r.doc_id: r.overview for r in segment.overview(paras, segment.segments(paras)).collect()}
+    got = {r.doc_id: r.overview for r in segment.overview(paras).collect()}
     assert got == {1: long, 2: ""}
 
 
