@@ -53,3 +53,27 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["format", str(tmp_path / "a.docx"), "--out", str(tmp_path / "o")]) == 0 and (tmp_path / "o" / "A_v1_0.docx").exists()
     assert main(["format", str(tmp_path / "none.docx")]) == 2 and main(["format", str(tmp_path / "o")]) == 2
     assert main(["schema"]) == 0 and "section_type" in capsys.readouterr().out
+
+
+def test_schema_is_json_schema(spark):
+    schema = json.loads(records.schema_json())
+    assert schema["type"] == "object" and "title" in schema["required"] and schema["properties"]["section_type"]["enum"] == ["wet_lab", "computational"]
+    rows = schema["properties"]["materials"]["items"]["properties"]["rows"]["items"]
+    assert rows["properties"]["cells"]["type"] == "array"
+
+
+def test_rendering_one_record(spark, tmp_path, capsysbinary, monkeypatch):
+    import io
+
+    (tmp_path / "r.json").write_text(json.dumps(GOOD))
+    assert main(["render", str(tmp_path / "r.json"), "--out", str(tmp_path / "deep" / "r.docx")]) == 0
+    said = json.loads(capsysbinary.readouterr().out.splitlines()[-1])
+    assert said["status"] == "success" and zipfile.ZipFile(tmp_path / "deep" / "r.docx").testzip() is None
+    monkeypatch.setattr("sys.stdin", io.StringIO(json.dumps(GOOD)))
+    assert main(["render", "-"]) == 0
+    got = capsysbinary.readouterr()
+    assert got.out == (tmp_path / "deep" / "r.docx").read_bytes() and json.loads(got.err.splitlines()[-1])["output"] is None
+    (tmp_path / "bad.json").write_text(json.dumps(GOOD | {"procedure": []}))
+    assert main(["render", str(tmp_path / "bad.json"), "--out", str(tmp_path / "x.docx")]) == 1 and not (tmp_path / "x.docx").exists()
+    assert json.loads(capsysbinary.readouterr().out.splitlines()[-1])["errors"] == ["procedure_empty"]
+    assert main(["render", str(tmp_path / "none.json")]) == 2 and main(["check", "--converter", "no-such-program"]) == 0
