@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI inside spark.checkpoint.dir, which driver and executors share.
@@ -20,7 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="quire-")
     if "://" not in base:
         base = "file://" + base if base.startswith("/") else base
-    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the folders that this driver has made so far, once their results have been read; how many there were."""
+    jvm = spark.sparkContext._jvm
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

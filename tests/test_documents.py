@@ -214,3 +214,15 @@ def test_what_hangs_under_a_nested_stopping_point_is_not_shown(spark):
         said = [(b.kind, b.body) for b in blocks_][2:]
         assert [k for k, _ in said] == ["heading2", "callout_note", "spacer", kinds[0], "stopping_point", kinds[0][:-1] + "1", "callout_tip", "spacer", "stopping_point", *kinds, "spacer"]
         assert said[1][1] == "ℹ\u00a0\u00a0Note\ntop" and said[4][1].endswith("t1") and said[5][1] == "t3"
+
+
+def test_intermediate_tables_can_be_discarded(spark):
+    from pathlib import Path
+
+    from quire.sources import shared
+
+    shared.discard(spark)
+    rows = shared.written(spark.range(5))
+    place = Path(rows.inputFiles()[0].removeprefix("file:")).parents[1]
+    assert rows.count() == 5 and place.exists()
+    assert shared.discard(spark) == 1 and not place.exists() and shared.discard(spark) == 0
