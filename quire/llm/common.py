@@ -17,14 +17,23 @@ from quire.sources.shared import shared_dir, written
 SPACE = b" \t\n\v\f\r"
 #: Bytes of text that a worker holds in intermediate arrays at once (a longer text is held alone).
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to workers in Arrow batches of about BATCH_BYTES: texts are long, and both sides hold a batch or two. A session that has set the limit keeps its own."""
+    if spark.conf.get(_LIMIT, None) in (None, _DEFAULT):
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Just the two columns that a text operator reads; other columns, whatever their names, are left out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -43,6 +52,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose column holds up to about `most` bytes: small batches are put together, large ones cut."""
+    held, size = [], 0
+    for piece in slices(batches, column, most):
+        own = pc.sum(pc.binary_length(piece.column(piece.schema.get_field_index(column)))).as_py() or 0
+        if held and size + own > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(piece)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def column_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 of a string column; null is empty."""
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_bytes, id_and_text, longs, mix64, shared_dir, slices, tidied, words, written
+from quire.llm.common import column_bytes, gathered, id_and_text, longs, mix64, shared_dir, small_batches, tidied, words, written
 from quire.llm.files import read_file, write_file
 
 WINDOW = 5
@@ -353,7 +353,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     kinds = (pa.bool_(), *[pa.int64()] * 4, pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=blocks.text_bytes()):
+        for batch in gathered(batches, blocks.text_bytes()):
             held = blocks.held(column_bytes(batch))
             rows = [(False, None, 0, None, None, None)] * batch.num_rows
             for i, (item, n, matched, total, other) in held.items():
@@ -366,9 +366,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
 def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, with all their columns, that hold no item of the benchmark."""
     blocks = indexed(benchmark, block_words)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=blocks.text_bytes()):
+        for batch in gathered(batches, blocks.text_bytes()):
             keep = np.ones(batch.num_rows, bool)
             keep[list(blocks.held(column_bytes(batch)))] = False
             yield batch.filter(pa.array(keep))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_bytes, id_and_text, longs, mix64, shared_dir, slices, tidied, words, written
+from quire.llm.common import column_bytes, gathered, id_and_text, longs, mix64, shared_dir, tidied, words, written
 from quire.llm.files import read_file, write_file
 
 #: Longest run of tokens in the filter.
@@ -228,7 +228,7 @@ def sliced(docs: DataFrame, order: int = ORDER) -> Sliced:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, most=SLICE_TEXT):
+        for batch in gathered(batches, SLICE_TEXT):
             ids = longs(batch)
             held = batch.column(batch.schema.get_field_index("held")).to_numpy(zero_copy_only=False).astype(bool)
             one = Slice(*tokens(column_bytes(batch)), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), held)

@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from quire.llm.common import Kept, column_text, id_and_text, longs, slices, tidied
 
 SPACE = "▁"
-KEPT = 250_000
-KEPT_PAIRS = 500_000
+KEPT = 200_000
+KEPT_PAIRS = 400_000
 SHORT = 48
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_text, id_and_text, longs, slices, tidied
+from quire.llm.common import column_text, id_and_text, longs, slices, small_batches, tidied
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "email_text", "login", "account", "secret", "address")
@@ -244,6 +244,7 @@ def redact_text(text: str | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns, with personal data replaced in `text`; `n_chars`, where there is one, follows the text."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
     place = [f.name for f in schema].index("text")
 

@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from quire.llm.common import column_bytes, slices, tidied, words, written
+from quire.llm.common import column_bytes, slices, small_batches, tidied, words, written
 
 MOST_SAMPLE = 8_000
 DIMENSIONS = 1024
+#: Bytes of text whose features are held at once, as full rows.
+FEATURED_BYTES = 1 << 20
 THRESHOLD = 0.5
 #: Good votes that a bad one outweighs where EM begins. With so many, a document that two of them find bad begins as
 #: bad, so that a group on which two that go together agree isn't taken for good ones; all rates are estimated from there.
@@ -233,13 +235,14 @@ class Featured:
 
 def featured(docs: DataFrame) -> Featured:
     """`docs` has doc_id and text, and any other columns."""
+    small_batches(docs.sparkSession)
     token = uuid.uuid4().hex
     added = [f"{kind}_{token}" for kind in ("row", "pattern", "features")]
     marked = docs.withColumn(added[0], F.xxhash64(F.col("doc_id"), F.col("text")))
     schema = StructType([*marked.schema.fields, StructField(added[1], LongType()), StructField(added[2], BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=FEATURED_BYTES):
             m, x = measures(column_bytes(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pattern(votes(m))), sparse(x)], names=[*batch.schema.names, *added[1:]])
 

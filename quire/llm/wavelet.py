@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_text, id_and_text, longs, shared_dir, slices, tidied
+from quire.llm.common import column_text, gathered, id_and_text, longs, shared_dir, tidied
 from quire.llm.files import read_file, write_file
 
 MAGIC = b"QWAVE01\n"
@@ -376,7 +376,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int =
             return row
 
         schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
-        for batch in slices(batches, most=ENCODE_BYTES):
+        for batch in gathered(batches, ENCODE_BYTES):
             texts = [t.encode() for t in column_text(batch)]
             for doc_id, ids in zip(longs(batch).to_pylist(), encoder.encode_all(texts), strict=True):
                 n = len(ids) // encoder.dtype.itemsize
