@@ -106,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
 
         options["converter"] = probes.converter(args.converter)
     results = format_folder(session(args.command), str(source.parent if args.command == "format" else source), Path(args.out).resolve().as_uri(), **options).cache()
-    for r in results.orderBy("path").collect():
+    for r in results.orderBy("path").toLocalIterator():
         print(r.status, r.path, r.output_path or r.reason)
     counts = {r.status: r.n for r in batch.summary(results).collect()}
     print(", ".join(f"{n} {s}" for s, n in sorted(counts.items())) or "no files")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,5 +42,12 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def output_collisions(outputs: DataFrame) -> DataFrame:
-    """With `collides`: whether another row has the same output name."""
-    return outputs.withColumn("collides", F.count("*").over(Window.partitionBy("output_name")) > 1)
+    """With `collides`: whether another row has the same output name. A name that most rows have is counted before it is shuffled."""
+    n = outputs.groupBy("output_name").agg(F.count("*").alias("n"))
+    return outputs.join(n, "output_name").select(*outputs.columns, (F.col("n") > 1).alias("collides"))
+
+
+def first_of_each(outputs: DataFrame) -> DataFrame:
+    """doc_id, output_name of the first document, in order of path components, of each output name."""
+    first = outputs.groupBy("output_name").agg(F.min(F.struct(F.split("doc_id", "/").alias("parts"), "doc_id")).alias("least"))
+    return first.select("output_name", F.col("least.doc_id").alias("doc_id"))

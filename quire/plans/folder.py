@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -172,9 +172,9 @@ def format_folder(spark: SparkSession, path: str, out: str, case_sensitive: bool
     """path, status, output_path, reason: a row a file, whatever is wrong with it. Files whose names repeat are skipped; of files with one output name the first is written."""
     f = Folder(spark, path, **options)
     listed = batch.duplicates(f.documents.select(F.col("doc_id").alias("path"), "problem"), case_sensitive)
-    first = F.row_number().over(Window.partitionBy("output_name").orderBy(F.split("doc_id", "/"))) == 1
     made = written(record_rows(f), "records")
-    chosen = made.join(listed.where("not duplicate").select(F.col("path").alias("doc_id")), "doc_id", "left_semi").withColumn("first", first).where("first")
+    unlike = made.join(listed.where("not duplicate").select(F.col("path").alias("doc_id")), "doc_id", "left_semi")
+    chosen = unlike.join(batch.first_of_each(unlike.select("doc_id", "output_name")), ["doc_id", "output_name"], "left_semi")
     done = written(ooxml.write_documents(render.plan(chosen), out), "files")
     joined = listed.join(done.select(F.col("doc_id").alias("path"), "output_path"), "path", "left")
     status = F.when(F.col("duplicate"), "skipped").when(F.col("output_path").isNotNull(), "success").otherwise("failed")
