@@ -68,6 +68,12 @@ def full_text(paras: DataFrame) -> DataFrame:
     return paras.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("full_text"))
 
 
+def counts(rows: DataFrame) -> DataFrame:
+    """doc_id, n_paragraphs, n_tables, n_footnotes of documents given as blocks (doc_id, kind, runs); blank paragraphs don't count."""
+    said = F.exists("runs", lambda r: F.length(text.strip(r["text"])) > 0)
+    return rows.groupBy("doc_id").agg(F.count_if((F.col("kind") == "paragraph") & said).alias("n_paragraphs"), F.count_if(F.col("kind") == "table").alias("n_tables"), F.count_if(F.col("kind") == "footnote").alias("n_footnotes"))
+
+
 def table_rows(tables: DataFrame) -> DataFrame:
     """Rows of tables with normalised cells; rows whose cells are all blank go."""
     cells = F.transform("cells", text.normalize_whitespace)

@@ -913,3 +913,50 @@ def records_from_files(spark: SparkSession, d: str) -> DataFrame:
     heads = rows.select("doc_id", *(F.col(f"record.{c}").alias(c) for c in ("title", "section_type", "section_number", "section_name")), "record")
     n = records.counts(rows)
     return heads.drop("record").join(n.select("doc_id", "n_sections", "n_steps", "n_callouts", "n_notes", "n_references"), "doc_id")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, count(*) AS n FROM ({views.PARA}) GROUP BY 1), t AS (SELECT doc_id, count(DISTINCT table_ord) AS n FROM ({views.TABLES}) GROUP BY 1), f AS (SELECT doc_id, count(*) AS n FROM ({_FOOT}) WHERE id > 0 GROUP BY 1)
+ SELECT doc_id, coalesce(p.n, 0) AS n_paragraphs, coalesce(t.n, 0) AS n_tables, coalesce(f.n, 0) AS n_footnotes FROM p FULL JOIN t USING (doc_id) FULL JOIN f USING (doc_id)"""
+)
+def word_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs, tables and footnotes of Word files that have some of each."""
+    name = F.lit("x.docx").alias("output_name")
+    none = F.lit(None).cast("array<string>").alias("cells")
+    kind = F.when(F.col("row_ord") == 0, "material_header").otherwise("material").alias("kind")
+    para = views.view(spark, d, views.PARA, "events").select("doc_id", name, F.col("pos").alias("block_no"), F.lit("paragraph").alias("kind"), F.col("text").alias("body"), none)
+    rows = _table_rows(spark, d).select("doc_id", name, (F.col("table_ord") * 1000 + F.col("row_ord") - 1_000_000).alias("block_no"), kind, F.lit("").alias("body"), "cells")
+    foot = views.view(spark, d, _FOOT, "customer").select("doc_id", name, F.lit(-2_000_000).cast("long").alias("block_no"), F.concat(F.lit("footnote_"), F.col("id").cast("string")).alias("kind"), F.col("text").alias("body"), none)
+    return blocks.counts(_read(ooxml.pack_documents(para.unionByName(rows).unionByName(foot))))
+
+
+@query(_GOOD + " SELECT k AS doc_id, 16 AS n_keys, k % 3 <> 0 AS no_subtitle, k % 3 = 2 AS no_date, '\"depth\":1,\"parent_seq\":null' AS step FROM g")
+def record_json(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as JSON: every field is there, null or not."""
+    out = _processed(spark, d).select("doc_id", F.to_json("record", {"ignoreNullFields": "false"}).alias("j"))
+    return out.select("doc_id", F.size(F.json_object_keys("j")).alias("n_keys"), F.contains("j", F.lit('"subtitle":null')).alias("no_subtitle"), F.contains("j", F.lit('"date":null')).alias("no_date"), F.regexp_extract("j", '"depth":1,"parent_seq":null', 0).alias("step"))
+
+
+def _replay(bodies: list[str]) -> list[completion.Reply]:
+    """Replies by a rule: the question says after how many bad answers a good one comes."""
+    import json
+
+    out: list[completion.Reply] = []
+    for body in bodies:
+        turns = json.loads(body)["messages"]
+        tries, wanted = (len(turns) - 2) // 2, int(turns[1]["content"])
+        if tries >= wanted:
+            out.append(('{"title": "T", "procedure": [{"heading": "H", "steps": []}]}', None))
+        else:
+            out.append([("none", None), ('{"title": "T", "procedure": []}', None), (None, "not_json: <html>"), ("{", None)][tries])
+    return out
+
+
+@query(
+    """WITH a AS (SELECT c_custkey AS doc_id, c_custkey % 6 AS k, unnest([1, 2, 3, 4]) AS attempt FROM customer)
+ SELECT doc_id, attempt, CASE WHEN attempt > k THEN NULL ELSE ['no_json', 'validation_error', 'not_json', 'incomplete'][attempt] END AS failure_kind, CASE WHEN attempt > k THEN 'T' WHEN attempt = 2 THEN 'T' END AS title FROM a WHERE attempt <= k + 1"""
+)
+def completion_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds of attempts against a client that answers by a rule."""
+    prompts = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 6).cast("string").alias("user_message"))
+    return completion.extract(prompts, _replay).select("doc_id", "attempt", "failure_kind", "title")
