@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.shared import shared_dir, written
+from quire.sources.shared import shared_dir, written  # noqa: F401  the operators take both from here
 
 #: The white space that separates words in every contract here.
 SPACE = b" \t\n\v\f\r"

@@ -1,20 +1,12 @@
-"""Whole files in the shared folder, by URI, from driver or executors."""
+"""Whole files in the shared folder, by URI, from driver or executors. Writing is quire.sources.output's."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyarrow import fs
 
+from quire.sources.output import write_bytes as write_file
 
-def write_file(uri: str, data: bytes) -> None:
-    """Writes under another name and then renames, so that a retried or speculative task leaves one whole file."""
-    system, path = fs.FileSystem.from_uri(uri)
-    system.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part) as f:
-        f.write(data)
-    system.move(part, path)
+__all__ = ["read_file", "write_file"]
 
 
 def read_file(uri: str) -> memoryview:
