@@ -45,7 +45,7 @@ PARTITION_BYTES = 24 << 20
 #: Bytes of text encoded at once (a longer text is encoded alone).
 ENCODE_BYTES = 6 << 20
 #: Parts of texts whose ids a worker keeps, in each of two generations, and the bytes of the longest.
-KEPT_PARTS = 400_000
+KEPT_PARTS = 600_000
 LONGEST_KEPT = 48
 #: Partitions that one running sum goes over, and tasks that read files back (a task reads one file after another).
 SUM_PARTS = 1024
@@ -295,7 +295,7 @@ class Encoder:
             found[k] = self.old.get(parts[k])
             if found[k] is None:
                 new.append(k)
-        letters = [k for k in new if self.LETTERS.fullmatch(parts[k])]
+        letters = [k for k in new if (part := parts[k]).isalpha() or part[:1] == b" " and part[1:].isalpha() or self.LETTERS.fullmatch(part)]
         mapped = b"\n".join([parts[k] for k in letters]).decode("latin-1").translate(self.letters).split(self.newline)
         tokenize, flat, ends = self.model.tokenize, [], [0]
         for word in mapped if letters else ():
