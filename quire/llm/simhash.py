@@ -27,6 +27,7 @@ its class's component (null if the class has no doc_id); an empty table gives no
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -332,9 +333,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """rooted: least (struct<doc_id, text_key>) and root of each class. -> the rows of `docs` that are the least of their component, and those without a doc_id."""
-    kept = rooted.groupBy("root").agg(F.min("least").alias("kept")).where("kept is not null").select("kept.doc_id", F.col("kept.text_key").alias("_text_key"))
-    named = docs.where("doc_id is not null").withColumn("_text_key", text_key()).join(kept, ["doc_id", "_text_key"], "left_semi")
-    return named.dropDuplicates(["doc_id", "_text_key"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    mark = f"text_key_{uuid.uuid4().hex}"  # no column of the documents has this name
+    kept = rooted.groupBy("root").agg(F.min("least").alias("kept")).where("kept is not null").select("kept.doc_id", F.col("kept.text_key").alias(mark))
+    named = docs.where("doc_id is not null").withColumn(mark, text_key()).join(kept, ["doc_id", mark], "left_semi")
+    return named.dropDuplicates(["doc_id", mark]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

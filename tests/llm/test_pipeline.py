@@ -42,7 +42,7 @@ def test_run_against_a_plain_version(spark):
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
 def test_stages_pass_on_columns_with_clashing_names(spark, stage):
     """Extra columns named as the stages' own come through as they were."""
-    extra = ["pattern", "fp", "text_key", "contaminated", "spans", "score", "key", "row", "block", "root"]
+    extra = ["pattern", "fp", "text_key", "contaminated", "spans", "score", "key", "row", "block", "root", "_text_key", "n_words"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("doc_id", "text", "lang", "source", "n_chars", *(f"concat('{c}', doc_id) {c}" for c in extra))
     out = stage[1](spark, docs, SF)
     rows = out.collect()
