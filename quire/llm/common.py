@@ -85,7 +85,7 @@ _GAP[list(SPACE)] = True
 def words(texts: list[bytes], lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """(the distinct words of the texts, ASCII capitals lowered if so wanted; the place there of each word, one text after another; words of each text; words of all that start before each newline).
 
-    A text's words take some ten times its bytes at the peak."""
+    A text's words take ten to twenty times its bytes at the peak."""
     # words and gaps alternate, with a gap at both ends
     data = b"\n".join([b"", *texts, b""])
     if lower:

@@ -25,7 +25,7 @@ whose indexes (some 40 bytes a word) pass CACHE_BYTES is read again for each BLO
 Defined cases: null and empty texts hold nothing and are no items; items without item_id count, and are reported as null; items
 that repeat count once if their item_id does, too, and otherwise each; the smallest item_id among the best covered is reported; ties at LEAST
 count as held; repeated documents and null doc_ids get a row each; an empty table gives no rows, an empty benchmark leaves all documents
-clean; extra columns are ignored (or passed on by `clean`); a long text is held whole, in some fifteen times its bytes.
+clean; extra columns are ignored (or passed on by `clean`); a long text is held whole, in ten to twenty times its bytes.
 """
 
 from __future__ import annotations

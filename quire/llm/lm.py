@@ -16,7 +16,7 @@ that are sent, so that a segment is some tens of MB at any size. A key that all
 
 Defined cases: null and empty texts are one end; a null doc_id is a training row; without training rows all probabilities are those
 of the base formula (log 0 never occurs); repeated rows count and are scored each; an empty table gives no rows; extra columns
-are ignored; a long text is a slice of its own, whole, in memory of some ten times its bytes. Keys are 62-bit hashes of words and runs.
+are ignored; a long text is a slice of its own, whole, in memory of ten to twenty times its bytes. Keys are 62-bit hashes of words and runs.
 """
 
 from __future__ import annotations

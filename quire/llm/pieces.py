@@ -20,7 +20,7 @@ Decoding is the inverse: ids to characters and bytes, meta spaces to spaces, wit
 
 Defined cases: null and empty texts have no ids and decode to an empty text; a meta space that stands in a text decodes to a space, as in
 the SentencePiece library (`exact` is false then); repeated rows and null doc_ids are encoded each; an empty table gives no rows; extra
-columns are ignored; a long text is encoded whole, in some ten times its bytes, and one without spaces as one stretch.
+columns are ignored; a long text is encoded whole, in ten to twenty times its bytes, and one without spaces as one stretch.
 """
 
 from __future__ import annotations

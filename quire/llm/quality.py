@@ -10,7 +10,7 @@ Texts are gone over once: votes and features (numbers above zero, in half precis
 Defined cases: null and empty texts get the votes of a text without words, and are scored like it; a null doc_id is a row like
 any other; with documents of one kind only, EM keeps its prior towards good; repeated rows count and are scored each; a score of
 exactly THRESHOLD is accepted; an empty table gives no rows; extra columns are ignored (or passed on by `accept`, whatever
-their names); a long text is held whole, in some ten times its bytes.
+their names); a long text is held whole, in ten to twenty times its bytes.
 """
 
 from __future__ import annotations

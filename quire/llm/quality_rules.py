@@ -11,7 +11,7 @@ length reach and what prose does; text in hexadecimal digits shrinks like prose
 Defined cases: a null or empty text has no words and fails the base rule; texts below 128
 bytes have no lower limit; a ratio that equals a limit, or a share of bytes that equals `bad_share`, is
 kept; repeated rows are judged row by row, and a null doc_id is a row like any other; the order of rows plays no
-part; an empty table gives no rows; extra columns are ignored; a long text is judged whole, in some ten times its bytes.
+part; an empty table gives no rows; extra columns are ignored; a long text is judged whole, in ten to twenty times its bytes.
 """
 
 from __future__ import annotations

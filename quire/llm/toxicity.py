@@ -20,7 +20,7 @@ hashes of doc_id and then of the text, which bounds what the driver holds; scori
 Defined cases: null and empty texts have no clauses and get the score of a text in which nothing matches; a null doc_id isn't held out
 and isn't learned from; with no labelled rows, or none of a label, no insults are known and scores rest on a fixed prior; a doc_id
 with both labels counts as toxic; repeated rows are scored each; a score of exactly 0.3 predicts 1; an empty table gives no
-rows; extra columns are ignored; a long text is held whole, in some ten times its bytes.
+rows; extra columns are ignored; a long text is held whole, in ten to twenty times its bytes.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ numbers follow that order, and a document's start is the ids of all files before
 
 Defined cases: a null or empty text has the end id alone; null doc_ids come first; rows that repeat a doc_id keep
 a row each, in the order of their texts' hashes; an empty table writes no file and gives no rows; extra columns are ignored; a
-special token's string in a text is that token; a text above ENCODE_BYTES is encoded alone, whole, in some ten times its bytes.
+special token's string in a text is that token; a text above ENCODE_BYTES is encoded alone, whole, in ten to twenty times its bytes.
 """
 
 from __future__ import annotations
