@@ -339,7 +339,7 @@ def indexed(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Blocks:
         write_file(f"{folder}/block-{k:08d}", pickle.dumps(Index(list(zip(group["item_id"].to_pylist(), texts, strict=True)))))
         return pa.table({"block": pa.array([k], pa.int64())})
 
-    made = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).groupBy("block").applyInArrow(build, "block long")
+    made = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).groupBy("block").applyInArrow(build, "block long").repartition(1)
     return Blocks(folder, sorted(r.block for r in written(made, "blocks").collect()))
 
 

@@ -44,8 +44,10 @@ SHARD_TOKENS = 16 << 20
 PARTITION_BYTES = 24 << 20
 #: Bytes of text encoded at once (a longer text is encoded alone).
 ENCODE_BYTES = 6 << 20
+#: Ids that are parted at once.
+AT_ONCE = 1 << 18
 #: Parts of texts whose ids a worker keeps, in each of two generations, and the bytes of the longest.
-KEPT_PARTS = 600_000
+KEPT_PARTS = 400_000
 LONGEST_KEPT = 48
 #: Partitions that one running sum goes over, and tasks that read files back (a task reads one file after another).
 SUM_PARTS = 1024
@@ -76,10 +78,15 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
         stored = [min(b, z.compress(b), key=len) for b in blocks]
         places = np.concatenate([[0], np.cumsum([len(b) for b in stored])]).astype("<u8")
         planes.append({"blocks": add(b"".join(stored)), "places": add(places.tobytes()), "ranks": add(ranks.tobytes())})
-        ones = np.flatnonzero(bit)
-        zeros.append(len(bit) - len(ones))
+        zeros.append(len(bit) - int(ranks[-1]))
         if level < bits - 1:
-            rest = np.concatenate([rest.take(np.flatnonzero(~bit)), rest.take(ones)])
+            parted, low, high = np.empty_like(rest), 0, zeros[-1]
+            for at in range(0, len(rest), AT_ONCE):  # in pieces, as places take more than ids
+                piece, ones = rest[at : at + AT_ONCE], np.flatnonzero(bit[at : at + AT_ONCE])
+                none = np.flatnonzero(~bit[at : at + AT_ONCE])
+                parted[low : low + len(none)], parted[high : high + len(ones)] = piece.take(none), piece.take(ones)
+                low, high = low + len(none), high + len(ones)
+            rest = parted
     known = np.array([d is not None for d in doc_ids])
     docs = {"ids": add(z.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes())), "known": add(z.compress(np.packbits(known).tobytes())), "lengths": add(z.compress(np.array(lengths, "<i8").tobytes()))}
     header = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "planes": planes, "docs": docs, "n_docs": len(doc_ids), "block_bits": BLOCK_BITS}).encode()
@@ -182,8 +189,13 @@ class Shard:
             packed = np.concatenate([self._block(level, k) for k in range(len(self.planes[level]["places"]) - 1)] or [np.zeros(0, np.uint8)])
             bit = np.unpackbits(packed, count=self.n).astype(bool)
             before = np.empty_like(rest)
-            before[np.flatnonzero(~bit)] = rest[: self.zeros[level]]
-            before[np.flatnonzero(bit)] = rest[self.zeros[level] :] | rest.dtype.type(1 << (self.bits - 1 - level))
+            low, high = 0, self.zeros[level]
+            top = rest.dtype.type(1 << (self.bits - 1 - level))
+            for at in range(0, self.n, AT_ONCE):
+                ones, none = np.flatnonzero(bit[at : at + AT_ONCE]), np.flatnonzero(~bit[at : at + AT_ONCE])
+                piece = before[at : at + AT_ONCE]
+                piece[none], piece[ones] = rest[low : low + len(none)], rest[high : high + len(ones)] | top
+                low, high = low + len(none), high + len(ones)
             rest = before
         return rest
 
@@ -392,7 +404,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int =
     # the text's hash parts the rows of one doc_id, without texts in the sample that sets the ranges
     ranged = docs.withColumn("mark", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     path = f"{folder}/manifest"
-    ranged.mapInArrow(tidied(run), MANIFEST).write.parquet(path)
+    # the manifest's few rows go to few files
+    ranged.mapInArrow(tidied(run), MANIFEST).repartition(max(1, parts // 256)).write.parquet(path)
     return spark.read.schema(MANIFEST).parquet(path)
 
 
