@@ -44,7 +44,7 @@ SLICE_TEXT = 8 << 20
 SEGMENT_KEYS = 500_000
 #: Most tasks that go over the slices.
 TASKS = 20_000
-#: Files of a table that has a row a slice.
+#: Files of a table that has a row a slice. All rows of a task go to one, so that they are of one attempt whatever is run again.
 FEW = 8
 BITS_PER_ITEM = 12
 PROBES = 4
@@ -239,7 +239,7 @@ def sliced(docs: DataFrame, order: int = ORDER) -> Sliced:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, path, len(one.keys(order)[0]), int((~held).sum()))], names=names)
             number += 1
 
-    table = written(docs.withColumn("held", held_out(F.col("doc_id"))).mapInArrow(tidied(cut), "slice long, path string, keys long, texts long").repartition(FEW), "slices")
+    table = written(docs.withColumn("held", held_out(F.col("doc_id"))).mapInArrow(tidied(cut), "slice long, path string, keys long, texts long").repartition(FEW, F.shiftright("slice", 32)).coalesce(FEW), "slices")
     zero = F.lit(0)
     sums = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("keys"), zero).alias("keys"), F.coalesce(F.sum("texts"), zero).alias("texts")).first()
     return Sliced(table, sums.n, sums["keys"], sums.texts, order)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -371,6 +372,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, file, encoder = TaskContext.get().partitionId(), 0, encoder_of(tokenizer_path)
+        attempt = uuid.uuid4().hex  # another attempt writes other files
         found: list[bytes] = []
         doc_ids: list[int | None] = []
         lengths: list[int] = []
@@ -378,7 +380,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int =
 
         def flush() -> pa.RecordBatch:
             nonlocal file, held
-            path = f"{folder}/shard-{part:06d}-{file:06d}.qwave"
+            path = f"{folder}/shard-{part:06d}-{file:06d}-{attempt}.qwave"
             data = build(np.frombuffer(b"".join(found), encoder.dtype), doc_ids, lengths)
             write_file(path, data)
             row = pa.RecordBatch.from_pylist([{"part": part, "file": file, "path": path, "n_docs": len(doc_ids), "n_tokens": held, "n_bytes": len(data)}], schema=schema)
@@ -404,8 +406,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int =
     # the text's hash parts the rows of one doc_id, without texts in the sample that sets the ranges
     ranged = docs.withColumn("mark", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     path = f"{folder}/manifest"
-    # the manifest's few rows go to few files
-    ranged.mapInArrow(tidied(run), MANIFEST).repartition(max(1, parts // 256)).write.parquet(path)
+    # the manifest's rows go to few files; all rows of a task go to one, so that they are of one attempt whatever is run again
+    few = max(1, parts // 256)
+    ranged.mapInArrow(tidied(run), MANIFEST).repartition(few, "part").coalesce(few).write.parquet(path)
     return spark.read.schema(MANIFEST).parquet(path)
 
 
