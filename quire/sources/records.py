@@ -51,27 +51,29 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def post_processed(content: Column, default_author: str = "Unattributed", version: str = "1.0") -> Column:
     """The record in a loose JSON text, with defaults, dates as DD/MM/YYYY (null where none is found), the type in lower case, callouts without their
     labels, after_step as a number or null, and rows of three and two cells; rows of a mix that begin with a total or an incubation are bold. Null where the text is no JSON object."""
-    r = F.from_json(content, LOOSE)
-    none = lambda name: F.expr("array()").cast(StructType.fromDDL(RECORD)[name].dataType)
-    filled = lambda c, default: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, c).otherwise(default)
-    dated = F.when(F.rlike(r["date"], F.lit(r"^\d{2}/\d{2}/\d{4}$")), r["date"]).otherwise(text.normalize_date(r["date"]))
-    step_number = lambda c: F.when(F.rlike(c, F.lit(r"^\s*[+-]?\d+\s*$")), F.trim(c).try_cast("long"))
-    callout = lambda c: F.struct(c["callout_type"].alias("callout_type"), text.strip_callout_prefix(text.normalize_whitespace(c["text"])).alias("text"), step_number(c["after_step"]).alias("after_step"))
-    section = lambda s: F.struct(*(s[c].alias(c) for c in ("section_no", "heading", "preamble", "steps")), F.transform(s["callouts"], callout).alias("callouts"))
-
-    def tables(name: str, width: int, mixes: bool) -> Column:
-        bold = lambda row: F.coalesce(row["bold"], F.lit(False)) | (F.coalesce(classify.is_bold_row(F.get(row["cells"], F.lit(0))), F.lit(False)) if mixes else F.lit(False))
-        row = lambda x: F.struct(text.pad_cells(x["cells"], width).alias("cells"), bold(x).alias("bold"))
-        return F.coalesce(F.transform(r[name], lambda t: F.struct(t["heading"].alias("heading"), F.transform(t["rows"], row).alias("rows"))), none(name)).alias(name)
-
-    made = F.struct(
-        r["title"].alias("title"), r["subtitle"].alias("subtitle"), filled(r["author"], default_author).alias("author"),
-        F.when(F.length(text.strip(F.coalesce(r["section_type"], F.lit("")))) > 0, F.lower(text.strip(r["section_type"]))).otherwise("wet_lab").alias("section_type"),
-        r["section_number"].alias("section_number"), r["section_name"].alias("section_name"), filled(r["version"], version).alias("version"), dated.alias("date"), r["overview"].alias("overview"),
-        tables("materials", 3, False), r["prerequisites"].alias("prerequisites"), F.transform(r["procedure"], section).alias("procedure"),
-        F.coalesce(r["notes"], none("notes")).alias("notes"), F.coalesce(r["references"], none("references")).alias("references"), tables("mix_tables", 2, True), r["source_filename"].alias("source_filename"),
-    )
-    return F.when(r.isNotNull(), made.cast(StructType.fromDDL(RECORD)))
+    def made_of(r: Column) -> Column:
+        none = lambda name: F.expr("array()").cast(StructType.fromDDL(RECORD)[name].dataType)
+        filled = lambda c, default: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, c).otherwise(default)
+        dated = F.when(F.rlike(r["date"], F.lit(r"^\d{2}/\d{2}/\d{4}$")), r["date"]).otherwise(text.normalize_date(r["date"]))
+        step_number = lambda c: F.when(F.rlike(c, F.lit(r"^\s*[+-]?\d+\s*$")), F.trim(c).try_cast("long"))
+        callout = lambda c: F.struct(c["callout_type"].alias("callout_type"), text.strip_callout_prefix(text.normalize_whitespace(c["text"])).alias("text"), step_number(c["after_step"]).alias("after_step"))
+        section = lambda s: F.struct(*(s[c].alias(c) for c in ("section_no", "heading", "preamble", "steps")), F.transform(s["callouts"], callout).alias("callouts"))
+
+        def tables(name: str, width: int, mixes: bool) -> Column:
+            bold = lambda row: F.coalesce(row["bold"], F.lit(False)) | (F.coalesce(classify.is_bold_row(F.get(row["cells"], F.lit(0))), F.lit(False)) if mixes else F.lit(False))
+            row = lambda x: F.struct(text.pad_cells(x["cells"], width).alias("cells"), bold(x).alias("bold"))
+            return F.coalesce(F.transform(r[name], lambda t: F.struct(t["heading"].alias("heading"), F.transform(t["rows"], row).alias("rows"))), none(name)).alias(name)
+
+        made = F.struct(
+            r["title"].alias("title"), r["subtitle"].alias("subtitle"), filled(r["author"], default_author).alias("author"),
+            F.when(F.length(text.strip(F.coalesce(r["section_type"], F.lit("")))) > 0, F.lower(text.strip(r["section_type"]))).otherwise("wet_lab").alias("section_type"),
+            r["section_number"].alias("section_number"), r["section_name"].alias("section_name"), filled(r["version"], version).alias("version"), dated.alias("date"), r["overview"].alias("overview"),
+            tables("materials", 3, False), r["prerequisites"].alias("prerequisites"), F.transform(r["procedure"], section).alias("procedure"),
+            F.coalesce(r["notes"], none("notes")).alias("notes"), F.coalesce(r["references"], none("references")).alias("references"), tables("mix_tables", 2, True), r["source_filename"].alias("source_filename"),
+        )
+        return F.when(r.isNotNull(), made.cast(StructType.fromDDL(RECORD)))
+
+    return text.once(F.from_json(content, LOOSE), made_of)
 
 
 def counts(records: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def _where(items: Column, name: str, bad) -> Column:  # noqa: ANN001  a function
 
 def violations(records: DataFrame) -> DataFrame:
     """doc_id, json, record -> doc_id, rule, path: a row for each rule that a record breaks; path has the place in its list."""
-    return records.select("doc_id", F.explode(broken(F.col("record"), F.try_parse_json("json"))).alias("v")).select("doc_id", "v.rule", "v.path")
+    return records.select("doc_id", F.explode(text.once(F.struct(F.col("record").alias("r"), F.try_parse_json("json").alias("raw")), lambda x: broken(x["r"], x["raw"]))).alias("v")).select("doc_id", "v.rule", "v.path")
 
 
 def broken(r: Column, raw: Column) -> Column:
