@@ -24,7 +24,7 @@ DASH = "—"
 
 def once(c: Column, f: Callable[[Column], Column]) -> Column:
     """f of an expression that f uses more than once: it is evaluated once a row, whatever the optimizer copies around it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
 
 
 def strip(c: Column) -> Column:
