@@ -80,10 +80,12 @@ def column_text(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 _GAP = np.zeros(256, bool)
 _GAP[list(SPACE)] = True
+#: What parts words that are made of ASCII letters and digits and all that isn't ASCII (in UTF-8, bytes from 0x80 on).
+LETTERS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 
-def words(texts: list[bytes], lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(the distinct words of the texts, ASCII capitals lowered if so wanted; the place there of each word, one text after another; words of each text; words of all that start before each newline).
+def words(texts: list[bytes], lower: bool = True, gap: np.ndarray = _GAP) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct words of the texts, ASCII capitals lowered if so wanted, parted by the bytes that `gap` marks, of which newline is one; the place there of each word, one text after another; words of each text; words of all that start before each newline).
 
     A text's words take ten to twenty times its bytes at the peak."""
     # words and gaps alternate, with a gap at both ends
@@ -91,8 +93,8 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[list[bytes], np.ndarr
     if lower:
         data = data.translate(_LOWER)
     u = np.frombuffer(data, np.uint8)
-    gap = _GAP[u]
-    offsets = np.concatenate([[0], np.flatnonzero(gap[1:] != gap[:-1]) + 1, [len(u)]])
+    between = gap[u]
+    offsets = np.concatenate([[0], np.flatnonzero(between[1:] != between[:-1]) + 1, [len(u)]])
     if len(offsets) == 2:
         return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
     parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
