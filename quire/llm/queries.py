@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, lm, pieces, pii, quality, quality_rules, resample, search, simhash, toxicity, wavelet
+from quire.llm import chat, decontaminate, lm, neighbours, pieces, pii, quality, quality_rules, resample, search, simhash, toxicity, wavelet
 from quire.llm.common import id_and_text, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> D
     return pieces.encode(table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +72,7 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_quality_rules, op3_wavelet_files, op4_decontaminate, op5_lm, op6_simhash, op7_toxicity, op8_pii, op9_quality, op10_pieces, op12_wand, op13_resample)}
+    return {f.__name__: f for f in (op1_chat, op2_quality_rules, op3_wavelet_files, op4_decontaminate, op5_lm, op6_simhash, op7_toxicity, op8_pii, op9_quality, op10_pieces, op11_multi_index, op12_wand, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
