@@ -9,10 +9,10 @@ from quire.functions import classify, text
 
 
 def paragraphs(blocks: DataFrame) -> DataFrame:
-    """doc_id, pos, style_name, list_level, text -> with raw_text, text (units normalised), is_list, heading_level. Blank paragraphs go."""
+    """doc_id, pos, style_name, list_level, text -> with raw_text, text (units normalised), is_list, is_numbered, heading_level. Blank paragraphs go."""
     out = blocks.select("doc_id", "pos", "style_name", "list_level", F.col("text").alias("marked"), text.normalize_whitespace(F.col("text")).alias("raw_text"))
     out = out.where(F.length("raw_text") > 0)
-    return out.select("doc_id", "pos", "style_name", "list_level", "raw_text", text.normalize_units(F.col("marked")).alias("text"), F.contains(F.lower("style_name"), F.lit("list")).alias("is_list"), classify.heading_level(F.col("raw_text"), F.col("style_name")).alias("heading_level"))
+    return out.select("doc_id", "pos", "style_name", "list_level", "raw_text", text.normalize_units(F.col("marked")).alias("text"), F.contains(F.lower("style_name"), F.lit("list")).alias("is_list"), F.contains(F.lower("style_name"), F.lit("number")).alias("is_numbered"), classify.heading_level(F.col("raw_text"), F.col("style_name")).alias("heading_level"))
 
 
 def list_info(has_properties: Column, has_numbering: Column, num_id: Column, ilvl: Column, style: Column, numbered: Column) -> Column:
@@ -30,11 +30,6 @@ def numbered_lists(numberings: DataFrame, abstracts: DataFrame) -> DataFrame:
     return joined.select("doc_id", "num_id", F.coalesce("ilvl", F.lit(0)).alias("ilvl"), F.coalesce(F.col("fmt") != "bullet", F.lit(True)).alias("numbered"))
 
 
-def effective(run: Column, run_style: Column, paragraph_style: Column) -> Column:
-    """A tri-state format: the first that is set, else false."""
-    return F.coalesce(run, run_style, paragraph_style, F.lit(False))
-
-
 def merge_runs(runs: DataFrame) -> DataFrame:
     """para_id, run_pos, text, bold, italic -> para_id, marked_text: neighbours of one format merged, spaces kept outside the marks.
 
@@ -60,12 +55,21 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return merged.select("para_id", "island", marked.alias("t")).groupBy("para_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("island", "t"))), lambda x: x["t"]), "").alias("marked_text"))
 
 
-def full_text(paras: DataFrame) -> DataFrame:
-    """doc_id, full_text: heading marks, list indents and texts, a line each in block order."""
+def full_text(paras: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, full_text: a line a paragraph (heading marks, list indents with a number or a dash, text) and a line a table row, in block order.
+
+    Paragraphs (doc_id, pos, ...) and table rows (doc_id, pos, row_ord, cells) become lines apart and meet in one aggregation by document, so one exchange. Cells are normalised; rows of blank cells
+    have no line, nor has a table of such rows."""
     heading = F.when(F.col("heading_level") > 0, F.concat(F.repeat(F.lit("#"), F.col("heading_level")), F.lit(" ")))
-    item = F.when(F.col("is_list"), F.concat(F.repeat(F.lit("  "), F.col("list_level") - 1), F.col("list_level").cast("string"), F.lit(". ")))
+    marker = F.when(F.col("is_numbered"), F.concat(F.col("list_level").cast("string"), F.lit("."))).otherwise("-")
+    item = F.when(F.col("is_list"), F.concat(F.repeat(F.lit("  "), F.col("list_level") - 1), marker, F.lit(" ")))
     line = F.concat(F.coalesce(heading, item, F.lit("")), F.col("text"))
-    return paras.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("full_text"))
+    lines = paras.select("doc_id", F.col("pos").cast("long").alias("pos"), F.lit(0).alias("row_ord"), line.alias("line"))
+    if rows is not None:
+        piped = F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))
+        lines = lines.unionByName(table_rows(rows).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("row_ord").cast("int").alias("row_ord"), piped.alias("line")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "row_ord", "line")))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("full_text"))
 
 
 def counts(rows: DataFrame) -> DataFrame:

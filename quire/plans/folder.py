@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quire.functions import classify, text
-from quire.operators import batch, blocks, registry, render, segment, tables
+from quire.operators import batch, blocks, giants, registry, render, segment, tables
 from quire.sources import ooxml
 from quire.sources.records import RECORD
 from quire.sources.shared import written
@@ -54,19 +54,19 @@ class Folder:
         marked = blocks.merge_runs(runs)
         whole = F.array_join(F.transform("runs", lambda r: r["text"]), "")
         out = rows.select("doc_id", "pos", "style_name", place.alias("para_id"), text.normalize_whitespace(whole).alias("raw_text"), info.alias("i")).join(marked, "para_id").where(F.length("raw_text") > 0)
-        return written(out.select("doc_id", "pos", "style_name", F.col("i.level").alias("list_level"), "raw_text", text.normalize_units(F.col("marked_text")).alias("text"), F.col("i.is_list").alias("is_list"), classify.heading_level(F.col("raw_text"), F.col("style_name")).alias("heading_level")), "paragraphs")
+        return written(out.select("doc_id", "pos", "style_name", F.col("i.level").alias("list_level"), "raw_text", text.normalize_units(F.col("marked_text")).alias("text"), F.col("i.is_list").alias("is_list"), F.col("i.numbered").alias("is_numbered"), classify.heading_level(F.col("raw_text"), F.col("style_name")).alias("heading_level")), "paragraphs")
 
     @cached_property
     def segmented(self) -> DataFrame:
-        return written(segment.segments(self.paragraphs), "segments")
+        return written(giants.by_size(self.paragraphs, segment.segments, giants.segments), "segments")
 
     @cached_property
     def sections(self) -> DataFrame:
-        return segment.procedure(self.segmented)
+        return written(giants.by_size(self.segmented, segment.procedure, giants.procedure), "sections")
 
     @cached_property
     def tree(self) -> DataFrame:
-        return segment.step_tree(self.sections)
+        return giants.by_size(self.sections, segment.step_tree, giants.step_tree)
 
     @cached_property
     def callouts(self) -> DataFrame:
@@ -77,7 +77,8 @@ class Folder:
     def heads(self) -> DataFrame:
         """doc_id, title, author, date, section_type, overview, output_name."""
         p = self.paragraphs.groupBy("doc_id").agg(F.min_by("raw_text", F.when(F.col("heading_level") == 1, F.col("pos"))).alias("heading"))
-        kinds = blocks.full_text(self.paragraphs).select("doc_id", classify.section_type(F.col("full_text")).alias("section_type"))
+        rows = self.raw.where("kind = 'table'").select("doc_id", "pos", F.posexplode("cells").alias("row_ord", "cells"))
+        kinds = blocks.full_text(self.paragraphs, rows).select("doc_id", classify.section_type(F.col("full_text")).alias("section_type"))
         d = self.documents.where("problem is null").join(p, "doc_id", "left").join(kinds, "doc_id", "left").join(segment.overview(self.paragraphs), "doc_id", "left")
         heading = F.when(F.col("heading").isNotNull(), text.clean_title(F.col("heading")))
         title = F.coalesce(F.when(F.length("title") > 0, F.col("title")), heading, text.stem_title(F.col("doc_id")))

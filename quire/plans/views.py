@@ -12,7 +12,7 @@ from quire.functions import text
 PARA = """
 SELECT user_id AS doc_id, event_id AS pos,
  CASE WHEN event_id % 31 = 0 THEN 'Heading 1' WHEN event_id % 31 IN (7, 19) THEN 'Heading 2'
-      WHEN event_id % 31 = 25 THEN 'Heading 3' WHEN event_id % 31 IN (3, 11) THEN 'Normal' ELSE 'List Number' END AS style_name,
+      WHEN event_id % 31 = 25 THEN 'Heading 3' WHEN event_id % 31 IN (3, 11) THEN 'Normal' WHEN event_id % 5 = 2 THEN 'List Bullet' ELSE 'List Number' END AS style_name,
  CASE WHEN event_id % 31 IN (0, 7, 19, 25, 3, 11) THEN 0 ELSE 1 + CAST(event_id % 4 AS INT) END AS list_level,
  CASE WHEN event_id % 31 = 0 THEN CASE CAST(floor(event_id / 31) AS BIGINT) % 7 WHEN 0 THEN 'Overview' WHEN 1 THEN 'Materials' WHEN 2 THEN 'Procedure'
         WHEN 3 THEN 'procedure' WHEN 4 THEN 'Notes and Variants' WHEN 5 THEN 'References' ELSE 'Untitled part' END
@@ -34,6 +34,14 @@ SELECT user_id AS doc_id, event_id AS pos,
         ELSE concat('Incubate for ', event_id % 60, ' min at room temperature in the dark') END END AS text
 FROM events"""
 
+#: Tables that stand after paragraphs of the same documents: a row a table row.
+TABLES_BETWEEN = """
+SELECT e.user_id AS doc_id, e.event_id AS pos, r.row_ord,
+ CASE r.row_ord WHEN 0 THEN 'Command' WHEN 1 THEN concat('run  bash ', e.event_id % 3) WHEN 2 THEN CASE WHEN e.event_id % 4 = 1 THEN ' ' ELSE 'tube rack' END ELSE 'docker' END AS c1,
+ CASE r.row_ord WHEN 0 THEN 'Purpose' WHEN 1 THEN ' first' WHEN 2 THEN '' ELSE CASE WHEN e.event_id % 9 < 4 THEN 'conda install' ELSE 'none' END END AS c2
+FROM events e CROSS JOIN (SELECT 0 AS row_ord UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) r
+WHERE e.event_id % 6 = 4"""
+
 RUNS = """
 SELECT CAST(floor(event_id / 6) AS BIGINT) AS para_id, CAST(event_id % 6 AS INT) AS run_pos,
  CASE event_id % 7 WHEN 0 THEN 'Add ' WHEN 1 THEN concat(event_id % 90, ' uL') WHEN 2 THEN ' buffer ' WHEN 3 THEN '  '

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import classify, text
 from quire.functions.jsontext import set_json_path
-from quire.operators import batch, blocks, completion, registry, render, segment, tables, validate
+from quire.operators import batch, blocks, completion, giants, registry, render, segment, tables, validate
 from quire.plans import folder, views
 from quire.sources import ooxml, records
 
@@ -92,7 +92,7 @@ _CALLOUT = rf"""CASE WHEN regexp_matches({_PLAIN}, '^(important|warning|caution)
   WHEN regexp_matches({_PLAIN}, '\b(see section|refer to|for more information|species-specific|see also|cross-reference)\b', 'i') THEN 'note' END"""
 _STOP = rf"regexp_matches({_PLAIN}, '\b(pause point|safe stopping point|can be stored|may be stored|can be left|store at this stage|can stop here|overnight at)\b', 'i')"
 _WITH = rf"""WITH RECURSIVE para AS ({views.PARA}), p AS (
- SELECT doc_id, pos, style_name, list_level, style_name = 'List Number' AS is_list, trim(regexp_replace(text, ' {{2,}}', ' ', 'g')) AS raw_text, {_UNITS} AS text,
+ SELECT doc_id, pos, style_name, list_level, style_name LIKE 'List%' AS is_list, style_name = 'List Number' AS is_numbered, trim(regexp_replace(text, ' {{2,}}', ' ', 'g')) AS raw_text, {_UNITS} AS text,
   text AS marked FROM para), lev AS (
  SELECT *, CASE style_name WHEN 'Heading 1' THEN 1 WHEN 'Heading 2' THEN 2 WHEN 'Heading 3' THEN 3 ELSE
    CASE WHEN lower(raw_text) IN ('overview', 'materials', 'procedure', 'notes & variants', 'notes and variants', 'references', 'prerequisites') THEN 1
@@ -224,11 +224,42 @@ def section_type(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("part").agg(joined.alias("t")).select("part", classify.section_type(F.col("t")).alias("section_type"))
 
 
-@query(_WITH + r", l AS (SELECT doc_id, pos, CASE WHEN heading_level > 0 THEN repeat('#', heading_level) || ' ' WHEN is_list THEN repeat('  ', list_level - 1) || list_level || '. ' ELSE '' END || text AS line FROM lev) SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY pos)) AS text_sha256, sum(length(line)) AS n_chars FROM l GROUP BY doc_id")
+_LINES = (
+    _WITH
+    + rf""", cells AS (SELECT doc_id, pos, row_ord, trim(regexp_replace(c1, ' {{2,}}', ' ', 'g')) AS c1, trim(regexp_replace(c2, ' {{2,}}', ' ', 'g')) AS c2 FROM ({views.TABLES_BETWEEN})),
+ l AS (SELECT doc_id, pos, heading_level, is_list, list_level, -1 AS row_ord, CASE WHEN heading_level > 0 THEN repeat('#', heading_level) || ' ' WHEN is_list THEN repeat('  ', list_level - 1) || CASE WHEN is_numbered THEN list_level || '. ' ELSE '- ' END ELSE '' END || text AS line FROM lev
+ UNION ALL SELECT doc_id, pos, 0, false, 0, row_ord, '| ' || c1 || ' | ' || c2 || ' |' FROM cells WHERE c1 <> '' OR c2 <> '')"""
+)
+
+
+def _between(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of tables that stand between paragraphs: a table takes the place after its paragraph, which has twice its number."""
+    return views.view(spark, d, views.TABLES_BETWEEN, "events").select("doc_id", (F.col("pos") * 2 + 1).alias("pos"), "row_ord", F.array("c1", "c2").alias("cells"))
+
+
+@query(_LINES + " SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY pos, row_ord)) AS text_sha256, sum(length(line)) AS n_chars, count(*) FILTER (WHERE row_ord >= 0) AS n_rows FROM l GROUP BY doc_id")
 def full_text(spark: SparkSession, d: str) -> DataFrame:
-    out = blocks.full_text(_paras(spark, d))
-    lines = F.size(F.split("full_text", "\n"))
-    return out.select("doc_id", F.sha2("full_text", 256).alias("text_sha256"), (F.length("full_text") - lines + 1).cast("long").alias("n_chars"))
+    """Whole documents as plain text, with bullets, numbers, and tables between the paragraphs."""
+    out = blocks.full_text(_paras(spark, d).withColumn("pos", F.col("pos") * 2), _between(spark, d))
+    lines = F.split("full_text", "\n")
+    n_rows = F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("| ")))).cast("long")
+    return out.select("doc_id", F.sha2("full_text", 256).alias("text_sha256"), (F.length("full_text") - F.size(lines) + 1).cast("long").alias("n_chars"), n_rows.alias("n_rows"))
+
+
+@query(
+    _LINES
+    + r""", g AS (SELECT CAST(floor(pos / 6) AS BIGINT) AS part, row_ord >= 0 AS in_table, len(regexp_extract_all(line, '(?i)\b(bash|python|git|conda|pip|docker|node|npm|script|command|terminal|shell|cli|api|server|database|bioinformatics|pipeline|workflow|jupyter|notebook|environment|package|install|deploy)\b')) AS n FROM l)
+ SELECT part, CASE WHEN sum(n) >= 3 THEN 'computational' ELSE 'wet_lab' END AS section_type, CASE WHEN coalesce(sum(n) FILTER (WHERE NOT in_table), 0) >= 3 THEN 'computational' ELSE 'wet_lab' END AS without_tables FROM g GROUP BY part"""
+)
+def document_types(spark: SparkSession, d: str) -> DataFrame:
+    """The type of small documents by their whole text, and what it would be without their tables. (List levels stay below an indent of code.)"""
+    part = lambda c: F.floor(c / 6).cast("long")
+    p = _paras(spark, d).withColumn("doc_id", part(F.col("pos"))).withColumns({"pos": F.col("pos") * 2, "list_level": F.least("list_level", F.lit(2))})
+    rows = _between(spark, d).withColumn("doc_id", part(F.floor(F.col("pos") / 2)))
+    kind = classify.section_type(F.col("full_text"))
+    whole = blocks.full_text(p, rows).select("doc_id", kind.alias("section_type"))
+    alone = blocks.full_text(p).select("doc_id", kind.alias("without_tables"))
+    return whole.join(alone, "doc_id", "left").select(F.col("doc_id").alias("part"), "section_type", F.coalesce("without_tables", F.lit("wet_lab")).alias("without_tables"))
 
 
 def _quoted(words: list[str]) -> str:
@@ -373,6 +404,35 @@ def step_numbering(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "section_no", F.col("seq").cast("long").alias("seq"), "number_style", F.col("ordinal").cast("long").alias("ordinal"))
 
 
+#: All events as the paragraphs of four documents, so that each grows with the table; the blocks of the queries are small, so that small tables have many.
+_GIANT_PARA = views.PARA.replace("SELECT user_id AS doc_id", "SELECT CAST(event_id % 4 AS BIGINT) AS doc_id")
+_GIANT_BLOCK = 512
+
+
+def _giant(spark: SparkSession, d: str) -> DataFrame:
+    return giants.segments(blocks.paragraphs(views.view(spark, d, _GIANT_PARA, "events")), _GIANT_BLOCK)
+
+
+@query(_WITH.replace(views.PARA, _GIANT_PARA) + " SELECT doc_id, segment, class, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos, CAST(sum(pos) AS BIGINT) AS positions FROM seg GROUP BY ALL")
+def giant_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Roles and classes of the paragraphs of giant documents, by blocks and carries."""
+    return _giant(spark, d).groupBy("doc_id", "segment", "class").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("pos").alias("positions"))
+
+
+@query(_TREE.replace(views.PARA, _GIANT_PARA) + " SELECT doc_id, pos, CAST(section_no AS BIGINT) AS section_no, CAST(seq AS BIGINT) AS seq, depth, CAST(parent_seq AS BIGINT) AS parent_seq, rendered FROM tree")
+def giant_step_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of giant documents, nested by min-plus carries."""
+    out = giants.step_tree(giants.procedure(_giant(spark, d), _GIANT_BLOCK), _GIANT_BLOCK)
+    return out.select("doc_id", "pos", "section_no", F.col("seq").cast("long").alias("seq"), "depth", F.col("parent_seq").cast("long").alias("parent_seq"), "rendered")
+
+
+@query(_TREE.replace(views.PARA, _GIANT_PARA) + " SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, CAST(seq AS BIGINT) AS seq, CASE depth WHEN 0 THEN 'decimal' WHEN 1 THEN 'lower_letter' WHEN 2 THEN 'lower_roman' ELSE 'bullet' END AS number_style, row_number() OVER (PARTITION BY doc_id, depth ORDER BY pos) AS ordinal FROM tree WHERE kind = 'step' AND rendered")
+def giant_step_numbering(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of steps that run through giant documents."""
+    tree = giants.step_tree(giants.procedure(_giant(spark, d), _GIANT_BLOCK), _GIANT_BLOCK)
+    return giants.step_numbers(tree, _GIANT_BLOCK).select("doc_id", "section_no", F.col("seq").cast("long").alias("seq"), "number_style", F.col("ordinal").cast("long").alias("ordinal"))
+
+
 _FOOT = "SELECT c_custkey AS doc_id, k.id, concat('Footnote ', k.id, ' of ', c_name) AS text FROM customer CROSS JOIN (SELECT 3 AS id UNION ALL SELECT 1 UNION ALL SELECT 0) k"
 
 
