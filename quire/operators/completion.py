@@ -122,7 +122,7 @@ def read_attempts(replies: DataFrame) -> DataFrame:
     # a reply is parsed once; what isn't JSON gives null
     parsed = found.withColumn("json", F.try_parse_json("found.object")).withColumn("record", records.post_processed(F.col("found.object")))
     broken = records.broken(F.col("record"), F.col("json"))
-    later = [f"{c}_{what}" for c in ("section_number", "section_name", "overview", "section_type") for what in ("missing", "mistyped")]
+    later = [f"{c}_{what}" for c in ("section_number", "section_name", "overview", "section_type") for what in ("missing", "mistyped")] + ["after_step_mistyped"]
     broken = F.filter(broken, lambda v: ~v["rule"].isin(later))
     parsed = parsed.withColumn("broken", F.when(F.col("json").isNotNull(), broken))
     kind = (

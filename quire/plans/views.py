@@ -129,7 +129,8 @@ SELECT o_orderkey AS doc_id, concat('{', CASE o_orderkey % 7 WHEN 0 THEN '"title
  CASE o_orderkey % 5 WHEN 0 THEN '"section_type": "computational", ' WHEN 1 THEN '"section_type": "odd", ' ELSE '"section_type": "wet_lab", ' END, CASE WHEN o_orderkey % 6 = 1 THEN '' ELSE '"section_number": "1", ' END,
  '"section_name": "N", ', CASE o_orderkey % 8 WHEN 3 THEN '' WHEN 4 THEN '"overview": ["x"], ' ELSE '"overview": "", ' END,
  CASE o_orderkey % 4 WHEN 0 THEN '"date": "31/12/2024", ' WHEN 1 THEN '"date": "2024-01-01", ' WHEN 2 THEN '"date": "45/01/2024", ' ELSE '' END, CASE WHEN o_orderkey % 3 = 0 THEN '"prerequisites": {"software": "git"}, ' ELSE '' END,
- CASE o_orderkey % 11 WHEN 0 THEN '"materials": [{"heading": "h", "rows": [{"cells": ["a", "b"]}]}], ' WHEN 1 THEN '"materials": [{"heading": "h", "rows": [{"cells": ["a", "b", "c"]}]}], "mix_tables": [{"heading": "m", "rows": [{"cells": ["a"]}]}], ' ELSE '' END,
+ CASE o_orderkey % 11 WHEN 0 THEN concat('"materials": [{"heading": "h", "rows": [{"cells": ["a", "b"]}]}', CASE WHEN o_orderkey % 2 = 0 THEN ', {"heading": "i", "rows": [{"cells": ["a", "b", "c"]}, {"cells": ["a"]}, {"cells": ["d", "e", "f"]}, {"cells": []}]}, {"heading": "j", "rows": []}' ELSE '' END, '], ') WHEN 1 THEN concat('"materials": [{"heading": "h", "rows": [{"cells": ["a", "b", "c"]}]}', CASE WHEN o_orderkey % 2 = 0 THEN ', {"heading": "i", "rows": [{"cells": ["a", "b", "c"]}, {"cells": ["a"]}, {"cells": ["d", "e", "f"]}, {"cells": []}]}, {"heading": "j", "rows": []}' ELSE '' END, '], "mix_tables": [{"heading": "m", "rows": [{"cells": ["a"]}]}], ') ELSE '' END,
+ CASE o_orderkey % 10 WHEN 3 THEN '"notes": "one text", ' WHEN 4 THEN '"notes": ["one", 2, "three"], ' ELSE '' END,
  CASE o_orderkey % 9 WHEN 0 THEN '"procedure": []' WHEN 1 THEN '"section_no": 0' WHEN 2 THEN '"procedure": "x"' ELSE concat('"procedure": [{"heading": "H", "steps": [{"depth": 0, "step_type": "action", "text": "x"}], "callouts": []}, {"heading": "',
    CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE 'H' END, '", "steps": [{"depth": 0, "step_type": "', CASE WHEN o_orderkey % 5 = 3 THEN 'odd' ELSE 'stopping_point' END, '", "text": "', CASE WHEN o_orderkey % 3 = 2 THEN '' ELSE 'y' END,
    '"}], "callouts": [{"callout_type": "', CASE WHEN o_orderkey % 7 = 5 THEN 'hint' ELSE 'note' END, '", "text": "', CASE WHEN o_orderkey % 7 = 6 THEN '  ' ELSE 'z' END, '", "after_step": ', CASE o_orderkey % 5 WHEN 0 THEN '-1' WHEN 1 THEN '0' WHEN 2 THEN '1' ELSE 'null' END, '}]}]') END, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE '}' END) AS json

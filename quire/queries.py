@@ -779,15 +779,18 @@ _RULES = f"""WITH b AS ({views.BROKEN}), p AS (SELECT doc_id, doc_id % 13 <> 0 A
 @query(
     _RULES
     + """ SELECT doc_id, 'not_json' AS rule, '' AS path FROM p WHERE NOT fine
- UNION ALL SELECT doc_id, 'title_empty', '' FROM k WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'title_missing', '' FROM k WHERE doc_id % 7 = 1
- UNION ALL SELECT doc_id, 'title_mistyped', '' FROM k WHERE doc_id % 7 = 2 UNION ALL SELECT doc_id, 'section_number_missing', '' FROM k WHERE doc_id % 6 = 1 UNION ALL SELECT doc_id, 'overview_missing', '' FROM k WHERE doc_id % 8 = 3 UNION ALL SELECT doc_id, 'overview_mistyped', '' FROM k WHERE doc_id % 8 = 4
- UNION ALL SELECT doc_id, 'type_unknown', '' FROM k WHERE t = 'odd' UNION ALL SELECT doc_id, 'date_invalid', '' FROM k WHERE doc_id % 4 IN (1, 2)
- UNION ALL SELECT doc_id, 'prerequisites_in_wet_lab', '' FROM k WHERE t = 'wet_lab' AND doc_id % 3 = 0
- UNION ALL SELECT doc_id, 'materials_in_computational', '' FROM k WHERE t = 'computational' AND m UNION ALL SELECT doc_id, 'mixes_in_computational', '' FROM k WHERE t = 'computational' AND doc_id % 11 = 1
- UNION ALL SELECT doc_id, 'materials_width', '0' FROM k WHERE doc_id % 11 = 0 UNION ALL SELECT doc_id, 'mix_width', '0' FROM k WHERE doc_id % 11 = 1
- UNION ALL SELECT doc_id, 'procedure_empty', '' FROM k WHERE q = 0 UNION ALL SELECT doc_id, 'procedure_missing', '' FROM k WHERE q = 1 UNION ALL SELECT doc_id, 'procedure_mistyped', '' FROM k WHERE q = 2
- UNION ALL SELECT doc_id, 'heading_empty', '1' FROM k WHERE whole AND doc_id % 4 = 0 UNION ALL SELECT doc_id, 'step_text_empty', '1' FROM k WHERE whole AND doc_id % 3 = 2 UNION ALL SELECT doc_id, 'step_type_unknown', '1' FROM k WHERE whole AND f = 3
- UNION ALL SELECT doc_id, 'callout_type_unknown', '1' FROM k WHERE whole AND doc_id % 7 = 5 UNION ALL SELECT doc_id, 'callout_text_empty', '1' FROM k WHERE whole AND doc_id % 7 = 6 UNION ALL SELECT doc_id, 'after_step_range', '1' FROM k WHERE whole AND f IN (0, 2)"""
+ UNION ALL SELECT doc_id, 'title_empty', 'title' FROM k WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'title_missing', 'title' FROM k WHERE doc_id % 7 = 1
+ UNION ALL SELECT doc_id, 'title_mistyped', 'title' FROM k WHERE doc_id % 7 = 2 UNION ALL SELECT doc_id, 'section_number_missing', 'section_number' FROM k WHERE doc_id % 6 = 1 UNION ALL SELECT doc_id, 'overview_missing', 'overview' FROM k WHERE doc_id % 8 = 3 UNION ALL SELECT doc_id, 'overview_mistyped', 'overview' FROM k WHERE doc_id % 8 = 4
+ UNION ALL SELECT doc_id, 'type_unknown', 'section_type' FROM k WHERE t = 'odd' UNION ALL SELECT doc_id, 'date_invalid', 'date' FROM k WHERE doc_id % 4 IN (1, 2)
+ UNION ALL SELECT doc_id, 'prerequisites_in_wet_lab', 'prerequisites' FROM k WHERE t = 'wet_lab' AND doc_id % 3 = 0
+ UNION ALL SELECT doc_id, 'materials_in_computational', 'materials' FROM k WHERE t = 'computational' AND m UNION ALL SELECT doc_id, 'mixes_in_computational', 'mix_tables' FROM k WHERE t = 'computational' AND doc_id % 11 = 1
+ UNION ALL SELECT doc_id, 'materials_width', 'materials[0].rows[0].cells' FROM k WHERE doc_id % 11 = 0 UNION ALL SELECT doc_id, 'mix_width', 'mix_tables[0].rows[0].cells' FROM k WHERE doc_id % 11 = 1
+ UNION ALL SELECT doc_id, 'materials_width', 'materials[1].rows[' || r || '].cells' FROM k, (VALUES (1), (3)) w(r) WHERE doc_id % 11 IN (0, 1) AND doc_id % 2 = 0
+ UNION ALL SELECT doc_id, 'rows_empty', 'materials[2].rows' FROM k WHERE doc_id % 11 IN (0, 1) AND doc_id % 2 = 0
+ UNION ALL SELECT doc_id, 'notes_mistyped', CASE WHEN doc_id % 10 = 3 THEN 'notes' ELSE 'notes[1]' END FROM k WHERE doc_id % 10 IN (3, 4)
+ UNION ALL SELECT doc_id, 'procedure_empty', 'procedure' FROM k WHERE q = 0 UNION ALL SELECT doc_id, 'procedure_missing', 'procedure' FROM k WHERE q = 1 UNION ALL SELECT doc_id, 'procedure_mistyped', 'procedure' FROM k WHERE q = 2
+ UNION ALL SELECT doc_id, 'heading_empty', 'procedure[1].heading' FROM k WHERE whole AND doc_id % 4 = 0 UNION ALL SELECT doc_id, 'step_text_empty', 'procedure[1].steps[0].text' FROM k WHERE whole AND doc_id % 3 = 2 UNION ALL SELECT doc_id, 'step_type_unknown', 'procedure[1].steps[0].step_type' FROM k WHERE whole AND f = 3
+ UNION ALL SELECT doc_id, 'callout_type_unknown', 'procedure[1].callouts[0].callout_type' FROM k WHERE whole AND doc_id % 7 = 5 UNION ALL SELECT doc_id, 'callout_text_empty', 'procedure[1].callouts[0].text' FROM k WHERE whole AND doc_id % 7 = 6 UNION ALL SELECT doc_id, 'after_step_range', 'procedure[1].callouts[0].after_step' FROM k WHERE whole AND f IN (0, 2)"""
 )
 def record_violations(spark: SparkSession, d: str) -> DataFrame:
     return records.violations(_json_records(spark, d, views.BROKEN))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, StringType, StructType
 
 from quire.functions import classify, text
+from quire.sources import rules
+from quire.sources.rules import Rule
 
 _ROWS = "array<struct<heading: string, rows: array<struct<cells: array<string>, bold: boolean>>>>"
 RECORD = (
@@ -23,6 +25,27 @@ LOOSE = RECORD.replace("after_step: bigint", "after_step: string")
 REQUIRED = ("title", "section_type", "section_number", "section_name", "overview", "procedure")
 CALLOUTS = ("critical", "caution", "tip", "note")
 STEPS = ("action", "stopping_point")
+#: The constraints of a record, by place.
+RULES = (
+    *(Rule(c, f"{c}_missing", "required") for c in REQUIRED),
+    Rule("title", "title_empty", "filled_if_any"),
+    Rule("section_type", "type_unknown", "one_of_if_any", ("wet_lab", "computational")),
+    Rule("date", "date_invalid", "date_if_any"),
+    Rule("prerequisites", "prerequisites_in_wet_lab", "none_where", ("section_type", "wet_lab", "one")),
+    Rule("materials", "materials_in_computational", "none_where", ("section_type", "computational", "list")),
+    Rule("mix_tables", "mixes_in_computational", "none_where", ("section_type", "computational", "list")),
+    Rule("procedure", "procedure_empty", "some_if_any"),
+    Rule("materials[].rows", "rows_empty", "some"),
+    Rule("materials[].rows[].cells", "materials_width", "wide", 3),
+    Rule("mix_tables[].rows", "rows_empty", "some"),
+    Rule("mix_tables[].rows[].cells", "mix_width", "wide", 2),
+    Rule("procedure[].heading", "heading_empty", "filled"),
+    Rule("procedure[].steps[].text", "step_text_empty", "filled"),
+    Rule("procedure[].steps[].step_type", "step_type_unknown", "one_of", STEPS),
+    Rule("procedure[].callouts[].text", "callout_text_empty", "filled"),
+    Rule("procedure[].callouts[].callout_type", "callout_type_unknown", "one_of", CALLOUTS),
+    Rule("procedure[].callouts[].after_step", "after_step_range", "top_step_if_any"),
+)
 
 
 def _json_schema(kind: DataType) -> dict:
@@ -85,48 +108,28 @@ def counts(records: DataFrame) -> DataFrame:
     return records.select("doc_id", *(size(r[c]).alias(n) for n, c in plain.items()), inner("steps").alias("n_steps"), inner("callouts").alias("n_callouts"))
 
 
-def _where(items: Column, name: str, bad) -> Column:  # noqa: ANN001  a function of an item and its place
-    """Violations struct<rule, path> of an array's items."""
-    hits = F.filter(F.transform(items, lambda x, i: F.struct(F.coalesce(bad(x, i), F.lit(False)).alias("bad"), i.alias("i"))), lambda h: h["bad"])
-    return F.transform(hits, lambda h: F.struct(F.lit(name).alias("rule"), h["i"].cast("string").alias("path")))
-
-
 def violations(records: DataFrame) -> DataFrame:
-    """doc_id, json, record -> doc_id, rule, path: a row for each rule that a record breaks; path has the place in its list."""
+    """doc_id, json, record -> doc_id, rule, path: a row for each rule that a record breaks, with the full path of what breaks it (none for the record as a whole)."""
     return records.select("doc_id", F.explode(text.once(F.struct(F.col("record").alias("r"), F.try_parse_json("json").alias("raw")), lambda x: broken(x["r"], x["raw"]))).alias("v")).select("doc_id", "v.rule", "v.path")
 
 
+def unlike_types(raw: Column) -> Column:
+    """Violations of a record's fields, required or not, whose values in the variant aren't of the declared types. Most records are told to be right by one look at their schema, and most fields of the others."""
+    whole = StructType.fromDDL(RECORD)
+    each = F.concat(*(text.once(F.try_variant_get(raw, f"$.{f.name}", "variant"), lambda v, f=f: rules.mistyped_field(f.dataType, v, f.name, f.name in REQUIRED)) for f in whole))
+    right = F.rlike(F.schema_of_variant(raw), F.lit(f"^{rules.of_type(whole, REQUIRED)}$"))
+    return F.when(right, F.expr("array()").cast(rules.VIOLATIONS)).otherwise(each)
+
+
+def broken_rules(r: Column) -> Column:
+    """array<struct<rule, path>> of a record of the declared type: the rules of RULES that it breaks, in their order by field."""
+    none = F.expr("array()").cast(rules.VIOLATIONS)
+    return F.concat(*(F.coalesce(p, none) for p in rules.walk(StructType.fromDDL(RECORD), r, RULES)))
+
+
 def broken(r: Column, raw: Column) -> Column:
-    """array<struct<rule, path>> of a record and the variant that it was read from."""
-    blank = lambda c: F.length(text.strip(F.coalesce(c, F.lit("")))) == 0
-
-    def whole(name: str, bad: Column) -> Column:
-        return F.when(F.coalesce(bad, F.lit(False)), F.array(F.struct(F.lit(name).alias("rule"), F.lit("").alias("path"))))
-
-    def width(name: str, tables: str, n: int) -> Column:
-        return _where(F.coalesce(r[tables], F.expr("array()").cast(StructType.fromDDL(RECORD)[tables].dataType)), name, lambda t, i: F.exists(t["rows"], lambda row: F.coalesce(F.size(row["cells"]), F.lit(-1)) != n))
-
-    procedure = F.coalesce(r["procedure"], F.expr("array()").cast(StructType.fromDDL(RECORD)["procedure"].dataType))
-    tops = lambda s: F.size(F.filter(s["steps"], lambda x: F.coalesce(x["depth"], F.lit(0)) == 0))
-    parts = [
-        *(whole(f"{c}_missing", r[c].isNull() & F.try_variant_get(raw, f"$.{c}", "variant").isNull()) for c in REQUIRED),
-        *(whole(f"{c}_mistyped", ~F.startswith(F.schema_of_variant(F.try_variant_get(raw, f"$.{c}", "variant")), F.lit("ARRAY" if c == "procedure" else "STRING"))) for c in REQUIRED),
-        whole("title_empty", r["title"].isNotNull() & blank(r["title"])),
-        whole("type_unknown", ~r["section_type"].isin("wet_lab", "computational")),
-        whole("date_invalid", r["date"].isNotNull() & ~text.valid_date(r["date"])),
-        whole("prerequisites_in_wet_lab", (r["section_type"] == "wet_lab") & r["prerequisites"].isNotNull()),
-        whole("materials_in_computational", (r["section_type"] == "computational") & (F.size(r["materials"]) > 0)),
-        whole("mixes_in_computational", (r["section_type"] == "computational") & (F.size(r["mix_tables"]) > 0)),
-        whole("procedure_empty", F.size(r["procedure"]) == 0),
-        width("materials_width", "materials", 3),
-        width("mix_width", "mix_tables", 2),
-        _where(procedure, "heading_empty", lambda s, i: blank(s["heading"])),
-        _where(procedure, "step_text_empty", lambda s, i: F.exists(s["steps"], lambda x: blank(x["text"]))),
-        _where(procedure, "step_type_unknown", lambda s, i: F.exists(s["steps"], lambda x: ~F.coalesce(x["step_type"], F.lit("")).isin(*STEPS))),
-        _where(procedure, "callout_text_empty", lambda s, i: F.exists(s["callouts"], lambda x: blank(x["text"]))),
-        _where(procedure, "callout_type_unknown", lambda s, i: F.exists(s["callouts"], lambda x: ~F.coalesce(x["callout_type"], F.lit("")).isin(*CALLOUTS))),
-        _where(procedure, "after_step_range", lambda s, i: F.exists(s["callouts"], lambda x: F.coalesce((x["after_step"] < 0) | (x["after_step"] >= tops(s)), F.lit(False)))),
-    ]
-    none = F.expr("array()").cast("array<struct<rule: string, path: string>>")
-    not_json = F.array(F.struct(F.lit("not_json").alias("rule"), F.lit("").alias("path")))
-    return F.when(r.isNull() | raw.isNull(), not_json).otherwise(F.concat(*(F.coalesce(p, none) for p in parts)))
+    """array<struct<rule, path>> of a record and the variant that it was read from. A value of a wrong type is said once, not as missing too."""
+    not_json = F.array(rules.made("not_json", F.lit("")))
+    wrong = unlike_types(raw)
+    both = text.once(F.struct(wrong.alias("wrong"), broken_rules(r).alias("rules")), lambda x: F.concat(x["wrong"], F.filter(x["rules"], lambda v: ~(F.endswith(v["rule"], F.lit("_missing")) & F.exists(x["wrong"], lambda w: w["path"] == v["path"])))))
+    return F.when(r.isNull() | raw.isNull(), not_json).otherwise(both)

@@ -12,15 +12,18 @@ GOOD = {
     "procedure": [{"section_no": 0, "heading": "H", "steps": [{"seq": 0, "depth": 0, "step_type": "action", "text": "x"}], "callouts": [{"callout_type": "tip", "text": "y", "after_step": 0}]}],
 }
 BAD = {
-    "empty_title": (GOOD | {"title": " "}, [("title_empty", "")]),
-    "no_title": ({k: v for k, v in GOOD.items() if k != "title"}, [("title_missing", "")]),
-    "typed": (GOOD | {"procedure": "x"}, [("procedure_mistyped", "")]),
-    "date": (GOOD | {"date": "2024-01-01"}, [("date_invalid", "")]),
-    "kind": (GOOD | {"section_type": "computational"}, [("materials_in_computational", "")]),
-    "rows": (GOOD | {"materials": [{"heading": "h", "rows": [{"cells": ["a", "b", "c"]}]}, {"heading": "h", "rows": [{"cells": ["a"]}]}]}, [("materials_width", "1")]),
-    "after": (GOOD | {"procedure": [GOOD["procedure"][0] | {"callouts": [{"callout_type": "tip", "text": "y", "after_step": 1}]}]}, [("after_step_range", "0")]),
-    "step": (GOOD | {"procedure": [GOOD["procedure"][0] | {"steps": [{"depth": 0, "step_type": "odd", "text": ""}]}]}, [("step_text_empty", "0"), ("step_type_unknown", "0")]),
-    "none": (GOOD | {"procedure": []}, [("procedure_empty", "")]),
+    "empty_title": (GOOD | {"title": " "}, [("title_empty", "title")]),
+    "no_title": ({k: v for k, v in GOOD.items() if k != "title"}, [("title_missing", "title")]),
+    "typed": (GOOD | {"procedure": "x"}, [("procedure_mistyped", "procedure")]),
+    "date": (GOOD | {"date": "2024-01-01"}, [("date_invalid", "date")]),
+    "kind": (GOOD | {"section_type": "computational"}, [("materials_in_computational", "materials")]),
+    "rows": (GOOD | {"materials": [{"heading": "h", "rows": [{"cells": ["a", "b", "c"]}]}, {"heading": "h", "rows": [{"cells": ["a"]}]}]}, [("materials_width", "materials[1].rows[0].cells")]),
+    "after": (GOOD | {"procedure": [GOOD["procedure"][0] | {"callouts": [{"callout_type": "tip", "text": "y", "after_step": 1}]}]}, [("after_step_range", "procedure[0].callouts[0].after_step")]),
+    "step": (GOOD | {"procedure": [GOOD["procedure"][0] | {"steps": [{"depth": 0, "step_type": "odd", "text": ""}]}]}, [("step_text_empty", "procedure[0].steps[0].text"), ("step_type_unknown", "procedure[0].steps[0].step_type")]),
+    "no_rows": (GOOD | {"materials": [{"heading": "h", "rows": []}, {"heading": "h"}]}, [("rows_empty", "materials[0].rows"), ("rows_empty", "materials[1].rows")]),
+    "notes": (GOOD | {"notes": "one", "references": ["a", {"b": 1}], "prerequisites": None}, [("notes_mistyped", "notes"), ("references_mistyped", "references[1]")]),
+    "deep": (GOOD | {"procedure": [GOOD["procedure"][0], GOOD["procedure"][0] | {"steps": [{"depth": "x", "step_type": "action", "text": 5}], "callouts": []}]}, [("depth_mistyped", "procedure[1].steps[0].depth"), ("text_mistyped", "procedure[1].steps[0].text")]),
+    "none": (GOOD | {"procedure": []}, [("procedure_empty", "procedure")]),
 }
 
 
@@ -75,5 +78,5 @@ def test_rendering_one_record(spark, tmp_path, capsysbinary, monkeypatch):
     assert got.out == (tmp_path / "deep" / "r.docx").read_bytes() and json.loads(got.err.splitlines()[-1])["output"] is None
     (tmp_path / "bad.json").write_text(json.dumps(GOOD | {"procedure": []}))
     assert main(["render", str(tmp_path / "bad.json"), "--out", str(tmp_path / "x.docx")]) == 1 and not (tmp_path / "x.docx").exists()
-    assert json.loads(capsysbinary.readouterr().out.splitlines()[-1])["errors"] == ["procedure_empty"]
+    assert json.loads(capsysbinary.readouterr().out.splitlines()[-1])["errors"] == ["procedure_empty procedure"]
     assert main(["render", str(tmp_path / "none.json")]) == 2 and main(["check", "--converter", "no-such-program"]) == 0
