@@ -5,13 +5,14 @@ announce an identifier or an address. From each anchor a deterministic parser ex
 it has, and gives a span. Numbers that need no announcement (IP addresses, payment cards, phone numbers) are
 parsed at their digits. All offsets are code points, ends exclusive.
 
-Base kinds, always kept: email, ip, card, phone. Added kinds, which never overlap a base span or each other
-(the earlier start wins, then the longer span, then the order of KINDS):
+Base kinds, always kept: email, ip, card, phone. Added kinds, which never overlap each other (the earlier start wins, then the longer
+span, then the order of KINDS) and never lie inside one base span; they may reach over the ends of base spans, and `redact` covers the union:
   email_text  name [at] host [dot] tld, with brackets or parentheses
-  login       the user:password part of an URL
-  account     IBANs that pass mod 97, and identifiers after a cue such as `account no.` or `passport`; 5 to 34 letters
-              and digits with 4 digits or more
-  secret      quoted or assigned values after token, secret, password, api_key; 8 characters or more
+  login       the user:password part of an URL, up to the last at-sign before a slash, question mark, number sign or white space
+  account     IBANs that pass mod 97, and identifiers after a cue such as `account no.` or `passport`; 5 letters
+              and digits or more, with 4 digits or more
+  secret      quoted or assigned values after token, secret, password, api_key; 8 characters or more of any kind, up to white space,
+              or, where a quotation mark opens the value, up to its closing mark in the line
   address     a house number with a street name of one to three capitalised words
 
 Defined cases: null is an empty text; empty texts have no spans and the hash of the empty string; a null doc_id is carried; offsets
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
@@ -58,11 +59,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _TEXT_RIGHT = re.compile(r"\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[(](?i:dot)[\])]\x20?|\.)[A-Za-z0-9-]++)++")
 # a login may be of any length: possessive groups read each character once
-_LOGIN = re.compile(r"[^\s/@:?#]++:[^\s/@?#]++(?=@)")
+_LOGIN = re.compile(r"[^\s/@:?#]++:[^\s/?#]+(?=@)")
 _IBAN = re.compile(r"\W{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8})(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"(?i:\x20?(?:number|num|no|nr|id)?\b\.?)[\x20\t]*[:#=]?[\x20\t\"']*([A-Z0-9](?:[-./]?[A-Z0-9]){4,33})(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?:[\x20\t]*[:=][\x20\t]*[\"']?|[\x20\t]+[\"'])(?=[A-Za-z0-9+/_=.-]{8})")
-_VALUE = re.compile(r"[A-Za-z0-9+/_=.-]++")
+_ACCOUNT = re.compile(r"(?i:\x20?(?:number|num|no|nr|id)?\b\.?)[\x20\t]*[:#=]?[\x20\t\"']*([A-Z0-9](?:[-./]?[A-Z0-9]){4,})(?![A-Za-z0-9])")
+_SECRET = re.compile(r"[\"']?[\x20\t]*[:=][\x20\t]*([\"']?)|[\x20\t]+([\"'])")
+_VALUE = re.compile(r"\S{8,}")
+_QUOTED = {mark: re.compile(rf"(?:[^{mark}\\\n]|\\.)*+(?={mark})") for mark in "\"'"}
 _NUMBER_LEFT = re.compile(r"(?<!\w)[0-9]{1,5}[A-Za-z]?\x20(?:[A-ZÄÖÜÉ][\w'-]{1,30}\x20){1,3}$")
 _NAME_RIGHT = re.compile(r"(?:\x20(?:de|la|le|du|des|del|los|las))*(?:\x20[A-ZÄÖÜÉÁÍÓÚÑ][\w'-]{1,30}){1,3},?\x20[0-9]{1,5}(?!\w)")
 _STREET_NUMBER = re.compile(r"\x20[0-9]{1,4}[a-z]?(?!\w)")
@@ -153,9 +155,15 @@ def _account(text: str, start: int, end: int) -> tuple[int, int] | None:
 
 
 def _secret(text: str, end: int, known: int) -> tuple[int, int] | None:
-    """known: where the last value ended; a cue inside that value has the same end, which isn't sought again."""
+    """known: where the last value ended; a cue inside that value says nothing new."""
     m = _SECRET.match(text, end)
-    return (m.end(), known if m.end() < known else _VALUE.match(text, m.end()).end()) if m else None
+    if not m or m.end() < known:
+        return None
+    mark = m[1] or m[2]
+    if mark and (inside := _QUOTED[mark].match(text, m.end())):
+        return inside.span() if inside.end() - inside.start() >= 8 else None
+    value = _VALUE.match(text, m.end())
+    return value.span() if value else None
 
 
 def _address(text: str, start: int, end: int) -> tuple[int, int] | None:
@@ -195,7 +203,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
         furthest = [0, *accumulate((b for _, b in taken), max)]  # the furthest end of the first spans
         kept, free = [], 0
         for start, minus_end, kind in sorted(set(added)):
-            if start >= free and furthest[bisect_left(starts, -minus_end)] <= start:
+            if start >= free and furthest[bisect_right(starts, start)] < -minus_end:
                 kept.append((kind, start, -minus_end))
                 free = -minus_end
         added = [(KINDS[k], a, b) for k, a, b in sorted(kept)]

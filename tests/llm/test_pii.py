@@ -35,15 +35,19 @@ def added_brute(text, base):
                     y = re.match(r" ?[A-Za-z0-9-]+(( ?[\[(][dD][oO][tT][\])] ?|\.)[A-Za-z0-9-]+)+", rest)
                     spans += [(x.start(), b + y.end(), kind)] if x and y else []
                 elif kind == "login":
-                    y = re.match(r"[^\s/@:?#]+:[^\s/@?#]+(?=@)", rest)
+                    y = re.match(r"[^\s/@:?#]+:[^\s/?#]+(?=@)", rest)
                     spans += [(b, b + y.end(), kind)] if y else []
                 elif kind == "secret":
-                    y = re.match(r"([ \t]*[:=][ \t]*[\"']?|[ \t]+[\"'])([A-Za-z0-9+/_=.-]{8,})", rest)
-                    spans += [(b + y.start(2), b + y.end(2), kind)] if y else []
+                    if y := re.match(r"[\"']?[ \t]*[:=][ \t]*([\"']?)|[ \t]+([\"'])", rest):
+                        mark, value = y[1] or y[2], rest[y.end() :]
+                        line = value.split("\n")[0]
+                        ends = [i for i, c in enumerate(line) if c == mark and (len(line[:i]) - len(line[:i].rstrip("\\"))) % 2 == 0] if mark else []
+                        size = ends[0] if ends else len(re.match(r"\S*", value)[0])
+                        spans += [(b + y.end(), b + y.end() + size, kind)] if size >= 8 else []
                 elif kind == "account" and bounded(a, b):
                     y = re.match(r"\W{0,3}([A-Z]{2}[0-9]{2}( ?[A-Z0-9]{2,4}){3,8})(?![A-Za-z0-9])", rest)
                     if not (y and pii.iban(y[1])):
-                        y = re.match(r" ?(?:[nN][uU][mM][bB][eE][rR]|[nN][uU][mM]|[iI][dD]|[nN][oO]|[nN][rR])?\b\.?[ \t]*[:#=]?[ \t\"']*([A-Z0-9]([-./]?[A-Z0-9]){4,33})(?![A-Za-z0-9])", rest)
+                        y = re.match(r" ?(?:[nN][uU][mM][bB][eE][rR]|[nN][uU][mM]|[iI][dD]|[nN][oO]|[nN][rR])?\b\.?[ \t]*[:#=]?[ \t\"']*([A-Z0-9]([-./]?[A-Z0-9]){4,})(?![A-Za-z0-9])", rest)
                         y = y if y and len(re.findall("[0-9]", y[1])) >= 4 else None
                     spans += [(b + y.start(1), b + y.end(1), kind)] if y else []
                 elif kind == "address":
@@ -58,12 +62,12 @@ def added_brute(text, base):
                         spans += [(a, b + y.end(), kind)] if y else []
     kept = []
     for a, b, kind in sorted(set(spans), key=lambda x: (x[0], -x[1], pii.KINDS.index(x[2]))):
-        if not any(a < d and c < b for _, c, d in [*base, *kept]):
+        if not any(a < d and c < b for _, c, d in kept) and not any(c <= a and b <= d for _, c, d in base):
             kept.append((kind, a, b))
     return sorted(kept, key=lambda x: (pii.KINDS.index(x[0]), x[1]))
 
 
-cues = st.sampled_from([c for cs in pii.CUES.values() for c in cs] + ["Account No. 12345678", "IBAN DE89 3704 0044 0532 0130 00", "token='abcdefgh'", " jo [at] x [dot] org", "ftp://u:p@h", "12 Old Mill Road", "Hauptstraße 12", "rue de la Paix 5", " ", "=", ":", "'", "1.2.3.4", "a@b.co", "AB12345", " 77 ", "Xyz ", "İ", "é", "\n", "_", "API_KEY: ", "TAX id "])
+cues = st.sampled_from([c for cs in pii.CUES.values() for c in cs] + ["Account No. 12345678", "IBAN DE89 3704 0044 0532 0130 00", "token='abcdefgh'", " jo [at] x [dot] org", "ftp://u:p@h", "12 Old Mill Road", "Hauptstraße 12", "rue de la Paix 5", " ", "=", ":", "'", "1.2.3.4", "a@b.co", "AB12345", " 77 ", "Xyz ", "İ", "é", "\n", "_", "API_KEY: ", "TAX id ", "\\", '"', "p!$w@", "://b:s!c@db.ex.com"])
 
 
 @settings(max_examples=400, deadline=None)
@@ -109,7 +113,7 @@ def test_base_kinds_against_the_plain_patterns(text):
     taken = sorted((a, b) for _, a, b in base)
     spans = sorted((a, b) for _, a, b in added)
     assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
-    assert not any(a < d and c < b for a, b in taken for c, d in spans)
+    assert not any(a <= c and d <= b for a, b in taken for c, d in spans)
 
 
 def test_query_rows(spark, sf):
@@ -146,12 +150,12 @@ def test_added_kinds():
 
 def test_values_run_to_their_end():
     for n in (8, 256, 257, 1000, 40_000):
-        assert found("token = " + "aB3-" * (n // 4) + "x" * (n % 4) + ", next") == [("secret", "aB3-" * (n // 4) + "x" * (n % 4))]
+        assert found("token = " + "aB3-" * (n // 4) + "x" * (n % 4) + "\nnext") == [("secret", "aB3-" * (n // 4) + "x" * (n % 4))]
         assert pii.redact_text("password=" + "q" * n + " end") == "password=<SECRET> end"
     for n in (5, 128, 129, 5000):
         assert found(f"ftp://{'u' * n}:{'p!' * n}@host/x") == [("login", f"{'u' * n}:{'p!' * n}")]
     assert found("token=token=abcdefgh ok") == [("secret", "token=abcdefgh")]
-    assert found("token=1.2.3.4/token=abcdefgh ok") == [("ip", "1.2.3.4"), ("secret", "abcdefgh")]
+    assert found("token=1.2.3.4/token=abcdefgh ok") == [("ip", "1.2.3.4"), ("secret", "1.2.3.4/token=abcdefgh")]
     assert found("token: short") == []
 
 
@@ -180,3 +184,34 @@ def test_redaction_keeps_the_columns(spark):
 
 def test_empty_table(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_redaction_leaves_nothing_of_a_value():
+    said = pii.redact_text
+    assert said("password=Sup3r!Secret#2024 end") == "password=<SECRET> end"
+    assert said("token: abc$defghijk") == "token: <SECRET>"
+    assert said("token: abcdefgh$rest and") == "token: <SECRET> and"
+    assert said("https://bob:s3cr!et@db.example.com/x") == "https://<LOGIN>/x"
+    assert said("ftp://bob:p@ss@w!rd@host/x") == "ftp://<LOGIN>@host/x"
+    assert said('{"api_key": "one two three\\" four", "n": 1}') == '{"api_key": "<SECRET>", "n": 1}'
+    assert said("password = 'it has spaces' ok") == "password = '<SECRET>' ok"
+    assert said("password = 'never closed\nnext line'") == "password = 'never closed\nnext line'"  # five characters
+    assert said("token=" + "aB1!$" * 80 + " ok") == "token=<SECRET> ok"
+    assert said("account no. " + "AB12" * 30 + " ok") == "account no. <ACCOUNT> ok"
+
+
+printable = st.text(alphabet=[chr(c) for c in range(0x21, 0x7F)], min_size=8, max_size=400)
+
+
+@settings(max_examples=300, deadline=None)
+@given(printable, st.sampled_from(["password=", "token: ", "API_Key = ", "secret:"]))
+def test_values_of_any_printable_characters(value, cue):
+    if value[0] not in "\"'":
+        assert pii.redact_text(f"a {cue}{value}\nb") == f"a {cue}<SECRET>\nb"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=[chr(c) for c in range(0x21, 0x7F) if chr(c) not in "/?#:"], min_size=1, max_size=60), st.sampled_from(["db.example.com", "localhost"]))
+def test_passwords_in_urls(value, host):
+    got = pii.redact_text(f"see https://bob:{value}@{host}/x ok")
+    assert got in (f"see https://<LOGIN>@{host}/x ok", "see https://<LOGIN>/x ok")
