@@ -233,20 +233,23 @@ class Featured:
     added: list[str]
 
 
-def featured(docs: DataFrame) -> Featured:
-    """`docs` has doc_id and text, and any other columns."""
+def featured(docs: DataFrame, kept: list[str] | None = None) -> Featured:
+    """`docs` has doc_id and text, and any other columns; those in `kept` (None: all) are written beside the features."""
     small_batches(docs.sparkSession)
+    kept = docs.columns if kept is None else kept
     token = uuid.uuid4().hex
     added = [f"{kind}_{token}" for kind in ("row", "pattern", "features")]
-    marked = docs.withColumn(added[0], F.xxhash64(F.col("doc_id"), F.col("text")))
-    schema = StructType([*marked.schema.fields, StructField(added[1], LongType()), StructField(added[2], BinaryType())])
+    source = "text" if "text" in kept else f"text_{token}"
+    read = [] if "text" in kept else [F.col("text").alias(source)]  # what the workers read and don't write
+    marked = docs.select(*read, *kept, F.xxhash64(F.col("doc_id"), F.col("text")).alias(added[0]))
+    schema = StructType([*marked.schema.fields[len(read) :], StructField(added[1], LongType()), StructField(added[2], BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=FEATURED_BYTES):
-            m, x = measures(column_bytes(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pattern(votes(m))), sparse(x)], names=[*batch.schema.names, *added[1:]])
+        for batch in slices(batches, source, FEATURED_BYTES):
+            m, x = measures(column_bytes(batch, source))
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(read) :], pa.array(pattern(votes(m))), sparse(x)], names=[*batch.schema.names[len(read) :], *added[1:]])
 
-    return Featured(written(marked.mapInArrow(tidied(run), schema), "features"), docs.columns, added)
+    return Featured(written(marked.mapInArrow(tidied(run), schema), "features"), kept, added)
 
 
 def train(rows: Featured, most_sample: int = MOST_SAMPLE) -> Model:

@@ -51,7 +51,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.featured(id_and_text(table(spark, sf_dir, "documents")))
+    rows = quality.featured(id_and_text(table(spark, sf_dir, "documents")), ["doc_id"])
     return quality.judge(rows, quality.train(rows))
 
 

@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words, parted by white space, become symbols: insult (four strengths), threat, target, negation, report, other. A clause, which ends
+Words, parted by white space, become symbols: insult (four strengths), threat, target, negation, report, other; a quotation mark, straight or not, at
+a word's beginning is a symbol of its own before the word's, which no reach counts. A clause, which ends
 at a punctuation mark or a newline, passes through a cascade of letter-to-letter transducers. The first reads it from its end:
   addressed  an insult or threat with a person within four words after it becomes its targeted form
 What it writes, a machine composed of the others reads from the beginning:
   negation   an insult or threat within three words after a negation becomes its negated form
-  report     one after a verb of reporting or an opening quotation mark in the same clause becomes its reported form
+  report     one after a verb of reporting or a quotation mark in the same clause becomes its reported form
   target     one with a person within four words before it becomes its targeted form
   score      writes each form's weight
 so `you are an idiot` weighs more than `idiot`, `he is not an idiot` or `they said idiot` weigh less, and `kill you` or `you I will kill`
@@ -51,11 +52,12 @@ TARGETS = frozenset("you your yours you're u he she they him her them his their
 NEGATIONS = frozenset("not no never neither nor isn't aren't wasn't don't doesn't won't cannot without nicht kein keine nie pas jamais ni nunca sin".split())
 REPORTS = frozenset("said says say told wrote writes quoted quotes called calling according claimed reported asked sagte schrieb dit dijo".split())
 
-OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT = 0, 1, 2, 3, 4, 5
+OTHER, TARGET, NEGATION, REPORT, MARK, THREAT, INSULT = 0, 1, 2, 3, 4, 5, 6
 LEVELS = 4
 #: Input symbols: the closed classes, then an insult of each strength.
 SYMBOLS = INSULT + LEVELS
 _CORE = re.compile(r"^[^\w]+|[^\w]+$")
+_OPENS = re.compile(r"^[^\w]*[\"“„«][^\w]*\w")
 _ENDS = re.compile(r"[.,;:!?…|)\"”»]+$")
 
 
@@ -94,12 +96,12 @@ def _hot(symbol: int) -> bool:
     return symbol % SYMBOLS >= THREAT
 
 
-def _marker(after: int, reach: int | None, flag: int) -> Transducer:
-    """Sets a flag on hot symbols within `reach` symbols after a symbol of kind `after` (None: up to the clause's end)."""
+def _marker(after: tuple[int, ...], reach: int | None, flag: int) -> Transducer:
+    """Sets a flag on hot symbols within `reach` symbols, marks aside, after a symbol of a kind in `after` (None: up to the clause's end)."""
     n = 1 if reach is None else reach
     to, out = [], []
     for state in range(n + 1):  # state: how much reach is left
-        to.append(tuple(n if x % SYMBOLS == after else (state if reach is None else max(0, state - 1)) for x in range(FORMS)))
+        to.append(tuple(n if x % SYMBOLS in after else (state if reach is None or x % SYMBOLS == MARK else max(0, state - 1)) for x in range(FORMS)))
         out.append(tuple(x + SYMBOLS * flag if state and _hot(x) and not x // SYMBOLS & flag else x for x in range(FORMS)))
     return Transducer(tuple(to), tuple(out))
 
@@ -121,11 +123,11 @@ STRENGTHS = (0.75, 1.5, 2.5, 3.5)
 
 def addressed() -> Transducer:
     """Reads a clause from its end."""
-    return _marker(TARGET, 4, TARGETED)
+    return _marker((TARGET,), 4, TARGETED)
 
 
 def grammar() -> Transducer:
-    return _marker(NEGATION, 3, NEGATED) @ _marker(REPORT, None, REPORTED) @ _marker(TARGET, 4, TARGETED) @ _scorer(STRENGTHS)
+    return _marker((NEGATION,), 3, NEGATED) @ _marker((REPORT, MARK), None, REPORTED) @ _marker((TARGET,), 4, TARGETED) @ _scorer(STRENGTHS)
 
 
 @dataclass(frozen=True)
@@ -139,7 +141,7 @@ class Model:
         core = _CORE.sub("", word)
         if core in NEGATIONS:
             return NEGATION
-        if core in REPORTS or word[:1] in "“„«":
+        if core in REPORTS:
             return REPORT
         if core in self.words:
             return INSULT + self.words[core]
@@ -155,6 +157,11 @@ class Model:
 PRIOR = (-3.0, 0.8, 0.5, 0.2)
 
 
+def opens(word: str) -> bool:
+    """Whether a quotation mark stands before the word's first letter."""
+    return _OPENS.match(word) is not None
+
+
 def clause_weight(symbols: list[int], back: Transducer, machine: Transducer) -> float:
     state, forms = 0, []
     for x in reversed(symbols):
@@ -174,6 +181,7 @@ def clause_features(texts: list[bytes], model: Model, machine: Transducer) -> np
     distinct, ids, counts, newlines = words(texts)
     decoded = [w.decode("utf-8", "replace").lower() for w in distinct]
     symbol = np.fromiter((model.symbol(w) for w in decoded), np.int8, len(decoded))[ids]
+    quotes = np.fromiter(map(opens, decoded), bool, len(decoded))[ids]
     ends = np.fromiter((bool(_ENDS.search(w)) for w in decoded), bool, len(decoded))[ids]
     of = np.repeat(np.arange(len(texts)), counts)
     begins = np.zeros(len(of) + 1, bool)
@@ -185,7 +193,8 @@ def clause_features(texts: list[bytes], model: Model, machine: Transducer) -> np
     bounds = np.append(heads, len(of))
     sums, most, number = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     for c in np.unique(clause[symbol >= THREAT]).tolist():
-        total = clause_weight(symbol[bounds[c] : bounds[c + 1]].tolist(), back, machine)
+        own = slice(bounds[c], bounds[c + 1])
+        total = clause_weight(np.insert(symbol[own], np.flatnonzero(quotes[own]), MARK).tolist(), back, machine)
         if total:
             d = of[bounds[c]]
             sums[d] += total

@@ -11,13 +11,15 @@ from quire.llm import toxicity as t
 def by_rule(symbols):
     """The grammar's clause weight, straight from its description."""
     total = 0.0
+    quoted = [t.MARK in symbols[:i] for i, x in enumerate(symbols) if x != t.MARK]
+    symbols = [x for x in symbols if x != t.MARK]
     for i, x in enumerate(symbols):
         if x < t.THREAT:
             continue
         near = lambda kind, reach: any(symbols[j] == kind for j in range(max(0, i - reach), i))
         targeted = near(t.TARGET, 4) or t.TARGET in symbols[i + 1 : i + 5]
         base = (1.5 if targeted else 0.0) if x == t.THREAT else t.STRENGTHS[x - t.INSULT]
-        total += base * (0.5 if near(t.NEGATION, 3) else 1) * (0.7 if near(t.REPORT, len(symbols)) else 1) * (1.25 if targeted else 1)
+        total += base * (0.5 if near(t.NEGATION, 3) else 1) * (0.7 if quoted[i] or near(t.REPORT, len(symbols)) else 1) * (1.25 if targeted else 1)
     return total
 
 
@@ -31,6 +33,7 @@ def by_clauses(text, model):
     for line in (text or "").split("\n"):
         clause = []
         for word in re.findall(r"[^\x20\x09-\x0D]+", line):
+            clause += [t.MARK] * bool(re.match(r'\W*["“„«]\W*\w', word))
             clause.append(model.symbol(word.lower()))
             if re.search(r"[.,;:!?…|)\"”»]$", word):
                 weights.append(by_rule(clause))
@@ -46,7 +49,7 @@ def test_query_against_clause_by_clause(spark, learned):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     model = t.train(docs, spark.read.parquet(f"{sf}/labels.parquet")) if learned else MODEL
-    texts = ["you idiot\nyou\n\nidiot", "  you  are\tan \v idiot ; \r\n kill\n you", "not\tan idiot, kill you!", "“idiot ” kill", "don’t be an idiot you", "x\x1cidiot", "\n.\n"]
+    texts = ["you idiot\nyou\n\nidiot", "  you  are\tan \v idiot ; \r\n kill\n you", "not\tan idiot, kill you!", "“idiot ” kill", 'you are an "idiot" and („clown you', 'he "said" you «grumbling» idiot', "don’t be an idiot you", "x\x1cidiot", "\n.\n"]
     docs = docs.unionByName(spark.createDataFrame(list(enumerate(texts, 10**6)), docs.schema))
     text_of = {r.doc_id: r.text for r in docs.collect()}
     rows = t.score(docs, model).collect()
@@ -79,6 +82,9 @@ def test_clauses_rather_than_words():
     assert weight("kill the process") == 0 and weight("I will kill you") == weight("kill you") == weight("you I will kill") > 0
     assert weight("they will not kill you") < weight("they will kill you") and weight("kill it. you") == 0
     assert weight("nothing here") == 0 and weight("") == 0
+    # marks of both kinds report, and don't hide what they quote
+    assert weight("you are an \u201cidiot\u201d") == weight('you are an "idiot"') == weight('you are an ("idiot")') == pytest.approx(0.7 * weight("you are an idiot"))
+    assert weight('such "a clever" "idiot"') == pytest.approx(plain * 0.7)
     # words are parted by any white space, clauses by marks and newlines alone
     assert weight("you\tare\tan\tidiot") == weight("you are  an idiot") == weight("you idiot") and weight("you\nidiot") == plain
     assert weight("not an  idiot") == weight("not an idiot") < plain
