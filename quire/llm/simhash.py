@@ -332,18 +332,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """rooted: least (struct<doc_id, text_key>) and root of each class. -> the rows of `docs` that are the least of their component, and those without a doc_id."""
-    mark = f"text_key_{uuid.uuid4().hex}"  # no column of the documents has this name
+    """rooted: least (struct<doc_id, text_key>) and root of each class. -> the rows of `docs` that are the least of their component, and those without a doc_id.
+
+    Of rows that repeat doc_id and text, the one whose columns are the least stays."""
+    token = uuid.uuid4().hex
+    mark, row = f"text_key_{token}", f"row_{token}"  # no column of the documents has these names
     kept = rooted.groupBy("root").agg(F.min("least").alias("kept")).where("kept is not null").select("kept.doc_id", F.col("kept.text_key").alias(mark))
     named = docs.where("doc_id is not null").withColumn(mark, text_key()).join(kept, ["doc_id", mark], "left_semi")
-    return named.dropDuplicates(["doc_id", mark]).select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, one of each component: the row of the least doc_id, and of its rows the one of the least text key.
-
-    Rows that repeat both doc_id and text are one; rows of one doc_id with other texts are judged each by its own text. Rows without a doc_id can't be named and stay.
-    """
-    fps = written(fingerprint_rows(docs, keyed=True), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least"))
-    return one_of_each(docs, rooted(classes))
+    one = named.groupBy("doc_id", mark).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    return one.unionByName(docs.where("doc_id is null"))
