@@ -241,13 +241,14 @@ def featured(docs: DataFrame, kept: list[str] | None = None) -> Featured:
     added = [f"{kind}_{token}" for kind in ("row", "pattern", "features")]
     source = "text" if "text" in kept else f"text_{token}"
     read = [] if "text" in kept else [F.col("text").alias(source)]  # what the workers read and don't write
+    skip = len(read)
     marked = docs.select(*read, *kept, F.xxhash64(F.col("doc_id"), F.col("text")).alias(added[0]))
-    schema = StructType([*marked.schema.fields[len(read) :], StructField(added[1], LongType()), StructField(added[2], BinaryType())])
+    schema = StructType([*marked.schema.fields[skip:], StructField(added[1], LongType()), StructField(added[2], BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, source, FEATURED_BYTES):
             m, x = measures(column_bytes(batch, source))
-            yield pa.RecordBatch.from_arrays([*batch.columns[len(read) :], pa.array(pattern(votes(m))), sparse(x)], names=[*batch.schema.names[len(read) :], *added[1:]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[skip:], pa.array(pattern(votes(m))), sparse(x)], names=[*batch.schema.names[skip:], *added[1:]])
 
     return Featured(written(marked.mapInArrow(tidied(run), schema), "features"), kept, added)
 
