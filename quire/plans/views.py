@@ -137,6 +137,15 @@ SELECT o_orderkey AS doc_id, concat('{', CASE o_orderkey % 7 WHEN 0 THEN '"title
 FROM orders"""
 
 
+#: Edits of records: a row a line of an order, numbered by their lines.
+EDITS = """
+SELECT l_orderkey AS doc_id, min(l_linenumber) AS n, CASE l_linenumber WHEN 1 THEN 'section_type' WHEN 2 THEN 'title' WHEN 3 THEN 'procedure[0].steps[3].text' WHEN 4 THEN 'materials' WHEN 5 THEN 'procedure[0].callouts[0].after_step'
+  WHEN 6 THEN 'mix_tables' ELSE 'section_type' END AS path,
+ CASE l_linenumber WHEN 1 THEN 'computational' WHEN 2 THEN CASE WHEN l_orderkey % 3 = 0 THEN ' ' ELSE concat('"Edited ', l_orderkey, '"') END WHEN 3 THEN CASE WHEN l_orderkey % 5 = 0 THEN '7' ELSE 'said anew' END WHEN 4 THEN '[]'
+  WHEN 5 THEN CAST(l_orderkey % 4 AS VARCHAR(9)) WHEN 6 THEN '[]' ELSE 'computational' END AS value
+FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """The view over the tables of a folder. The names are resolved when this returns."""
     for t in tables:

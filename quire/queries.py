@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import classify, text
 from quire.functions.jsontext import set_json_path
-from quire.operators import batch, blocks, completion, giants, registry, render, segment, tables, validate
+from quire.operators import batch, blocks, completion, giants, registry, render, review, segment, tables, validate
 from quire.plans import folder, views
 from quire.sources import ooxml, records
 
@@ -1015,6 +1015,25 @@ def _replay(bodies: list[str]) -> list[completion.Reply]:
     return out
 
 
+@query(
+    _GOOD
+    + f""", e AS ({views.EDITS}), first AS (SELECT k, comp, has_m, has_x, NOT (comp OR has_m OR has_x) AS at_once FROM g),
+ said AS (SELECT e.doc_id, n, path, CASE n WHEN 1 THEN CASE WHEN NOT comp AND (has_m OR has_x) THEN concat_ws('; ', CASE WHEN has_m THEN 'materials_in_computational materials' END, CASE WHEN has_x THEN 'mixes_in_computational mix_tables' END) END
+  WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'title_empty title' END WHEN 3 THEN CASE WHEN doc_id % 5 = 0 THEN 'wrong type' END
+  WHEN 5 THEN CASE WHEN doc_id % 4 > 1 THEN 'after_step_range procedure[0].callouts[0].after_step' END
+  WHEN 7 THEN CASE WHEN NOT comp AND (has_m AND NOT emptied OR has_x AND NOT mixed) THEN concat_ws('; ', CASE WHEN has_m AND NOT emptied THEN 'materials_in_computational materials' END, CASE WHEN has_x AND NOT mixed THEN 'mixes_in_computational mix_tables' END) END END AS reason
+  FROM e JOIN first ON k = doc_id JOIN (SELECT doc_id, bool_or(n = 4) AS emptied, bool_or(n = 6) AS mixed FROM e GROUP BY 1) m USING (doc_id)),
+ last AS (SELECT doc_id, bool_or(n IN (1, 7) AND reason IS NULL) AS made, bool_or(n = 2 AND reason IS NULL) AS titled FROM said GROUP BY 1)
+ SELECT doc_id, n, path, reason IS NULL AS accepted, reason, CASE WHEN comp OR made THEN 'computational' ELSE 'wet_lab' END AS final_type, CASE WHEN titled THEN 'Edited ' || doc_id ELSE g.title END AS final_title
+ FROM said JOIN last USING (doc_id) JOIN (SELECT k, comp, 'Protocol ' || k || CASE WHEN k % 5 = 0 THEN ' with a title that is longer than what a footer holds' ELSE '' END AS title FROM g) g ON g.k = doc_id"""
+)
+def record_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Edits folded over records in their order, each accepted or rolled back, and what the records are in the end."""
+    out = review.folded(_processed(spark, d), views.view(spark, d, views.EDITS, "lineitem"))
+    rows = out.select("doc_id", F.explode("results").alias("e"), F.col("record.section_type").alias("final_type"), F.col("record.title").alias("final_title"))
+    return rows.select("doc_id", "e.n", "e.path", "e.accepted", "e.reason", "final_type", "final_title")
+
+
 @query(
     """WITH a AS (SELECT c_custkey AS doc_id, c_custkey % 6 AS k, unnest([1, 2, 3, 4]) AS attempt FROM customer)
  SELECT doc_id, attempt, CASE WHEN attempt > k THEN NULL ELSE ['no_json', 'validation_error', 'not_json', 'incomplete'][attempt] END AS failure_kind, CASE WHEN attempt > k THEN 'T' WHEN attempt = 2 THEN 'T' END AS title FROM a WHERE attempt <= k + 1"""
