@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.functions import classify, text
 from quire.functions.jsontext import json_object
 from quire.sources import records
-from quire.sources.shared import written
+from quire.sources.shared import appended, shared_dir, written
 
 CONTEXT_TOKENS = 32_768
 WARN_SHARE = 0.75
@@ -72,10 +74,10 @@ Reply = tuple[str | None, str | None]  # content; what went wrong
 
 
 class HttpClient:
-    """Posts request bodies (JSON texts), one after another, and gives (content, problem) for each. Problems: unavailable, not_json and odd_structure, with the beginning of what came."""
+    """Posts request bodies (JSON texts), `in_flight` of them at once, and gives (content, problem) for each. Problems: unavailable, not_json and odd_structure, with the beginning of what came."""
 
-    def __init__(self, url: str, timeout: float = 120.0):
-        self.url, self.timeout = url, timeout
+    def __init__(self, url: str, timeout: float = 120.0, in_flight: int = 4):
+        self.url, self.timeout, self.in_flight = url, timeout, in_flight
 
     def one(self, body: str) -> Reply:
         from urllib import error, request
@@ -96,20 +98,21 @@ class HttpClient:
         return (content, None) if isinstance(content, str) else (None, f"odd_structure: {said[:MOST_ODD]}")
 
     def __call__(self, bodies: list[str]) -> list[Reply]:
-        return [self.one(b) for b in bodies]
+        with ThreadPoolExecutor(self.in_flight) as pool:
+            return list(pool.map(self.one, bodies))
 
 
 def complete(requests: DataFrame, client: Callable[[list[str]], list[str | Reply]], column: str = "user_message") -> DataFrame:
     """doc_id and a column of prompts or request bodies -> doc_id, content, problem. The client is called on Arrow batches in the executors; it gives a content, or (content, problem), for each."""
-    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.string()), ("problem", pa.string())])
+    schema = StructType([StructField("doc_id", requests.schema["doc_id"].dataType), StructField("content", StringType()), StructField("problem", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 replies = [r if isinstance(r, tuple) else (r, None) for r in client(batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([r[0] for r in replies], pa.string()), pa.array([r[1] for r in replies], pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in replies], pa.string()), pa.array([r[1] for r in replies], pa.string())], names=["doc_id", "content", "problem"])
 
-    return requests.select("doc_id", column).mapInArrow(run, "doc_id long, content string, problem string")
+    return requests.select("doc_id", column).mapInArrow(run, schema)
 
 
 def read_attempts(replies: DataFrame) -> DataFrame:
@@ -137,26 +140,54 @@ def read_attempts(replies: DataFrame) -> DataFrame:
 
 
 def first_valid(attempts: DataFrame) -> DataFrame:
-    """doc_id, attempt, title, source: the first valid attempt, or the heuristic's turn."""
+    """doc_id, attempt, title, object, source: the first valid attempt, or the heuristic's turn."""
     good = F.when(F.col("failure_kind").isNull(), F.col("attempt"))
-    out = attempts.groupBy("doc_id").agg(F.min(good).alias("attempt"), F.min_by("title", good).alias("title"))
+    out = attempts.groupBy("doc_id").agg(F.min(good).alias("attempt"), F.min_by("title", good).alias("title"), F.min_by("object", good).alias("object"))
     return out.withColumn("source", F.when(F.col("attempt").isNull(), "heuristic").otherwise("completion"))
 
 
-def extract(prompts: DataFrame, client: Callable[[list[str]], list[str | Reply]], model: str = "model", most_attempts: int = MOST_ATTEMPTS) -> DataFrame:
+def with_fallback(attempts: DataFrame, fallback: DataFrame, source_filename: Column | None = None) -> DataFrame:
+    """doc_id, record, source, attempt: a row for each document of either side. The record of the first valid attempt, post-processed and with the file's own name (of `fallback`'s columns), else the
+    heuristic's (doc_id, record); source says which: completion, heuristic, or none if a document has neither."""
+    name = F.coalesce(source_filename if source_filename is not None else F.lit(None), F.col("record.source_filename"))
+    both = first_valid(attempts).select("doc_id", "attempt", "object").join(fallback.withColumn("own_name", name).select("doc_id", "record", "own_name"), "doc_id", "full")
+    # a document's name is the file's, not what the service says
+    said = text.once(records.post_processed(F.col("object")), lambda r: F.when(r.isNotNull(), r.withField("source_filename", F.coalesce(F.col("own_name"), r["source_filename"]))))
+    kind = F.when(F.col("attempt").isNotNull(), "completion").when(F.col("record").isNotNull(), "heuristic").otherwise("none")
+    return both.select("doc_id", F.when(F.col("attempt").isNotNull(), said).otherwise(F.col("record").cast(StructType.fromDDL(records.RECORD))).alias("record"), kind.alias("source"), "attempt")
+
+
+def _asked(pending: DataFrame, client: Callable[[list[str]], list[str | Reply]], model: str, folder: str) -> DataFrame:
+    """doc_id, content, problem of a round's requests. Those that the round's folder has replies to aren't sent; new replies are appended to it, but for those that never came."""
+    bodies = pending.select("doc_id", request(model, F.col("turns")).alias("body")).withColumn("request", F.sha2("body", 256))
+    kind = bodies.select("doc_id", "request", F.lit("").alias("content"), F.lit("").alias("problem")).schema
+    known = appended(bodies.sparkSession, folder, StructType([StructField(f.name, f.dataType) for f in kind]))
+    todo = written(bodies.join(known, ["doc_id", "request"], "left_anti"), "requests")
+    came = written(complete(todo, client, "body").join(todo.select("doc_id", "request"), "doc_id"), "replies")
+    lost = F.coalesce(F.startswith("problem", F.lit("unavailable")), F.lit(False))
+    n, n_lost, one = came.agg(F.count("*"), F.count_if(lost), F.max(F.when(lost, F.col("problem")))).first()
+    if n and n == n_lost and known.isEmpty():
+        raise Unavailable(one)
+    came.where(~lost).select(*kind.names).write.mode("append").parquet(folder)
+    mine = bodies.select("doc_id", "request")
+    old = known.join(mine, ["doc_id", "request"]).dropDuplicates(["doc_id"])
+    return written(old.select("doc_id", "content", "problem").unionByName(came.select("doc_id", "content", "problem")), "round")
+
+
+def extract(prompts: DataFrame, client: Callable[[list[str]], list[str | Reply]], model: str = "model", most_attempts: int = MOST_ATTEMPTS, store: str | None = None) -> DataFrame:
     """doc_id, user_message -> all attempts: doc_id, attempt, object, failure_kind, detail, title, as a written table.
 
-    A round sends the request of each document that has no valid reply yet; a reply that isn't valid goes back with what was wrong with it, as another turn of the conversation. Each round is
-    a distributed pass, written before the next; the driver sees how many are left. Unavailable is raised if the service can't be reached. What is invalid in the end is the heuristic's turn."""
+    A round sends the request of each document that has no valid reply yet; a reply that isn't valid goes back with what was wrong with it, as another turn of the conversation; a request that no
+    reply came to is sent again as it was. Each round is a distributed pass, written before the next. Unavailable is raised if no reply at all comes. What is invalid in the end is the heuristic's turn (with_fallback).
+
+    `store` is a folder that outlives the run: each round's replies are appended there under their request's hash, and a run that finds a reply doesn't send the request again, so a run
+    that broke off goes on where it was, and documents that come later cost their own requests alone."""
+    store = store or shared_dir(prompts.sparkSession)
     turn = "array<struct<role: string, content: string>>"
     pending = prompts.select("doc_id", messages(F.col("user_message")).cast(turn).alias("turns"))
     done = []
     for attempt in range(1, most_attempts + 1):
-        body = pending.select("doc_id", request(model, F.col("turns")).alias("body"))
-        replies = written(complete(body, client, "body").withColumn("attempt", F.lit(attempt)), "replies")
-        lost = replies.where(F.startswith("problem", F.lit("unavailable"))).select("problem").first()
-        if lost:
-            raise Unavailable(lost.problem)
+        replies = _asked(pending, client, model, f"{store.rstrip('/')}/attempt={attempt}").withColumn("attempt", F.lit(attempt))
         read = written(read_attempts(replies), "attempts")
         done.append(read)
         failed = read.where("failure_kind is not null")
@@ -164,8 +195,8 @@ def extract(prompts: DataFrame, client: Callable[[list[str]], list[str | Reply]]
             break
         said = F.coalesce(F.col("content"), F.lit(""))
         made = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-        again = F.array(made("assistant", said), made("user", retry_message(said, F.concat_ws(": ", "failure_kind", "detail"))))
-        more = failed.join(replies.select("doc_id", "content"), "doc_id").select("doc_id", again.cast(turn).alias("more"))
+        again = F.array(made("assistant", said), made("user", retry_message(said, F.concat_ws(": ", "failure_kind", "detail")))).cast(turn)
+        more = failed.join(replies.select("doc_id", "content"), "doc_id").select("doc_id", F.when(F.col("failure_kind") == "unavailable", F.expr("array()").cast(turn)).otherwise(again).alias("more"))
         pending = written(pending.join(more, "doc_id").select("doc_id", F.concat("turns", "more").alias("turns")), "pending")
     return reduce(DataFrame.unionByName, done)
 

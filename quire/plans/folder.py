@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quire.functions import classify, text
-from quire.operators import batch, blocks, giants, registry, render, segment, tables
+from quire.operators import batch, blocks, completion, giants, registry, render, segment, tables
 from quire.sources import ooxml
 from quire.sources.records import RECORD
 from quire.sources.shared import written
@@ -169,6 +169,15 @@ def records(spark: SparkSession, path: str, **options) -> DataFrame:  # noqa: AN
     return record_rows(Folder(spark, path, **options)).select("doc_id", "output_name", F.to_json("record", {"ignoreNullFields": "false"}).alias("record"))
 
 
+def extracted(f: Folder, client: Callable, model: str = "model", store: str | None = None) -> DataFrame:
+    """doc_id, record, source, attempt: each readable file's record by a completion service, or the heuristic's where no attempt was valid. `store` keeps the replies from run to run."""
+    own = written(record_rows(f), "records")
+    rows = f.raw.where("kind = 'table'").select("doc_id", "pos", F.posexplode("cells").alias("row_ord", "cells"))
+    body = blocks.full_text(f.paragraphs, rows).join(own.select("doc_id", "record.section_type"), "doc_id")
+    prompts = body.select("doc_id", completion.user_message(F.col("full_text"), F.element_at(F.split("doc_id", "/"), -1), F.lit(f.section), F.col("section_type")).alias("user_message"))
+    return completion.with_fallback(completion.extract(prompts, client, model, store=store), own)
+
+
 def format_folder(spark: SparkSession, path: str, out: str, case_sensitive: bool = False, **options) -> DataFrame:  # noqa: ANN003  a Folder's
     """path, status, output_path, reason: a row a file, whatever is wrong with it. Files whose names repeat are skipped; of files with one output name the first is written."""
     f = Folder(spark, path, **options)

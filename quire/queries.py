@@ -1015,6 +1015,19 @@ def _replay(bodies: list[str]) -> list[completion.Reply]:
     return out
 
 
+@query(
+    _GOOD
+    + """, k AS (SELECT s_suppkey AS k, a AS attempt, (s_suppkey * 3 + a * 5) % 7 AS c FROM supplier, (VALUES (1), (2), (3), (4)) t(a)), v AS (SELECT k, min(attempt) AS attempt, min_by(c, attempt) AS c FROM k WHERE c IN (0, 1) GROUP BY k)
+ SELECT k AS doc_id, CASE WHEN attempt IS NOT NULL THEN 'completion' WHEN o_orderkey IS NOT NULL THEN 'heuristic' ELSE 'none' END AS source, attempt, CASE c WHEN 0 THEN 'T' || k WHEN 1 THEN 'A {b} ' || k ELSE 'Protocol ' || k || CASE WHEN k % 5 = 0 THEN ' with a title that is longer than what a footer holds' ELSE '' END END AS title,
+ CASE WHEN attempt IS NOT NULL THEN 0 ELSE 4 END AS n_steps FROM (SELECT * FROM g FULL JOIN v USING (k))"""
+)
+def records_with_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """A record a document: of the first valid attempt, else the heuristic's."""
+    out = completion.with_fallback(_attempts(spark, d), _processed(spark, d))
+    n = records.counts(out)
+    return out.select("doc_id", "source", "attempt", "record.title").join(n.select("doc_id", "n_steps"), "doc_id")
+
+
 @query(
     _GOOD
     + f""", e AS ({views.EDITS}), first AS (SELECT k, comp, has_m, has_x, NOT (comp OR has_m OR has_x) AS at_once FROM g),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _made: list[str] = []
 
@@ -42,3 +43,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def appended(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that have been appended to a Parquet folder so far; none if there is no such folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

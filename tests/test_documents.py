@@ -147,6 +147,43 @@ def test_rounds_of_attempts(spark):
         completion.extract(prompts, lambda bodies: [(None, "unavailable: refused")] * len(bodies))
 
 
+def test_rounds_go_on_where_a_run_broke_off(spark, tmp_path):
+    """Requests that have replies aren't sent again; a request without a reply is; the last word is the heuristic's."""
+    good = '{"title": "T", "source_filename": "made up", "procedure": [{"heading": "H", "steps": [{"depth": 0, "step_type": "action", "text": "x"}]}]}'
+
+    def client(bodies, log=str(tmp_path)):
+        import uuid
+
+        out = []
+        for b in bodies:
+            turns = json.loads(b)["messages"]
+            tries, wanted = (len(turns) - 2) // 2, int(turns[1]["content"].split()[0])
+            with open(f"{log}/sent_{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{wanted} {tries}")
+            out.append((None, "unavailable: reset") if "lost" in turns[1]["content"] else good if tries >= wanted else "no")
+        return out
+
+    def sent():
+        found = sorted(tuple(map(int, f.read_text().split())) for f in tmp_path.glob("sent_*"))
+        for f in tmp_path.glob("sent_*"):
+            f.unlink()
+        return found
+
+    prompts = spark.createDataFrame([(f"/in/{i}.docx", str(i)) for i in range(6)] + [("/in/9.docx", "0 lost")], "doc_id string, user_message string")
+    store = f"file://{tmp_path}/store"
+    completion.extract(prompts, client, most_attempts=2, store=store)  # and here the driver is lost
+    assert sent() == sorted([(i, 0) for i in range(6)] + [(0, 0)] + [(i, 1) for i in range(1, 6)] + [(0, 0)])
+    more = prompts.unionByName(spark.createDataFrame([("/in/7.docx", "0")], prompts.schema))
+    attempts = completion.extract(more, client, store=store)
+    assert sent() == sorted([(0, 0)] + [(0, 0)] * 4 + [(i, 2) for i in range(2, 6)] + [(i, 3) for i in range(3, 6)])
+    own = spark.createDataFrame([(f"/in/{i}.docx", json.dumps({"title": f"own {i}", "source_filename": f"{i}.docx"})) for i in (1, 4, 5, 8, 9)], "doc_id string, j string").select("doc_id", F.from_json("j", records.RECORD).alias("record"))
+    got = {r.doc_id[4]: (r.source, r.attempt, r.record and r.record.title, r.record and r.record.source_filename) for r in completion.with_fallback(attempts, own).collect()}
+    assert got == {
+        "0": ("completion", 1, "T", "made up"), "1": ("completion", 2, "T", "1.docx"), "2": ("completion", 3, "T", "made up"), "3": ("completion", 4, "T", "made up"), "7": ("completion", 1, "T", "made up"),
+        "4": ("heuristic", None, "own 4", "4.docx"), "5": ("heuristic", None, "own 5", "5.docx"), "8": ("heuristic", None, "own 8", "8.docx"), "9": ("heuristic", None, "own 9", "9.docx"),
+    }
+
+
 def test_http_client():
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
