@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import classify, text
 from quire.functions.jsontext import set_json_path
-from quire.operators import batch, blocks, completion, giants, registry, render, review, segment, tables, validate
+from quire.operators import batch, blocks, completion, giants, phrases, registry, render, review, segment, tables, validate
 from quire.plans import folder, views
 from quire.sources import ooxml, records
 
@@ -198,6 +198,16 @@ def callout_classify(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pos", "callout", text.strip_callout_prefix(F.col("raw_text")).alias("body"))
 
 
+@query(_WITH + f" SELECT pos, {_CALLOUT} AS callout, {_STOP} AS stops, len(regexp_extract_all({_PLAIN}, '(?i)\\b(python|script|server|node|database|shell)\\b')) AS n_words FROM p")
+def phrase_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Callouts, stopping points and computational words by joins with phrase tables, where the SQL has patterns."""
+    callouts, stops, words = phrases.built_in(spark)
+    p = _paras(spark, d).select("pos", "raw_text", text.strip_markers(F.col("raw_text")).alias("plain"))
+    out = phrases.callouts(p, ["pos"], "raw_text", callouts)
+    out = phrases.classes(out, ["pos"], "plain", stops, "stop").join(phrases.counts(p, ["pos"], "plain", words), "pos", "left")
+    return out.select("pos", "callout", F.col("stop").isNotNull().alias("stops"), F.coalesce("n", F.lit(0)).cast("long").alias("n_words"))
+
+
 @query(_WITH + f" SELECT doc_id, count(*) AS n FROM p WHERE {_STOP} GROUP BY doc_id")
 def stopping_points(spark: SparkSession, d: str) -> DataFrame:
     return _paras(spark, d).where(classify.is_stopping_point(F.col("raw_text"))).groupBy("doc_id").agg(F.count("*").alias("n"))
