@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from quire.functions import classify, text
 from quire.functions.jsontext import json_object
 from quire.sources import records
-from quire.sources.shared import appended, shared_dir, written
+from quire.sources.shared import append, appended, shared_dir, written
 
 CONTEXT_TOKENS = 32_768
 WARN_SHARE = 0.75
@@ -168,7 +168,7 @@ def _asked(pending: DataFrame, client: Callable[[list[str]], list[str | Reply]],
     n, n_lost, one = came.agg(F.count("*"), F.count_if(lost), F.max(F.when(lost, F.col("problem")))).first()
     if n and n == n_lost and known.isEmpty():
         raise Unavailable(one)
-    came.where(~lost).select(*kind.names).write.mode("append").parquet(folder)
+    append(came.where(~lost).select(*kind.names), folder)
     mine = bodies.select("doc_id", "request")
     old = known.join(mine, ["doc_id", "request"]).dropDuplicates(["doc_id"])
     return written(old.select("doc_id", "content", "problem").unionByName(came.select("doc_id", "content", "problem")), "round")

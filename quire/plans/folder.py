@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quire.functions import classify, text
-from quire.operators import batch, blocks, completion, giants, registry, render, segment, tables
+from quire.operators import batch, blocks, completion, giants, manifest, registry, render, segment, tables
 from quire.sources import ooxml
 from quire.sources.records import RECORD
 from quire.sources.shared import written
@@ -178,9 +178,15 @@ def extracted(f: Folder, client: Callable, model: str = "model", store: str | No
     return completion.with_fallback(completion.extract(prompts, client, model, store=store), own)
 
 
-def format_folder(spark: SparkSession, path: str, out: str, case_sensitive: bool = False, **options) -> DataFrame:  # noqa: ANN003  a Folder's
-    """path, status, output_path, reason: a row a file, whatever is wrong with it. Files whose names repeat are skipped; of files with one output name the first is written."""
-    f = Folder(spark, path, **options)
+def format_folder(spark: SparkSession, path: str, out: str, case_sensitive: bool = False, manifest_folder: str = "", **options) -> DataFrame:  # noqa: ANN003  a Folder's
+    """path, status, output_path, reason: a row a file, whatever is wrong with it. Files whose names repeat are skipped; of files with one output name the first is written.
+
+    With a manifest, a folder that is kept from run to run, contents that an earlier run has written are skipped, and so are all but the first of the files with one content."""
+    told, f = None, Folder(spark, path, **options)
+    if manifest_folder:
+        files = f.files if f.files is not None else ooxml.listing(spark, path, f.glob)
+        told = written(manifest.told(files.select("path", manifest.content_hash(F.col("content")).alias("content_hash")), manifest_folder), "told")
+        f = Folder(spark, path, **{**options, "files": files.join(told.where("status = 'new'").select("path"), "path", "left_semi")})
     listed = batch.duplicates(f.documents.select(F.col("doc_id").alias("path"), "problem"), case_sensitive)
     made = written(record_rows(f), "records")
     unlike = made.join(listed.where("not duplicate").select(F.col("path").alias("doc_id")), "doc_id", "left_semi")
@@ -189,4 +195,11 @@ def format_folder(spark: SparkSession, path: str, out: str, case_sensitive: bool
     joined = listed.join(done.select(F.col("doc_id").alias("path"), "output_path"), "path", "left")
     status = F.when(F.col("duplicate"), "skipped").when(F.col("output_path").isNotNull(), "success").otherwise("failed")
     reason = F.when(F.col("duplicate"), "duplicate name").when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("output_path").isNull(), "output name taken")
-    return joined.select("path", status.alias("status"), "output_path", reason.alias("reason"))
+    rows = joined.select("path", status.alias("status"), "output_path", reason.alias("reason"))
+    if told is None:
+        return rows
+    rows = written(rows, "outcomes")
+    manifest.add(manifest_folder, rows.where("status = 'success'").join(told.select("path", "content_hash"), "path"))
+    why = F.when(F.col("status") == "done", F.concat(F.lit("written before as "), "done_path")).otherwise(F.concat(F.lit("same content as "), "first_path"))
+    skipped = told.where("status <> 'new'").select("path", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("output_path"), why.alias("reason"))
+    return rows.unionByName(skipped)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import classify, text
 from quire.functions.jsontext import set_json_path
-from quire.operators import batch, blocks, completion, giants, phrases, registry, render, review, segment, tables, validate
+from quire.operators import batch, blocks, completion, giants, manifest, phrases, registry, render, review, segment, tables, validate
 from quire.plans import folder, views
 from quire.sources import ooxml, records
 
@@ -957,6 +957,13 @@ def word_footnotes(spark: SparkSession, d: str) -> DataFrame:
     return _read(packed).where("kind = 'footnote'").select("doc_id", F.col("footnote_id").alias("id"), F.col("runs")[0]["text"].alias("text"))
 
 
+@query("SELECT doc_id, sha256(text) AS content_hash, first_doc, doc_id <> first_doc AS repeats FROM (SELECT doc_id, text, coalesce(CASE WHEN text IS NOT NULL THEN min(doc_id) OVER (PARTITION BY text) END, doc_id) AS first_doc FROM documents)")
+def content_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose content an earlier one has, by its hash."""
+    docs = _documents(spark, d).select("doc_id", manifest.content_hash(F.col("text")).alias("content_hash"))
+    return manifest.repeats(docs, "doc_id").select("doc_id", "content_hash", F.col("first_path").alias("first_doc"), (F.col("doc_id") != F.col("first_path")).alias("repeats"))
+
+
 @query(f"SELECT path, CASE WHEN lower(path) LIKE '%.docx' THEN CASE WHEN file_id % 3 = 0 THEN 'BadZipFile' ELSE 'read' END WHEN path LIKE '%.doc' THEN 'no converter' ELSE 'unsupported type' END AS outcome FROM ({views.FILES})")
 def files_by_type(spark: SparkSession, d: str) -> DataFrame:
     """Files read by their type; what can't be read is a row with its reason."""

@@ -45,9 +45,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Adds the rows to a folder of runs. Each call writes a folder of its own, whose files show when all are there, so calls at the same time neither mix nor lose rows."""
+    df.write.parquet(f"{path.rstrip('/')}/run-{uuid.uuid4().hex}")
+
+
 def appended(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The rows that have been appended to a Parquet folder so far; none if there is no such folder."""
+    """The rows that have been added to a folder of runs so far; none if there is no such folder."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
