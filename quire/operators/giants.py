@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.functions import classify
-from quire.operators.segment import STYLES
+from quire.operators.segment import number_style
 from quire.sources.shared import written
 
 BLOCK = 1 << 14
@@ -140,10 +140,9 @@ def numbers(rows: DataFrame, name: str, *key: str, block: int = BLOCK) -> DataFr
     return rows.withColumn(name, own).join(carry, ["doc_id", *key, "block"]).withColumn(name, (F.col(name) + F.col("before")).cast("int")).drop("before", "block")
 
 
-def step_numbers(tree: DataFrame, block: int = BLOCK) -> DataFrame:
+def step_numbers(tree: DataFrame, block: int = BLOCK, computational: Column | None = None) -> DataFrame:
     """As segment.step_numbers."""
-    style = F.coalesce(F.get(F.array(*map(F.lit, STYLES)), F.col("depth")), F.lit("bullet"))
-    shown = tree.where("kind = 'step' and rendered").select("doc_id", "pos", "section_no", "seq", "depth", style.alias("number_style"))
+    shown = tree.where("kind = 'step' and rendered").select("doc_id", "pos", "section_no", "seq", "depth", number_style(computational).alias("number_style"))
     return numbers(shown, "ordinal", "depth", block=block).drop("pos")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.functions import classify
@@ -67,11 +67,16 @@ def step_tree(sections: DataFrame) -> DataFrame:
 STYLES = ("decimal", "lower_letter", "lower_roman")
 
 
-def step_numbers(tree: DataFrame) -> DataFrame:
+def number_style(computational: Column | None = None) -> Column:
+    """By depth; deeper steps have bullets, or nothing in computational documents."""
+    deeper = F.lit("bullet") if computational is None else F.when(computational, "none").otherwise("bullet")
+    return F.coalesce(F.get(F.array(*map(F.lit, STYLES)), F.col("depth")), deeper)
+
+
+def step_numbers(tree: DataFrame, computational: Column | None = None) -> DataFrame:
     """Rendered action steps with number_style and ordinal, which runs through the whole document for each depth."""
     w = Window.partitionBy("doc_id", "depth").orderBy("pos")
-    style = F.coalesce(F.get(F.array(*map(F.lit, STYLES)), F.col("depth")), F.lit("bullet"))
-    return tree.where("kind = 'step' and rendered").select("doc_id", "section_no", "seq", "depth", style.alias("number_style"), F.row_number().over(w).alias("ordinal"))
+    return tree.where("kind = 'step' and rendered").select("doc_id", "section_no", "seq", "depth", number_style(computational).alias("number_style"), F.row_number().over(w).alias("ordinal"))
 
 
 def overview(paras: DataFrame) -> DataFrame:

