@@ -39,9 +39,13 @@ from quire.llm.files import read_file, write_file
 
 #: Longest run of tokens in the filter.
 ORDER = 2
-#: Bytes of text in a slice; keys, as sent by slices, in a segment.
+#: Bytes of text in a slice; slices in a block; distinct keys in a segment, and most keys that are sent to one.
 SLICE_TEXT = 8 << 20
+BLOCK = 3
 SEGMENT_KEYS = 500_000
+MOST_SENT = 6_000_000
+#: One key in so many, by hash, is counted to estimate how many there are.
+SHARE = 1024
 #: Most tasks that go over the slices.
 TASKS = 20_000
 #: Files of a table that has a row a slice. All rows of a task go to one, so that they are of one attempt whatever is run again.
@@ -213,11 +217,12 @@ class Slice:
 
 @dataclass(frozen=True)
 class Sliced:
-    """Texts in slices: table has slice, path, keys, texts (training texts); the files are in the shared folder."""
+    """Texts in slices: table has block, slice, path, keys, texts (training texts), sample; the files are in the shared folder. keys: as the slices have them; distinct: about as many there are in all."""
 
     table: DataFrame
     n: int
     keys: int
+    distinct: int
     texts: int
     order: int
 
@@ -226,7 +231,7 @@ def sliced(docs: DataFrame, order: int = ORDER) -> Sliced:
     docs = id_and_text(docs)
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/slices"
-    names = ["slice", "path", "keys", "texts"]
+    names = ["block", "slice", "path", "keys", "texts", "sample"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -236,38 +241,57 @@ def sliced(docs: DataFrame, order: int = ORDER) -> Sliced:
             one = Slice(*tokens(column_bytes(batch)), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), held)
             path = f"{folder}/{number:016x}-{uuid.uuid4().hex}"
             write_file(path, one.to_bytes())
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, path, len(one.keys(order)[0]), int((~held).sum()))], names=names)
+            keys = one.keys(order)[0]
+            sample = keys[mix64(keys) % np.uint64(SHARE) == 0].view(np.int64).tolist()
+            first = number - (number & 0xFFFFFFFF) % BLOCK
+            columns = [pa.array([x]) for x in (first, number, path, len(keys), int((~held).sum()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sample], pa.list_(pa.int64()))], names=names)
             number += 1
 
-    table = written(docs.withColumn("held", held_out(F.col("doc_id"))).mapInArrow(tidied(cut), "slice long, path string, keys long, texts long").repartition(FEW, F.shiftright("slice", 32)).coalesce(FEW), "slices")
+    table = written(docs.withColumn("held", held_out(F.col("doc_id"))).mapInArrow(tidied(cut), "block long, slice long, path string, keys long, texts long, sample array<long>").repartition(FEW, F.shiftright("slice", 32)).coalesce(FEW), "slices")
     zero = F.lit(0)
     sums = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("keys"), zero).alias("keys"), F.coalesce(F.sum("texts"), zero).alias("texts")).first()
-    return Sliced(table, sums.n, sums["keys"], sums.texts, order)
+    distinct = SHARE * table.select(F.explode("sample").alias("key")).distinct().count()
+    return Sliced(table, sums.n, sums["keys"], distinct, sums.texts, order)
+
+
+def in_blocks(texts: Sliced) -> DataFrame:
+    """block, paths: of the slices of each block, in order; BLOCK at most."""
+    return texts.table.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slice", "path"))).alias("of")).select("block", F.col("of.path").alias("paths"))
+
+
+def block_keys(paths: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a block's slices, sorted, and how often each occurs in training texts."""
+    found = [Slice.of_bytes(read_file(p)).keys(order)[::2] for p in paths]
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, at, np.concatenate([c for _, c in found]))
+    return keys, counts
 
 
 def sent(texts: Sliced, segments: int) -> DataFrame:
-    """segment, slice, keys, counts: each slice's keys by segment of the key space."""
+    """segment, block, keys, counts: each block's keys by segment of the key space."""
     order = texts.order
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, _, counts = Slice.of_bytes(read_file(path)).keys(order)
+            for block, paths in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys, counts = block_keys(paths, order)
                 segment = ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
                 heads = np.flatnonzero(np.diff(segment, prepend=-1))
-                rows = [(int(segment[a]), number, pack_sorted(keys[a:b]), pack(counts[a:b])) for a, b in zip(heads, [*heads[1:], len(keys)])]
+                rows = [(int(segment[a]), block, pack_sorted(keys[a:b]), pack(counts[a:b])) for a, b in zip(heads, [*heads[1:], len(keys)])]
                 for at in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["segment", "slice", "keys", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["segment", "block", "keys", "counts"])
 
-    dealt = texts.table.select("slice", "path").repartitionByRange(max(1, min(texts.n, TASKS)), "slice")
-    return dealt.mapInArrow(tidied(send), "segment long, slice long, keys binary, counts binary")
+    dealt = in_blocks(texts).repartitionByRange(max(1, min(texts.n, TASKS)), "block")
+    return dealt.mapInArrow(tidied(send), "segment long, block long, keys binary, counts binary")
 
 
-ANSWERS = "slice long, segment long, answers binary, path string, tokens long, distinct long"
+ANSWERS = "block long, segment long, answers binary, path string, tokens long, distinct long"
 
 
 def _answered(segment: int, built: Segment | None, asked: pa.Table, folder: str = "") -> pa.Table:
-    """The answers of a segment to the slices that ask it; builds it from their counts, and writes it, if there is none yet."""
+    """The answers of a segment to the blocks that ask it; builds it from their counts, and writes it, if there is none yet."""
     parts = [unpack_sorted(k) for k in asked["keys"].to_pylist()]
     keys, at = np.unique(np.concatenate(parts), return_inverse=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     path = tokens_in = distinct = None
@@ -275,7 +299,7 @@ def _answered(segment: int, built: Segment | None, asked: pa.Table, folder: str
         counts = np.zeros(len(keys), np.int64)
         ends = np.cumsum([0, *map(len, parts)])
         for a, b, c in zip(ends, ends[1:], asked["counts"].to_pylist()):
-            counts[at[a:b]] += unpack(c).astype(np.int64)  # a slice has a key once
+            counts[at[a:b]] += unpack(c).astype(np.int64)  # a block has a key once
         there = counts > 0
         built = Segment.build(keys[there], counts[there])
         path = f"{folder}/segment-{segment:08d}"
@@ -287,11 +311,11 @@ def _answered(segment: int, built: Segment | None, asked: pa.Table, folder: str
     once = lambda x: pa.array([x] + [None] * (len(blobs) - 1), pa.string() if isinstance(x, str) else pa.int64())
     if not blobs:
         return pa.Table.from_batches([], _ANSWERS)
-    columns = [pa.array(asked["slice"].to_pylist(), pa.int64()), pa.array([segment] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()), once(path).cast(pa.string()), once(tokens_in), once(distinct)]
+    columns = [pa.array(asked["block"].to_pylist(), pa.int64()), pa.array([segment] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()), once(path).cast(pa.string()), once(tokens_in), once(distinct)]
     return pa.table(columns, schema=_ANSWERS)
 
 
-_ANSWERS = pa.schema([("slice", pa.int64()), ("segment", pa.int64()), ("answers", pa.binary()), ("path", pa.string()), ("tokens", pa.int64()), ("distinct", pa.int64())])
+_ANSWERS = pa.schema([("block", pa.int64()), ("segment", pa.int64()), ("answers", pa.binary()), ("path", pa.string()), ("tokens", pa.int64()), ("distinct", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -307,7 +331,7 @@ class Model:
     answers: DataFrame | None = field(default=None, compare=False)
 
     def asked(self, texts: Sliced) -> DataFrame:
-        """slice, segment, answers."""
+        """block, segment, answers."""
         if texts is self.of:
             return self.answers
 
@@ -319,18 +343,16 @@ class Model:
             return _answered(asked["segment"][0].as_py(), built, asked)
 
         both = sent(texts, self.segments).groupBy("segment").cogroup(self.files.groupBy("segment"))
-        return both.applyInArrow(answer, ANSWERS).select("slice", "segment", "answers")
+        return both.applyInArrow(answer, ANSWERS).select("block", "segment", "answers")
 
     def plain(self) -> Model:
         """The same numbers without tables: what tasks need."""
         return replace(self, files=None, of=None, answers=None)
 
-    def facts(self, one: Slice, answers: list[bytes], own: int = 0) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """(counts; smoothed probabilities; for each length of run its relative frequency and its history's bucket), for each token.
+    def facts(self, one: Slice, places: list[np.ndarray], found: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(counts; smoothed probabilities; for each length of run its relative frequency and its history's bucket), for each token. found: the answers to the slice's keys; places: as Slice.keys has them.
 
         own: times that each occurrence is taken out of the counts."""
-        _, places, _ = one.keys(self.order)
-        found = np.concatenate([unpack(a) for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
         c = found[places[0]]
         heads = np.cumsum(one.n) - one.n
         smoothed = (np.maximum(c - own, 0) + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
@@ -354,20 +376,28 @@ class Model:
         return p
 
 
-def _per_slice(texts: Sliced, answers: DataFrame, f, schema: str) -> DataFrame:
-    """f(slice, its answers in order of segments) over all slices."""
+def _per_slice(texts: Sliced, answers: DataFrame, f, schema: str, empty: pa.Schema) -> DataFrame:
+    """f(slice, the places of its tokens' keys, the answers to its keys) over all slices, a block at a time."""
+    order = texts.order
 
     def one(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return f(None, [])
-        return f(Slice.of_bytes(read_file(table["path"][0].as_py())), found.sort_by("segment")["answers"].to_pylist())
+            return empty.empty_table()
+        paths = table["paths"][0].as_py()
+        answers = [unpack(a).astype(np.int64) for a in found.sort_by("segment")["answers"].to_pylist()]
+        got, keys, out = np.concatenate([*answers, np.zeros(0, np.int64)]), block_keys(paths, order)[0], []
+        for p in paths:
+            slice_ = Slice.of_bytes(read_file(p))
+            own, places, _ = slice_.keys(order)
+            out.append(f(slice_, places, got[np.searchsorted(keys, own)]))
+        return pa.concat_tables(out)
 
-    return texts.table.select("slice", "path").groupBy("slice").cogroup(answers.select("slice", "segment", "answers").groupBy("slice")).applyInArrow(one, schema)
+    return in_blocks(texts).groupBy("block").cogroup(answers.select("block", "segment", "answers").groupBy("block")).applyInArrow(one, schema)
 
 
 def train(docs: DataFrame | Sliced, order: int = ORDER) -> Model:
     texts = docs if isinstance(docs, Sliced) else sliced(docs, order)
-    segments = max(1, -(-texts.keys // SEGMENT_KEYS))
+    segments = max(1, -(-texts.distinct // SEGMENT_KEYS), -(-texts.keys // MOST_SENT))
     folder = f"{shared_dir(texts.table.sparkSession)}/filter"
 
     def build(key: tuple, asked: pa.Table) -> pa.Table:
@@ -377,7 +407,7 @@ def train(docs: DataFrame | Sliced, order: int = ORDER) -> Model:
     zero = F.lit(0)
     sums = answers.agg(F.coalesce(F.sum("tokens"), zero).alias("tokens"), F.coalesce(F.sum("distinct"), zero).alias("distinct")).first()
     files = answers.where("path is not null").select("segment", "path")
-    model = Model(segments, files, sums.tokens, sums["distinct"], texts.texts, texts.order, (), texts, answers.select("slice", "segment", "answers"))
+    model = Model(segments, files, sums.tokens, sums["distinct"], texts.texts, texts.order, (), texts, answers.select("block", "segment", "answers"))
     for _ in range(2, texts.order + 1):
         model = replace(model, weights=(*model.weights, fit(model)))
     return model
@@ -391,10 +421,8 @@ def fit(model: Model, rounds: int = 60) -> tuple[float, ...]:
     plain = model.plain()
     schema = pa.schema([("bucket", pa.int64()), ("ratio", pa.int64()), ("n", pa.int64())])
 
-    def ratios(one: Slice | None, answers: list[bytes]) -> pa.Table:
-        if one is None:
-            return schema.empty_table()
-        _, smoothed, runs = plain.facts(one, answers, own=1)
+    def ratios(one: Slice, places: list[np.ndarray], found: np.ndarray) -> pa.Table:
+        _, smoothed, runs = plain.facts(one, places, found, own=1)
         share, bucket = runs[len(plain.weights)]
         train = np.repeat(~one.held, one.n)
         shorter = plain.probability(smoothed, runs)[train]
@@ -403,7 +431,7 @@ def fit(model: Model, rounds: int = 60) -> tuple[float, ...]:
         code, n = np.unique(bucket << 32 | (ratio + (1 << 20)), return_counts=True)
         return pa.table([pa.array(code >> 32), pa.array((code & 0xFFFFFFFF) - (1 << 20)), pa.array(n.astype(np.int64))], schema=schema)
 
-    rows = _per_slice(model.of, model.answers, ratios, "bucket long, ratio long, n long").groupBy("bucket", "ratio").agg(F.sum("n").alias("n")).collect()
+    rows = _per_slice(model.of, model.answers, ratios, "bucket long, ratio long, n long", schema).groupBy("bucket", "ratio").agg(F.sum("n").alias("n")).collect()
     out = [0.0] * MOST_LEVELS
     for b in {r.bucket for r in rows if r.bucket > 0}:
         r = np.array([0.0 if x.ratio == -10_000 else 2.0 ** (x.ratio / 8) for x in rows if x.bucket == b])
@@ -424,10 +452,8 @@ def score(docs: DataFrame | Sliced, model: Model) -> DataFrame:
     plain = model.plain()
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def scores(one: Slice | None, answers: list[bytes]) -> pa.Table:
-        if one is None:
-            return schema.empty_table()
-        c, smoothed, runs = plain.facts(one, answers)
+    def scores(one: Slice, places: list[np.ndarray], found: np.ndarray) -> pa.Table:
+        c, smoothed, runs = plain.facts(one, places, found)
         heads = np.cumsum(one.n) - one.n
         total = lambda x: np.add.reduceat(x, heads)  # noqa: E731  each text has a token
         return pa.table(
@@ -435,5 +461,5 @@ def score(docs: DataFrame | Sliced, model: Model) -> DataFrame:
             schema=schema,
         )
 
-    out = _per_slice(texts, model.asked(texts), scores, SCHEMA)
+    out = _per_slice(texts, model.asked(texts), scores, SCHEMA, schema)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

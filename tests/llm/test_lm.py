@@ -119,3 +119,20 @@ def test_no_training_rows_and_empty_table(spark):
     rows = lm.score(docs, lm.train(docs)).collect()
     assert rows and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.score == r.base_score == 0.0 for r in rows)
     assert lm.score(docs.limit(0), lm.train(docs.limit(0))).count() == 0
+
+
+def test_segments_follow_distinct_keys_and_rows_blocks(spark, monkeypatch):
+    """Words that all slices have are sent once a block, and don't make segments; a row goes each way for a block and segment at most."""
+    monkeypatch.setattr(lm, "SLICE_TEXT", 20_000)
+    monkeypatch.setattr(lm, "SEGMENT_KEYS", 30_000)
+    monkeypatch.setattr(lm, "SHARE", 16)
+    common = " ".join(f"c{k}" for k in range(1000))
+    for n in (40, 80):
+        docs = spark.createDataFrame([(i, common + " " + " ".join(f"w{i * 1000 + k}" for k in range(1000))) for i in range(n)], "doc_id long, text string").repartition(4, "doc_id")
+        texts = lm.sliced(docs)
+        model = lm.train(texts)
+        true = 2 * 1000 + n * 2 * 1000  # words and pairs
+        assert 0.8 < texts.distinct / true < 1.25 and texts.keys > 1.7 * true
+        blocks = lm.in_blocks(texts).count()
+        assert blocks <= texts.n // lm.BLOCK + 4 and model.segments == -(-texts.distinct // lm.SEGMENT_KEYS)
+        assert model.answers.count() <= blocks * model.segments
