@@ -988,16 +988,17 @@ def sql_segment_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SQL["heading_levels"])
 def sql_heading_levels(spark: SparkSession, d: str) -> DataFrame:
-    """As heading_levels, in SQL alone: a table function gives the lines."""
-    statement = "SELECT doc_id, count_if(heading_level(line, '') = 2) AS n_headings, count(*) AS n_lines FROM documents, LATERAL text_lines(text) GROUP BY doc_id"
+    """As heading_levels, in SQL alone."""
+    statement = "SELECT doc_id, count_if(heading_level(line, '') = 2) AS n_headings, count(*) AS n_lines FROM (SELECT doc_id, lines_of(text) AS of FROM documents), LATERAL inline(of) GROUP BY doc_id"
     return _sql(spark, d, statement, "documents")
 
 
 @query(_SQL["pipe_table_scan"])
 def sql_pipe_table_scan(spark: SparkSession, d: str) -> DataFrame:
-    """As pipe_table_scan, in SQL alone: table functions give lines and cells."""
-    statement = """WITH c AS (SELECT doc_id, l.pos AS row, count(*) AS n FROM documents d, LATERAL text_lines(d.text) l, LATERAL text_cells(l.line) c WHERE contains(l.line, ' | ') AND c.cell <> '' GROUP BY ALL)
-      SELECT doc_id, count(*) AS n_rows, sum(n) AS n_cells, max(n) AS widest FROM c GROUP BY doc_id"""
+    """As pipe_table_scan, in SQL alone."""
+    statement = """WITH l AS (SELECT doc_id, cells_of(line) AS cells FROM (SELECT doc_id, lines_of(text) AS of FROM documents), LATERAL inline(of) WHERE contains(line, ' | ')),
+      c AS (SELECT doc_id, CAST(size(filter(cells, c -> c.cell <> '')) AS BIGINT) AS n FROM l)
+      SELECT doc_id, count(*) AS n_rows, sum(n) AS n_cells, max(n) AS widest FROM c WHERE n > 0 GROUP BY doc_id"""
     return _sql(spark, d, statement, "documents")
 
 
