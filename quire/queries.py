@@ -648,7 +648,7 @@ def output_collisions(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """SELECT doc_id, attempt, CASE k WHEN 0 THEN '{"title": "T' || doc_id || '", ' || p || '}' WHEN 1 THEN '{"title": "A {b} ' || doc_id || '", "d": {"e": 1}, ' || p || '}' WHEN 4 THEN '{"title": "", ' || p || '}' WHEN 5 THEN '{bad json}' WHEN 6 THEN '{"title": "T", "procedure": []}' END AS object,
  CASE k WHEN 2 THEN 'no_json' WHEN 3 THEN 'incomplete' WHEN 4 THEN 'validation_error' WHEN 5 THEN 'parse_error' WHEN 6 THEN 'validation_error' END AS failure_kind,
- CASE k WHEN 4 THEN 'title_empty ' WHEN 6 THEN 'procedure_empty ' ELSE '' END AS detail
+ CASE k WHEN 4 THEN 'title_empty title' WHEN 6 THEN 'procedure_empty procedure' ELSE '' END AS detail
  FROM (SELECT s_suppkey AS doc_id, a AS attempt, (s_suppkey * 3 + a * 5) % 7 AS k, '"procedure": [{"heading": "H", "steps": [], "callouts": []}]' AS p FROM supplier, (SELECT 1 AS a UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4))"""
 )
 def json_from_response(spark: SparkSession, d: str) -> DataFrame:
@@ -662,7 +662,7 @@ def json_from_response(spark: SparkSession, d: str) -> DataFrame:
  FROM supplier s LEFT JOIN v ON v.doc_id = s.s_suppkey LEFT JOIN k ON k.doc_id = v.doc_id AND k.attempt = v.attempt"""
 )
 def first_valid_attempt(spark: SparkSession, d: str) -> DataFrame:
-    return completion.first_valid(_attempts(spark, d))
+    return completion.first_valid(_attempts(spark, d)).drop("object")
 
 
 _USER = "'" + completion.conventions().replace("'", "''") + "' || chr(10) || chr(10) || 'File: ' || doc_id || '.docx' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Type: wet_lab' || chr(10) || chr(10) ELSE '' END || trim(text, ' ' || chr(9) || chr(10)) || chr(10) || chr(10) || '" + completion.TASK + "'"
