@@ -59,7 +59,7 @@ def test_stages_keep_the_columns_and_take_an_empty_table(spark):
 
 
 def test_deduplication_of_repeated_and_unnamed_rows(spark):
-    from quire.llm.simhash import deduplicate
+    from quire.llm.wide import deduplicate
 
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (None, "z"), (3, "q r s t u v")]
     got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -67,7 +67,7 @@ def test_deduplication_of_repeated_and_unnamed_rows(spark):
 
 
 def test_deduplication_keeps_a_row_of_each_component_of_a_repeated_id(spark):
-    from quire.llm.simhash import deduplicate
+    from quire.llm.wide import deduplicate
 
     one, two, three = "a b c d e", "q r s t u v", "some other words stand in here"
     for rows, want in (
