@@ -11,26 +11,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.shared import shared_dir, written  # noqa: F401  the operators take both from here
+from quire.sources.shared import shared_dir, small_batches, written  # noqa: F401  the operators take these from here
 
 #: The white space that separates words in every contract here.
 SPACE = b" \t\n\v\f\r"
 #: Bytes of text that a worker holds in intermediate arrays at once (a longer text is held alone).
 SLICE_BYTES = 2 << 20
-BATCH_BYTES = 4 << 20
-_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows go to workers in Arrow batches of about BATCH_BYTES: texts are long, and both sides hold a batch or two. A session that has set the limit keeps its own."""
-    if spark.conf.get(_LIMIT, None) in (None, _DEFAULT):
-        spark.conf.set(_LIMIT, str(BATCH_BYTES))
-
-
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Just the two columns that a text operator reads; other columns, whatever their names, are left out."""
     small_batches(docs.sparkSession)

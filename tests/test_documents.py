@@ -263,3 +263,37 @@ def test_intermediate_tables_can_be_discarded(spark):
     place = Path(rows.inputFiles()[0].removeprefix("file:")).parents[1]
     assert rows.count() == 5 and place.exists()
     assert shared.discard(spark) == 1 and not place.exists() and shared.discard(spark) == 0
+
+
+def test_files_are_deflated_and_alike_in_their_shared_parts():
+    """A part that all files share is packed once, and a long one is deflated."""
+    from quire.sources.docx import _shared_parts, document_bytes
+
+    _shared_parts.cache_clear()
+    files = [document_bytes([("paragraph", f"said {k}")] * 500, {"title": f"T{k}"}) for k in range(20)]
+    assert _shared_parts.cache_info().misses == 1
+    for k, data in enumerate(files):
+        z = zipfile.ZipFile(io.BytesIO(data))
+        assert z.testzip() is None and len(data) < sum(x.file_size for x in z.infolist()) / 4
+        rows = ooxml.read_blocks(data)
+        assert rows[0]["title"] == f"T{k}" and [r["runs"][0]["text"] for r in rows[1:]] == [f"said {k}"] * 500
+
+
+def test_documents_with_their_blocks_are_packed_as_they_are(spark, sf):
+    from quire import queries
+
+    plan = queries.queries()["word_properties"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Aggregate" not in plan
+
+
+def test_parts_are_read_as_the_directory_says(tmp_path):
+    """What isn't there as the directory says is the file's error, as it was with zipfile alone."""
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", BODY)
+        z.writestr("word/styles.xml", STYLES)
+    data = whole.getvalue()
+    assert [r["kind"] for r in ooxml.read_blocks(data)] == ["properties", "paragraph", "paragraph", "table"]
+    at = data.index(b"word/document.xml") + len("word/document.xml")
+    with pytest.raises(Exception, match="CRC|decompress|invalid"):
+        ooxml.read_blocks(data[: at + 40] + bytes([data[at + 40] ^ 0x55]) + data[at + 41 :])
