@@ -297,3 +297,28 @@ def test_parts_are_read_as_the_directory_says(tmp_path):
     at = data.index(b"word/document.xml") + len("word/document.xml")
     with pytest.raises(Exception, match="CRC|decompress|invalid"):
         ooxml.read_blocks(data[: at + 40] + bytes([data[at + 40] ^ 0x55]) + data[at + 41 :])
+
+
+def test_a_record_is_rendered_in_its_one_row(spark, sf):
+    """The blocks of a record aren't told apart and gathered again before its file is packed; one aggregation, by document, comes after."""
+    from quire import queries
+
+    plan = queries.queries()["rendered_files"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "posexplode" not in plan
+
+
+def test_workers_hold_bounded_pieces_of_a_batch(spark, monkeypatch):
+    """A batch of many documents is made into files, and read, a few blocks at a time; documents and rows stay whole and in order."""
+    import pyarrow as pa
+
+    blocks_ = [{"kind": "paragraph", "body": "x", "cells": None}]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": str(k), "output_name": "x.docx", "blocks": blocks_ * n} for k, n in enumerate([1000] * 10 + [5000, 0, 3, 2048])])
+    pieces = list(ooxml._pieces(batch))
+    assert [d for p in pieces for d in p.column(0).to_pylist()] == [str(k) for k in range(14)]
+    assert all(p.num_rows == 1 or sum(len(b) for b in p.column(2).to_pylist()) <= ooxml.AT_ONCE for p in pieces)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("x.docx").alias("output_name"), F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.struct(F.lit("paragraph").alias("kind"), F.concat(F.lit("p"), k.cast("string")).alias("body"), F.lit(None).cast("array<string>").alias("cells"))).alias("blocks"))
+    files = ooxml.pack(rows).select(F.col("doc_id").alias("path"), "content")
+    got = ooxml.read_bytes(files).where("kind = 'paragraph'")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+    assert got.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct(F.col("runs")[0]["text"]).alias("texts")).where("n = 100 and texts = 100").count() == 40
