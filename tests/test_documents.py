@@ -322,3 +322,23 @@ def test_workers_hold_bounded_pieces_of_a_batch(spark, monkeypatch):
     got = ooxml.read_bytes(files).where("kind = 'paragraph'")
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
     assert got.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct(F.col("runs")[0]["text"]).alias("texts")).where("n = 100 and texts = 100").count() == 40
+
+
+def test_records_of_files_meet_in_one_exchange(spark, sf):
+    """The driver never has one plan of all parts of the records: each part is written, and they meet in one aggregation."""
+    from quire import queries
+
+    plan = queries.queries()["records_from_files"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_no_part_of_the_records_is_broadcast(spark, sf):
+    """By the size of compressed files a side of millions of rows may seem small enough for the driver."""
+    from quire import queries
+    from quire.plans import folder
+
+    files = queries._words(spark, sf).select(F.concat(F.lit("/in/"), "output_name").alias("path"), "content")
+    f = folder.Folder(spark, files=files)
+    for part in (folder._sections(f), f.materials, f.mixes):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
