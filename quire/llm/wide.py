@@ -7,12 +7,12 @@ join on the key brings candidates together, of which at most NARROW of the first
 candidates link if the Jaccard similarity of their shingle sets is SIMILARITY or more: exact for texts whose union has up to SKETCH shingles, and beyond
 that from the SKETCH least hashes of the union (off by 0.0125 in standard deviation).
 
-Segments have 16 bits, eight of them in two words, up to MANY classes; beyond that a key of 16 bits would have too many strangers, and segments have 21 or 22 bits, eighteen of them
-in six words. Either way 93 % of the pairs at a similarity of exactly 0.8 agree on some segment, 98 % at 0.85 and nearly all above, more where further copies stand between them: the number of
-keys a class follows the logarithm of the table, recall doesn't change with it.
+Segments have 16 bits, eight of them in two words, whatever the table's size, so a pair that is found in a small table is found in a large one: 93 % of the pairs at a similarity of exactly 0.8 agree
+on some segment, 98 % at 0.85 and nearly all above, more where further copies stand between them. A key has about one stranger in 32,768 classes, so comparisons of strangers grow with the square of the table.
 
 Within a key, members aren't all paired. Those with a partner within NARROW leave the task as FORESTS edge-disjoint least spanning forests by distance over the 128 bits. The first forests' edges are
-verified; of the others, those whose ends are still apart then, so a failed edge of the tree doesn't part what it held together.
+verified; of the others, those whose ends are still apart then, so a failed edge of the tree doesn't part what it held together. Where a key has more links than its forests, all its links whose
+ends are still apart after that are verified too, so components are those of all links, whatever the sizes of keys and blocks and the order of rows.
 Only the texts of the edges' ends are read again for that, through a broadcast of their keys up to MOST_BROADCAST, else through a shuffle. Equal fingerprints are one class first. A key with more than BLOCK members is dealt to pairs of blocks, as in simhash.py, whose components these edges go to.
 
 Defined cases: null and empty texts, and texts of white space only, are copies of each other; fewer than five words are one shingle; rows that
@@ -35,8 +35,6 @@ from quire.llm.common import SLICE_BYTES, checkpointed, column_bytes, id_and_tex
 
 SHINGLE = 5
 WORDS = 8  # of 64 bits
-#: Classes up to which segments are quarters of a word.
-MANY = 1 << 20
 QUARTERS = ((0, 16), (16, 16), (32, 16), (48, 16))
 NARROW = 34
 MOST = 104
@@ -96,9 +94,9 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidied(run), "doc_id long, text_key long, node long, wide array<long>")
 
 
-def layout(n: int) -> tuple[int, tuple[tuple[int, int], ...]]:
-    """(words that are indexed, the segments of a word) for a number of classes."""
-    return (2, QUARTERS) if n <= MANY else (6, simhash.SEGMENTS)
+def layout(_: int = 0) -> tuple[int, tuple[tuple[int, int], ...]]:
+    """(words that are indexed, the segments of a word): the same for any number of classes."""
+    return 2, QUARTERS
 
 
 def variants(classes: DataFrame, indexed: int, segments: tuple[tuple[int, int], ...]) -> DataFrame:
@@ -117,15 +115,23 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def _apart(some: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """uint8[some, fps]: the distance of each pair over the 128 bits."""
+    return np.bitwise_count(some[:, None, 0] ^ fps[None, :, 0]) + np.bitwise_count(some[:, None, 1] ^ fps[None, :, 1])
+
+
 FAR = np.uint8(255)
 
 
 def forests(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges (places) of FORESTS least spanning forests of the members, of edges up to NARROW; none has an edge of one before it."""
-    m = len(fps)
-    apart = np.concatenate([distance(fps[k : k + 64, None], fps[None]).astype(np.uint8) for k in range(0, m, 64)])
-    apart[(apart > NARROW) | np.eye(m, dtype=bool)] = FAR
+    apart = np.concatenate([_apart(fps[k : k + 64], fps) for k in range(0, len(fps), 64)])
+    apart[(apart > NARROW) | np.eye(len(fps), dtype=bool)] = FAR
+    own = np.flatnonzero((apart < FAR).any(axis=1))  # strangers have no edge
+    apart, m = apart[np.ix_(own, own)], len(own)
     out = []
+    if not m:
+        return out
     for _ in range(FORESTS):
         near, parent, rest = np.full(m, FAR), np.zeros(m, np.int64), np.ones(m, bool)
         a, b = [], []
@@ -147,7 +153,7 @@ def forests(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             break
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         apart[a, b] = apart[b, a] = FAR
-        out.append((a, b))
+        out.append((own[a], own[b]))
     return out
 
 
@@ -156,6 +162,11 @@ Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def group_edges(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Edges:
     """Edges (node, node, number of their forest) within runs of equal keys. In small runs all pairs are compared at once, so that strangers cost little."""
+    return _grouped(keys, nodes, fps)[0]
+
+
+def _grouped(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> tuple[Edges, np.ndarray]:
+    """(group_edges, places of the members of runs that may have more links than their forests)."""
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, len(keys)))
     run = np.repeat(np.arange(len(heads)), sizes)
@@ -176,12 +187,16 @@ def group_edges(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Edges:
     found = [(nodes[a[alone]], nodes[b[alone]], np.zeros(np.count_nonzero(alone), np.int64))]
     close = np.zeros(len(keys), bool)
     close[a], close[b] = True, True
+    more = [small[:0]]
     for k in np.flatnonzero((pairs > 1) | (sizes > SMALL)).tolist():
         members = np.arange(heads[k], heads[k] + sizes[k])
         if sizes[k] <= SMALL:
             members = members[close[members]]
-        found += [(nodes[members[x]], nodes[members[y]], np.full(len(x), rank)) for rank, (x, y) in enumerate(forests(fps[members]))]
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        trees = forests(fps[members])
+        found += [(nodes[members[x]], nodes[members[y]], np.full(len(x), rank)) for rank, (x, y) in enumerate(trees)]
+        if len(trees) == FORESTS:
+            more.append(members[np.unique(np.concatenate(trees[0]))])  # the first forest spans all that have a link
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)), np.concatenate(more)
 
 
 FOUND = "a long, b long, forest int, key long, block int, w0 long, w1 long"
@@ -195,8 +210,9 @@ def _edges(a: np.ndarray, b: np.ndarray, forest: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), *(pa.nulls(len(rows), f.type) for f in list(_FOUND)[3:])], schema=_FOUND)
 
 
-def _members(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
-    words_, none = fps.view(np.int64), [pa.nulls(len(nodes), f.type) for f in list(_FOUND)[1:3]]
+def _members(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, block: np.ndarray, forest: pa.Array | None = None) -> pa.RecordBatch:
+    """Members of large keys; with a forest of -1, of keys that may have more links than their forests."""
+    words_, none = np.ascontiguousarray(fps).view(np.int64), [pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.int32()) if forest is None else forest]
     return pa.RecordBatch.from_arrays([pa.array(nodes), *none, pa.array(keys), pa.array(block.astype(np.int32)), pa.array(words_[:, 0]), pa.array(words_[:, 1])], schema=_FOUND)
 
 
@@ -221,7 +237,11 @@ def search(block: int):  # noqa: ANN201  a pass over batches
         if large.any():
             place = np.arange(len(keys)) - np.repeat(heads, sizes)
             yield _members(keys[large], nodes[large], fps[large], place[large] // block)
-        yield _edges(*group_edges(keys[~large], nodes[~large], fps[~large]))
+        keys, nodes, fps = keys[~large], nodes[~large], fps[~large]
+        edges, more = _grouped(keys, nodes, fps)
+        yield _edges(*edges)
+        if len(more):
+            yield _members(keys[more], nodes[more], fps[more], np.zeros(len(more)), pa.array(np.full(len(more), -1, np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, open_key, passed = _empty(), None, 0
@@ -262,6 +282,28 @@ def pair_search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(*group_edges(*held))
 
 
+def links_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pair, node, w0, w1, root) sorted by pair of blocks, at most two blocks each -> the pairs (a, b) up to NARROW whose roots differ."""
+
+    def whole(pair: np.ndarray, nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        heads = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+        for start, end in zip(heads.tolist(), [*heads[1:].tolist(), len(pair)], strict=False):
+            n, f, r = nodes[start:end], fps[start:end], roots[start:end]
+            for k in range(0, len(n), 64):
+                x, y = np.nonzero((_apart(f[k : k + 64], f) <= NARROW) & (r[k : k + 64, None] != r[None]) & (n[k : k + 64, None] < n[None]))
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(n[k + x]), pa.array(n[y])], names=["a", "b"])
+
+    held = (*_empty(), np.zeros(0, np.int64))
+    for batch in batches:
+        if batch.num_rows:
+            held = tuple(np.concatenate(x) for x in zip(held, (*_columns(batch), batch.column(4).to_numpy(zero_copy_only=False)), strict=True))
+            last = int(np.searchsorted(held[0], held[0][-1], side="left"))
+            yield from whole(*(x[:last] for x in held))
+            held = tuple(x[last:] for x in held)
+    yield from whole(*held)
+
+
 def close(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """The edges (a, b) whose fingerprints differ in MOST bits at most."""
     side = lambda name: classes.select(F.col("node").alias(name), F.col("wide").alias(f"{name}_wide"))
@@ -312,22 +354,26 @@ def verified(edges: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return both.mapInArrow(tidied(run), "a long, b long")
 
 
+def _by_pairs(members: DataFrame, last: DataFrame, *more: str) -> DataFrame:
+    """pair, node, w0, w1 and more of the members of the keys (key, last block) for each pair of a key's blocks, sorted by pair."""
+    width = F.least(F.lit(simhash.WIDEST), F.ceil((F.col("last") + 1) / simhash.MOST_BLOCKS)).cast("int")
+    return (
+        members.join(last.select("key", "last", width.alias("width")), "key")
+        .select("key", "node", "w0", "w1", *more, F.expr("block div width").alias("block"), F.explode(F.expr("sequence(0L, last div width)")).alias("other"))
+        .select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "node", "w0", "w1", *more)
+        .repartition("pair")
+        .sortWithinPartitions("pair", "node")
+    )
+
+
 def rooted(classes: DataFrame, docs: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
     """node, least (struct<doc_id, text_key>) and fingerprints of distinct classes (a table that can be read again) -> node, least, root."""
-    keyed = variants(classes, *layout(classes.count())).repartition("key").sortWithinPartitions("key")
+    keyed = variants(classes, *layout()).repartition("key").sortWithinPartitions("key", "node")
     found = written(keyed.mapInArrow(tidied(search(block)), FOUND), "links")
-    blocks = found.where("key is not null").select("key", F.col("a").alias("node"), "block", "w0", "w1")
+    blocks = found.where("key is not null and forest is null").select("key", F.col("a").alias("node"), "block", "w0", "w1")
     # written first, so that the join with a large key's members can be split
     last = checkpointed(blocks.groupBy("key").agg(F.max("block").alias("last")))
-    width = F.least(F.lit(simhash.WIDEST), F.ceil((F.col("last") + 1) / simhash.MOST_BLOCKS)).cast("int")
-    pairs = (
-        blocks.join(last.select("key", "last", width.alias("width")), "key")
-        .select("key", "node", "w0", "w1", F.expr("block div width").alias("block"), F.explode(F.expr("sequence(0L, last div width)")).alias("other"))
-        .select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "node", "w0", "w1")
-        .repartition("pair")
-        .sortWithinPartitions("pair")
-    )
-    more = pairs.mapInArrow(tidied(pair_search), FOUND).select("a", "b", "forest")
+    more = _by_pairs(blocks, last).mapInArrow(tidied(pair_search), FOUND).select("a", "b", "forest")
     edges = found.where("b is not null").select("a", "b", "forest").unionByName(more).groupBy("a", "b").agg(F.min("forest").alias("forest"))
     edges = written(edges, "candidates")
     first = verified(edges.where("forest = 0").select("a", "b"), classes, docs)
@@ -337,7 +383,19 @@ def rooted(classes: DataFrame, docs: DataFrame, block: int = simhash.BLOCK) -> D
     rest = edges.where("forest > 0").join(place(linked, "a"), "a", "left").join(place(linked, "b"), "b", "left")
     apart = written(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "apart")
     if not apart.isEmpty():
-        linked = simhash.components(first.unionByName(verified(apart, classes, docs)))
+        first = written(first.unionByName(verified(apart, classes, docs)), "second")
+        linked = simhash.components(first)
+    # all other links whose ends are apart, of the keys that may have some
+    roots = linked.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    have = found.where("key is not null").select("key", F.col("a").alias("node"), "block", "w0", "w1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    have = written(have, "members")
+    parted = checkpointed(have.groupBy("key").agg(F.max("block").alias("last"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "last"))
+    if not parted.isEmpty():
+        tried = edges.where("forest = 0").select("a", "b").unionByName(apart)
+        others = _by_pairs(have, parted, "root").mapInArrow(tidied(links_apart), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        others = written(others, "others")
+        if not others.isEmpty():
+            linked = simhash.components(first.unionByName(verified(others, classes, docs)))
     return classes.join(linked.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 
 

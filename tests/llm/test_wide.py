@@ -208,3 +208,27 @@ def test_rows_that_repeat_id_and_text(spark):
     for part in (rows, rows[::-1]):
         got = wide.deduplicate(spark.createDataFrame(part, "doc_id long, text string, kind string, n int").repartition(3)).collect()
         assert [tuple(r) for r in got] == [(1, "same text here and more", "a", 1)]
+
+
+def test_keys_are_the_same_at_any_size():
+    """What is found in a small table is found in a large one."""
+    assert wide.layout(1 << 30) == wide.layout(0)
+
+
+def test_links_beyond_the_forests_are_found():
+    """Of a key's links that its forests don't have, those whose ends are apart come out, whatever the blocks that hold them."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 63, (1, 2)).astype(np.uint64)
+    fps = np.concatenate([base ^ (np.uint64(1) << rnd.integers(0, 64, (150, 2)).astype(np.uint64)), rnd.integers(0, 1 << 63, (20, 2)).astype(np.uint64)])
+    nodes, roots = np.arange(170) * 7, np.arange(170) % 3
+    keys = np.repeat([4, 9], 85)
+    edges, more = wide._grouped(keys, nodes, fps)
+    assert len(more) > 100 and set(fps[more][:, 0].tolist()) <= set(fps[:150, 0].tolist())
+    words = fps.view(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, nodes, words[:, 0], words[:, 1], roots)], names=["pair", "node", "w0", "w1", "root"])
+    pieces = [batch.slice(k, 33) for k in range(0, 170, 33)]
+    got = [(a, b) for out in wide.links_apart(iter(pieces)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    want = {(int(nodes[x]), int(nodes[y])) for x in range(170) for y in range(x + 1, 170) if keys[x] == keys[y] and roots[x] != roots[y] and wide.distance(fps[x], fps[y]) <= wide.NARROW}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(edges[0])
