@@ -11,8 +11,9 @@ Segments have 16 bits, eight of them in two words, whatever the table's size, so
 on some segment, 98 % at 0.85 and nearly all above, more where further copies stand between them. A key has about one stranger in 32,768 classes, so comparisons of strangers grow with the square of the table.
 
 Within a key, members aren't all paired. Those with a partner within NARROW leave the task as FORESTS edge-disjoint least spanning forests by distance over the 128 bits. The first forests' edges are
-verified; of the others, those whose ends are still apart then, so a failed edge of the tree doesn't part what it held together. Where a key has more links than its forests, all its links whose
-ends are still apart after that are verified too, so components are those of all links, whatever the sizes of keys and blocks and the order of rows.
+verified; of the others, those whose ends are still apart then, so a failed edge of the tree doesn't part what it held together. Where a key may have more links than its forests and its members are
+still apart after that, they are compared with their sketches at hand, by pairs of blocks of all that the keys hold together: every pair that has a key in common and differs in so few bits is verified there unless its ends are linked
+by then, and only links that join two components leave the task. So components are those of all links, whatever the sizes of keys and blocks and the order of rows, and no row is made of a pair that fails.
 Only the texts of the edges' ends are read again for that, through a broadcast of their keys up to MOST_BROADCAST, else through a shuffle. Equal fingerprints are one class first. A key with more than BLOCK members is dealt to pairs of blocks, as in simhash.py, whose components these edges go to.
 
 Defined cases: null and empty texts, and texts of white space only, are copies of each other; fewer than five words are one shingle; rows that
@@ -26,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import simhash
-from quire.llm.common import SLICE_BYTES, checkpointed, column_bytes, id_and_text, longs, mix64, slices, tidied, words, written
+from quire.llm.common import SLICE_BYTES, checkpointed, column_bytes, id_and_text, longs, mix64, slices, small_batches, tidied, words, written
 
 SHINGLE = 5
 WORDS = 8  # of 64 bits
@@ -45,6 +47,9 @@ SIMILARITY = 0.8
 SKETCH = 1024
 #: Most keys of texts (24 bytes each) that are broadcast.
 MOST_BROADCAST = 200_000
+#: Blocks that many members are dealt to, and the least members of one.
+DEALT = 32
+LEAST = 16
 #: Shingles whose bits are unpacked at once.
 AT_ONCE = 1 << 13
 
@@ -283,7 +288,7 @@ def pair_search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pair, node, w0, w1, root) sorted by pair of blocks, at most two blocks each -> the pairs (a, b) up to NARROW whose roots differ."""
+    """Rows (pair, node, w0, w1, root) sorted by pair of blocks, at most two blocks each -> the pairs (a, b) up to NARROW whose roots differ. All of them, one by one: similar_links verifies such pairs where they meet."""
 
     def whole(pair: np.ndarray, nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
@@ -304,6 +309,76 @@ def links_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from whole(*held)
 
 
+def agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """bool[pairs]: whether fingerprints have a key in common, that is, agree up to one bit on a segment."""
+    words_, segments = layout()
+    return np.any([np.bitwise_count((x[:, w] ^ y[:, w]) >> np.uint64(first) & np.uint64((1 << width) - 1)) <= 1 for w in range(words_) for first, width in segments], axis=0)
+
+
+def similar_apart(roots: np.ndarray, side: np.ndarray, wide: np.ndarray, sketched: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, places) of links that join all members whose roots differ and that are linked: at most one less than there are members.
+
+    Of two sides, only pairs across them are looked at. All pairs of members are compared by fingerprint, and the candidates by the hashes that their sketches have in common, which
+    one list of members a hash counts for a member and all others at once."""
+    n = np.array([len(x) // 8 for x in sketched], np.int64)
+    held = np.frombuffer(b"".join(sketched), "<u8")
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.unique(held, return_inverse=True)[1]
+    has = of[np.argsort(place, kind="stable")]  # the members that have a hash, one hash after another
+    count = np.bincount(place)
+    start, ends = np.cumsum(count) - count, np.cumsum(n)
+    label, two = np.unique(roots, return_inverse=True)[1], (side != side[:1]).any()
+    a, b = [], []
+    for k in range(len(n)):
+        later = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+        if two:
+            later = later[side[later] != side[k]]
+        later = later[_apart(wide[k : k + 1], wide[later])[0] <= NARROW]
+        later = later[agree(wide[k : k + 1], wide[later]) & (distance(wide[k : k + 1], wide[later]) <= MOST)]
+        if not len(later):
+            continue
+        own = place[ends[k] - n[k] : ends[k]]
+        sizes = count[own]
+        at = np.repeat(start[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        common = np.bincount(has[at], minlength=len(n))[later]
+        union = n[k] + n[later] - common
+        whole = union <= SKETCH
+        may = (common >= SIMILARITY * SKETCH) & ~whole  # what the least hashes of the union have in common isn't more
+        may[whole] = np.where(union[whole] > 0, common[whole] / np.maximum(union[whole], 1), 1.0) >= SIMILARITY
+        for other, exact in zip(later[may].tolist(), whole[may].tolist(), strict=True):
+            if label[other] != label[k] and (exact or similarity(sketched[k], sketched[other]) >= SIMILARITY):
+                a.append(k)
+                b.append(other)
+                label[label == label[other]] = label[k]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def similar_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pair, node, root, block, wide, sketch) sorted by pair of blocks, at most two blocks each -> similar_apart of each pair, (a, b)."""
+
+    def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        pair, nodes, roots, block = (rows.column(k).to_numpy() for k in range(4))
+        wide = pc.list_flatten(rows.column(4)).to_numpy().view(np.uint64).reshape(-1, WORDS)
+        heads = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        for start, end in zip(heads.tolist(), [*heads[1:].tolist(), len(pair)], strict=True):
+            x, y = similar_apart(roots[start:end], block[start:end], wide[start:end], rows.column(5).slice(start, end - start).to_pylist())
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[start + x]), pa.array(nodes[start + y])], names=["a", "b"])
+
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            own = pa.Table.from_batches([batch])
+            held = own if held is None else pa.concat_tables([held, own])
+            pair = held.column(0).to_numpy()
+            last = int(np.searchsorted(pair, pair[-1], side="left"))
+            if last:
+                yield from whole(held.slice(0, last))
+                held = held.slice(last).combine_chunks()
+    if held is not None:
+        yield from whole(held)
+
+
 def close(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """The edges (a, b) whose fingerprints differ in MOST bits at most."""
     side = lambda name: classes.select(F.col("node").alias(name), F.col("wide").alias(f"{name}_wide"))
@@ -354,15 +429,43 @@ def verified(edges: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return both.mapInArrow(tidied(run), "a long, b long")
 
 
-def _by_pairs(members: DataFrame, last: DataFrame, *more: str) -> DataFrame:
-    """pair, node, w0, w1 and more of the members of the keys (key, last block) for each pair of a key's blocks, sorted by pair."""
+def _by_pairs(members: DataFrame, last: DataFrame) -> DataFrame:
+    """pair, node, w0, w1 of the members of the keys (key, last block) for each pair of a key's blocks, sorted by pair."""
     width = F.least(F.lit(simhash.WIDEST), F.ceil((F.col("last") + 1) / simhash.MOST_BLOCKS)).cast("int")
     return (
         members.join(last.select("key", "last", width.alias("width")), "key")
-        .select("key", "node", "w0", "w1", *more, F.expr("block div width").alias("block"), F.explode(F.expr("sequence(0L, last div width)")).alias("other"))
-        .select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "node", "w0", "w1", *more)
+        .select("key", "node", "w0", "w1", F.expr("block div width").alias("block"), F.explode(F.expr("sequence(0L, last div width)")).alias("other"))
+        .select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "node", "w0", "w1")
+        .repartition("pair")
+        .sortWithinPartitions("pair", "node")
+    )
+
+
+def others_apart(members: DataFrame, edges: DataFrame, classes: DataFrame, docs: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) that join what is linked among members (node, root; of the keys that may have links beyond their forests) and has different roots: some of all such links, as many as a forest has in each pair of blocks.
+
+    The spanning edges of the keys hold together all that can be linked. What they hold together is dealt to DEALT blocks, fewer if they had less than LEAST members and more if more than `block`; each pair of
+    blocks compares its members with their sketches at hand. So rows grow with members times blocks, and no pair that fails is a row."""
+    node = members.select("node")
+    inside = edges.join(node.withColumnRenamed("node", "a"), "a", "left_semi").join(node.withColumnRenamed("node", "b"), "b", "left_semi")
+    held = simhash.components(inside).select(F.col("a").alias("node"), F.col("b").alias("of"))
+    held = members.join(held.unionByName(held.select(F.col("of").alias("node"), "of").distinct()), "node")
+    held = written(held, "held")
+    # written first, so that the join with many members can be split
+    blocks = F.ceil(F.col("n") / F.least(F.lit(block), F.greatest(F.lit(LEAST), F.ceil(F.col("n") / DEALT)))).cast("int").alias("blocks")
+    parted = checkpointed(held.groupBy("of").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("of", blocks))
+    held = written(held.join(parted, "of"), "apart")
+    small_batches(docs.sparkSession)
+    named = classes.join(held.select("node"), "node", "left_semi")
+    own = named.select("node", "wide").join(sketches(docs, named.select("node", "least.doc_id", "least.text_key")), "node")
+    return (
+        held.join(written(own, "sketches"), "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        .select("of", "node", "root", "block", "wide", "sketch", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        .select(F.xxhash64("of", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "node", "root", "block", "wide", "sketch")
         .repartition("pair")
         .sortWithinPartitions("pair", "node")
+        .mapInArrow(tidied(similar_links), "a long, b long")
     )
 
 
@@ -387,15 +490,14 @@ def rooted(classes: DataFrame, docs: DataFrame, block: int = simhash.BLOCK) -> D
         linked = simhash.components(first)
     # all other links whose ends are apart, of the keys that may have some
     roots = linked.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    have = found.where("key is not null").select("key", F.col("a").alias("node"), "block", "w0", "w1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    have = found.where("key is not null").select("key", F.col("a").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     have = written(have, "members")
-    parted = checkpointed(have.groupBy("key").agg(F.max("block").alias("last"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "last"))
+    parted = checkpointed(have.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"))
     if not parted.isEmpty():
-        tried = edges.where("forest = 0").select("a", "b").unionByName(apart)
-        others = _by_pairs(have, parted, "root").mapInArrow(tidied(links_apart), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        others = written(others, "others")
+        members = written(have.join(parted, "key").select("node", "root").distinct(), "parted")
+        others = written(others_apart(members, edges.where("forest = 0").select("a", "b"), classes, docs, block), "others")
         if not others.isEmpty():
-            linked = simhash.components(first.unionByName(verified(others, classes, docs)))
+            linked = simhash.components(first.unionByName(others))
     return classes.join(linked.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 
 

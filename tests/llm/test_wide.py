@@ -232,3 +232,45 @@ def test_links_beyond_the_forests_are_found():
     got = [(a, b) for out in wide.links_apart(iter(pieces)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
     want = {(int(nodes[x]), int(nodes[y])) for x in range(170) for y in range(x + 1, 170) if keys[x] == keys[y] and roots[x] != roots[y] and wide.distance(fps[x], fps[y]) <= wide.NARROW}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > len(edges[0])
+
+
+def test_pairs_that_fail_are_no_rows(spark, monkeypatch):
+    """Many texts close by their fingerprints, most of them not similar enough: the last step's rows don't grow with the square of their number, and all links are found."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(300):
+        words = [f"w{i}" for i in range(60)]
+        words[6 + 3 * (k % 16)] = f"new{rnd.randrange(10**6)}"
+        rows.append(" ".join(words))
+    made = {}
+
+    def counted(df, name="table", write=wide.written):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(wide, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in wide.deduplicate(docs).collect()} == plain_kept(list(enumerate(rows)))
+    assert made["candidates"] > 3000 and made["others"] <= 300, made
+
+
+@pytest.mark.parametrize("long", [60, 1500])
+def test_links_apart_against_all_pairs(long):
+    """similar_apart joins what all pairs join, and no more, within a block and across two, with texts beyond the sketch too."""
+    rnd = random.Random(long)
+    texts = []
+    for _ in range(3):
+        words = rnd.choices([f"v{i}" for i in range(5000)], k=long)
+        texts += [edited(words, rnd, rnd.randint(0, long // 28)).encode() for _ in range(20)]
+    fps, sketched = wide.fingerprints(texts), [wide.sketch(t) for t in texts]
+    roots = np.arange(60) // 2
+    for side in (np.zeros(60, np.int64), np.arange(60) % 3 // 2):
+        linked = lambda x, y: plain_links([int(w) for w in fps[x]], [int(w) for w in fps[y]], "", "") and wide.similarity(sketched[x], sketched[y]) >= 0.8  # noqa: B023, E731
+        across = [(x, y) for x in range(60) for y in range(x) if not side.any() or side[x] != side[y]]
+        want, got, order = list(roots), list(roots), wide.similar_apart(roots, side, fps, sketched)
+        for of, pairs in ((want, [p for p in across if linked(*p)]), (got, list(zip(*map(list, order), strict=True)))):
+            for x, y in pairs:
+                of[:] = [of[x] if r == of[y] else r for r in of]
+        least = lambda of: [of.index(r) for r in of]
+        assert least(got) == least(want) and 0 < len(order[0]) < 30 and len(set(want)) > 3
