@@ -342,3 +342,37 @@ def test_no_part_of_the_records_is_broadcast(spark, sf):
     for part in (folder._sections(f), f.materials, f.mixes):
         plan = part._jdf.queryExecution().executedPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_documents_are_written_from_sorted_rows(spark, monkeypatch):
+    """No document is one value on its way to its file, and its rows may come in any order and batches."""
+    monkeypatch.setattr(ooxml, "AT_ONCE", 7)
+    rows = [(d, f"{d}.docx", n, "paragraph", f"text {d} {n}") for d in (1, 2, None) for n in range(40)]
+    packed = ooxml.pack_documents(spark.createDataFrame(rows[::-1], "doc_id long, output_name string, block_no long, kind string, body string"))
+    plan = packed._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    got = {r.doc_id: ooxml.read_blocks(bytes(r.content)) for r in packed.collect()}
+    assert set(got) == {"1", "2", None}
+    for d, found in got.items():
+        assert [r["runs"][0]["text"] for r in found if r["kind"] == "paragraph"] == [f"text {d} {n}" for n in range(40)]
+
+
+def test_long_documents_are_parsed_by_parts(spark, monkeypatch):
+    """A child of the body at a time gives the same blocks; an error late in the file is still its only row."""
+    cells = [("material_header", "", ["a", "b"]), ("material", "", ["x", "y"])]
+    from quire.sources.docx import document_bytes
+
+    whole = document_bytes([("heading1", "H", None), *cells, *[("paragraph", f"**b** {n} _i_", None) for n in range(60)], ("callout_note", "one\ntwo", None), ("step1", "s", None)], {"title": "T"}, {1: "note"})
+    want = ooxml.read_blocks(whole)
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:  # the last paragraph's level isn't a number that can be read
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{ooxml.W[1:-1]}"><w:body>{"<w:p><w:r><w:t>t</w:t></w:r></w:p>" * 60}<w:p><w:pPr><w:numPr><w:ilvl w:val="²"/></w:numPr></w:pPr></w:p></w:body></w:document>')
+    bad = made.getvalue()
+    monkeypatch.setattr(ooxml, "LONG_PART", 0)
+    held = []
+    for child in ooxml._children(zipfile.ZipFile(io.BytesIO(whole)).read("word/document.xml")):
+        held.append(child.tag)
+    assert len(held) == 65 and ooxml.read_blocks(whole) == want and len(want) > 60
+    monkeypatch.setattr(ooxml, "AT_ONCE", 7)
+    got = ooxml.read_bytes(spark.createDataFrame([("a", bytearray(whole)), ("b", bytearray(bad)), ("c", bytearray(whole))], "path string, content binary").coalesce(1)).collect()
+    assert [[r.kind for r in got if r.path == p] for p in "abc"] == [[r["kind"] for r in want], ["error"], [r["kind"] for r in want]]
