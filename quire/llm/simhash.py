@@ -17,7 +17,7 @@ A key with more members than `BLOCK` (one bucket of a large group of near copies
 to blocks, and each pair of blocks is a task's group of its own, so that no task holds more than two blocks. A member
 goes to as many groups as its key has blocks: MOST_BLOCKS at most up to a million members, then one more for each 16,384.
 
-Components come from alternating large-star and small-star steps over the forest, with checkpoints between.
+Components come from alternating large-star and small-star steps over the forest, each of them written.
 
 Defined cases: null and empty texts, and texts of white space only, have fingerprint zero and link like any
 other; fewer than four words are one shingle; repeated rows and ties each get a row; a null doc_id is carried and takes
@@ -48,6 +48,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCK = 1024
 MOST_BLOCKS = 64
 WIDEST = 16
+#: Edges that a task of a components step takes at least, and the tasks of a step over few edges.
+EDGES = 1 << 15
+LEAST_TASKS = 8
 #: Shingles whose bits are unpacked at once.
 AT_ONCE = 1 << 17
 _SPACE = re.compile(rb"[ \t\n\v\f\r]")
@@ -250,32 +253,25 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """a, b: for each node of the edges (a, b) but the least of its component, that least node.
 
-    Large-star and small-star steps. The edges of a star's centre, which may be most of them, are joined to one row: the
-    least neighbours are written first, so that both sides of the join are plain exchanges, which adaptive execution can split.
+    Large-star and small-star steps, until every edge is a star's. The edges of a star's centre, which may be most of them, are joined to one row: each step
+    is written, so that both sides of a join are plain exchanges, which adaptive execution can split, and nothing is computed twice. A task takes EDGES edges
+    or more, so few edges are few tasks with few files, whatever the number of shuffle partitions.
     """
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        joined = both.join(least, "a")
-        if large:  # larger neighbours go to the least one
-            out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:  # smaller neighbours, and the node itself, go to the least one
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return out.where("a > b").distinct()
-
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    edges = checkpointed(edges.mapInArrow(tidied(contract), "a long, b long").where("a > b").distinct())
-    before = state(edges)
-    while before[0]:
-        edges = checkpointed(star(star(edges, large=True), large=False))
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    return edges
+    edges = written(edges.mapInArrow(tidied(contract), "a long, b long").where("a > b").distinct(), "edges")
+    tasks = max(LEAST_TASKS, -(-edges.count() // EDGES))
+    kept = lambda rows, name: written(rows.coalesce(tasks), name)
+    least = F.least(F.min("b"), F.col("a")).alias("m")
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = kept(both.groupBy("a").agg(least, F.count_if(F.col("b") < F.col("a")).alias("lower"), F.count_if(F.col("b") > F.col("a")).alias("upper")), "least")
+        if near.where("lower > 1 or lower > 0 and upper > 0").isEmpty():
+            return edges
+        # larger neighbours go to the least one
+        large = kept(both.where("b > a").join(near.select("a", "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
+        # smaller neighbours, and the node itself, go to the least one
+        low = kept(large.groupBy("a").agg(least), "least")
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        edges = kept(small.where("a > b").distinct(), "small")
 
 
 def rooted(classes: DataFrame, block: int = BLOCK) -> DataFrame:

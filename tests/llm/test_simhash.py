@@ -81,3 +81,36 @@ def test_empty_table_and_null_ids(spark):
     assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = s.near_duplicates(spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (None, "q")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id is None, r.component_id or -1) for r in got) == [(False, 7), (True, -1), (True, 7)]
+
+
+def test_components_of_few_edges_are_few_tasks(spark):
+    from random import Random
+
+    r = Random(3)
+    edges = [(0, k) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(60)] + [(r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(200)] + [(7, 7)]
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "48")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        given = spark.createDataFrame(edges, "a long, b long").repartition(5)
+        spark.sparkContext.setJobGroup("components", "components")
+        out = s.components(given)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        got = [tuple(x) for x in out.select("a", "b").collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(got) == sorted((x, m) for x, m in least.items() if x != m)
+    status = spark.sparkContext.statusTracker()
+    stages = {k for j in status.getJobIdsForGroup("components") for k in status.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+    print("tasks", tasks)
+    assert tasks < 1000  # 4,000 with a task for each shuffle partition
