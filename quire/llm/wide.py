@@ -50,6 +50,8 @@ MOST_BROADCAST = 200_000
 #: Blocks that many members are dealt to, and the least members of one.
 DEALT = 32
 LEAST = 16
+#: One in so many keys shows most members.
+PARTS = 16
 #: Shingles whose bits are unpacked at once.
 AT_ONCE = 1 << 13
 
@@ -441,6 +443,14 @@ def _by_pairs(members: DataFrame, last: DataFrame) -> DataFrame:
     )
 
 
+def members_of(have: DataFrame, keys: DataFrame) -> DataFrame:
+    """The distinct (node, root) of rows (key, node, root) whose keys are among the keys. A member has up to a hundred of them: those that one part in PARTS of the keys shows aren't looked up in the others."""
+    some = F.pmod(F.xxhash64("key"), F.lit(PARTS)) == 0
+    shown = written(have.where(some).join(keys.where(some), "key").select("node", "root").distinct(), "shown")
+    rest = have.where(~some).join(shown.select("node"), "node", "left_anti").join(keys, "key").select("node", "root").distinct()
+    return written(shown.unionByName(rest), "parted")
+
+
 def others_apart(members: DataFrame, edges: DataFrame, classes: DataFrame, docs: DataFrame, block: int) -> DataFrame:
     """Links (a, b) that join what is linked among members (node, root; of the keys that may have links beyond their forests) and has different roots: some of all such links, as many as a forest has in each pair of blocks.
 
@@ -494,7 +504,7 @@ def rooted(classes: DataFrame, docs: DataFrame, block: int = simhash.BLOCK) -> D
     have = written(have, "members")
     parted = checkpointed(have.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"))
     if not parted.isEmpty():
-        members = written(have.join(parted, "key").select("node", "root").distinct(), "parted")
+        members = members_of(have, parted)
         others = written(others_apart(members, edges.where("forest = 0").select("a", "b"), classes, docs, block), "others")
         if not others.isEmpty():
             linked = simhash.components(first.unionByName(others))

@@ -274,3 +274,15 @@ def test_links_apart_against_all_pairs(long):
                 of[:] = [of[x] if r == of[y] else r for r in of]
         least = lambda of: [of.index(r) for r in of]
         assert least(got) == least(want) and 0 < len(order[0]) < 30 and len(set(want)) > 3
+
+
+def test_members_of_keys(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(key, node, node % 7) for key in range(60) for node in rnd.sample(range(200), 30)]
+    keys = rnd.sample(range(60), 20)
+    have, wanted = spark.createDataFrame(rows, "key long, node long, root long"), spark.createDataFrame([(k,) for k in keys], "key long")
+    want = sorted({(node, root) for key, node, root in rows if key in keys})
+    for parts in (1, 4, 16, 1000):
+        monkeypatch.setattr(wide, "PARTS", parts)
+        assert sorted(tuple(r) for r in wide.members_of(have, wanted).collect()) == want
+    assert wide.members_of(have, wanted.limit(0)).count() == 0
