@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ class Rule:
 
 
 def _blank(c: Column) -> Column:
-    return F.length(text.strip(F.coalesce(c, F.lit("")))) == 0
+    return ~F.rlike(F.coalesce(c, F.lit("")), F.lit(r"(?U)\S"))
 
 
 def _steps_on_top(section: Column) -> Column:
@@ -49,6 +50,8 @@ CHECKS: dict[str, Callable[[Column, list[Column], object], Column]] = {
     "none_where": lambda c, up, other: (up[0][other[0]] == other[1]) & (F.size(c) > 0 if other[2] == "list" else c.isNotNull()),
     "top_step_if_any": lambda c, up, _: c.isNotNull() & ((c < 0) | (c >= _steps_on_top(up[-2]))),
 }
+#: The checks that look at another top field, the first of their argument. All others stay within the top field that their place is in.
+OUTWARD = ("none_where",)
 
 
 def made(name: str, path: Column) -> Column:
@@ -59,6 +62,11 @@ def _under(path: str, rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
     return tuple(r for r in rules if r.path == path or r.path.startswith((f"{path}.", f"{path}[]")))
 
 
+def near(field: str, rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
+    """The rules that a change of a top field can break: those at or below it, and those of other places that look at it."""
+    return tuple(r for r in rules if r in _under(field, rules) or (r.check in OUTWARD and r.argument[0] == field))
+
+
 def walk(kind: DataType, value: Column, rules: tuple[Rule, ...], at: str = "", path: Column | None = None, up: tuple[Column, ...] = ()) -> list[Column]:
     """Arrays of violations (null for none) of a value of a declared type, at a place of the schema and under a path."""
     none = F.expr("array()").cast(VIOLATIONS)
@@ -79,6 +87,19 @@ def walk(kind: DataType, value: Column, rules: tuple[Rule, ...], at: str = "", p
     return out
 
 
+def breaks(kind: DataType, value: Column, rules: tuple[Rule, ...], at: str = "", up: tuple[Column, ...] = ()) -> Column:
+    """Whether walk() finds any violation. Conditions alone: no paths and no lists."""
+    out = [F.coalesce(CHECKS[r.check](value, list(up), r.argument), F.lit(False)) for r in rules if r.path == at]
+    if isinstance(kind, StructType):
+        for f in kind:
+            place = f"{at}.{f.name}" if at else f.name
+            if below := _under(place, rules):
+                out.append(breaks(f.dataType, value[f.name], below, place, (*up, value)))
+    elif isinstance(kind, ArrayType) and (below := tuple(r for r in rules if r.path.startswith(f"{at}[]"))):
+        out.append(F.coalesce(F.exists(value, lambda x: breaks(kind.elementType, x, below, f"{at}[]", up)), F.lit(False)))
+    return reduce(lambda a, b: a | b, out)
+
+
 def of_type(kind: DataType, required: tuple[str, ...] = ()) -> str:
     """A pattern of what schema_of_variant says of values of a declared type. Values that are like it are surely of the type; others may be (a number in a text, unknown fields). Null is of any type, but for the required fields."""
     if isinstance(kind, StructType):

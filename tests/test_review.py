@@ -74,3 +74,44 @@ def test_a_broken_record_can_be_mended_step_by_step(spark):
     got = review.outcomes(review.folded(docs, edits)).orderBy("n").collect()
     assert [(r.n, r.accepted, r.reason) for r in got] == [(1, True, None), (2, True, None), (3, False, "title_empty title"), (4, True, None)]
     assert review.folded(docs, edits.limit(0)).first().results == [] and review.folded(docs.limit(0), edits).count() == 0
+
+
+def test_the_fold_is_in_the_plan_once_whatever_is_asked_of_the_results(spark):
+    docs = spark.createDataFrame([(1, json.dumps(GOOD))], DOC).select("doc_id", F.from_json("json", records.RECORD).alias("record"))
+    edits = spark.createDataFrame([(1, 1, "title", "T"), (1, 2, "title", " ")], "doc_id long, n long, path string, value string")
+    out = review.folded(docs, edits)
+    rows = out.select("doc_id", F.explode("results").alias("e"), F.col("record.title").alias("title")).where("e.n > 0")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert [(r.e.n, r.e.accepted, r.title) for r in rows.orderBy("e.n").collect()] == [(1, True, "T"), (2, False, "T")]
+
+
+def test_rules_of_a_changed_field_say_what_all_rules_say_of_the_change(spark):
+    section = GOOD["procedure"][0]
+    bad = {
+        "title": " ", "section_type": "computational", "section_number": None, "overview": None, "date": "soon", "prerequisites": {"software": "git"}, "materials": [{"heading": "h", "rows": []}, {"heading": "h", "rows": [{"cells": ["a"], "bold": False}]}],
+        "procedure": [section | {"heading": " ", "steps": [{"depth": 0, "step_type": "x", "text": " "}], "callouts": [{"callout_type": "y", "text": "", "after_step": 3}]}], "mix_tables": [{"heading": "h", "rows": [{"cells": None, "bold": True}]}],
+    }
+    other = bad | {"section_type": "unknown", "procedure": [], "mix_tables": []}
+    fields = list(full({}))
+    pairs = [(f, json.dumps(full(a)), json.dumps(full(a) | {f: full(b)[f]})) for a in (GOOD, GOOD | bad, GOOD | other) for b in (GOOD, GOOD | bad, GOOD | other) for f in fields]
+    old, new = F.col("old"), F.col("new")
+    added = lambda of: F.filter(of(new), lambda v: ~F.array_contains(of(old), v))
+    at = lambda r: records.broken_rules_at(r, F.col("field"))
+    read = spark.createDataFrame(pairs, "field string, a string, b string").select("field", *(F.from_json(c, records.RECORD).alias(n) for c, n in (("a", "old"), ("b", "new"))))
+    got = read.select("field", added(records.broken_rules).alias("all"), added(at).alias("near"), records.breaks_rules_at(new, F.col("field")).alias("breaks"), (F.size(at(new)) > 0).alias("listed")).collect()
+    assert [r.near for r in got] == [r.all for r in got] and [r.breaks for r in got] == [r.listed for r in got]
+    assert {v["rule"] for r in got for v in r.all} >= {"materials_in_computational", "prerequisites_in_wet_lab", "after_step_range", "mix_width", "rows_empty", "step_text_empty", "procedure_empty", "type_unknown", "date_invalid"}
+
+
+def test_values_are_held_against_the_type_that_is_declared_where_the_path_leads(spark):
+    docs = spark.createDataFrame([(1, json.dumps(GOOD))], DOC).select("doc_id", F.from_json("json", records.RECORD).alias("record"))
+    cases = [
+        ("materials", '[{"heading": "h", "rows": [{"cells": ["a", "b", "c"], "bold": "so"}]}]', "wrong type"), ("materials", '[{"heading": "h", "rows": [{"cells": ["a", "b", "c"], "bold": true}]}]', None), ("materials[0].rows[0].cells[1]", "2", "wrong type"),
+        ("materials[0].rows[0].cells[1]", "two", None), ("materials[0].rows[0].bold", "two", "wrong type"), ("materials[0].rows[0]", '{"cells": ["x", "y", "z"], "bold": false}', None), ("materials[0].rows[1]", '{"cells": []}', "out of range: [1]"),
+        ("procedure[0]", "[]", "wrong type"), ("procedure[0].section_no", "4", None), ("procedure[0].section_no", "four", "wrong type"), ("procedure[0].steps[0].depth", "zero", "wrong type"), ("procedure[0].steps[0].depth.x", "0", "wrong container at x"), ("notes", '["a", null]', None), ("notes", '["a", 1]', "wrong type"), ("[0]", "x", "malformed path"), ("notes[x]", "x", "malformed path"),
+    ]
+    edits = spark.createDataFrame([(1, n, p, v) for n, (p, v, _) in enumerate(cases)], "doc_id long, n long, path string, value string")
+    out = review.folded(docs, edits)
+    assert [r.reason for r in review.outcomes(out).orderBy("n").collect()] == [why for _, _, why in cases]
+    record = json.loads(out.select(F.to_json("record", {"ignoreNullFields": "false"})).first()[0])
+    assert record["materials"][0]["rows"] == [{"cells": ["x", "y", "z"], "bold": False}] and record["notes"] == ["a", None] and record["procedure"][0]["section_no"] == 4
